@@ -6,17 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, media_tiff, ngram_join, packing, token_count
+from . import decontaminate, langid, media_tiff, ngram_join, packing, pii, quality, token_count, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_docs(spark, sf_dir), _labels(spark, sf_dir), threshold=0.3)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_docs(spark, sf_dir), width=5, percent=75)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op_result(pii.find_pii(_docs(spark, sf_dir)))
+
+
 def op4_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_tiff.text_media(_docs(spark, sf_dir))
 
@@ -25,10 +37,18 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_docs(spark, sf_dir), tokenizer="byte_bpe_50k.json", limit=1024)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_docs(spark, sf_dir), _labels(spark, sf_dir), threshold=0.7)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10, gram=5).drop("text_key")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(_docs(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
