@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, media_tiff, ngram_join, packing, pii, quality, token_count, toxicity
+from . import decontaminate, langid, media_tiff, ngram_join, packing, pii, quality, substring_dedup, token_count, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_tiff.text_media(_docs(spark, sf_dir))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_docs(spark, sf_dir), least=50)
+
+
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_docs(spark, sf_dir), tokenizer="byte_bpe_50k.json", limit=1024)
 
