@@ -1,0 +1,128 @@
+"""Matching of references: neighbours with a ratio test, agreement within models, fuzzy names, discovery, gap queues, greedy clusters."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import text as X
+
+
+def euclid(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v))
+
+
+def ratio_matches(queries: DataFrame, references: DataFrame, ratio: float = 0.8) -> DataFrame:
+    """(q, r, d1, d2): of each query (q, model, v) the nearest reference (r, model, v) of its model, if clearly nearer than the second.
+
+    A stated set of queries meets the references of its model; a query's candidates are the references of one model.
+    """
+    pairs = queries.select("q", "model", F.col("v").alias("a")).join(references.select("r", "model", F.col("v").alias("b")), "model").select("q", "r", euclid(F.col("a"), F.col("b")).alias("d"))
+    pairs = pairs.where(F.col("q") != F.col("r"))
+    near = pairs.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "r"))), 1, 2).alias("near"))
+    return near.select("q", F.get("near", F.lit(0))["r"].alias("r"), F.get("near", F.lit(0))["d"].alias("d1"), F.get("near", F.lit(1))["d"].alias("d2")).where(F.col("d1") < ratio * F.col("d2"))
+
+
+def pair_agreement(rows: DataFrame, threshold: float) -> DataFrame:
+    """(id, agreeing, conflicting): of each row (id, model, v) how many others of its model lie within a distance. Pairs are made once and counted for both."""
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col("a.model") == F.col("b.model")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), (euclid(F.col("a.v"), F.col("b.v")) <= threshold).alias("near"))
+    both = pairs.select(F.explode(F.array("x", "y")).alias("id"), "near")
+    return both.groupBy("id").agg(F.count_if("near").alias("agreeing"), F.count_if(~F.col("near")).alias("conflicting"))
+
+
+def recommendation(agreeing: Column, conflicting: Column, least: int = 2) -> Column:
+    return F.when((agreeing >= least) & (conflicting == 0), "approve").when((agreeing > 0) & (conflicting == 0), "manual_approval").when(conflicting > 0, "manual_review").otherwise("insufficient_evidence")
+
+
+def verification(score: Column, references: Column, confirm: float = 0.7, conflict: float = 0.42) -> Column:
+    return F.when(references == 0, "no_reference").when(score >= confirm, "confirmed").when(score < conflict, "reference_conflict").otherwise("uncertain")
+
+
+@F.pandas_udf(T.DoubleType())
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp similarity of two texts."""
+    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """1 for equal names, 0.95 if one contains the other, else their similarity as sequences."""
+    x, y = X.normalized(a), X.normalized(b)
+    return F.when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.95).otherwise(sequence_ratio(x, y))
+
+
+def best_names(candidates: DataFrame, catalog: DataFrame, least: float = 0.6) -> DataFrame:
+    """(name, model, similarity): of each name the most similar catalog model that shares its first token; names and models without one don't meet."""
+    first = lambda c: F.get(F.split(X.normalized(F.col(c)), " "), F.lit(0))
+    pairs = candidates.select("name", first("name").alias("t")).distinct().join(catalog.select("model", first("model").alias("t")).distinct(), "t")
+    scored = pairs.select("name", "model", name_similarity(F.col("name"), F.col("model")).alias("similarity")).where(F.col("similarity") >= least)
+    return scored.groupBy("name").agg(F.max_by(F.struct("model", "similarity"), F.struct(F.col("similarity"), F.col("model"))).alias("x")).select("name", "x.*")
+
+
+def discovery(rows: DataFrame, allowed: tuple[str, ...], least: float = 0.5) -> DataFrame:
+    """Rows (id, model, title, page_url, image_url) with ratio and rejection: the first reason that holds, null if accepted.
+
+    Only rows without another fault count as the first of an image.
+    """
+    ratio = X.token_overlap(F.col("model"), F.col("title"))
+    host = X.url_host(F.col("page_url"))
+    fault = F.when(F.col("page_url").isNull() | F.col("image_url").isNull() | F.col("model").isNull(), "missing_field").when(~X.domain_matches(host, allowed), "source_domain").when(ratio < least, "model_evidence").when(~F.col("image_url").rlike("^https?://"), "image_scheme")
+    out = rows.withColumn("ratio", ratio).withColumn("_f", fault)
+    w = Window.partitionBy(X.model_key(F.col("model")), "image_url", F.col("_f").isNull()).orderBy("id")
+    out = out.withColumn("_n", F.row_number().over(w))
+    return out.withColumn("rejection", F.coalesce("_f", F.when(F.col("_n") > 1, "duplicate_image_url"))).drop("_f", "_n")
+
+
+def gap_queue(verified: DataFrame, identified: DataFrame) -> DataFrame:
+    """(item_id, model, status, queries): items of a known model whose references don't settle it, with search texts."""
+    out = verified.join(identified, "item_id", "left").withColumn("model", F.coalesce("board", "model")).where(F.col("model").isNotNull() & F.col("status").isin("no_reference", "uncertain"))
+    texts = F.array(F.concat("model", F.lit(" motherboard top view")), F.concat("model", F.lit(" board layout")), F.concat("model", F.lit(" official product image")))
+    return out.select("item_id", "model", "status", texts.alias("queries"))
+
+
+def greedy_clusters(rows: DataFrame, key: str, reach: float) -> DataFrame:
+    """(key, pos, cluster): rows (key, pos, value) in order of pos join the first cluster whose running mean lies within reach. Sequential within a key, by definition."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        means: list[tuple[float, int]] = []
+        out = []
+        for v in pdf["value"]:
+            for k, (m, n) in enumerate(means):
+                if abs(v - m) <= reach:
+                    means[k] = ((m * n + v) / (n + 1), n + 1)
+                    out.append(k)
+                    break
+            else:
+                means.append((v, 1))
+                out.append(len(means) - 1)
+        return pdf[[key, "pos"]].assign(cluster=out)
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "pos", "value").groupBy(key).applyInPandas(run, f"{key} {kind}, pos long, cluster int")
+
+
+def homographies(rows: DataFrame) -> DataFrame:
+    """(id, h): the homography that maps the four points `source` to the four points `target`, null where they don't define one."""
+    import numpy as np
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for s, t in zip(pdf["source"], pdf["target"], strict=True):
+                a, b = [], []
+                for (x, y), (u, v) in zip(s, t, strict=True):
+                    a += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
+                    b += [u, v]
+                try:
+                    out.append([*np.linalg.solve(np.array(a, float), np.array(b, float)), 1.0])
+                except np.linalg.LinAlgError:
+                    out.append(None)
+            yield pd.DataFrame({"id": pdf["id"], "h": out})
+
+    return rows.select("id", "source", "target").mapInPandas(run, "id long, h array<double>")

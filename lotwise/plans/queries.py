@@ -1,0 +1,499 @@
+"""Queries by name, each an operator of this library on the driver's tables, with its SQL twin.
+
+Roles: orders are listings, events detections, part a price catalog, lineitem outcomes, embeddings reference features,
+pages crawled pages, labels an evaluation set.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import text as X
+from ..operators import evidence as E
+from ..operators import references as R
+from ..operators import tables as B
+from ..operators import value as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        name = f.__name__.rstrip("_")
+        QUERIES[name] = lambda spark, sf, f=f: f(lambda t: spark.read.parquet(f"{sf}/{t}.parquet"))
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return register
+
+
+LABELS = {"click": "visible_cpu", "view": "empty_socket", "purchase": "cooler", "signup": "socket_cover"}
+ROLES = {"cooler": "cooler", "installed": "visible_cpu", "empty": "empty_socket", "cover": "socket_cover", "damage": "bent_pins"}
+
+
+def detections(t) -> DataFrame:
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    label = F.coalesce(*(F.when(F.col("event_type") == e, x) for e, x in LABELS.items()), F.lit("bent_pins"))
+    d = t("events").select(F.expr("cast(event_id div 6 as string)").alias("item_id"), F.col("event_id").alias("pos"), label.alias("label"), F.least(F.lit(1.0), F.col("value") / 150).alias("score"), (k % 5).alias("image_index"), ((k * 7) % 100).cast("double").alias("x1"), ((F.col("event_id") * 13) % 100).cast("double").alias("y1"), (k % 60 + 20).alias("w"), (F.col("event_id") % 60 + 20).alias("h"))
+    return d.withColumn("x2", F.col("x1") + F.col("w")).withColumn("y2", F.col("y1") + F.col("h")).drop("w", "h")
+
+
+DET = """det AS (SELECT *, x1 + w AS x2, y1 + h AS y2 FROM (SELECT cast(event_id // 6 AS varchar) AS item_id, event_id AS pos,
+ CASE event_type WHEN 'click' THEN 'visible_cpu' WHEN 'view' THEN 'empty_socket' WHEN 'purchase' THEN 'cooler' WHEN 'signup' THEN 'socket_cover' ELSE 'bent_pins' END AS label,
+ least(1.0, value / 150) AS score, k % 5 AS image_index, cast((k * 7) % 100 AS double) AS x1, cast((event_id * 13) % 100 AS double) AS y1, k % 60 + 20 AS w, event_id % 60 + 20 AS h
+ FROM (SELECT *, cast(regexp_extract(props, '([0-9]+)', 1) AS int) AS k FROM events)))"""
+EV = DET + """, img AS (SELECT item_id, label, image_index, max(score) AS m, count(*) AS n FROM det GROUP BY ALL),
+ev AS (SELECT item_id, label, least(1.0, max(m) + CASE WHEN count(*) > 1 THEN 0.35 * (sum(m) - max(m)) / (count(*) - 1) + 0.08 * least(2, count(*) - 1) ELSE 0 END) AS score,
+ max(m) AS max_score, count(*) AS distinct_images, cast(sum(n) AS bigint) AS detections FROM img GROUP BY item_id, label)"""
+_ROLE = ", ".join(f"coalesce(max(CASE WHEN label = '{x}' THEN score END), 0) AS {r}_score, coalesce(max(CASE WHEN label = '{x}' THEN distinct_images END), 0) AS {r}_images" for r, x in ROLES.items())
+STATE = EV + f""", wide AS (SELECT item_id, {_ROLE} FROM ev GROUP BY item_id),
+br AS (SELECT *, CASE WHEN empty_score >= 0.5 AND empty_score >= installed_score + 0.05 THEN 0 WHEN cover_score >= 0.5 AND cover_score >= installed_score + 0.05 THEN 1
+ WHEN installed_score >= 0.46 AND empty_score >= 0.46 AND abs(installed_score - empty_score) < 0.1 THEN 2 WHEN cooler_score >= 0.58 AND cooler_images >= 1 THEN 3
+ WHEN installed_score >= 0.58 AND installed_score >= empty_score + 0.1 THEN 4 WHEN empty_score >= 0.58 AND empty_score >= installed_score + 0.1 THEN 5
+ WHEN cooler_score >= 0.52 AND cooler_images >= 2 THEN 6 WHEN installed_score >= 0.46 AND installed_images >= 2 AND installed_score >= empty_score + 0.1 THEN 7
+ WHEN empty_score >= 0.46 AND empty_images >= 2 AND empty_score >= installed_score + 0.1 THEN 8 ELSE 9 END AS b, damage_score >= 0.58 AND damage_images >= 2 AS damaged FROM wide),
+state AS (SELECT *, ['empty_socket_likely','socket_cover_likely','unclear','cooler_attached_cpu_highly_likely','visible_cpu_likely','empty_socket_likely','cooler_attached_cpu_highly_likely','visible_cpu_likely','empty_socket_likely','unclear'][b + 1] AS cpu_state,
+ CASE WHEN b IN (0, 5, 8) THEN empty_score WHEN b = 1 THEN cover_score WHEN b = 2 THEN greatest(installed_score, empty_score) WHEN b IN (3, 6) THEN cooler_score WHEN b IN (4, 7) THEN installed_score ELSE greatest(cooler_score, installed_score, empty_score, cover_score) END AS cpu_confidence,
+ [0, -60][1] * 0 + CASE WHEN b IN (0, 5, 8) THEN -100 WHEN b = 1 THEN -60 WHEN b IN (3, 6) THEN 100 WHEN b IN (4, 7) THEN 80 ELSE 0 END - CASE WHEN damaged THEN 100 ELSE 0 END AS value_score,
+ concat_ws(',', CASE WHEN b = 0 AND cooler_score >= 0.46 THEN 'cooler_evidence_rejected_by_empty_socket' END, CASE WHEN b = 1 AND cooler_score >= 0.46 THEN 'cooler_evidence_rejected_by_socket_cover' END,
+ CASE WHEN b = 2 THEN 'conflicting_socket_evidence' END, CASE WHEN b = 9 THEN 'socket_state_unclear' END, CASE WHEN damaged THEN 'possible_physical_damage' END) AS reasons FROM br)""".replace("[0, -60][1] * 0 + ", "")
+VALUE = STATE + """, lst AS (SELECT cast(o_orderkey AS varchar) AS item_id, o_orderkey AS pos, concat('ASUS ', ['Z390','B450','H110'][o_orderkey % 3 + 1], ' board') AS title, round(o_totalprice / 1000, 2) AS current_bid, 18.0 AS shipping FROM orders),
+val0 AS (SELECT l.*, s.cpu_state, s.cpu_confidence, s.damaged, s.reasons <> '' AS needs_review, 35.0 + CASE WHEN cpu_state IN ('cooler_attached_cpu_highly_likely', 'visible_cpu_likely') THEN 70 ELSE 0 END + CASE WHEN cpu_state = 'cooler_attached_cpu_highly_likely' THEN 25 ELSE 0 END + CASE WHEN o.pos % 3 = 0 THEN 35 ELSE 0 END AS gross,
+ CASE WHEN cpu_state = 'unclear' THEN 20 ELSE 0 END + CASE WHEN damaged THEN 80 ELSE 0 END + CASE WHEN cpu_state = 'socket_cover_likely' THEN 5 ELSE 0 END AS risk FROM lst l JOIN state s USING (item_id) JOIN lst o USING (item_id)),
+val1 AS (SELECT *, greatest(0.0, gross - risk) AS net, current_bid + shipping AS cost, least(1.0, cpu_confidence * CASE WHEN needs_review THEN 0.75 ELSE 1 END) AS confidence FROM val0),
+val AS (SELECT *, net - cost AS profit, greatest(0.0, least(net - shipping - 60, CASE WHEN net > shipping THEN (net - shipping) / 1.35 ELSE 0 END)) AS max_bid FROM val1),
+rec AS (SELECT *, CASE WHEN confidence < 0.75 THEN 'review' WHEN current_bid <= max_bid AND profit > 0 THEN 'bid' ELSE 'pass' END AS recommendation FROM val)"""
+
+
+def states(t) -> DataFrame:
+    return E.fused_state(E.labelled(E.evidence(detections(t)), ROLES))
+
+
+def listings(t) -> DataFrame:
+    o = t("orders")
+    chip = F.get(F.array(*map(F.lit, ("Z390", "B450", "H110"))), (F.col("o_orderkey") % 3).cast("int"))
+    card = F.concat(F.lit("Current Price $"), F.format_string("%.2f", F.round(F.col("o_totalprice") / 1000, 2)))
+    return o.select(F.col("o_orderkey").cast("string").alias("item_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("ASUS "), chip, F.lit(" board")).alias("title"), card.alias("card"))
+
+
+def values(t) -> DataFrame:
+    own = listings(t).withColumn("current_bid", X.money(F.col("card"))).withColumn("shipping", X.shipping(F.col("card")))
+    return V.estimate(own.join(states(t).select("item_id", "cpu_state", "cpu_confidence", "damaged", "needs_review"), "item_id"))
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+@query(f"WITH {EV} SELECT item_id, label, round(score, 6) AS score, round(max_score, 6) AS max_score, distinct_images, detections FROM ev")
+def evidence_fusion(t):
+    return E.evidence(detections(t)).select("item_id", "label", *r6("score", "max_score"), "distinct_images", "detections")
+
+
+@query(f"WITH {DET} SELECT item_id, label, round(max(score), 6) AS top FROM det GROUP BY item_id, label")
+def maxima_by_label(t):
+    return E.maxima(detections(t)).select("item_id", "label", *r6("top"))
+
+
+@query(f"WITH {DET} SELECT item_id, image_index, label, pos FROM (SELECT *, row_number() OVER (PARTITION BY item_id, image_index, label ORDER BY score DESC, pos) AS n FROM det) WHERE n = 1")
+def best_crop_argmax(t):
+    return E.best_detection(detections(t)).select("item_id", "image_index", "label", "pos")
+
+
+@query(f"WITH {DET} SELECT pos FROM det WHERE (x2 - x1) * (y2 - y1) / 40000.0 BETWEEN CASE label WHEN 'cooler' THEN 0.05 WHEN 'empty_socket' THEN 0.02 ELSE 0.0008 END AND 0.1")
+def geometry_filter(t):
+    return E.geometry_filter(detections(t), 200.0, 200.0, 0.0008, 0.1, {"cooler": 0.05, "empty_socket": 0.02}).select("pos")
+
+
+@query(f"WITH {DET}, th(label, threshold) AS (VALUES ('cooler', 0.3), ('visible_cpu', 0.4), ('bent_pins', 0.5)) SELECT pos, label FROM det JOIN th USING (label) WHERE score >= threshold")
+def class_threshold_filter(t):
+    d = detections(t)
+    return E.class_threshold(d, d.sparkSession.createDataFrame([("cooler", 0.3), ("visible_cpu", 0.4), ("bent_pins", 0.5)], "label string, threshold double")).select("pos", "label")
+
+
+_IOU = "(SELECT a.item_id, a.pos AS pos_a, b.pos AS pos_b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS s, (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ab, a.label AS la, b.label AS lb, a.image_index AS ia, b.image_index AS ib FROM det a JOIN det b ON a.item_id = b.item_id AND a.pos < b.pos)"
+
+
+@query(f"WITH {DET} SELECT pos_a, pos_b, s AS shared, s / (aa + ab - s) >= 0.45 AS overlaps FROM {_IOU} WHERE s > 0")
+def box_iou_pairs(t):
+    d = detections(t).select("item_id", "pos", E.box().alias("b"))
+    pairs = d.alias("a").join(d.alias("c"), (F.col("a.item_id") == F.col("c.item_id")) & (F.col("a.pos") < F.col("c.pos")))
+    return pairs.select(F.col("a.pos").alias("pos_a"), F.col("c.pos").alias("pos_b"), G.intersection(F.col("a.b"), F.col("c.b")).alias("shared"), (G.iou(F.col("a.b"), F.col("c.b")) >= 0.45).alias("overlaps")).where("shared > 0")
+
+
+@query(f"WITH {STATE} SELECT item_id, cpu_state, round(cpu_confidence, 6) AS cpu_confidence, value_score, reasons, damaged FROM state")
+def fused_state(t):
+    return states(t).select("item_id", "cpu_state", *r6("cpu_confidence"), "value_score", F.concat_ws(",", "review_reasons").alias("reasons"), "damaged")
+
+
+@query(f"WITH {STATE} SELECT item_id, CASE WHEN cooler_score >= 0.62 AND cooler_score > greatest(empty_score, cover_score) + 0.08 THEN 'cooler_attached_cpu_highly_likely' WHEN installed_score >= 0.68 AND installed_score > empty_score + 0.08 THEN 'visible_cpu_likely' WHEN empty_score >= 0.66 AND empty_score > installed_score + 0.08 THEN 'empty_socket_likely' WHEN cover_score >= 0.66 THEN 'socket_cover_likely' ELSE 'unclear' END AS clip_state FROM wide")
+def clip_state(t):
+    w = E.labelled(E.evidence(detections(t)), ROLES)
+    return w.select("item_id", E.clip_state(*(F.col(f"{k}_score") for k in ("cooler", "installed", "empty", "cover"))).alias("clip_state"))
+
+
+@query(f"WITH {EV}, s AS (SELECT item_id, max(score) AS top, sum(score) AS total, count(*) AS n FROM ev WHERE label IN ('empty_socket', 'socket_cover', 'bent_pins') GROUP BY item_id), i AS (SELECT item_id, count(DISTINCT image_index) AS k FROM det WHERE label IN ('empty_socket', 'socket_cover', 'bent_pins') GROUP BY item_id) SELECT item_id, round(least(1.0, top + CASE WHEN n > 1 THEN 0.18 * (total - top) / (n - 1) + 0.05 * least(2, n - 1) ELSE 0 END + CASE WHEN k > 1 THEN 0.05 * least(2, k - 1) ELSE 0 END), 9) AS cue_score, k AS cue_images FROM s JOIN i USING (item_id)")
+def cue_fusion(t):
+    d = detections(t)
+    return E.cue_fusion(E.evidence(d), d, ("empty_socket", "socket_cover", "bent_pins")).select("item_id", F.round("cue_score", 9).alias("cue_score"), "cue_images")
+
+
+@query(f"WITH {EV} SELECT item_id, round(max(score), 6) AS damage_score FROM ev WHERE label = 'bent_pins' AND score >= 0.58 AND distinct_images >= 2 GROUP BY item_id")
+def damage_gate(t):
+    ev = E.evidence(detections(t)).where("label = 'bent_pins' and score >= 0.58 and distinct_images >= 2")
+    return ev.groupBy("item_id").agg(F.round(F.max("score"), 6).alias("damage_score"))
+
+
+@query(f"WITH {STATE}, j AS (SELECT s.*, l.o_orderkey % 3 AS m FROM state s JOIN orders l ON s.item_id = cast(l.o_orderkey AS varchar)), c AS (SELECT *, CASE WHEN m IN (0, 2) AND cpu_state = 'unclear' AND empty_score >= 0.3 THEN 2 WHEN m = 1 AND cpu_state = 'socket_cover_likely' AND cover_score >= 0.5 THEN 3 ELSE 0 END AS x FROM j) SELECT item_id, CASE WHEN x > 1 THEN 'empty_socket_likely' ELSE cpu_state END AS cpu_state, round(CASE x WHEN 2 THEN empty_score WHEN 3 THEN cover_score ELSE cpu_confidence END, 6) AS cpu_confidence, value_score + CASE x WHEN 2 THEN -100 WHEN 3 THEN -40 ELSE 0 END AS value_score FROM c")
+def context_adjust(t):
+    rows = states(t).join(listings(t).select("item_id", "title"), "item_id")
+    return E.context_adjusted(rows, weak_empty=0.3).select("item_id", "cpu_state", *r6("cpu_confidence"), "value_score")
+
+
+@query(f"WITH {DET} SELECT DISTINCT a.pos FROM det a JOIN det b ON a.item_id = b.item_id AND a.image_index = b.image_index AND a.label = 'cooler' AND b.label IN ('visible_cpu', 'bent_pins') WHERE greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) >= 0.35 * least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1))")
+def cooler_structure_semi(t):
+    return E.supported_by_structure(detections(t), ("cooler",), ("visible_cpu", "bent_pins")).select("pos")
+
+
+@query(f"WITH {DET}, g AS (SELECT item_id, x1 - lag(x1) OVER (PARTITION BY item_id ORDER BY x1, pos) AS gap FROM det) SELECT item_id, count(*) AS n, round(avg(gap), 6) AS gap_mean, round(CASE WHEN avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) END, 6) AS gap_cv FROM g GROUP BY item_id")
+def label_gap_stats(t):
+    return E.label_gaps(detections(t)).select("item_id", "n", *r6("gap_mean", "gap_cv"))
+
+
+@query()
+def nms_keep(t):
+    return E.suppressed(detections(t), 0.3).select("item_id", "image_index", "pos")
+
+
+@query(f"WITH {VALUE} SELECT item_id, round(gross, 6) AS gross, round(net, 6) AS net, round(profit, 6) AS profit, round(max_bid, 6) AS max_bid, recommendation FROM rec")
+def value_estimate(t):
+    return values(t).select("item_id", *r6("gross", "net", "profit", "max_bid"), "recommendation")
+
+
+@query(f"WITH {VALUE} SELECT item_id, recommendation, rank FROM (SELECT *, row_number() OVER (PARTITION BY recommendation ORDER BY CASE WHEN recommendation = 'bid' THEN 0 ELSE 1 END, profit DESC, confidence DESC, pos) AS rank FROM rec) WHERE rank <= 20")
+def top_k_by_recommendation(t):
+    return V.top_by_recommendation(values(t), 20).select("item_id", "recommendation", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {VALUE} SELECT item_id FROM rec ORDER BY CASE WHEN recommendation = 'bid' THEN 0 ELSE 1 END, profit DESC, confidence DESC, pos LIMIT 50")
+def ranked_values(t):
+    return values(t).orderBy(*V.ranking()).limit(50).select("item_id")
+
+
+@query(f"WITH {VALUE} SELECT recommendation, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, round(avg(CASE WHEN needs_review THEN 1.0 ELSE 0 END), 6) AS review_rate FROM rec GROUP BY recommendation")
+def daily_summary(t):
+    return B.summary(values(t), ["recommendation"]).select("recommendation", F.col("samples").alias("n"), *r6("mean_confidence", "review_rate"))
+
+
+@query(f"WITH {VALUE} SELECT item_id FROM rec WHERE profit >= -60 AND confidence >= 0.5 AND max_bid <= 100")
+def alerts(t):
+    return values(t).where("profit >= -60 and confidence >= 0.5 and max_bid <= 100").select("item_id")
+
+
+@query(f"WITH {VALUE} SELECT item_id, CASE WHEN net < 20 THEN 'value' END AS why FROM rec WHERE net < 20 UNION ALL SELECT item_id, 'confidence' FROM rec WHERE confidence < 0.3")
+def error_union(t):
+    v = values(t)
+    return v.where("net < 20").select("item_id", F.lit("value").alias("why")).unionByName(v.where("confidence < 0.3").select("item_id", F.lit("confidence").alias("why")))
+
+
+_PRICE = "p AS (SELECT p_brand AS model, count(*) AS samples, quantile_cont(l_extendedprice, 0.5) AS median, list_sort(list(l_extendedprice)) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand), pr AS (SELECT model, samples, median, v[greatest(1, cast(floor(0.2 * samples) AS int))] AS low, v[least(samples, cast(floor(0.8 * samples) AS int) + 1)] AS high FROM p WHERE samples >= 3)"
+
+
+def outcomes(t) -> DataFrame:
+    return t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("model"), F.col("l_extendedprice").alias("realized"))
+
+
+@query(f"WITH {_PRICE} SELECT model, cast(samples AS int) AS samples, round(median, 4) AS median, round(low, 4) AS low, round(high, 4) AS high FROM pr")
+def empirical_price_range(t):
+    return V.price_ranges(outcomes(t)).select("model", "samples", *(F.round(c, 4).alias(c) for c in ("median", "low", "high")))
+
+
+@query(f"WITH {_PRICE}, c AS (SELECT p_brand AS model, avg(p_retailprice) AS price FROM part WHERE p_size < 25 GROUP BY p_brand), e AS (SELECT * FROM pr WHERE model < 'Brand#3') SELECT p_partkey, round(coalesce(e.median, c.price, 60.0), 4) AS price, CASE WHEN e.median IS NOT NULL THEN 'empirical' WHEN c.price IS NOT NULL THEN 'catalog' ELSE 'default' END AS price_source FROM part LEFT JOIN e ON p_brand = e.model LEFT JOIN c ON p_brand = c.model")
+def price_fallback(t):
+    e = V.price_ranges(outcomes(t)).where("model < 'Brand#3'")
+    c = t("part").where("p_size < 25").groupBy(F.col("p_brand").alias("model")).agg(F.avg("p_retailprice").alias("price"))
+    return V.priced(t("part").select("p_partkey", F.col("p_brand").alias("model")), e, c, 60.0).select("p_partkey", F.round("price", 4).alias("price"), "price_source")
+
+
+@query("SELECT c_custkey, coalesce(o.n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey")
+def left_join_default(t):
+    n = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return B.left_with_default(t("customer").select("c_custkey"), n, "c_custkey", {"n": F.lit(0)})
+
+
+@query("WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS state, o_totalprice AS score FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'X' END AS state, o_totalprice * 2 AS score FROM orders WHERE o_orderkey % 5 <> 0) SELECT id, coalesce(b.state, a.state) AS state, round(coalesce(b.score, a.score), 4) AS score, CASE WHEN b.state IS NULL THEN 'old_only' WHEN a.state IS NULL THEN 'new_only' ELSE 'both' END AS source, coalesce(a.state <> b.state, false) AS disagree FROM a FULL JOIN b USING (id)")
+def full_outer_merge(t):
+    o = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"), F.col("o_totalprice").alias("score"))
+    new = o.where("id % 5 <> 0").select("id", F.when(F.col("id") % 2 == 0, F.col("state")).otherwise("X").alias("state"), (F.col("score") * 2).alias("score"))
+    return B.merged(o.where("id % 3 <> 0"), new, "id").withColumn("score", F.round("score", 4))
+
+
+@query(f"WITH {STATE}, b AS (SELECT item_id, cpu_state AS state, cpu_confidence AS confidence, value_score AS score FROM state), f AS (SELECT item_id, clip AS f_state, i AS f_confidence, 50 AS f_score, e AS identity FROM (SELECT item_id, CASE WHEN installed_score >= 0.5 THEN 'visible_cpu_likely' ELSE 'unclear' END AS clip, installed_score AS i, empty_score AS e FROM state WHERE cooler_score < 0.5)) SELECT item_id, CASE WHEN u THEN f_state ELSE state END AS state, round(CASE WHEN u THEN f_confidence ELSE confidence END, 6) AS confidence, score + CASE WHEN u THEN 50 ELSE 0 END AS score, u AS overridden FROM (SELECT *, coalesce(identity >= 0.58 AND f_confidence >= 0.5 AND f_state <> 'unclear', false) AS u FROM b LEFT JOIN f USING (item_id))")
+def reconcile_override(t):
+    s = states(t)
+    focused = s.where("cooler_score < 0.5").select("item_id", F.when(F.col("installed_score") >= 0.5, "visible_cpu_likely").otherwise("unclear").alias("f_state"), F.col("installed_score").alias("f_confidence"), F.lit(50).alias("f_score"), F.col("empty_score").alias("identity"))
+    base = s.select("item_id", F.col("cpu_state").alias("state"), F.col("cpu_confidence").alias("confidence"), F.col("value_score").alias("score"))
+    return B.reconciled(base, focused, "item_id").withColumn("confidence", F.round("confidence", 6))
+
+
+@query("SELECT o_orderkey, c_name, n_name, round(o_totalprice, 4) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
+def enrichment_star(t):
+    return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("o_orderkey", "c_name", "n_name", F.round("o_totalprice", 4).alias("total"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderkey % 4 <> 0)")
+def ledger_pending_anti(t):
+    o = t("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, F.lit(None)).otherwise("h").alias("listing_hash"), "o_orderdate")
+    return B.pending(o.select("id", F.lit("h").alias("listing_hash")), o.where("o_orderdate >= timestamp_ntz'2000-01-01'").select("id", "listing_hash"), ["id", "listing_hash"]).select("id")
+
+
+@query("WITH l AS (SELECT o_orderkey AS id, o_orderdate AS d, o_totalprice AS s FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS id, o_orderdate + INTERVAL 1 DAY AS d, o_totalprice + 1 AS s FROM orders WHERE o_orderkey % 2 = 0) SELECT id, coalesce(l.d, n.d) AS first_seen, coalesce(n.d, l.d) AS last_seen, round(coalesce(n.s, l.s), 4) AS score FROM l FULL JOIN n USING (id)")
+def ledger_upsert(t):
+    o = t("orders").select(F.col("o_orderkey").alias("id"), "o_orderdate", F.col("o_totalprice").alias("score"))
+    old = o.where("id % 3 <> 0").select("id", F.col("o_orderdate").alias("first_seen"), F.col("o_orderdate").alias("last_seen"), "score")
+    new = o.where("id % 2 = 0").select("id", F.expr("o_orderdate + interval 1 day").alias("seen"), (F.col("score") + 1).alias("score"))
+    return B.upserted(old, new, ["id"]).withColumn("score", F.round("score", 4))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 30 DAY")
+def retention_prune(t):
+    return B.retained(t("orders"), "o_orderdate", "2001-08-01 00:00:00", 30).select("o_orderkey")
+
+
+@query("""SELECT o_orderkey, substr(sha256(concat('{"id":"', o_orderkey, '","priority":"', o_orderpriority, '","status":"', o_orderstatus, '"}')), 1, 16) AS fp FROM orders""")
+def listing_fingerprint(t):
+    return t("orders").select("o_orderkey", X.fingerprint(("id", F.col("o_orderkey").cast("string")), ("status", F.col("o_orderstatus")), ("priority", F.col("o_orderpriority"))).alias("fp"))
+
+
+@query("SELECT shard, coalesce(n, 0) AS items FROM (SELECT unnest(range(8))::int AS shard) LEFT JOIN (SELECT (concat('0x', substr(sha256(o_orderkey::varchar), 1, 16))::ubigint % 8)::int AS shard, count(*) AS n FROM orders GROUP BY 1) USING (shard)")
+def stable_shards(t):
+    return B.shard_sizes(t("orders"), "o_orderkey", 8)
+
+
+@query("SELECT o_orderkey, CASE WHEN concat('0x', substr(sha256(o_orderkey::varchar), 1, 8))::bigint / 4294967295.0 < 0.1 THEN 'trained' ELSE 'fallback' END AS backend FROM orders")
+def canary_bucket(t):
+    return t("orders").select("o_orderkey", B.backend(B.canary_bucket(F.col("o_orderkey").cast("string")), 0.1).alias("backend"))
+
+
+@query("SELECT o_orderkey AS id FROM orders")
+def shard_union_checked(t):
+    o = t("orders").select(F.col("o_orderkey").alias("id"))
+    return B.checked_union([o.where(B.shard_of(F.col("id").cast("string"), 2) == k) for k in range(2)], "id")
+
+
+_LEASE = "s AS (SELECT o_custkey AS run, o_orderkey AS shard, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'completed' ELSE 'pending' END AS status, o_orderkey % 4 AS attempts, o_orderdate AS updated_at FROM orders), n AS (SELECT *, CASE WHEN status = 'running' AND updated_at < TIMESTAMP '2000-01-01' - INTERVAL 60 MINUTE THEN CASE WHEN attempts <= 2 THEN 'retry' ELSE 'failed' END ELSE status END AS next_status FROM s)"
+
+
+def leases(t) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "completed").otherwise("pending")
+    return B.lease_states(t("orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("shard"), status.alias("status"), (F.col("o_orderkey") % 4).alias("attempts"), F.col("o_orderdate").alias("updated_at")), "2000-01-01 00:00:00")
+
+
+@query(f"WITH {_LEASE} SELECT next_status, count(*) AS n FROM n GROUP BY next_status")
+def lease_transitions(t):
+    return leases(t).groupBy("next_status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_LEASE} SELECT run, min(shard) AS shard FROM n WHERE next_status IN ('pending', 'retry') GROUP BY run")
+def lease_first_claim(t):
+    return B.first_claimable(leases(t).drop("status").withColumnRenamed("next_status", "status"), "run").select("run", "shard")
+
+
+@query(f"WITH {_LEASE} SELECT run, bool_and(status = 'completed') AS complete FROM s GROUP BY run")
+def all_complete(t):
+    return leases(t).groupBy("run").agg(F.every(F.col("status") == "completed").alias("complete"))
+
+
+@query("WITH a AS (SELECT event_type, count(*) / (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-16') AS s FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1), b AS (SELECT event_type, count(*) / (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-16') AS s FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1) SELECT event_type, round(coalesce(a.s, 0), 6) AS now_share, round(coalesce(b.s, 0), 6) AS before_share, abs(coalesce(a.s, 0) - coalesce(b.s, 0)) > 0.01 AS shifted FROM a FULL JOIN b USING (event_type)")
+def drift_report(t):
+    e = t("events")
+    at = "timestamp_ntz'2024-01-16'"
+    shift = B.frequency_shift(B.frequencies(e.where(f"ts >= {at}"), "event_type"), B.frequencies(e.where(f"ts < {at}"), "event_type"), "event_type", 0.01)
+    return shift.select("event_type", *r6("now_share", "before_share"), "shifted")
+
+
+@query("SELECT cast(ts AS date) AS day, concat_ws(',', CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 3 THEN 'search_errors' END, CASE WHEN count(*) FILTER (WHERE event_type = 'view') / count(*) > 0.2 THEN 'gallery_error_rate' END, CASE WHEN avg(CASE WHEN value > 60 THEN 1.0 ELSE 0 END) > 0.3 THEN 'review_rate' END) AS reasons FROM events GROUP BY 1")
+def health_report(t):
+    day = t("events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count_if(F.col("event_type") == "error").alias("e"), (F.count_if(F.col("event_type") == "view") / F.count("*")).alias("g"), F.avg((F.col("value") > 60).cast("double")).alias("r"))
+    return day.select("day", B.reasons(search_errors=F.col("e") > 3, gallery_error_rate=F.col("g") > 0.2, review_rate=F.col("r") > 0.3).alias("reasons"))
+
+
+@query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host, CASE WHEN regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') SIMILAR TO '(.*\\.)?example\\.com' THEN 'official' WHEN regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') SIMILAR TO '(.*\\.)?example\\.org' THEN 'review' END AS source_type FROM pages")
+def source_type(t):
+    host = X.url_host(F.col("url"))
+    return t("pages").select("page_id", host.alias("host"), F.when(X.domain_matches(host, ("example.com",)), "official").when(X.domain_matches(host, ("example.org",)), "review").alias("source_type"))
+
+
+@query("WITH r AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS title, split_part(regexp_extract(html, '<h1>([^<]*)', 1), ' ', 1) AS model, concat('https://img/', page_id % 40) AS image_url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages), k AS (SELECT *, [x FOR x IN regexp_extract_all(upper(model), '[A-Z0-9]+') IF length(x) >= 2] AS tok, regexp_extract_all(upper(title), '[A-Z0-9]+') AS hay FROM r), q AS (SELECT *, len([x FOR x IN tok IF list_contains(hay, x)]) / greatest(1, len(tok)) AS ratio FROM k), f AS (SELECT *, CASE WHEN NOT host SIMILAR TO '(.*\\.)?example\\.(com|org)' THEN 'source_domain' WHEN ratio < 0.5 THEN 'model_evidence' END AS fault FROM q) SELECT page_id AS id, round(ratio, 6) AS ratio, coalesce(fault, CASE WHEN row_number() OVER (PARTITION BY trim(regexp_replace(upper(model), '[^A-Z0-9]+', '-', 'g'), '-'), image_url, fault IS NULL ORDER BY page_id) > 1 THEN 'duplicate_image_url' END) AS rejection FROM f")
+def discovery_ingest(t):
+    rows = t("pages").select(F.col("page_id").alias("id"), F.split_part(F.regexp_extract("html", "<h1>([^<]*)", 1), F.lit(" "), F.lit(1)).alias("model"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.col("url").alias("page_url"), F.concat(F.lit("https://img/"), F.col("page_id") % 40).alias("image_url"))
+    return R.discovery(rows, ("example.com", "example.org")).select("id", *r6("ratio"), "rejection")
+
+
+@query("SELECT item_id, model, status, q AS search FROM (SELECT cast(p_partkey AS varchar) AS item_id, p_brand AS model, CASE WHEN p_size < 10 THEN 'no_reference' WHEN p_size < 20 THEN 'uncertain' ELSE 'confirmed' END AS status, unnest([p_brand || ' motherboard top view', p_brand || ' board layout', p_brand || ' official product image']) AS q FROM part WHERE p_partkey % 7 <> 0) WHERE status <> 'confirmed'")
+def discovery_requests(t):
+    p = t("part")
+    verified = p.select(F.col("p_partkey").cast("string").alias("item_id"), F.lit(None).cast("string").alias("model"), F.when(F.col("p_size") < 10, "no_reference").when(F.col("p_size") < 20, "uncertain").otherwise("confirmed").alias("status"))
+    named = p.where("p_partkey % 7 <> 0").select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_brand").alias("board"))
+    return R.gap_queue(verified, named).select("item_id", "model", "status", F.explode("queries").alias("search"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(upper(left_text), '[^A-Z0-9+ -]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm, trim(regexp_replace(upper(source), '[^A-Z0-9]+', '-', 'g'), '-') AS key FROM (SELECT doc_id, source, regexp_replace(text, '[^ -~]', ' ', 'g') AS left_text FROM documents)")
+def canonical_text(t):
+    plain = F.regexp_replace("text", "[^ -~]", " ")
+    return t("documents").select("doc_id", X.normalized(plain).alias("norm"), X.model_key(F.col("source")).alias("key"))
+
+
+@query("WITH d AS (SELECT doc_id, regexp_extract_all(upper(regexp_replace(text, '[^ -~]', ' ', 'g')), '[A-Z0-9]+') AS hay FROM documents), k AS (SELECT *, ['THE', 'AND', 'LE', 'DER', '555'] AS tok FROM d) SELECT doc_id, round(len([x FOR x IN tok IF list_contains(hay, x)]) / 5, 6) AS ratio FROM k")
+def token_overlap(t):
+    return t("documents").select("doc_id", F.round(X.token_overlap(F.lit("the and le der 555 board a"), F.regexp_replace("text", "[^ -~]", " ")), 6).alias("ratio"))
+
+
+_TITLE = "concat(['ASUS PRIME Z390 cpu fan', 'MSI B450 TOMAHAWK MAX', 'GIGABYTE Z370 AORUS GAMING 5 heatsink', 'ASROCK X570 STEEL LEGEND', 'plain board AM4'][p_partkey % 5 + 1], ' ', p_name)"
+
+
+def titles(t) -> DataFrame:
+    names = ("ASUS PRIME Z390 cpu fan", "MSI B450 TOMAHAWK MAX", "GIGABYTE Z370 AORUS GAMING 5 heatsink", "ASROCK X570 STEEL LEGEND", "plain board AM4")
+    return t("part").select("p_partkey", F.concat(F.get(F.array(*map(F.lit, names)), (F.col("p_partkey") % 5).cast("int")), F.lit(" "), "p_name").alias("title"))
+
+
+@query("SELECT p_partkey, [NULL, 'MSI B450 TOMAHAWK MAX', 'GIGABYTE Z370 AORUS GAMING 5', 'ASROCK X570 STEEL LEGEND', NULL][p_partkey % 5 + 1] AS model, ['intel', 'amd', 'intel', 'amd', 'amd'][p_partkey % 5 + 1] AS platform, p_partkey % 5 IN (0, 2) AS cooler, ['ASUS', 'MSI', 'GIGABYTE', 'ASROCK', NULL][p_partkey % 5 + 1] AS manufacturer, ['Z390', 'B450', 'Z370', 'X570', NULL][p_partkey % 5 + 1] AS chipset FROM part")
+def scalar_text(t):
+    s = X.structured_model(F.col("title"))
+    return titles(t).select("p_partkey", X.canonical_model(F.col("title")).alias("model"), X.platform_hint(F.col("title")).alias("platform"), X.mentions_cooler(F.col("title")).alias("cooler"), s["manufacturer"].alias("manufacturer"), s["chipset"].alias("chipset"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, len(regexp_extract_all(html, 'href=\"[^\"]*\"')) AS links FROM pages")
+def page_extract(t):
+    return t("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="[^"]*"'), F.lit(0))).cast("long").alias("links"))
+
+
+@query()
+def fuzzy_match(t):
+    names = titles(t).where("p_partkey % 5 < 4").select(F.col("title").alias("name"))
+    catalog = names.sparkSession.createDataFrame([("ASUS PRIME Z390-A",), ("MSI B450 TOMAHAWK",), ("GIGABYTE Z370 AORUS GAMING 7",), ("ASROCK X570 STEEL LEGEND",)], "model string")
+    return R.best_names(names, catalog, 0.3)
+
+
+def features(t) -> DataFrame:
+    return t("embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("model"), F.col("embedding").alias("v"))
+
+
+_EMB = "e AS (SELECT vec_id AS id, label AS model, embedding::double[] AS v FROM embeddings)"
+
+
+@query(f"WITH {_EMB}, p AS (SELECT a.id AS q, b.id AS r, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.model = b.model AND a.id <> b.id WHERE a.id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, r) AS n FROM p) SELECT x.q, x.r, round(x.d, 4) AS d1, round(y.d, 4) AS d2 FROM k x JOIN k y ON x.q = y.q AND x.n = 1 AND y.n = 2 WHERE x.d < 0.98 * y.d")
+def knn_ratio_test(t):
+    e = features(t)
+    return R.ratio_matches(e.where("id % 20 = 0").withColumnRenamed("id", "q"), e.withColumnRenamed("id", "r"), 0.98).select("q", "r", F.round("d1", 4).alias("d1"), F.round("d2", 4).alias("d2"))
+
+
+@query(f"WITH {_EMB}, p AS (SELECT a.id, list_distance(a.v, b.v) <= 1.0 AS near FROM e a JOIN e b ON a.model = b.model AND a.id <> b.id), c AS (SELECT id, count(*) FILTER (WHERE near) AS agreeing, count(*) FILTER (WHERE NOT near) AS conflicting FROM p GROUP BY id) SELECT *, CASE WHEN agreeing >= 2 AND conflicting = 0 THEN 'approve' WHEN agreeing > 0 AND conflicting = 0 THEN 'manual_approval' WHEN conflicting > 0 THEN 'manual_review' ELSE 'insufficient_evidence' END AS recommendation FROM c")
+def pair_agreement(t):
+    return R.pair_agreement(features(t), 1.0).withColumn("recommendation", R.recommendation(F.col("agreeing"), F.col("conflicting")))
+
+
+_TILE = "s AS (SELECT p_partkey, 800 + p_size * 37 AS w, 700 + p_size * 19 AS h FROM part), xy AS (SELECT p_partkey, unnest(list_distinct(list_concat(range(0, greatest(w - 768, 0) + 1, 614), [greatest(w - 768, 0)]))) AS x, h FROM s) SELECT p_partkey, cast(x AS int) AS x, cast(unnest(list_distinct(list_concat(range(0, greatest(h - 768, 0) + 1, 614), [greatest(h - 768, 0)]))) AS int) AS y FROM xy"
+
+
+@query(f"WITH {_TILE}")
+def tiles(t):
+    s = t("part").select("p_partkey", (F.col("p_size") * 37 + 800).alias("w"), (F.col("p_size") * 19 + 700).alias("h"))
+    return s.select("p_partkey", F.explode(G.tiles(F.col("w"), F.col("h"), 768, 0.2)).alias("t")).select("p_partkey", "t.x", "t.y")
+
+
+@query(f"WITH {DET} SELECT pos, round(greatest(0, x1 - (x2 - x1) * 0.1), 6) AS x1, round(greatest(0, y1 - (y2 - y1) * 0.1), 6) AS y1, round(least(150, x2 + (x2 - x1) * 0.1), 6) AS x2, round(least(150, y2 + (y2 - y1) * 0.1), 6) AS y2 FROM det")
+def expand_clamp(t):
+    return detections(t).select("pos", G.expanded(E.box(), 0.1, F.lit(150.0), F.lit(150.0)).alias("b")).select("pos", *(F.round(f"b.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query(f"WITH {DET} SELECT pos, round((2 * x1 + 5) / (0.001 * x1 + 1), 6) AS px, round((3 * y1 - 1) / (0.001 * x1 + 1), 6) AS py FROM det")
+def project_polygon(t):
+    p = F.get(G.projected(G.corners(E.box()), [2.0, 0.0, 5.0, 0.0, 3.0, -1.0, 0.001, 0.0, 1.0]), F.lit(0))
+    return detections(t).select("pos", F.round(p["x"], 6).alias("px"), F.round(p["y"], 6).alias("py"))
+
+
+@query(f"WITH {DET} SELECT pos, round((x1 + x2) / 2 / 200, 6) AS cx, round(sqrt(power((x1 + x2) / 2 - 100, 2) + power((y1 + y2) / 2 - 100, 2)), 6) AS d FROM det")
+def centroid_distance(t):
+    c = G.centroid(G.corners(E.box()))
+    s = G.centroid(G.scaled(G.corners(E.box()), F.lit(200.0), F.lit(200.0)))
+    return detections(t).select("pos", F.round(s["x"], 6).alias("cx"), F.round(G.distance(c, F.struct(F.lit(100.0).alias("x"), F.lit(100.0).alias("y"))), 6).alias("d"))
+
+
+@query(f"WITH {DET} SELECT pos, printf('%d %.9f %.9f', list_position(['visible_cpu','empty_socket','cooler','socket_cover','bent_pins'], label) - 1, (x1 + x2) / 2 / 256, (y1 + y2) / 2 / 256) AS line FROM det")
+def yolo_lines(t):
+    k = F.array_position(F.array(*map(F.lit, ("visible_cpu", "empty_socket", "cooler", "socket_cover", "bent_pins"))), F.col("label")) - 1
+    return detections(t).select("pos", F.format_string("%d %.9f %.9f", k, (F.col("x1") + F.col("x2")) / 2 / 256, (F.col("y1") + F.col("y2")) / 2 / 256).alias("line"))
+
+
+@query(f"WITH {DET} SELECT pos, CASE WHEN label = 'bent_pins' THEN 'unknown_class' WHEN x2 > 130 OR y2 > 130 THEN 'invalid_box' END AS error FROM det WHERE label = 'bent_pins' OR x2 > 130 OR y2 > 130")
+def annotation_errors(t):
+    error = F.when(F.col("label") == "bent_pins", "unknown_class").when((F.col("x2") > 130) | (F.col("y2") > 130), "invalid_box")
+    return detections(t).select("pos", error.alias("error")).where("error is not null")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE (n_chars > 500)::int = quality) AS correct, round(avg(CASE WHEN (n_chars > 500)::int = quality THEN 1.0 ELSE 0 END), 6) AS accuracy FROM labels JOIN documents USING (doc_id)")
+def benchmark_accuracy(t):
+    j = t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id").select(((F.col("n_chars") > 500).cast("int") == F.col("quality")).alias("ok"))
+    return j.agg(F.count("*").alias("n"), F.count_if("ok").alias("correct"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("accuracy"))
+
+
+@query("SELECT doc_id, round(0.55 * (1 - least(1.0, n_chars / 5000)) + 0.30 * (toxic = 1)::int + 0.15 * (lang <> 'en')::int, 6) AS priority FROM labels JOIN documents USING (doc_id) ORDER BY 0.55 * (1 - least(1.0, n_chars / 5000)) + 0.30 * (toxic = 1)::int + 0.15 * (lang <> 'en')::int DESC, doc_id LIMIT 50")
+def review_queue(t):
+    p = 0.55 * (1 - F.least(F.lit(1.0), F.col("n_chars") / 5000)) + 0.30 * (F.col("toxic") == 1).cast("int") + 0.15 * (F.col("lang") != "en").cast("int")
+    return t("labels").join(t("documents"), "doc_id").withColumn("p", p).orderBy(F.desc("p"), "doc_id").limit(50).select("doc_id", F.round("p", 6).alias("priority"))
+
+
+@query("SELECT split, count(*) AS n FROM (SELECT CASE WHEN b < 0.7 THEN 'train' WHEN b < 0.85 THEN 'val' ELSE 'test' END AS split FROM (SELECT concat('0x', substr(sha256(doc_id || '42'), 1, 8))::bigint / 4294967295.0 AS b FROM documents)) GROUP BY split")
+def split_counts(t):
+    b = B.canary_bucket(F.concat(F.col("doc_id").cast("string"), F.lit("42")))
+    return t("documents").select(F.when(b < 0.7, "train").when(b < 0.85, "val").otherwise("test").alias("split")).groupBy("split").agg(F.count("*").alias("n"))
+
+
+_MODELS = "m(name, map50, p, r) AS (VALUES ('a', 0.71, 0.82, 0.76), ('b', 0.69, 0.9, 0.8), ('c', 0.78, 0.79, 0.7))"
+
+
+@query(f"WITH {_MODELS} SELECT name, concat_ws(',', CASE WHEN map50 < 0.7 THEN 'map50' END, CASE WHEN p < 0.8 THEN 'precision' END, CASE WHEN r < 0.75 THEN 'recall' END) AS failed, concat_ws(',', CASE WHEN map50 - 0.7 < 0.02 - 1e-9 THEN 'insufficient_map50_gain' END, CASE WHEN map50 - 0.7 < 0.05 AND p < 0.8 THEN 'precision_regression' END) AS relative FROM m")
+def promotion(t):
+    m = t("region").sparkSession.createDataFrame([("a", 0.71, 0.82, 0.76), ("b", 0.69, 0.9, 0.8), ("c", 0.78, 0.79, 0.7)], "name string, map50 double, p double, r double")
+    gain = F.round(F.col("map50") - 0.7, 6)
+    return m.select("name", B.reasons(map50=F.col("map50") < 0.7, precision=F.col("p") < 0.8, recall=F.col("r") < 0.75).alias("failed"), B.reasons(insufficient_map50_gain=gain < 0.02, precision_regression=(gain < 0.05) & (F.col("p") < 0.8)).alias("relative"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def last_wins(t):
+    return B.last_wins(t("events"), "user_id", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'new' FROM orders WHERE o_orderkey % 3 = 0")
+def replace_by_key(t):
+    o = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"))
+    return B.replaced(o, o.where("id % 3 = 0").select("id", F.lit("new").alias("s")), "id")
+
+
+@query("SELECT o_custkey AS id FROM orders UNION SELECT c_custkey FROM customer")
+def key_union(t):
+    return t("orders").select(F.col("o_custkey").alias("id")).union(t("customer").select("c_custkey")).distinct()
+
+
+@query()
+def greedy_clusters(t):
+    return R.greedy_clusters(detections(t).select("item_id", "pos", F.col("x1").alias("value")), "item_id", 18.0)
+
+
+@query()
+def homography_4pt(t):
+    pts = lambda dx: F.array(*(F.array(F.col(x) + dx, F.col(y) * (1 + dx / 100)) for x, y in (("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2"))))
+    return R.homographies(detections(t).select(F.col("pos").alias("id"), pts(0).alias("source"), pts(7).alias("target")))
+
+
+@query("SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS failed, round(avg(o_totalprice), 2) AS mean FROM orders WHERE o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 400 DAY GROUP BY 1")
+def run_history(t):
+    o = B.retained(t("orders"), "o_orderdate", "2001-08-01 00:00:00", 400)
+    return o.groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"), F.round(F.avg("o_totalprice"), 2).alias("mean"))

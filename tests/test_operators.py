@@ -1,0 +1,131 @@
+"""Scenarios on small tables."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from lotwise.functions import text as X
+from lotwise.operators import evidence as E
+from lotwise.operators import references as R
+from lotwise.operators import tables as B
+from lotwise.operators import value as V
+from lotwise.sources import documents as D
+from lotwise.streaming import incremental as I
+
+DET = "item_id string, pos long, label string, score double, image_index int, x1 double, y1 double, x2 double, y2 double"
+
+
+def box(pos, label, score, image, x1=10.0, y1=10.0, x2=210.0, y2=210.0):
+    return ("a", pos, label, score, image, x1, y1, x2, y2)
+
+
+def state(spark, *found):
+    roles = {"cooler": "cooler", "installed": "visible_cpu", "empty": "empty_socket", "cover": "socket_cover", "damage": "bent_pins"}
+    return E.fused_state(E.labelled(E.evidence(spark.createDataFrame([*found], DET)), roles)).first()
+
+
+def test_two_images_support_each_other(spark):
+    assert state(spark, box(0, "visible_cpu", 0.49, 1), box(1, "visible_cpu", 0.48, 2))["cpu_state"] == "visible_cpu_likely"
+
+
+def test_conflict_is_unclear(spark):
+    r = state(spark, box(0, "visible_cpu", 0.62, 1), box(1, "empty_socket", 0.60, 2))
+    assert r["cpu_state"] == "unclear" and r["review_reasons"] == ["conflicting_socket_evidence"]
+
+
+def test_damage_needs_two_images(spark):
+    assert not state(spark, box(0, "bent_pins", 0.9, 1))["damaged"]
+    assert state(spark, box(0, "bent_pins", 0.7, 1), box(1, "bent_pins", 0.7, 2))["damaged"]
+
+
+def test_suppression_keeps_other_labels(spark):
+    d = spark.createDataFrame([box(0, "ram", 0.9, 1, 0.0, 0.0, 100.0, 100.0), box(1, "ram", 0.8, 1, 5.0, 5.0, 95.0, 95.0), box(2, "nvme", 0.7, 1, 5.0, 5.0, 95.0, 95.0)], DET)
+    assert sorted(r["pos"] for r in E.suppressed(d).collect()) == [0, 2]
+
+
+def test_money(spark):
+    df = spark.createDataFrame([("Current Price $42.50 Shipping: $18.00",), ("$1,234.00",), ("",), (None,)], "card string")
+    got = df.select(X.money(F.col("card")), X.shipping(F.col("card"))).collect()
+    assert [tuple(r) for r in got] == [(42.5, 18.0), (1.0, 18.0), (0.0, 18.0), (0.0, 18.0)]
+
+
+def test_value_recommendation(spark):
+    rows = [("Z390 board", 20.0, 15.0, "cooler_attached_cpu_highly_likely", 0.9, False, False), ("board", 20.0, 15.0, "visible_cpu_likely", 0.9, False, True), ("board", 20.0, 15.0, "unclear", 0.4, False, False)]
+    df = V.estimate(spark.createDataFrame(rows, "title string, current_bid double, shipping double, cpu_state string, cpu_confidence double, needs_review boolean, damaged boolean"))
+    a, b, c = df.collect()
+    assert a["recommendation"] == "bid" and a["max_bid"] > 20 and b["recommendation"] != "bid" and b["risk"] >= 80 and c["recommendation"] == "review"
+
+
+def test_prices(spark):
+    df = spark.createDataFrame([("m", float(x)) for x in (80, 90, 100, 110, 120)] + [("few", 1.0)], "model string, realized double")
+    got = V.price_ranges(df).collect()
+    assert [tuple(r) for r in got] == [("m", 5, 100.0, 80.0, 120.0)]
+
+
+def test_retention_is_inclusive(spark):
+    df = spark.createDataFrame([(dt.datetime(2026, 7, 28),), (dt.datetime(2026, 7, 27, 23, 59, 59),)], "at timestamp_ntz")
+    assert B.retained(df, "at", "2026-08-04 00:00:00", 7).count() == 1
+
+
+def test_shards_are_complete_and_disjoint(spark):
+    df = spark.range(20).select(F.col("id").cast("string").alias("id"))
+    assert sum(r["items"] for r in B.shard_sizes(df, "id", 4).collect()) == 20
+
+
+def test_union_refuses_duplicates(spark):
+    one = spark.createDataFrame([(1,)], "id int")
+    with pytest.raises(Exception, match="duplicate key"):
+        B.checked_union([one, one], "id").collect()
+
+
+def test_last_wins_and_reconcile(spark):
+    df = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y")], "k string, pos int, v string")
+    assert B.last_wins(df, "k", "pos").first()["v"] == "y"
+    base = spark.createDataFrame([("a", "unclear", 0.2, 10)], "k string, state string, confidence double, score int")
+    ok = spark.createDataFrame([("a", "empty", 0.9, 50, 0.9)], "k string, f_state string, f_confidence double, f_score int, identity double")
+    assert tuple(B.reconciled(base, ok, "k").first()) == ("a", "empty", 0.9, 60, True)
+    assert not B.reconciled(base, ok.withColumn("identity", F.lit(0.4)), "k").first()["overridden"]
+
+
+def test_canonical_models_and_names(spark):
+    df = spark.createDataFrame([("Gigabyte Z370 AORUS Gaming 5 motherboard",), ("MSI B450 Tomahawk Max",), ("nothing",)], "t string")
+    assert [r[0] for r in df.select(X.canonical_model(F.col("t"))).collect()] == ["GIGABYTE Z370 AORUS GAMING 5", "MSI B450 TOMAHAWK MAX", None]
+    best = R.best_names(df.select(F.col("t").alias("name")), spark.createDataFrame([("MSI B450 TOMAHAWK",), ("MSI Z390-A",)], "model string")).collect()
+    assert [(r["model"], r["similarity"]) for r in best] == [("MSI B450 TOMAHAWK", 0.95)]
+
+
+def test_clusters_and_homography(spark):
+    df = spark.createDataFrame([("a", 0, 0.0), ("a", 1, 5.0), ("a", 2, 100.0), ("a", 3, 3.0)], "k string, pos long, value double")
+    assert [r["cluster"] for r in R.greedy_clusters(df, "k", 10.0).orderBy("pos").collect()] == [0, 0, 1, 0]
+    square = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]]
+    flat = [[0.0, 0.0]] * 4
+    rows = spark.createDataFrame([(1, square, [[2 * x, 2 * y] for x, y in square]), (2, flat, square)], "id long, source array<array<double>>, target array<array<double>>")
+    got = {r["id"]: r["h"] for r in R.homographies(rows).collect()}
+    assert got[1] == pytest.approx([2, 0, 0, 0, 2, 0, 0, 0, 1]) and got[2] is None
+
+
+def test_json_lists(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"schema_version": 1, "items": [{"id": "1"}, {"id": "2"}]}))
+    assert D.read_list(spark, str(tmp_path / "a.json"), "id string", "items", 1).count() == 2
+    with pytest.raises(Exception, match="schema version"):
+        D.read_list(spark, str(tmp_path / "a.json"), "id string", "items", 2).collect()
+    (tmp_path / "b.json").write_text(json.dumps([{"id": "3"}]))
+    assert D.read_list(spark, str(tmp_path / "b.json"), "id string", "items", 1).first()["id"] == "3"
+
+
+def test_streams(spark, tmp_path):
+    rows = [(1, "a", 0.5, dt.datetime(2026, 1, 1, 0, 1)), (1, "a", 0.7, dt.datetime(2026, 1, 1, 0, 2)), (2, "b", 0.1, dt.datetime(2026, 1, 1, 3, 0))]
+    schema = "id long, label string, score double, ts timestamp"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = I.first_seen(read(), ["id"], "ts").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert spark.table("firsts").count() == 2
+    q = I.windowed_maxima(read(), "ts").writeStream.format("memory").queryName("tops").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r["top"] for r in spark.table("tops").collect()) == [0.1, 0.7]
+    q = I.upsert_batches(read(), str(tmp_path / "out"), "id", "ts", str(tmp_path / "cp"))
+    q.awaitTermination(60)
+    assert {r["id"]: r["score"] for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()} == {1: 0.7, 2: 0.1}
