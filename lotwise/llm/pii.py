@@ -340,8 +340,12 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Tagger:
             yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(parts, kind)], ["h", "s"])
 
     marked = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9]{3}|@")).select("text", F.xxhash64("doc_id").alias("h"))
-    kind = "h long, s struct<a: string, b: string, c: string, d: string>"
-    found = marked.orderBy("h").limit(rows).mapInArrow(run, kind).orderBy("h", "s").collect()
+    # first the bound on the hash, from numbers alone; then the texts under it, which stay in their tasks
+    bound = marked.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if bound is None:
+        return train([])
+    found = marked.where(F.col("h") <= bound).mapInArrow(run, "h long, s struct<a: string, b: string, c: string, d: string>").collect()
+    found.sort(key=lambda r: (r["h"], tuple(r["s"])))
     return train([tuple(r["s"]) for r in found])
 
 
