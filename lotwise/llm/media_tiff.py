@@ -80,16 +80,15 @@ def lzw_encode(raw: bytes) -> bytes:
         table[longer] = following
         following += 1
         word = longer[-1:]
-        if following == (1 << width) - 1:
-            if width == 12:
-                put(256, width)
-                table, following, width = {}, 258, 9
-            else:
-                width += 1
+        if following == 4095:
+            put(256, width)
+            table, following, width = {}, 258, 9
+        elif following == 1 << width:
+            width += 1
     if word:
         put(word[0] if len(word) == 1 else table[word], width)
         following += 1
-        if following == (1 << width) - 1 and width < 12:
+        if following == 1 << width and width < 12:
             width += 1
     put(257, width)
     if held:

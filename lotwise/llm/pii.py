@@ -25,7 +25,7 @@ SAMPLE_ROWS = 400
 #: Characters of a window, and from one window's start to the next one's.
 WINDOW, STRIDE = 64, 32
 HIDDEN, STEPS, BATCH, SEED = 12, 160, 48, 11
-#: Least average margin for a span of the network.
+#: Least probability of a span of the network against there being none in its place.
 LEAST = 0.95
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -181,8 +181,8 @@ class Tagger:
             grad |= {"x" + d: gx, "h" + d: gh, "b" + d: gb}
         return float((z - gold).mean()), {k: v / n for k, v in grad.items()}
 
-    def viterbi(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(labels, how far each is ahead of `outside` in emission, squashed to 0..1) of one stretch."""
+    def viterbi(self, e: np.ndarray) -> np.ndarray:
+        """The likeliest labels of one stretch."""
         t, move = len(e), self.p["move"]
         score, back = e[0].copy(), np.zeros((t, LABELS), np.int64)
         for k in range(1, t):
@@ -193,7 +193,15 @@ class Tagger:
         out[-1] = score.argmax()
         for k in range(t - 1, 0, -1):
             out[k - 1] = back[k, out[k]]
-        return out, sigmoid(e[np.arange(t), out] - e[:, 0])
+        return out
+
+    def surety(self, e: np.ndarray, labels: np.ndarray, start: int, end: int) -> float:
+        """Probability of a labelled span against `outside` throughout its place, emissions and transitions taken together."""
+        around = np.r_[labels[start - 1 : start], labels[start:end], labels[end : end + 1]]
+        none = around.copy()
+        none[1 if start else 0 :][: end - start] = 0
+        ahead = e[np.arange(start, end), labels[start:end]].sum() - e[start:end, 0].sum()
+        return float(sigmoid(ahead + self.p["move"][around[:-1], around[1:]].sum() - self.p["move"][none[:-1], none[1:]].sum()))
 
 
 def _variants(text: str, kind: str, rng: np.random.Generator) -> str:
@@ -295,7 +303,8 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, str]]], tagge
             total[j][s : s + n] += one[:n]
             times[j][s : s + n] += 1
     for (t, a, _), e, n in zip(jobs, total, times, strict=True):
-        labels, sure = tagger.viterbi(e / np.maximum(n, 1)[:, None])
+        e = e / np.maximum(n, 1)[:, None]
+        labels = tagger.viterbi(e)
         k = 0
         while k < len(labels):
             if labels[k] == 0:
@@ -306,9 +315,9 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, str]]], tagge
             while end < len(labels) and labels[end] == 2 * kind + 2:
                 end += 1
             # the span's exact ends are those of what has the kind's shape around it
-            low, high = max(0, a + k - 8), a + end + 8
+            low, high = _run_ends(texts[t], max(0, a + k - 8), min(len(texts[t]), a + end + 8))
             m = _SHAPE[KINDS[kind]].search(texts[t], low, high)
-            if m and m.start() < a + end and m.end() > a + k and float(sure[k:end].mean()) >= LEAST and _whole(texts[t], *m.span()) and not any(s < m.end() and m.start() < f for s, f, _ in bases[t]):
+            if m and m.start() < a + end and m.end() > a + k and tagger.surety(e, labels, k, end) >= LEAST and _whole(texts[t], *m.span()) and not any(s < m.end() and m.start() < f for s, f, _ in bases[t]):
                 out[t].append((m.start(), m.end(), KINDS[kind]))
             k = end
     return [_apart(x) for x in out]
@@ -319,6 +328,16 @@ def _whole(text: str, start: int, end: int) -> bool:
     return not (start and text[start - 1].isalnum() and text[start].isalnum()) and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
 
 
+def _run_ends(text: str, low: int, high: int) -> tuple[int, int]:
+    """Both places moved outward to the next space, by a window at most."""
+    first, last = max(0, low - WINDOW), min(len(text), high + WINDOW)
+    while low > first and not text[low - 1].isspace():
+        low -= 1
+    while high < last and not text[high].isspace():
+        high += 1
+    return low, high
+
+
 def _apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     for s in sorted(set(spans)):

@@ -163,6 +163,12 @@ def test_coders(raw):
     assert media_tiff.lzw_decode(media_tiff.lzw_encode(raw)) == raw
 
 
+@pytest.mark.parametrize("n", [*range(250, 262), *range(505, 520), 1020, 1021, 1022, 1023, 1024, 4094, 20_000])
+def test_lzw_widths(n):
+    raw = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8).tobytes()
+    assert media_tiff.lzw_decode(media_tiff.lzw_encode(raw)) == raw
+
+
 @pytest.mark.parametrize("compression", [media_tiff.NONE, media_tiff.LZW, media_tiff.DEFLATE, media_tiff.PACKBITS])
 @pytest.mark.parametrize("tile", [0, 16])
 def test_tiff_pages(spark, compression, tile):
