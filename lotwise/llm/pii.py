@@ -2,7 +2,7 @@
 
 The network is trained in numpy from labelled spans: the patterns' own spans in a bounded sample of documents and spelled-out
 variants of them ("name at host dot com", digits in groups) put into the same surroundings. It reads windows around digits, at
-signs and spelled-out separators, which any such span has. Windows overlap; their emissions are averaged where they do, and one
+signs and spelled-out separators, which any such span has. Windows overlap; their emissions are averaged where they do, by how much each sees to both sides, and one
 Viterbi pass over each stretch of windows settles the spans globally. Spans of the patterns always stay; those of the network are added where
 they overlap none, if they look like their kind.
 """
@@ -86,6 +86,8 @@ CLASSES = 20
 #: Labels: 0 outside, then begin and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
 _TRIGGER = re.compile(r"[0-9@]|\b(?:at|dot)\b|[\[(](?:at|dot)[\])]")
+#: A window speaks the louder, the more it sees to both sides.
+_WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 #: What a span of the network must look like.
 _SHAPE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+(?:@| ?[\[(](?:at|AT)[\])] ?| at )[A-Za-z0-9-]+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?| dot )[A-Za-z0-9-]+)+"),
@@ -220,7 +222,7 @@ def _variants(text: str, kind: str, rng: np.random.Generator) -> str:
 
 
 def training_windows(samples: list[tuple[str, str, str, str]], n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """(classes, labels) of n windows from (text before, span, text after, kind); a third hold no span but near misses."""
+    """(classes, labels) of n windows from (text before, span, text after, kind); a third hold no span but near misses, a fifth begin within a span."""
     xs, ys = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
     for r in range(n):
         before, span, after, kind = samples[rng.integers(len(samples))]
@@ -231,7 +233,9 @@ def training_windows(samples: list[tuple[str, str, str, str]], n: int, rng: np.r
             span = [digits, f"{digits[:2]}.{digits[2:3]}", f"CC BY {digits[:1]}.0", "at the dot", f"looked at {digits} of", f"v{digits[:1]}.{digits[1:3]}", "".join("0123456789abcdef"[k] for k in rng.integers(0, 16, 40))][rng.integers(7)]
         else:
             span = _variants(span, kind, rng)
-        left = int(rng.integers(0, max(1, WINDOW - min(len(span), WINDOW)) + 1))
+        inside = int(rng.integers(1, len(span))) if label and len(span) > 2 and rng.random() < 0.3 else 0
+        span = span[inside:]
+        left = 0 if inside else int(rng.integers(0, max(1, WINDOW - min(len(span), WINDOW)) + 1))
         text = (before[len(before) - left :] if left else "") + span + after
         got = min(left, len(before))
         x = classes(text[:WINDOW])
@@ -239,7 +243,8 @@ def training_windows(samples: list[tuple[str, str, str, str]], n: int, rng: np.r
         end = min(WINDOW, got + len(span))
         if label:
             ys[r, got:end] = label + 1
-            ys[r, got] = label
+            if not inside:
+                ys[r, got] = label
     return xs, ys
 
 
@@ -300,10 +305,10 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, str]]], tagge
         e = tagger.emissions(np.stack(windows[k : k + 512]))
         for (j, s), one in zip(where[k : k + 512], e, strict=True):
             n = min(WINDOW, len(total[j]) - s)
-            total[j][s : s + n] += one[:n]
-            times[j][s : s + n] += 1
+            total[j][s : s + n] += one[:n] * _WEIGHT[:n, None]
+            times[j][s : s + n] += _WEIGHT[:n]
     for (t, a, _), e, n in zip(jobs, total, times, strict=True):
-        e = e / np.maximum(n, 1)[:, None]
+        e = e / n[:, None]
         labels = tagger.viterbi(e)
         k = 0
         while k < len(labels):
@@ -317,12 +322,19 @@ def added_spans(texts: list[str], bases: list[list[tuple[int, int, str]]], tagge
             # the span's exact ends are those of what has the kind's shape around it
             low, high = _run_ends(texts[t], max(0, a + k - 8), min(len(texts[t]), a + end + 8))
             m = _SHAPE[KINDS[kind]].search(texts[t], low, high)
-            if m and m.start() < a + end and m.end() > a + k and tagger.surety(e, labels, k, end) >= LEAST and _whole(texts[t], *m.span()) and not any(s < m.end() and m.start() < f for s, f, _ in bases[t]):
+            if m and m.start() < a + end and m.end() > a + k and tagger.surety(e, labels, k, end) >= LEAST and _plausible(m[0], KINDS[kind]) and _whole(texts[t], *m.span()) and not any(s < m.end() and m.start() < f for s, f, _ in bases[t]):
                 out[t].append((m.start(), m.end(), KINDS[kind]))
             k = end
     return [_apart(x) for x in out]
 
 
+def _plausible(span: str, kind: str) -> bool:
+    """A card's digits have a right check digit, and an address's parts are bytes, however they are spelled."""
+    if kind == "card":
+        return luhn(re.sub(r"\D", "", span))
+    return kind != "ip" or all(int(x) <= 255 for x in re.findall(r"[0-9]+", span))
+
+
 def _whole(text: str, start: int, end: int) -> bool:
     """A span neither begins nor ends inside a longer run of letters and digits."""
     return not (start and text[start - 1].isalnum() and text[start].isalnum()) and not (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())
