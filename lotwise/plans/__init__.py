@@ -1 +1,3 @@
 
+
+from . import more, queries  # noqa: F401  both register their queries
