@@ -24,7 +24,8 @@ def ratio_matches(queries: DataFrame, references: DataFrame, ratio: float = 0.8)
     """
     pairs = queries.select("q", "model", F.col("v").alias("a")).join(references.select("r", "model", F.col("v").alias("b")), "model").select("q", "r", euclid(F.col("a"), F.col("b")).alias("d"))
     pairs = pairs.where(F.col("q") != F.col("r"))
-    near = pairs.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "r"))), 1, 2).alias("near"))
+    first = F.row_number().over(Window.partitionBy("q").orderBy("d", "r"))
+    near = pairs.withColumn("_n", first).where("_n <= 2").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("d", "r"))).alias("near"))
     return near.select("q", F.get("near", F.lit(0))["r"].alias("r"), F.get("near", F.lit(0))["d"].alias("d1"), F.get("near", F.lit(1))["d"].alias("d2")).where(F.col("d1") < ratio * F.col("d2"))
 
 

@@ -1,3 +1,3 @@
 
 
-from . import more, queries  # noqa: F401  both register their queries
+from . import boards, more, queries  # noqa: F401  all register their queries

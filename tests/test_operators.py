@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwise.functions import text as X
-from lotwise.operators import evidence as E
+from lotwise.operators import boards, evidence as E
 from lotwise.operators import references as R
 from lotwise.operators import tables as B
 from lotwise.operators import value as V
@@ -129,3 +129,20 @@ def test_streams(spark, tmp_path):
     q = I.upsert_batches(read(), str(tmp_path / "out"), "id", "ts", str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert {r["id"]: r["score"] for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()} == {1: 0.7, 2: 0.1}
+
+
+def test_ransac_finds_planted_inliers(spark):
+    rows = [(g, float(x), float(y), 1.1 * x + 0.2 * y + 5 + (300 * ((x * y) % 3 + 1) if (x + y) % 5 == 0 else 0), 0.9 * y - 0.1 * x + 7) for g in (1, 2) for x in range(0, 60, 7) for y in range(0, 60, 11)]
+    rows += [(3, 0.0, 0.0, 1.0, 1.0), (3, 5.0, 0.0, 2.0, 1.0)]
+    planted = sum((x + y) % 5 > 0 for x in range(0, 60, 7) for y in range(0, 60, 11))
+    got = {r["id"]: r for r in boards.ransac_homographies(spark.createDataFrame(rows, "id long, sx double, sy double, tx double, ty double")).collect()}
+    assert [got[g]["inliers"] for g in (1, 2)] == [planted, planted]
+    assert all(abs(a - b) < 1e-3 for a, b in zip(got[1]["h"], [1.1, 0.2, 5, -0.1, 0.9, 7, 0, 0, 1]))
+    assert got[3]["h"] is None and got[3]["inliers"] == 0
+
+
+def test_distinct_boxes_ignore_labels(spark):
+    rows = [("a", 0, 1, "cpu", 0.9, 0.0, 0.0, 10.0, 10.0), ("a", 0, 2, "fan", 0.8, 0.0, 0.0, 10.0, 9.0), ("a", 0, 3, "fan", 0.7, 50.0, 50.0, 60.0, 60.0), ("a", 1, 4, "fan", 0.7, 0.0, 0.0, 10.0, 10.0)]
+    d = spark.createDataFrame(rows, "item_id string, image_index int, pos long, label string, score double, x1 double, y1 double, x2 double, y2 double")
+    assert sorted(r["pos"] for r in boards.distinct_boxes(d).collect()) == [1, 3, 4]
+    assert sorted(r["pos"] for r in boards.distinct_boxes(d, most=1).collect()) == [1, 4]
