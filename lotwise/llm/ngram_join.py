@@ -13,7 +13,7 @@ How it runs on Spark:
 4. Short lists are dealt out by shingle. First, each list pairs its members with the member before and with the
    first one (linear in the list, however long); pairs are verified by binary probes and joined into components. Then each
    list pairs only members of different components; every class's lists are merged with a heap, and classes
-   that occur in at least T - L short lists are probed in the long lists. A group of g near copies thus
+   that occur in at least T - L short lists (L long lists: the greater number of the two) are probed in the long lists. A group of g near copies thus
    costs O(g), and no link between different components is lost: the components are exact.
 
 Hashes have 64 bits. Documents with null or empty text have no shingles and link with nothing.
@@ -262,7 +262,7 @@ def _postings(percent: int):
 
 
 def _merge(percent: int):
-    """T-occurrence: merges a class's short lists with a heap; keeps what occurs in at least T - L of them."""
+    """T-occurrence: merges a class's short lists with a heap; keeps what occurs in at least T - L of them, L the greater number of long lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, size, lists = None, 0, []
@@ -274,7 +274,8 @@ def _merge(percent: int):
                 if (b, m) != last:
                     last, times = (b, m), 0
                 times += 1
-                lists_probed = min(long, -(-percent * m // 100) - 1)
+                # both follow one order, so what they share outside both prefixes is in the one's long lists or in the other's
+                lists_probed = max(long, -(-percent * m // 100) - 1)
                 if times == max(1, -(-percent * (size + m) // (100 + percent)) - lists_probed):
                     out.append((now, b))
             return out

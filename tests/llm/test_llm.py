@@ -94,6 +94,36 @@ def test_ngram_join_families(spark):
     assert {g["doc_id"]: (g["n_shingles"], g["component_id"]) for g in got} == linked(texts)
 
 
+def test_ngram_join_common_shingles(spark):
+    """Words in 1-grams: longer and shorter copies whose shared words are all in many other classes too."""
+    r = random.Random(3)
+    texts = []
+    for f in range(12):
+        base = [f"f{f}w{i}" for i in range(76)]
+        sets = [base, base + [f"f{f}own{i}" for i in range(15)], r.sample(base, 60)]
+        sets += [r.sample(base, 50) for _ in range(24)]
+        texts += [" ".join(x) for x in sets]
+    sets = [set(t.split()) for t in texts]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(table(spark, list(enumerate(texts))), width=1).collect()}
+    lost = [(a, b) for a, b in sorted(want) if got[a] != got[b]]
+    assert not lost
+    assert len(set(got.values())) == len(texts) - len(spanning(len(texts), want))
+
+
+def spanning(n, edges):
+    parent, used = list(range(n)), []
+    for a, b in sorted(edges):
+        while parent[a] != a:
+            a = parent[a]
+        while parent[b] != b:
+            b = parent[b]
+        if a != b:
+            parent[b] = a
+            used.append((a, b))
+    return used
+
+
 def test_decontamination(spark, mixed, empty):
     item_words = pairs(mixed)[5][1].split()
     items = [(1, " ".join(item_words[20:45]).upper() if item_words[20:45] else ""), (2, None), (3, ""), (4, "one, TWO"), (5, prose(77, 30)), (6, " ".join(item_words[30:42]))]
