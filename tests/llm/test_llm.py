@@ -154,6 +154,17 @@ def test_passages(spark, mixed, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passage_near_a_shared_line(spark):
+    """A verbatim passage stays, though other words and a shared line after it make its chain unlike."""
+    passage, line, texts = prose(21, 60), prose(22, 24), []
+    for k in (0, 1):
+        texts.append((k, " ".join([prose(30 + k, 40), passage, prose(40 + k, 40), line, prose(50 + k, 40)])))
+    got = {r["doc_id"]: r for r in substring_dedup.repeated_passages(table(spark, texts)).collect()}
+    assert set(got) == {0, 1}
+    for r in got.values():
+        assert [tuple(x) for x in r["passages"]] == [(40, 100)] and r["partners"] == [1 - r["doc_id"]]
+
+
 def test_chains_are_collinear():
     place, other = np.array([0, 9, 18, 30, 40]), np.array([100, 109, 5, 130, 140])
     chains = substring_dedup.chain(place, other, 20)
