@@ -165,6 +165,20 @@ def test_passage_near_a_shared_line(spark):
         assert [tuple(x) for x in r["passages"]] == [(40, 100)] and r["partners"] == [1 - r["doc_id"]]
 
 
+def test_all_partners_are_kept(spark):
+    """Links between near copies that have exact copies, and of many texts that begin with one passage."""
+    start, near = prose(60, 80), prose(61, 120)
+    changed = near.split()
+    changed[-1] = "changed"
+    texts = [(k, start + " " + prose(70 + k, 30)) for k in range(6)] + [(k, near) for k in (10, 11)] + [(k, " ".join(changed)) for k in (20, 21)]
+    got = {r["doc_id"]: set(r["partners"]) for r in substring_dedup.repeated_passages(table(spark, texts)).collect()}
+    assert {10, 11, 20, 21} <= set(got) and all(20 in got[k] for k in (10, 11)) and all(10 in got[k] for k in (20, 21))
+    reached = {0}
+    for _ in range(6):
+        reached |= {y for x in reached for y in got[x]}
+    assert reached == set(range(6)) and max(len(got[k]) for k in range(6)) == 5
+
+
 def test_chains_are_collinear():
     place, other = np.array([0, 9, 18, 30, 40]), np.array([100, 109, 5, 130, 140])
     chains = substring_dedup.chain(place, other, 20)
