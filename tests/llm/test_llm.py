@@ -179,6 +179,15 @@ def test_all_partners_are_kept(spark):
     assert reached == set(range(6)) and max(len(got[k]) for k in range(6)) == 5
 
 
+@pytest.mark.parametrize("turn", [0, 1])
+def test_passage_that_stands_twice(spark, turn):
+    passage = prose(80 + turn, 60)
+    texts = [(0, " ".join([prose(90, 30), passage, prose(91, 50), passage, prose(92, 30)])), (1, " ".join([prose(93, 35), passage, prose(94, 35)]))]
+    texts += [(2, "b " * 400), (3, "b " * 900)]
+    got = {r["doc_id"]: [tuple(x) for x in r["passages"]] for r in substring_dedup.repeated_passages(table(spark, texts)).collect()}
+    assert got == {0: [(30, 90), (140, 200)], 1: [(35, 95)], 2: [(0, 400)], 3: [(0, 900)]}
+
+
 def test_chains_are_collinear():
     place, other = np.array([0, 9, 18, 30, 40]), np.array([100, 109, 5, 130, 140])
     chains = substring_dedup.chain(place, other, 20)
