@@ -45,6 +45,41 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text that one partition of a word-level shuffle stands for, about.
+PART_BYTES = 16 << 20
+
+
+def parts_for(docs: DataFrame, text: str = "text") -> int:
+    """Partitions for a shuffle of what is derived from the texts: as many as the session sets, more if the texts are large."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(n_partitions(docs.sparkSession), -(-total // PART_BYTES))
+
+
+#: A lookup table of up to this many rows is broadcast whole.
+BROADCAST_ROWS = 50_000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+    """rows left-joined with table, whose `key` is unique and whose `count` tells how many of rows hold it, at most; `count` itself is left out.
+
+    A table of at most BROADCAST_ROWS rows is broadcast. Of a larger one only hot keys are: those that more than a
+    thousandth of all rows hold, of which there can't be more than a thousand. Rows of the other keys are shuffled; rows of hot keys and of none
+    are dealt out by a hash of `spread`.
+    """
+    values = [c for c in table.columns if c not in (key, count)]
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table.drop(count)), key, "left")
+    total = table.agg(F.sum(count)).first()[0] or 0
+    kept = F.struct(*values)
+    hot = table.where(F.col(count) * 1000 > total).select(key, kept.alias("_hot"))
+    cold = table.where(F.col(count) * 1000 <= total).select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_deal"), kept.alias("_cold"))
+    there = rows.join(F.broadcast(hot), key, "left")
+    done = F.col("_hot").isNotNull() | F.col(key).isNull()
+    there = there.withColumn("_deal", F.when(done, F.xxhash64(spread).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long")))
+    out = there.join(cold, (there[key] == cold["_key"]) & (there["_deal"] == cold["_deal"]), "left").withColumn("_kept", F.coalesce("_hot", "_cold"))
+    return out.select(*rows.columns, *(F.col("_kept")[c].alias(c) for c in values))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64's), so that sums of products become evenly spread."""
     x = x + _GOLD
