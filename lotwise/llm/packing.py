@@ -1,6 +1,6 @@
 """Best-fit packing: documents into sequences of several permitted lengths, with as little padding as possible.
 
-Pieces are dealt into groups of bounded total length by a hash of the document; each group is packed by one
+Pieces are dealt into groups of bounded total length by a hash of the row; each group is packed by one
 best-fit-decreasing run, so no group grows with the corpus. Texts stay where they are: only ids and lengths move.
 """
 
@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ GROUP_BINS = 256
 def best_fit(lengths: list[int], capacities: tuple[int, ...], overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
     """(bin, offset in it) of each length, which come longest first, and each bin's capacity.
 
-    A piece goes where it leaves the least room. If it fits nowhere, the bin size opened is the one of least cost for
-    each unit that it can hold of what is still to be placed. In the end each bin is made as small as its contents allow.
+    A piece goes where it leaves the least room, of equal rooms to the bin opened first. If it fits nowhere, the bin size opened is the one of least
+    cost for each unit that it can hold of what is still to be placed. In the end each bin is made as small as its contents allow.
     """
     room: list[tuple[int, int]] = []  # (free, bin), sorted
     bins, offsets, used = [], [], []
@@ -52,32 +54,36 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, .
     length is that of a text in units of the model, by default its UTF-8 bytes and one for its end. A text longer than the largest
     capacity is cut into pieces that fill sequences of their own, its last piece apart; nothing is left out. bin_id is unique and numbers no empty bin. Rows
     of length 0 or null (possible with a length of one's own) get a row without a bin. Repeated rows are packed
-    each; ties are broken by doc_id and piece. Null ids are packed too. Other columns are left aside.
+    each, and dealt to groups like any other rows; ties are broken by doc_id, piece and row. Null ids are packed too, and an id of any type comes back as it is.
+    Other columns are left aside; an empty table gives an empty one.
     """
     capacities = tuple(sorted(set(capacities)))
     if not capacities or capacities[0] <= 0:
         raise ValueError("capacities must be positive")
     top = capacities[-1]
     length = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))) + 1 if length is None else length
-    sizes = C.as_table(docs.select("doc_id", F.coalesce(length.cast("long"), F.lit(0)).alias("size"), F.xxhash64("doc_id", "text").alias("deal")), "packing-lengths")
+    # the row's number is settled in the written table; it deals out rows that are alike in all else
+    sizes = C.as_table(docs.select("doc_id", F.coalesce(length.cast("long"), F.lit(0)).alias("size"), F.monotonically_increasing_id().alias("row")), "packing-lengths")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     groups = max(1, -(-total // (top * group_bins)))
     last = F.greatest(F.ceil(F.col("size") / top) - 1, F.lit(0)).cast("int")
-    pieces = sizes.select("doc_id", "size", F.explode(F.sequence(F.lit(0), last)).alias("piece"), "deal")
+    pieces = sizes.select("doc_id", "size", F.explode(F.sequence(F.lit(0), last)).alias("piece"), "row")
     start = F.col("piece").cast("long") * top
-    pieces = pieces.select("doc_id", "piece", start.alias("start"), F.least(F.col("size") - start, F.lit(top)).alias("length"), F.pmod(F.xxhash64("deal", "piece"), F.lit(groups)).alias("group"))
+    pieces = pieces.select("doc_id", "piece", start.alias("start"), F.least(F.col("size") - start, F.lit(top)).alias("length"), "row", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(groups)).alias("group"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        full = pdf[pdf["length"] > 0]
-        bins, offsets, sizes = best_fit(full["length"].tolist(), capacities, overhead)
-        out = full.assign(bin=bins, bin_offset=offsets)
-        out["bin_id"] = out["group"] * (1 << 24) + out["bin"]
-        out["bin_capacity"] = [sizes[b] for b in bins]
-        out["bin_used"] = out.groupby("bin")["length"].transform("sum")
-        rest = pdf[pdf["length"] <= 0].assign(bin_id=None, bin_capacity=None, bin_offset=None, bin_used=None)
-        columns = ["doc_id", "piece", "start", "length", "bin_id", "bin_capacity", "bin_offset", "bin_used"]
-        return pd.concat([out[columns].astype(object), rest[columns].astype(object)]) if len(rest) else out[columns]
+    def run(group: pa.Table) -> pa.Table:
+        order = pc.sort_indices(group, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
+        group = group.take(order)
+        lengths = group.column("length").to_pylist()
+        full = sum(n > 0 for n in lengths)
+        bins, offsets, sizes = best_fit(lengths[:full], capacities, overhead)
+        bins = np.array(bins, np.int64)
+        used = np.bincount(bins, lengths[:full], len(sizes)).astype(np.int64) if full else np.zeros(0, np.int64)
+        none = pa.nulls(len(lengths) - full, pa.int64())
+        own = lambda x: pa.concat_arrays([pa.array(x, pa.int64()), none])
+        first = group.column("group")[0].as_py() << 24
+        columns = [own(first + bins), own(np.array(sizes, np.int64)[bins]), own(offsets), own(used[bins])]
+        return pa.table([*(group.column(c) for c in ("doc_id", "piece", "start", "length")), *columns], ["doc_id", "piece", "start", "length", "bin_id", "bin_capacity", "bin_offset", "bin_used"])
 
-    return pieces.groupBy("group").applyInPandas(run, f"doc_id {kind}, piece int, start long, length long, bin_id long, bin_capacity long, bin_offset long, bin_used long")
+    return pieces.groupBy("group").applyInArrow(run, f"doc_id {kind}, piece int, start long, length long, bin_id long, bin_capacity long, bin_offset long, bin_used long")
