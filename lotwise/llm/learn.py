@@ -16,12 +16,15 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, text, label) of at most `rows` labelled documents that aren't held out; a document labelled twice counts as 1 if any label is."""
+    """(doc_id, text, label) of at most `rows` labelled documents that aren't held out, one row for each doc_id.
+
+    A document labelled twice counts as 1 if any label is; of a doc_id with several texts the least text is taken.
+    """
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # bounded by `rows` rows of two numbers
-    return texts.join(F.broadcast(chosen), "doc_id")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

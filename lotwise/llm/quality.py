@@ -159,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
             x = statistics(*C.utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    found = learn.training_rows(docs, labels, label, rows).mapInArrow(run, "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    sample = learn.training_rows(docs, labels, label, rows)
+    found = sample.mapInArrow(run, f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(found["x"].tolist(), float).reshape(len(found), len(FEATURES))
     return fit_trees(x, found["label"].to_numpy(float))
 
@@ -168,7 +169,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text); labels (doc_id, quality) of held-out rows aren't used.
 
     Null texts count as empty and get the score of an empty document; null ids and repeated rows stay; other columns are left aside. Without
-    labels every score is 0.5. Whole texts are read.
+    labels every score is 0.5. Whole texts are read; doc_id may be of any type that labels share; equal texts have equal scores.
     """
     trees = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
