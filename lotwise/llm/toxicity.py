@@ -6,7 +6,8 @@ one edit of it and are passed over in numpy; for the others, the automaton of th
 hit is scored by its context window; the window scores of a document and their density are the inputs of a small logistic
 model. The lexicon is a list of everyday terms and, as abuse differs by language and community, terms learned from labelled rows:
 words of toxic documents that hardly any clean one has and that stand after many different words (which what is copied along does not).
-Lexicon and model are fitted on a bounded sample of labelled rows, on different parts of it where there are enough.
+Lexicon and model are fitted on a bounded sample of labelled rows. Terms learned from a document would flatter its own hits, so the model's inputs come from
+two halves of the sample, each read with the terms that the other half teaches; the lexicon used in the end is learned from both.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +103,7 @@ class Finder:
                 raw, reach = form.encode(), 0 if exact else edits
                 at = len(form[:cut].encode())
                 for back, half in ((False, raw[:at][:8]), (True, raw[at:][-8:])):
-                    for n in range(max(1, len(raw) - reach), len(raw) + reach + 1) if half else ():
+                    for n in range(max(1, len(form) - reach), len(form) + reach + 1) if half else ():
                         table = self.halves.setdefault((back, len(half)), np.zeros(1 << 16, bool))
                         table[self._place(np.array([int.from_bytes(half, "little")], np.uint64), np.array([n]))] = True
         self.every = edits > 1
@@ -115,7 +117,9 @@ class Finder:
         """Words that may be near a term: one edit leaves the front or the back half of the term as it is."""
         if self.every:
             return np.arange(len(starts))
-        length = ends - starts
+        # in characters: bytes that don't continue one
+        begun = np.r_[0, np.cumsum((low & 0xC0) != 0x80)]
+        length = begun[ends] - begun[starts]
         padded = np.zeros(len(low) + 8, np.uint8)
         padded[:-8] = low
         eight = np.ndarray((len(low) + 1,), "<u8", padded, strides=(1,))
@@ -139,6 +143,7 @@ class Finder:
         return out
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """FEATURES of each text; texts come folded."""
         out = [np.zeros((0, len(FEATURES)))]
         for i, j in C.steps(offsets):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -153,8 +158,9 @@ class Finder:
             hit = found[place] >= 0
             where, what = could[hit], found[place][hit]
             doc = np.searchsorted(first, where, "right") - 1
-            for d in np.unique(doc):
-                mine = doc == d
+            own = np.searchsorted(doc, np.arange(j - i + 1))
+            for d in np.flatnonzero(np.diff(own)):
+                mine = slice(own[d], own[d + 1])
                 rows[d] = self._document(low, at[d], at[d + 1], starts, ends, first[d], first[d + 1], where[mine], what[mine])
             rows[:, 4] /= np.maximum(n, 20)
             out.append(rows)
@@ -204,14 +210,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
 _WORDS = re.compile(r"[^\W\d_]{4,40}")
 
 
+def folded(column: pa.Array) -> pa.Array:
+    """Texts in lower case: the one folding of texts and of learned terms."""
+    return pc.utf8_lower(column)
+
+
 def learned_terms(sample: DataFrame) -> list[str]:
     """Terms from labelled rows (text, label): bounded lists, counted as grouped aggregations."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word, left = [], []
-            for text in batch.column(0).to_pylist():
-                words = _WORDS.findall((text or "").lower())
+            for text in folded(batch.column(0)).to_pylist():
+                words = _WORDS.findall(text)
                 own = {*zip(words[1:], words[:-1], strict=True)}
                 word += [x for x, _ in own]
                 left += [x for _, x in own]
@@ -225,7 +236,7 @@ def learned_terms(sample: DataFrame) -> list[str]:
 
     def has(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(w, y) for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in wanted.intersection(_WORDS.findall((text or "").lower()))]
+            rows = [(w, y) for text, y in zip(folded(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), strict=True) for w in wanted.intersection(_WORDS.findall(text))]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.int32())], ["word", "label"])
 
     counts = sample.select("text", "label").mapInArrow(has, "word string, label int").groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
@@ -236,19 +247,22 @@ def learned_terms(sample: DataFrame) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, terms: tuple[str, ...] = LEXICON, rows: int = SAMPLE_ROWS) -> tuple[tuple[str, ...], np.ndarray, np.ndarray]:
     """(lexicon, scales, weights) from at most `rows` labelled rows that aren't held out. Without both labels, fixed weights: hits outside quotation count."""
     sample = C.as_table(learn.training_rows(docs, labels, "toxic", rows), "toxicity-sample")
-    apart = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) >= 7
-    n = sample.where(apart & (F.col("label") == 1)).count()
-    enough = n >= 40
-    terms = tuple(dict.fromkeys([*terms, *learned_terms(sample.where(~apart) if enough else sample)]))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")
+    lexicon = lambda part: tuple(dict.fromkeys([*terms, *learned_terms(part)]))
+    by_half = [lexicon(sample.where(half != k)) for k in (0, 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(terms)
+        finders = [Finder(x) for x in by_half]
         for batch in batches:
-            x = finder.features(*C.utf8(batch.column(1)))
+            side = np.asarray(batch.column(3))
+            x = np.zeros((len(side), len(FEATURES)))
+            for k, finder in enumerate(finders):
+                x[side == k] = finder.features(*C.utf8(folded(batch.column(1).filter(pa.array(side == k)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    chosen = (sample.where(apart) if enough else sample).select("doc_id", "text", "label")
-    found = chosen.mapInArrow(run, "doc_id long, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    found = sample.select("doc_id", "text", "label", half.alias("half")).mapInArrow(run, f"doc_id {kind}, label int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    terms = lexicon(sample)
     x, y = np.array(found["x"].tolist(), float).reshape(len(found), len(FEATURES)), found["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return terms, np.ones(len(FEATURES)), np.array([2.0, -0.5, 0.5, 0, 0, 0, 1.0, 0, 0, 0.5, -3.0])
@@ -258,7 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, terms: tuple[str, ...] = LEXICON, ro
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, terms: tuple[str, ...] = LEXICON) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text); labels (doc_id, toxic) of held-out rows aren't used.
 
-    Null and empty texts have no hits; null ids and repeated rows stay; other columns are left aside. Whole texts are read.
+    Null and empty texts have no hits; null ids and repeated rows stay; other columns are left aside. Whole texts are read, in lower case; equal texts have
+    equal scores. Of terms equally near a word the first counts. doc_id may be of any type that labels share; an empty table gives an empty one.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, terms))
 
@@ -266,7 +281,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, t
         lexicon, scale, w = model.value
         finder = Finder(lexicon)
         for batch in batches:
-            x = finder.features(*C.utf8(batch.column(1)))
+            x = finder.features(*C.utf8(folded(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(learn.sigmoid(x / scale @ w[:-1] + w[-1]))], ["doc_id", "held_out", "score"])
 
     rows = docs.select("doc_id", F.col("text").cast("string"), learn.held_out().alias("held_out"))
