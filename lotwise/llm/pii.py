@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .learn import sigmoid
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the network is trained on at most: those of least hash of doc_id that have a span.
-SAMPLE_ROWS = 400
+#: Documents that the network is trained on at most (those of least hash of doc_id that may have a span), and spans of theirs (of least hash too).
+SAMPLE_ROWS, SAMPLE_SPANS = 400, 4000
 #: Characters of a window, and from one window's start to the next one's.
 WINDOW, STRIDE = 64, 32
 HIDDEN, STEPS, BATCH, SEED = 12, 160, 48, 11
@@ -85,13 +85,13 @@ for _k, _c in enumerate("atdoATDO", 16):
 CLASSES = 20
 #: Labels: 0 outside, then begin and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
-_TRIGGER = re.compile(r"[0-9@]|\b(?:at|dot)\b|[\[(](?:at|dot)[\])]")
+_TRIGGER = re.compile(r"[0-9@]|\b(?i:at|dot)\b|[\[(](?i:at|dot)[\])]")
 #: A window speaks the louder, the more it sees to both sides.
 _WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
 #: What a span of the network must look like.
 _SHAPE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+(?:@| ?[\[(](?:at|AT)[\])] ?| at )[A-Za-z0-9-]+(?:(?:\.| ?[\[(](?:dot|DOT)[\])] ?| dot )[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"(?:[0-9]{1,3}(?:\.| ?\[dot\] ?| dot )){3}[0-9]{1,3}"),
+    "email": re.compile(r"[A-Za-z0-9._%+-]+(?:@| ?[\[(](?i:at)[\])] ?| (?i:at) )[A-Za-z0-9-]+(?:(?:\.| ?[\[(](?i:dot)[\])] ?| (?i:dot) )[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"(?:[0-9]{1,3}(?:\.| ?[\[(](?i:dot)[\])] ?| (?i:dot) )){3}[0-9]{1,3}"),
     "card": re.compile(r"[0-9](?:[ .\-/]{0,2}[0-9]){11,18}"),
     "phone": re.compile(r"(?:\+|00)?[0-9(](?:[ ().\-/]{0,2}[0-9]){8,14}"),
 }
@@ -207,7 +207,12 @@ class Tagger:
 
 
 def _variants(text: str, kind: str, rng: np.random.Generator) -> str:
-    """The span as it is, or as people spell it to hide it."""
+    """The span as it is, or as people spell it to hide it, now and then in upper case."""
+    out = _respelled(text, kind, rng)
+    return out.upper() if rng.random() < 0.2 else out
+
+
+def _respelled(text: str, kind: str, rng: np.random.Generator) -> str:
     way = rng.integers(4)
     if kind == "email":
         at, dot = [("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)")][way]
@@ -358,25 +363,32 @@ def _apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Tagger:
-    """A tagger trained on the surroundings of base spans in at most `rows` documents; only those surroundings come to the driver."""
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, spans: int = SAMPLE_SPANS) -> Tagger:
+    """A tagger trained on the surroundings of at most `spans` base spans in at most `rows` documents; only those surroundings come to the driver.
+
+    A span longer than a window can't be shown whole and is left aside. Rows that repeat a doc_id count once, with their least text.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order, parts = [], []
-            for text, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for s, e, kind in base_spans(text)[:4]:
-                    order.append(h)
-                    parts.append({"a": text[max(0, s - WINDOW) : s], "b": text[s:e][:WINDOW], "c": text[e : e + WINDOW], "d": kind})
+            order, at, parts = [], [], []
+            for text, h in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
+                for s, e, kind in base_spans(text):
+                    if e - s <= WINDOW:
+                        order.append(h)
+                        at.append(s)
+                        parts.append({"a": text[max(0, s - WINDOW) : s], "b": text[s:e], "c": text[e : e + WINDOW], "d": kind})
             kind = pa.struct([(x, pa.string()) for x in "abcd"])
-            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(parts, kind)], ["h", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(at, pa.int32()), pa.array(parts, kind)], ["h", "at", "s"])
 
-    marked = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9]{3}|@")).select("text", F.xxhash64("doc_id").alias("h"))
+    marked = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9]{3}|@")).select(F.xxhash64("doc_id").alias("h"), "text")
     # first the bound on the hash, from numbers alone; then the texts under it, which stay in their tasks
     bound = marked.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if bound is None:
         return train([])
-    found = marked.where(F.col("h") <= bound).mapInArrow(run, "h long, s struct<a: string, b: string, c: string, d: string>").collect()
-    found.sort(key=lambda r: (r["h"], tuple(r["s"])))
+    chosen = marked.where(F.col("h") <= bound).groupBy("h").agg(F.min("text").alias("text"))
+    found = chosen.mapInArrow(run, "h long, at int, s struct<a: string, b: string, c: string, d: string>").orderBy(F.xxhash64("h", "at"), "h", "at", "s").limit(spans).collect()
+    found.sort(key=lambda r: (r["h"], r["at"], tuple(r["s"])))
     return train([tuple(r["s"]) for r in found])
 
 
