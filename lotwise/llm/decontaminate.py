@@ -4,6 +4,7 @@ A run of `width` words has `width - gram + 1` k-grams; its least hash is its fin
 has the same one (winnowing's guarantee). The items' fingerprints go into a bit table of fixed size, which is broadcast;
 documents' windows whose fingerprint is in it are extended to the hash of the whole window and joined with the items' windows.
 The join decides; the bit table only spares the shuffle. Items of fewer than `width` words are one window of their own length.
+Windows that stand in very many places are dealt to many tasks by the row that they stand in.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from . import common as C
 NO_WORD = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 #: log2 of the bits in the table of fingerprints: 8 MB, whatever the size of the benchmark.
 BITS = 26
-#: Rows of a window are dealt to this many tasks, so that a passage in many documents isn't one task's.
-SALTS = 32
+#: A window with over a SALTS-th of all places (of which there are fewer than SALTS) is dealt to SALTS tasks.
+SALTS = 256
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, width: int, gram: int, table: np.ndarray | None, lengths: list[int], whole_if_short: bool):
@@ -81,8 +82,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, gram:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, text_key) for each row of docs (doc_id, text), against benchmark (item_id, text).
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A document's word is hit if it lies in
-    an occurrence of any item's window. Null and empty texts have no words, items without words no window. Rows that repeat the same
-    doc_id and text are one row; null ids are kept. Other columns are left aside. text_key is xxhash64 of the text.
+    an occurrence of any item's window. Null and empty texts have no words, items without words no window. Repeated rows and
+    null ids are kept, each row by itself. Items of equal id are one item. Other columns are left aside. text_key is xxhash64 of the text.
     """
     if not 0 < gram <= width:
         raise ValueError("gram must be between 1 and width")
@@ -109,24 +110,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, gram:
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string")
     found = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, f"doc_id {kind}, text_key long, n_words long, windows array<struct<start: int, len: int, one: long, two: long>>")
-    salt = F.pmod(F.col("text_key"), F.lit(SALTS)).cast("int")
-    # documents without windows get a key of their own, so that they don't meet in one task
-    probes = found.select("doc_id", "text_key", "n_words", F.explode_outer("windows").alias("w")).select("doc_id", "text_key", "n_words", "w.start", F.coalesce("w.len", F.lit(0)).alias("len"), F.coalesce("w.one", "text_key").alias("one"), F.coalesce("w.two", F.xxhash64("doc_id")).alias("two"), salt.alias("salt"))
-    windows = items.select("item_id", "len", "one", "two").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = probes.join(windows, ["len", "one", "two", "salt"], "left")
-    out = joined.groupBy("doc_id", "text_key").agg(
-        F.max("n_words").alias("n_words"),
-        F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct("start", "len"))).alias("at"),
+    # the row's number is settled in the written table
+    found = C.as_table(found.withColumn("row", F.monotonically_increasing_id()), "document-windows")
+    key = ["len", "one", "two"]
+    probes = found.where(F.size("windows") > 0).select("row", F.explode("windows").alias("w")).select("row", "w.*")
+    counts = probes.groupBy(*key).agg(F.count("*").alias("n"))
+    total = found.agg(F.sum(F.size("windows"))).first()[0] or 0
+    # by arithmetic fewer than SALTS rows
+    hot = F.broadcast(counts.where(F.col("n") * SALTS > F.lit(total)).select(*key, F.lit(SALTS).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    probes = probes.join(hot, key, "left").select("row", "start", *key, F.pmod(F.xxhash64("row"), salts).cast("int").alias("salt"))
+    windows = items.select("item_id", *key).distinct().join(hot, key, "left").select("item_id", *key, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    hits = probes.join(windows, [*key, "salt"]).groupBy("row").agg(
+        F.collect_set(F.struct("start", "len")).alias("at"),
         F.collect_set(F.col("item_id").cast("string")).alias("items"),
     )
     hit = F.size(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))).cast("long")
+    hits = hits.select("row", hit.alias("n_hit"), "items")
+    # rows without windows don't move
+    clean = found.where(F.size("windows") == 0).select("doc_id", "text_key", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    out = found.where(F.size("windows") > 0).select("doc_id", "text_key", "n_words", "row").join(hits, "row", "left")
+    out = out.select("doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).union(clean)
     return out.select(
         "doc_id",
         "n_words",
-        hit.alias("n_hit"),
+        "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
-        (hit > 0).alias("contaminated"),
+        (F.col("n_hit") > 0).alias("contaminated"),
         "text_key",
     )
 
