@@ -11,23 +11,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 #: Buckets of byte trigrams.
 GRAMS = 1 << 16
-#: Rows of the sample that the trigram profiles are fitted on: those of least hash of doc_id.
-SAMPLE_ROWS = 6000
-#: A language is known if the sample has this many rows that declare it.
+#: Rows that the trigram profile of a language is fitted on at most (those of least hash of doc_id that declare it), and languages that are fitted, the most declared.
+SAMPLE_ROWS, LANGUAGES = 1500, 256
+#: A language is known if this many rows declare it.
 LEAST_ROWS = 5
 #: The text counts as this many independent trigrams at most; neighbours tell much the same.
 EVIDENCE = 200
 #: Weight of the parent's distribution in a host's and a suffix's prior, in rows.
 STRENGTH = 20.0
-#: Up to this many hosts the priors are broadcast (under 10 MB), beyond it they are joined by shuffle.
-BROADCAST_HOSTS = 50_000
 #: Country suffixes that speak for a language.
 SUFFIX_LANGUAGE = {"at": "de", "de": "de", "es": "es", "fr": "fr", "it": "it", "mx": "es", "nl": "nl", "pt": "pt", "uk": "en", "us": "en"}
 
@@ -80,13 +78,23 @@ class Profiles:
         return total * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None], n
 
 
-def fit(docs: DataFrame, text: str = "text", declared: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Profiles:
-    """Profiles from a bounded sample of rows and the languages they declare; only fixed-size counts come to the driver."""
+def fit(docs: DataFrame, text: str = "text", declared: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, most: int = LANGUAGES) -> Profiles:
+    """Profiles of the `most` languages declared most, each from a sample of at most `rows` rows; only fixed-size counts come to the driver.
+
+    A null key or declaration isn't sampled; rows that repeat a key and a declaration count once, with their least text.
+    """
+    declares = F.col(declared).cast("string").alias("_language")
     ids = docs.where(F.col(key).isNotNull() & F.col(declared).isNotNull())
-    order = F.xxhash64(key)
-    bound = ids.select(order.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if bound is None:
+    often = ids.groupBy(declares).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "_language").limit(most)
+    names = [r["_language"] for r in often.collect()]
+    if not names:
         return Profiles([], np.zeros((0, GRAMS), np.float32))
+    # the bound on each language's hashes first, from numbers alone (each task ranks its own rows before they meet); then the texts under it
+    hashes = ids.select(declares, F.xxhash64(key).alias("h")).where(F.col("_language").isin(names))
+    rank = F.row_number().over(Window.partitionBy("_language").orderBy("h"))
+    bounds = F.broadcast(hashes.withColumn("_rank", rank).where(F.col("_rank") <= rows).groupBy("_language").agg(F.max("h").alias("bound")))
+    under = ids.select(declares, F.xxhash64(key).alias("h"), F.col(text).cast("string").alias("text")).join(bounds, "_language").where("h <= bound")
+    sample = C.as_table(under.groupBy("_language", "h").agg(F.min("text").alias("text")).select("_language", "text"), "language-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -103,13 +111,12 @@ def fit(docs: DataFrame, text: str = "text", declared: str = "lang", key: str =
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array([*counts]), pa.array([seen[x] for x in counts], pa.int64()), pa.array([x.astype(np.int64).tobytes() for x in counts.values()], pa.binary())], ["language", "n", "counts"])
 
-    sample = ids.where(order <= bound).select(F.col(declared).cast("string"), F.col(text).cast("string")).coalesce(8)
     counts: dict[str, np.ndarray] = {}
     seen: dict[str, int] = {}
     for name, n, part in sample.mapInArrow(run, "language string, n long, counts binary").collect():
         counts[name] = counts.get(name, 0) + np.frombuffer(part, np.int64)
         seen[name] = seen.get(name, 0) + n
-    known = sorted(x for x in counts if seen[x] >= LEAST_ROWS)
+    known = sorted(counts)
     table = np.array([np.log((counts[x] + 0.1) / (counts[x].sum() + 0.1 * GRAMS)) for x in known], np.float32).reshape(len(known), GRAMS)
     return Profiles(known, table)
 
@@ -140,12 +147,13 @@ def scored(docs: DataFrame, profiles: Profiles, text: str = "text", declared: st
     return chosen.mapInArrow(run, f"{ddl}, _ll array<double>, _n long, _top int").withColumn("_suffix", suffix_of(F.col("_host")))
 
 
-def evidence(rows: DataFrame, profiles: Profiles) -> tuple[DataFrame, dict]:
-    """(log priors of each host as an array, declarations' log likelihoods by language): grouped aggregations over all rows."""
+def evidence(rows: DataFrame, profiles: Profiles) -> tuple[DataFrame, DataFrame | None, dict]:
+    """(log priors of each host, log likelihoods of each declaration, both as arrays by language; what is the same for all rows): grouped aggregations over all rows."""
     spark, known = rows.sparkSession, profiles.languages
     if not known:
-        return spark.createDataFrame([], "_host string, _prior array<double>"), {"declared": {}, "default": [], "suffix": {}}
-    by_host = C.as_table(rows.where("_top >= 0").groupBy("_host", "_suffix").agg(*(F.count_if(F.col("_top") == k).cast("double").alias(f"c{k}") for k in range(len(known)))), "host-counts")
+        return spark.createDataFrame([], "_host string, _prior array<double>, _rows long"), None, {}
+    counted = [F.count_if(F.col("_top") == k).cast("double").alias(f"c{k}") for k in range(len(known))]
+    by_host = C.as_table(rows.groupBy("_host", "_suffix").agg(*counted, F.count("*").alias("_rows")), "host-counts")
     sums = [F.sum(f"c{k}").alias(f"c{k}") for k in range(len(known))]
     total = np.array([x or 0.0 for x in by_host.agg(*sums).first()])
     overall = (total + 1) / (total.sum() + len(known))
@@ -154,25 +162,25 @@ def evidence(rows: DataFrame, profiles: Profiles) -> tuple[DataFrame, dict]:
     base = F.array(*(F.lit(float(x)) for x in overall))
     by_suffix = by_host.groupBy("_suffix").agg(*sums).select("_suffix", smooth(counts(), base).alias("_parent"))
     joined = by_host.where("_host is not null").join(by_suffix, by_host["_suffix"].eqNullSafe(by_suffix["_suffix"]), "left").drop(by_suffix["_suffix"])
-    hosts = joined.select("_host", F.transform(smooth(counts(), F.coalesce("_parent", base)), lambda p: F.log(p)).alias("_prior"))
-    # declarations are few in kind; those beyond the commonest 200 tell nothing
-    pairs = rows.where("_top >= 0 and _declared is not null").groupBy("_declared").agg(*(F.count_if(F.col("_top") == k).alias(f"c{k}") for k in range(len(known))), F.count("*").alias("n")).orderBy(F.desc("n"), "_declared").limit(200).collect()
-    table = {r["_declared"]: np.array([r[f"c{k}"] for k in range(len(known))], float) for r in pairs}
-    all_of = sum(table.values(), np.zeros(len(known)))
-    likely = {d: np.log((c + 1) / (all_of + len(table) + 1)).tolist() for d, c in table.items()}
+    hosts = joined.select("_host", F.transform(smooth(counts(), F.coalesce("_parent", base)), lambda p: F.log(p)).alias("_prior"), "_rows")
+    by_declared = C.as_table(rows.where("_declared is not null").groupBy("_declared").agg(*counted, F.count("*").alias("_rows")), "declaration-counts")
+    n = by_declared.agg(*sums, F.count("*").alias("kinds")).first()
+    all_of = [(n[f"c{k}"] or 0.0) + n["kinds"] + 1 for k in range(len(known))]
+    likely = F.array(*(F.log((F.col(f"c{k}") + 1) / F.lit(all_of[k])) for k in range(len(known))))
+    declared = C.as_table(by_declared.select("_declared", likely.alias("_likely"), "_rows"), "declaration-likelihoods")
     suffix = {s: [0.0 if x == lang else -2.0 for x in known] for s, lang in SUFFIX_LANGUAGE.items() if lang in known}
-    return C.as_table(hosts, "host-priors"), {"declared": likely, "default": np.log(overall).tolist(), "suffix": suffix}
+    return C.as_table(hosts, "host-priors"), declared, {"default": np.log(overall).tolist(), "suffix": suffix}
 
 
-def _looked_up(key: str, table: dict[str, list[float]], size: int) -> Column:
+def _by_suffix(table: dict[str, list[float]], size: int) -> Column:
     none = F.array(*[F.lit(0.0)] * size)
     if not table:
         return none
     pairs = [x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
-    return F.coalesce(F.create_map(*pairs)[F.col(key)], none)
+    return F.coalesce(F.create_map(*pairs)[F.col("_suffix")], none)
 
 
-def fused(rows: DataFrame, profiles: Profiles, hosts: DataFrame, more: dict, least: float = 0.5) -> DataFrame:
+def fused(rows: DataFrame, profiles: Profiles, hosts: DataFrame, declared: DataFrame | None, more: dict, least: float = 0.5) -> DataFrame:
     """rows with language, confidence, text_language, accepted in place of the helper columns."""
     known = profiles.languages
     helpers = ["_declared", "_host", "_suffix", "_ll", "_n", "_top"]
@@ -180,12 +188,11 @@ def fused(rows: DataFrame, profiles: Profiles, hosts: DataFrame, more: dict, lea
     if not known:
         return rows.select(*rest, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("accepted"))
     names = F.array(*map(F.lit, known))
-    if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        hosts = F.broadcast(hosts)
-    joined = rows.join(hosts, "_host", "left")
+    joined = C.looked_up(rows, hosts, "_host", "_rows", "_ll")
+    joined = C.looked_up(joined, declared, "_declared", "_rows", "_ll")
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     prior = F.coalesce("_prior", F.array(*map(F.lit, more["default"])))
-    log_p = add(add(F.col("_ll"), prior), add(_looked_up("_declared", more["declared"], len(known)), _looked_up("_suffix", more["suffix"], len(known))))
+    log_p = add(add(F.col("_ll"), prior), add(F.coalesce("_likely", F.array(*[F.lit(0.0)] * len(known))), _by_suffix(more["suffix"], len(known))))
     joined = joined.withColumn("_lp", log_p).withColumn("_max", F.array_max("_lp"))
     joined = joined.withColumn("_sum", F.aggregate("_lp", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_max"))))
     confidence = F.when(F.col("_n") > 0, 1 / F.col("_sum")).otherwise(F.lit(0.0))
@@ -203,8 +210,7 @@ def language_id(docs: DataFrame, text: str = "text", declared: str = "lang", hos
     """
     profiles = fit(docs, text, declared)
     rows = C.as_table(scored(docs, profiles, text, declared, host, ["doc_id"]), "language-scores")
-    hosts, more = evidence(rows, profiles)
-    return fused(rows, profiles, hosts, more, least)
+    return fused(rows, profiles, *evidence(rows, profiles), least)
 
 
 def markup_language(html: Column) -> Column:
@@ -221,8 +227,11 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 
 def keep_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows of docs (doc_id, text, lang, source, ...) that language_id accepts, with all their columns; texts aren't shuffled."""
+    """Rows of docs (doc_id, text, lang, source, ...) that language_id accepts, with all their columns.
+
+    Rows move with their texts only if hosts or declarations are too many to broadcast (common.BROADCAST_ROWS).
+    """
     profiles = fit(docs)
-    hosts, more = evidence(scored(docs, profiles, keep=["doc_id"]), profiles)
-    out = fused(scored(docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns], F.col("lang"), F.col("source"), F.col("text")), profiles, keep=[f"d_{c}" for c in docs.columns]), profiles, hosts, more, least)
+    counts = evidence(scored(docs, profiles, keep=["doc_id"]), profiles)
+    out = fused(scored(docs.select(*[F.col(c).alias(f"d_{c}") for c in docs.columns], F.col("lang"), F.col("source"), F.col("text")), profiles, keep=[f"d_{c}" for c in docs.columns]), profiles, *counts, least)
     return out.where("accepted").select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
