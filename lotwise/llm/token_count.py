@@ -8,6 +8,7 @@ tasks through the public_tokenizers package; they aren't copied.
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 KEPT = 300_000
 #: Bytes of text whose pre-tokens are held at once, about.
 HELD = 1 << 20
+#: A pre-token of more bytes is merged by itself, with its pairs kept by rank.
+LONG = 512
 
 #: The pre-tokens of byte-level BPE; the same for ASCII texts, in a form that `re` matches fast.
 _ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -53,6 +56,65 @@ class RankMerger:
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Surviving symbols of each pre-token, none of which is empty."""
+        out = np.zeros(len(words), np.int64)
+        long = np.array([len(w) > LONG for w in words], bool)
+        for k in np.flatnonzero(long):
+            out[k] = self._long(words[k])
+        out[~long] = self._ragged([w for w, x in zip(words, long, strict=True) if not x])
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged symbol) of pairs of symbols; symbol -1 is none."""
+        pair = np.where((left < 0) | (right < 0), -1, left << 32 | right)
+        at = np.searchsorted(self.key, pair)
+        return np.where(self.key[at] == pair, self.rank[at], self.none), self.merged[at]
+
+    def _long(self, word: bytes) -> int:
+        """As _ragged, for one sequence: a round looks only at the places of its lowest rank, which are kept by rank, not at all pairs again."""
+        symbols = np.append(self.byte[np.frombuffer(word, np.uint8)], -1)
+        n = len(word)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        rank, merged = self._ranks(symbols[:-1], symbols[1:])
+        rank, merged = np.append(rank, self.none), np.append(merged, -1)
+        places: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def keep(at: np.ndarray) -> None:
+            at = at[rank[at] < self.none]
+            order = np.argsort(rank[at], kind="stable")
+            at = at[order]
+            for part in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1) if len(at) else ():
+                r = int(rank[part[0]])
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(waiting, r)
+                places[r].append(part)
+
+        keep(np.arange(n))
+        left = n
+        while waiting:
+            r = heapq.heappop(waiting)
+            hit = np.unique(np.concatenate(places.pop(r)))
+            hit = hit[rank[hit] == r]
+            if not len(hit):
+                continue
+            # of hits that overlap (a pair of equal symbols in a run), every other one counts, from the left
+            run = np.cumsum(np.r_[True, after[hit[:-1]] != hit[1:]])
+            within = np.arange(len(hit)) - np.searchsorted(run, run)
+            hit = hit[(within % 2 == 0) | (symbols[hit] != symbols[after[hit]])]
+            gone = after[hit]
+            symbols[hit] = merged[hit]
+            after[hit] = after[gone]
+            before[after[hit]] = hit
+            rank[gone] = self.none
+            left -= len(hit)
+            touched = np.unique(np.r_[hit, before[hit[before[hit] >= 0]]])
+            rank[touched], merged[touched] = self._ranks(symbols[touched], symbols[after[touched]])
+            keep(touched)
+        return left
+
+    def _ragged(self, words: list[bytes]) -> np.ndarray:
+        """All sequences at once: in each round every one applies its lowest-rank pair, until none has one."""
         lengths = np.array([len(w) for w in words], np.int64)
         symbols = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), lengths)
