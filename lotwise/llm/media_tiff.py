@@ -20,6 +20,8 @@ NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 ROW = 192
 #: Rows of a page, and of a strip.
 PAGE_ROWS, STRIP_ROWS = 4096, 128
+#: Side of a tile.
+TILE = 64
 
 
 def packbits_encode(raw: bytes) -> bytes:
@@ -69,24 +71,28 @@ def lzw_encode(raw: bytes) -> bytes:
             out.append(acc >> held & 255)
         acc &= (1 << held) - 1
 
-    table, following, width, word = {}, 258, 9, b""
+    # a word is known by its code; a longer one by its code and the byte that follows
+    table, following, width, word = {}, 258, 9, -1
     put(256, width)
     for x in raw:
-        longer = word + bytes([x])
-        if len(longer) == 1 or longer in table:
+        if word < 0:
+            word = x
+            continue
+        longer = table.get(word << 8 | x)
+        if longer is not None:
             word = longer
             continue
-        put(word[0] if len(word) == 1 else table[word], width)
-        table[longer] = following
+        put(word, width)
+        table[word << 8 | x] = following
         following += 1
-        word = longer[-1:]
+        word = x
         if following == 4095:
             put(256, width)
             table, following, width = {}, 258, 9
         elif following == 1 << width:
             width += 1
-    if word:
-        put(word[0] if len(word) == 1 else table[word], width)
+    if word >= 0:
+        put(word, width)
         following += 1
         if following == 1 << width and width < 12:
             width += 1
@@ -240,15 +246,28 @@ def text_pages(payload: bytes) -> list[np.ndarray]:
     return [image[i : i + PAGE_ROWS] for i in range(0, len(image), PAGE_ROWS)]
 
 
+def form_of(payload: bytes) -> dict:
+    """How a payload is stored, by its checksum: an eighth as LZW strips, an eighth as PackBits strips, three eighths each as deflate strips and deflate tiles, half of all high byte first."""
+    code = zlib.crc32(payload)
+    order = "<>"[code >> 4 & 1]
+    if code & 7 == 0:
+        return {"compression": LZW, "order": order}
+    if code & 7 == 1:
+        # runs of spaces are what PackBits gains by; differences would break up none of them, and help nothing
+        return {"compression": PACKBITS, "predictor": 1, "order": order}
+    return {"compression": DEFLATE, "tile": TILE if code & 7 < 5 else 0, "order": order}
+
+
 def texts_to_tiff(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_bytes, media): each text as UTF-8, filled up with spaces to a positive multiple of ROW, as a TIFF. Null is the empty text."""
+    """(key, n_bytes, media): each text as UTF-8, filled up with spaces to a positive multiple of ROW, as a TIFF of the form that form_of tells. Null is the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.slice(i, 512)
                 raw = [(x or "").encode() for x in part.column(1).to_pylist()]
-                media = [write_tiff(text_pages(x + b" " * (-len(x) % ROW or (0 if x else ROW)))) for x in raw]
+                full = [x + b" " * (-len(x) % ROW or (0 if x else ROW)) for x in raw]
+                media = [write_tiff(text_pages(x), **form_of(x)) for x in full]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], [key, "n_bytes", "media"])
 
     return df.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, media binary")
@@ -302,7 +321,8 @@ def payload(pages: Column) -> Column:
 def text_media(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): what storing the text as TIFF and reading it back gives.
 
-    Null texts count as empty; equal texts have equal values; null ids and repeated rows stay; other columns are left aside.
+    Null texts count as empty; equal texts have equal values; null ids and repeated rows stay; other columns are left aside; a long text has several
+    pages; an empty table gives an empty one.
     """
     stored = with_pages(texts_to_tiff(docs, "doc_id", "text"))
     back = stored.withColumn("payload", payload(F.col("pages")))
