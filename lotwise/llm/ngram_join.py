@@ -2,20 +2,22 @@
 
 How it runs on Spark:
 
-1. One pass over the texts hashes every shingle. A document's *class* is the signature of its shingle set, so
-   exact copies are one class from here on. The (shingle, class) postings are dealt out by shingle.
-2. Each inverted list gives its length (the shingle's document frequency). Lists of one class can never yield a
-   match and end here; the others go back to their class.
+1. A first pass over the texts hashes every shingle. A document's *class* is the signature of its shingle set, so
+   exact copies are one class from here on. The pass also finds hot shingles (fewer than HOT, each over a HOT-th of all): they
+   are too common to be counted in one place.
+2. A second pass deals the (shingle, class) postings out by shingle, hot ones by shingle and class. Each inverted list gives
+   its length (the shingle's document frequency; that of a hot one is known). Lists of one class can never yield a match and end here; the others go back to their class.
 3. A class orders its shingles by frequency, rarest first. With t = threshold, two sets of sizes n and m match only
    if they share T = ceil(t/(1+t) * (n+m)) shingles. DivideSkip: the ceil(t*n)-1 most frequent shingles are the long lists,
    which are probed only; the rest are the short lists, which are merged. A class that has no shared shingle
    in its short lists has no match at all and is left out.
-4. Short lists are dealt out by shingle. First, each list pairs its members with the member before and with the
-   first one (linear in the list, however long); pairs are verified by binary probes and joined into components. Then each
-   list pairs only members of different components; every class's lists are merged with a heap, and classes
-   that occur in at least T - L short lists (L long lists: the greater number of the two) are probed in the long lists. A group of g near copies thus
+4. Short lists are dealt out by shingle, those of over SHARE classes in shares. First, each share pairs its members with the member before and with the
+   first one (linear in the list, however long), and some members of all shares meet in one more; pairs are verified by binary probes and joined into
+   components. Then the lists whose members are in several components pair members of different components, share by share; every class's lists are merged with
+   a heap, and classes that occur in at least T - L short lists (L long lists: the greater number of the two) are probed in the long lists. A group of g near copies thus
    costs O(g), and no link between different components is lost: the components are exact.
 
+Partitions are as many as the texts' size asks for, so a task's share of them doesn't grow with the input.
 Hashes have 64 bits. Documents with null or empty text have no shingles and link with nothing.
 """
 
@@ -33,6 +35,10 @@ from . import common as C
 
 #: Separators of words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: A shingle with over a HOT-th of all postings is hot; by arithmetic there are fewer than HOT.
+HOT = 1 << 14
+#: Classes in a share of an inverted list, about; and of how many one goes to the share where all shares meet, at most.
+SHARE, MEET = 4096, 512
 
 
 def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -96,99 +102,124 @@ def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> Iter
 _PACKED_NAMES, _PACKED_TYPES = ["deal", "kind", "a", "b", "c"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def _scan(width: int, parts: int):
+def _hashed(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class and set size of each text; shingles, their class and set size: once for each class of these texts)."""
+    grams, text = _sets(*C.utf8(column), width)
+    n = np.bincount(text, minlength=len(column)).astype(np.int32)
+    class_id = np.zeros(len(column), np.uint64)
+    np.add.at(class_id, text, C.mix(grams ^ np.uint64(0xA5A5)))
+    class_id = C.mix(class_id + n.astype(np.uint64))
+    _, once = np.unique(class_id, return_index=True)
+    keep = np.zeros(len(column), bool)
+    keep[once] = True
+    mine = keep[text]
+    return class_id, n, grams[mine], class_id[text[mine]], n[text[mine]]
+
+
+_DOCUMENTS = "doc_id long, text_key long, class long, n int, grams binary, counts binary"
+
+
+def _describe(width: int):
+    """Each document's class and set size; the first row of a batch also has the shingles that are common in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = C.utf8(batch.column(1))
-            ids = batch.column(0)
-            known = np.asarray(ids.is_valid())
-            ids = np.asarray(ids.fill_null(0), np.int64)
-            grams, text = _sets(data, offsets, width)
-            n = np.bincount(text, minlength=len(ids)).astype(np.int32)
-            class_id = np.zeros(len(ids), np.uint64)
-            np.add.at(class_id, text, C.mix(grams ^ np.uint64(0xA5A5)))
-            class_id = C.mix(class_id + n.astype(np.uint64))
-            rows = [*_packed(0, (class_id % np.uint64(parts)).astype(np.int32)[known], ids[known], class_id[known], n[known])]
-            if not known.all():
-                rows += _packed(2, (class_id % np.uint64(parts)).astype(np.int32)[~known], ids[~known], class_id[~known], n[~known])
-            _, once = np.unique(class_id, return_index=True)
-            keep = np.zeros(len(ids), bool)
-            keep[once] = True
-            mine = keep[text]
-            grams, text = grams[mine], text[mine]
-            rows += _packed(1, (C.mix(grams) % np.uint64(parts)).astype(np.int32), grams, class_id[text], n[text])
-            yield from _rows(rows, _PACKED_NAMES, _PACKED_TYPES)
+            if not len(batch):
+                continue
+            class_id, n, grams, _, _ = _hashed(batch.column(2), width)
+            gram, count = np.unique(grams, return_counts=True)
+            often = (count > 1) & (count * (2 * HOT) >= len(grams))
+            first = lambda x: pa.array([x.tobytes(), *[None] * (len(batch) - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), C.signed(class_id), pa.array(n), first(gram[often]), first(count[often].astype(np.int64))], ["doc_id", "text_key", "class", "n", "grams", "counts"])
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray]:
-    """Rows that are not postings, and the postings' arrays in one piece each."""
-    other, parts = [], ([], [], [])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kind = np.asarray(batch.column(1))
-        if (kind != 1).any():
-            other.append(batch.filter(pa.array(kind != 1)))
-        for part, column in zip(parts, batch.filter(pa.array(kind == 1)).columns[2:], strict=True):
-            part += [x.as_buffer() for x in column]
-    return other, *(np.concatenate([np.frombuffer(x, t) for x in p] or [np.zeros(0, t)]) for p, t in zip(parts, (np.uint64, np.uint64, np.int32), strict=True))
+        for gram, count in zip(*batch.columns, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(gram.as_buffer(), np.int64)), pa.array(np.frombuffer(count.as_buffer(), np.int64))], ["gram", "n"])
+
+
+def _scan(width: int, parts: int, hot: np.ndarray, hot_df: np.ndarray):
+    """Postings by shingle (kind 1), those of hot shingles by shingle and class, with their list's length (kind 2)."""
+    ends = np.append(hot, np.uint64(0xFFFFFFFFFFFFFFFF))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, grams, owner, n = _hashed(batch.column(0), width)
+            at = np.searchsorted(hot, grams)
+            known = (ends[at] == grams) & (at < len(hot))
+            cold = ~known
+            rows = [*_packed(1, (C.mix(grams[cold]) % np.uint64(parts)).astype(np.int32), grams[cold], owner[cold], n[cold])]
+            both = n[known].astype(np.int64) << 32 | hot_df[at[known]]
+            rows += _packed(2, (C.mix(grams[known] ^ owner[known]) % np.uint64(parts)).astype(np.int32), grams[known], owner[known], both)
+            yield from _rows(rows, _PACKED_NAMES, _PACKED_TYPES)
+
+    return run
+
+
+def _once(gram: np.ndarray, owner: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings by shingle and class, each once."""
+    order = np.lexsort((owner, gram))
+    gram, owner, more = gram[order], owner[order], more[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
+    return gram[new], owner[new], more[new]
 
 
 def _frequencies(parts: int):
     """Inverted lists: drops those of one class, gives the others' length back to each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        other, gram, owner, n = _gathered(batches)
-        yield from other
-        order = np.lexsort((owner, gram))
-        gram, owner, n = gram[order], owner[order], n[order]
-        once = np.ones(len(gram), bool)
-        once[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-        gram, owner, n = gram[once], owner[once], n[once]
+        held = {1: ([], [], []), 2: ([], [], [])}
+        for batch in batches:
+            for kind, *arrays in zip(np.asarray(batch.column(1)).tolist(), *batch.columns[2:], strict=True):
+                for part, x in zip(held[kind], arrays, strict=True):
+                    part.append(x.as_buffer())
+        joined = lambda kind, *types: [np.concatenate([np.frombuffer(x, t) for x in p] or [np.zeros(0, t)]) for p, t in zip(held[kind], types, strict=True)]
+        gram, owner, n = _once(*joined(1, np.uint64, np.uint64, np.int32))
         cut = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
         long = np.diff(np.r_[cut, len(gram)])
         df = np.repeat(long, long)
         keep = df > 1
         both = n[keep].astype(np.int64) << 32 | np.minimum(df[keep], 0x7FFFFFFF)
-        yield from _rows([*_packed(1, (owner[keep] % np.uint64(parts)).astype(np.int32), gram[keep], owner[keep], both)], _PACKED_NAMES, _PACKED_TYPES)
+        for g, o, b in ((gram[keep], owner[keep], both), _once(*joined(2, np.uint64, np.uint64, np.int64))):
+            yield from _rows([*_packed(1, (o % np.uint64(parts)).astype(np.int32), g, o, b)], _PACKED_NAMES, _PACKED_TYPES)
 
     return run
 
 
-_CLASSES = "kind int, doc_id long, class long, n int, n_short int, grams binary"
+_CLASSES = "class long, n int, n_short int, grams binary, shares binary"
 
 
-def _classes(percent: int):
-    """Documents as rows, and the classes that can match: their shared shingles by frequency, the first n_short of them short lists."""
+def _classes(percent: int, share: int):
+    """The classes that can match: their shared shingles by frequency, the first n_short of them short lists, and into how many shares each of these lists is cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "class", "n", "n_short", "grams"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["class", "n", "n_short", "grams", "shares"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         gram, owner, both = [], [], []
         for batch in batches:
-            kind = np.asarray(batch.column(1))
-            for k, a, b, c in zip(kind, *batch.columns[2:], strict=True):
-                a, b, c = a.as_buffer(), b.as_buffer(), c.as_buffer()
-                if k == 1:
-                    gram.append(np.frombuffer(a, np.uint64))
-                    owner.append(np.frombuffer(b, np.uint64))
-                    both.append(np.frombuffer(c, np.int64))
-                else:
-                    ids, cs, ns = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), np.frombuffer(c, np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, mask=np.full(len(ids), k == 2)), pa.array(cs), pa.array(ns), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+            for a, b, c in zip(*batch.columns[2:], strict=True):
+                gram.append(np.frombuffer(a.as_buffer(), np.uint64))
+                owner.append(np.frombuffer(b.as_buffer(), np.uint64))
+                both.append(np.frombuffer(c.as_buffer(), np.int64))
         if not gram:
             return
         gram, owner, both = np.concatenate(gram), np.concatenate(owner), np.concatenate(both)
         df, n = both & 0xFFFFFFFF, both >> 32
         order = np.lexsort((gram, df, owner))
-        gram, owner, n = gram[order], owner[order], n[order]
+        gram, owner, n, df = gram[order], owner[order], n[order], df[order]
         cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         shared = np.diff(np.r_[cut, len(owner)])
         size = n[cut]
         short = _short(size, percent) - (size - shared)
+        shares = (1 + df // share).astype(np.int32)
         rows = []
         for k in np.flatnonzero(short > 0):
-            rows.append((1, None, int(owner[cut[k]].view(np.int64)), int(size[k]), int(short[k]), gram[cut[k] : cut[k] + shared[k]].tobytes()))
+            i = cut[k]
+            rows.append((int(owner[i].view(np.int64)), int(size[k]), int(short[k]), gram[i : i + shared[k]].tobytes(), shares[i : i + short[k]].tobytes()))
             if len(rows) == 4096:
                 yield from _rows(rows, names, types)
                 rows = []
@@ -197,35 +228,63 @@ def _classes(percent: int):
     return run
 
 
-def _short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, class, n, n_short, comp) for each short list that a class is in."""
-    for batch in batches:
-        short = np.asarray(batch.column(2), np.int64)
-        grams = [np.frombuffer(x.as_buffer(), np.int64)[:k] for x, k in zip(batch.column(3), short, strict=True)]
-        if grams:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), *(pa.array(np.repeat(np.asarray(batch.column(i)), short)) for i in (0, 1, 4))], ["gram", "class", "n", "comp"])
+def _short_lists(meet: bool):
+    """(gram, class, n, comp, shares, share) for each short list that a class is in; with `meet`, some classes of each share of a list once more, in share -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = np.asarray(batch.column(2), np.int64)
+            if not len(short):
+                continue
+            gram = np.concatenate([np.frombuffer(x.as_buffer(), np.int64)[:k] for x, k in zip(batch.column(3), short, strict=True)])
+            shares = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(5)])
+            own, n, comp = (np.repeat(np.asarray(batch.column(k)), short) for k in (0, 1, 4))
+            dealt = C.mix(own.view(np.uint64))
+            share = (dealt % shares.astype(np.uint64)).astype(np.int32)
+            if meet:
+                more = np.flatnonzero((shares > 1) & ((dealt >> np.uint64(32)) % np.minimum(shares, MEET).astype(np.uint64) == 0))
+                gram, own, n, comp, shares = (np.r_[x, x[more]] for x in (gram, own, n, comp, shares))
+                share = np.r_[share, np.full(len(more), -1, np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (gram, own, n, comp, shares, share))], ["gram", "class", "n", "comp", "shares", "share"])
+
+    return run
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each inverted list in this partition: classes, sizes, components; sorted by component and class."""
-    table = pa.Table.from_batches([*batches]) if (batches := [*batches]) else None
-    if table is None:
-        return
-    gram, owner, n, comp = (table.column(k).to_numpy() for k in ("gram", "class", "n", "comp"))
-    order = np.lexsort((owner, comp, gram))
-    gram, owner, n, comp = gram[order], owner[order], n[order], comp[order]
-    cut = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-    for i, j in zip(cut, [*cut[1:], len(gram)], strict=True):
+def _lists(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each group of `key`, whose rows come one after the other: classes, sizes, components, shares; by component and class."""
+    columns = [*key, "class", "n", "comp", "share"]
+    left = None
+    for batch in batches:
+        now = {c: np.asarray(batch.column(c)) for c in columns}
+        if left is not None:
+            now = {c: np.r_[left[c], now[c]] for c in columns}
+        if not len(now["n"]):
+            continue
+        new = np.zeros(len(now["n"]), bool)
+        new[0] = True
+        for c in key:
+            new[1:] |= now[c][1:] != now[c][:-1]
+        cut = np.flatnonzero(new)
+        yield from _groups({c: v[: cut[-1]] for c, v in now.items()}, cut)
+        left = {c: v[cut[-1] :] for c, v in now.items()}
+    if left is not None:
+        yield from _groups(left, np.array([0, len(left["n"])]))
+
+
+def _groups(rows: dict[str, np.ndarray], cut: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
         if j - i > 1:
-            yield owner[i:j], n[i:j], comp[i:j]
+            owner, n, comp, share = (rows[c][i:j] for c in ("class", "n", "comp", "share"))
+            order = np.lexsort((owner, comp))
+            yield owner[order], n[order], comp[order], share[order]
 
 
 def _chain(percent: int):
-    """Pairs of each list's members with the one before and with the first one."""
+    """Pairs of each share's members with the one before and with the first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for owner, n, _ in _lists(batches):
+        for owner, n, _, _ in _lists(batches, ["gram", "share"]):
             for x, y in ((slice(None, -1), slice(1, None)), (slice(0, 1), slice(2, None))):
                 fits = 100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64)
                 a.append(np.broadcast_to(owner[x], fits.shape)[fits])
@@ -238,16 +297,19 @@ def _chain(percent: int):
 
 
 def _postings(percent: int):
-    """Of each list and each class in it: the classes of other components that follow it and fit in size."""
+    """Of each two shares of a list (or one) and each class in them: the classes of other components that follow it and fit in size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["a", "n", "others", "sizes"], [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         rows, held = [], 0
-        for owner, n, comp in _lists(batches):
+        for owner, n, comp, share in _lists(batches, ["gram", "low", "high"]):
             after = np.searchsorted(comp, comp, "right")
+            one = share.min() == share.max()
             for i in np.flatnonzero(after < len(comp)):
                 o, m = owner[after[i] :], n[after[i] :]
-                fits = (100 * np.minimum(m, n[i]).astype(np.int64) >= percent * np.maximum(m, n[i]).astype(np.int64))
+                fits = 100 * np.minimum(m, n[i]).astype(np.int64) >= percent * np.maximum(m, n[i]).astype(np.int64)
+                if not one:
+                    fits &= share[after[i] :] != share[i]
                 if fits.any():
                     o, m = o[fits], m[fits]
                     by = np.argsort(o)
@@ -315,44 +377,58 @@ def _probe(percent: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, class_id.
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, share: int = SHARE) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, class_id, component_class, text_key.
 
     Words are what stands between spaces, A-Z lower-cased; a document's set are its distinct runs of `width` words, or
     all its words as one if fewer. Documents link if 100 * shared >= percent * all; component_id is
-    the smallest doc_id that links reach. Null and empty texts: 0 shingles, their own component. Repeated rows: each
+    the smallest doc_id that links reach, component_class the same for just the rows of a component. Null and empty texts: 0 shingles, their own component. Repeated rows: each
     is returned, with the same component. Null doc_id: its row is returned and takes part in links, but never
-    names a component. Other columns are left aside. An empty table gives an empty one.
+    names a component. doc_id is read as a 64-bit number; other ids are for the caller to number. A doc_id with two texts has a row for each, told apart by
+    text_key (xxhash64 of the text). Other columns are left aside. An empty table gives an empty one.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50, up to 100")
     spark = docs.sparkSession
-    parts = C.n_partitions(spark)
-    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(width, parts), _PACKED)
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
+    described = C.as_table(docs.mapInArrow(_describe(width), _DOCUMENTS), "ngram-documents")
+    documents = described.select("doc_id", "text_key", "class", "n")
+    parts = C.parts_for(docs)
+    postings = documents.agg(F.sum("n")).first()[0] or 0
+    often = described.where("grams is not null").select("grams", "counts").mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    hot = sorted((r["gram"] % (1 << 64), min(r["n"], 0x7FFFFFFF)) for r in often.where(F.col("n") * HOT > F.lit(postings)).collect())
+    hot, hot_df = np.array([g for g, _ in hot], np.uint64), np.array([n for _, n in hot], np.int64)
+    packed = docs.select("text").mapInArrow(_scan(width, parts, hot, hot_df), _PACKED)
     lists = packed.repartitionById(parts, F.col("deal")).mapInArrow(_frequencies(parts), _PACKED)
-    table = C.as_table(lists.repartitionById(parts, F.col("deal")).mapInArrow(_classes(percent), _CLASSES), "ngram-classes")
-    documents = table.where("kind = 0").select("doc_id", "class", "n")
-    classes = table.where("kind = 1").select("class", "n", "n_short", "grams")
+    classes = C.as_table(lists.repartitionById(parts, F.col("deal")).mapInArrow(_classes(percent, share), _CLASSES), "ngram-classes")
 
     def short_lists(comps: DataFrame | None) -> DataFrame:
-        own = classes.withColumn("comp", F.col("class")) if comps is None else classes.join(comps.withColumnsRenamed({"v": "class", "label": "comp"}), "class", "left").select("class", "n", "n_short", "grams", F.coalesce("comp", "class").alias("comp"))
-        return own.mapInArrow(_short_lists, "gram long, class long, n int, comp long").repartition(parts, "gram")
+        own = classes.withColumn("comp", F.col("class")) if comps is None else classes.join(comps.withColumnsRenamed({"v": "class", "label": "comp"}), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        return own.select("class", "n", "n_short", "grams", "comp", "shares").mapInArrow(_short_lists(comps is None), "gram long, class long, n int, comp long, shares int, share int")
 
     def linked(pairs: DataFrame) -> DataFrame:
         one = classes.select(F.col("class").alias("a"), "n", F.col("grams").alias("x"))
         two = classes.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("grams").alias("y"))
         return pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_probe(percent), "a long, b long")
 
-    first = C.as_table(linked(short_lists(None).mapInArrow(_chain(percent), "a long, b long")), "ngram-links")
+    near = short_lists(None).repartition(parts, "gram", "share").sortWithinPartitions("gram", "share")
+    first = C.as_table(linked(near.mapInArrow(_chain(percent), "a long, b long")), "ngram-links")
     comps = C.connected_components(first)
-    postings = short_lists(comps).mapInArrow(_postings(percent), "a long, n int, others array<long>, sizes array<int>")
-    merged = postings.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_merge(percent), "a long, b long")
+    own = short_lists(comps)
+    several = own.groupBy("gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("shares").alias("all")).where("least <> most")
+    several = several.select("gram", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("share"))
+    met = own.join(several, ["gram", "share"]).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    met = met.withColumns({"low": F.least("share", "with"), "high": F.greatest("share", "with")}).drop("with", "shares")
+    met = met.repartition(parts, "gram", "low", "high").sortWithinPartitions("gram", "low", "high")
+    merged = met.mapInArrow(_postings(percent), "a long, n int, others array<long>, sizes array<int>").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_merge(percent), "a long, b long")
     more = C.as_table(linked(merged), "ngram-links")
     comps = C.connected_components(more.union(comps.selectExpr("v as a", "label as b").where("a <> b"))) if not more.isEmpty() else comps
-    least = documents.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = least.join(comps.withColumnRenamed("v", "class"), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
-    by_label = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(by_label, "label").select("class", "component_id")
-    out = documents.join(named, "class", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.col("class").alias("class_id"))
+    by_class = documents.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    # classes of one row that link with nothing name themselves
+    named = by_class.join(comps.withColumnRenamed("v", "class"), "class", "left").where("copies > 1 or label is not null")
+    named = C.as_table(named.select("class", "least", "copies", F.coalesce("label", "class").alias("label")), "ngram-names")
+    by_label = named.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    named = C.looked_up(named, by_label, "label", "classes", "class").select("class", "component_id", "label", "copies", F.lit(True).alias("named"))
+    out = C.looked_up(documents, named, "class", "copies", "text_key")
+    own = F.when((F.col("n") > 0) & F.col("named"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), F.col("class").alias("class_id"), F.coalesce("label", "class").alias("component_class"), "text_key")
