@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, langid, media_tiff, ngram_join, packing, pii, quality, substring_dedup, token_count, toxicity
 
@@ -22,7 +23,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_join(_docs(spark, sf_dir), width=5, percent=75)
+    return ngram_join.ngram_jaccard_join(_docs(spark, sf_dir), width=5, percent=75).drop("text_key", "component_class")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +58,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of every document's TIFF."""
+    files = media_tiff.texts_to_tiff(_docs(spark, sf_dir), "doc_id", "text")
+    return media_tiff.tiff_pages(files).withColumn("pixels", F.crc32("pixels")).withColumnRenamed("pixels", "pixels_crc32")
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language ID where all four sources of evidence speak: web pages with their declared language, address and host."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return langid.language_id(langid.page_texts(pages)).withColumnRenamed("doc_id", "page_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"tiff_pages": tiff_pages, "page_language": page_language}
 
 
 def oracle_sql() -> dict[str, str]:

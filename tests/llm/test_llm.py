@@ -7,12 +7,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lotwise.llm import common as C
 from lotwise.llm import decontaminate, langid, media_tiff, ngram_join, packing, pii, quality, substring_dedup, token_count, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -150,8 +152,10 @@ def test_decontamination(spark, mixed, empty):
 def test_passages(spark, mixed, empty):
     got = {r["doc_id"]: r for r in substring_dedup.repeated_passages(mixed).collect()}
     assert {5, 6, 7, 8, 11} == set(got)  # 11 is there twice, so each is a copy of the other
-    assert got[8]["passages"][0]["end"] == 300 and got[7]["n_repeated"] >= 68 and set(got[8]["partners"]) & {5, 6, 7}
-    assert substring_dedup.repeated_passages(empty).count() == 0
+    assert got[8]["passages"][0]["end"] == 300 and got[7]["n_repeated"] >= 68 and got[8]["n_links"] > 0
+    assert [got[k]["class_id"] for k in (5, 6, 7, 8, 11)] == [5, 6, 7, 5, 11] and got[8]["n_copies"] == got[11]["n_copies"] == 2
+    assert {(r["a"], r["b"]) for r in substring_dedup.passage_links(mixed).collect()} >= {(5, 6)}
+    assert substring_dedup.repeated_passages(empty).count() == substring_dedup.passage_links(empty).count() == 0
 
 
 def test_passage_near_a_shared_line(spark):
@@ -162,7 +166,8 @@ def test_passage_near_a_shared_line(spark):
     got = {r["doc_id"]: r for r in substring_dedup.repeated_passages(table(spark, texts)).collect()}
     assert set(got) == {0, 1}
     for r in got.values():
-        assert [tuple(x) for x in r["passages"]] == [(40, 100)] and r["partners"] == [1 - r["doc_id"]]
+        assert [tuple(x) for x in r["passages"]] == [(40, 100)] and r["n_links"] == 1
+    assert [tuple(r) for r in substring_dedup.passage_links(table(spark, texts)).collect()] == [(0, 1)]
 
 
 def test_all_partners_are_kept(spark):
@@ -171,12 +176,63 @@ def test_all_partners_are_kept(spark):
     changed = near.split()
     changed[-1] = "changed"
     texts = [(k, start + " " + prose(70 + k, 30)) for k in range(6)] + [(k, near) for k in (10, 11)] + [(k, " ".join(changed)) for k in (20, 21)]
-    got = {r["doc_id"]: set(r["partners"]) for r in substring_dedup.repeated_passages(table(spark, texts)).collect()}
-    assert {10, 11, 20, 21} <= set(got) and all(20 in got[k] for k in (10, 11)) and all(10 in got[k] for k in (20, 21))
+    got = {r["doc_id"]: r for r in substring_dedup.repeated_passages(table(spark, texts)).collect()}
+    links = {(r["a"], r["b"]) for r in substring_dedup.passage_links(table(spark, texts)).collect()}
+    assert {10, 11, 20, 21} <= set(got) and (10, 20) in links
+    assert all(got[k]["n_links"] == sum(got[k]["class_id"] in x for x in links) for k in got)
     reached = {0}
     for _ in range(6):
-        reached |= {y for x in reached for y in got[x]}
-    assert reached == set(range(6)) and max(len(got[k]) for k in range(6)) == 5
+        reached |= {y for x in reached for link in links if x in link for y in link}
+    assert reached == set(range(6))
+
+
+def shared_words(texts, least=50):
+    """Brute force: of each text the words that lie in an equal run of at least `least` words of another text."""
+    split = {i: t.split() for i, t in texts}
+    windows = {}
+    for i, w in split.items():
+        for k in range(len(w) - least + 1):
+            windows.setdefault(tuple(w[k : k + least]), set()).add(" ".join(w))
+    return {i: {x for k in range(len(w) - least + 1) if len(windows[tuple(w[k : k + least])]) > 1 for x in range(k, k + least)} for i, w in split.items()}
+
+
+def test_passage_whose_parts_are_common(spark):
+    """Parts of shared passages stand in many other texts too: every pair is found, and the other texts aren't."""
+    texts, k = [], 1000
+    for p in range(20):
+        passage = prose(700 + p, 64).split()
+        texts += [(2 * p + c, " ".join([prose(800 + 2 * p + c, 30), *passage, prose(900 + 2 * p + c, 30)])) for c in (0, 1)]
+        for x in range(0, 50, 7):
+            for y in range(6):
+                texts.append((k, " ".join([prose(2000 + k, 30), *passage[x : x + 15], prose(9000 + k, 30)])))
+                k += 1
+    got = {r["doc_id"]: {w for s, e in r["passages"] for w in range(s, e)} for r in substring_dedup.repeated_passages(table(spark, texts)).collect()}
+    want = {i: w for i, w in shared_words(texts).items() if w}
+    assert set(got) == set(want) == set(range(40))
+    assert all(got[i] == want[i] for i in want)
+
+
+def test_passages_by_brute_force(spark):
+    """Texts put together from shared and own runs: all that an exact run of 64 words covers is found, and nothing where no run of 43 words is shared."""
+    r = random.Random(5)
+    runs = [prose(300 + k, r.randint(20, 120)).split() for k in range(25)]
+    texts = []
+    for i in range(120):
+        words = []
+        for _ in range(r.randint(1, 4)):
+            run = r.choice(runs)
+            x = r.randint(0, len(run) - 10)
+            words += prose(4000 + r.randint(0, 10**6), r.randint(5, 40)).split() + run[x : x + r.randint(10, 120)]
+        texts.append((i, " ".join(words)))
+    texts += [(i + 500, t) for i, t in texts[:4]]
+    got = {r["doc_id"]: {w for s, e in r["passages"] for w in range(s, e)} for r in substring_dedup.repeated_passages(table(spark, texts)).collect()}
+    surely, at_most, copies = shared_words(texts, 64), shared_words(texts, 43), [i for i, _ in texts if i >= 500 or i < 4]
+    for i, t in texts:
+        assert surely[i] <= got.get(i, set())
+        if i in copies:
+            assert i not in got or len(t.split()) >= 50
+        elif not at_most[i]:
+            assert i not in got
 
 
 @pytest.mark.parametrize("turn", [0, 1])
@@ -412,6 +468,140 @@ def test_packing(spark, mixed, empty):
     assert len(zero) == mixed.count() and all(r["bin_id"] is None for r in zero)
 
 
+def best_fit_twin(lengths, capacities, overhead):
+    """Brute force: every open bin is looked at for every piece."""
+    bins, out, rest = [], [], sum(lengths)
+    for n in lengths:
+        fits = [(b["free"], k) for k, b in enumerate(bins) if b["free"] >= n]
+        if not fits:
+            size = min((c for c in capacities if c >= n), key=lambda c: ((c + overhead) / min(c, rest), c))
+            bins.append({"free": size, "used": 0})
+            fits = [(size, len(bins) - 1)]
+        k = min(fits)[1]
+        out.append((k, bins[k]["used"]))
+        bins[k]["free"] -= n
+        bins[k]["used"] += n
+        rest -= n
+    return out, [min(c for c in capacities if c >= b["used"]) for b in bins]
+
+
+def test_packing_as_brute_force_and_ids(spark):
+    """One group's bins are those of the twin; ids come back as they are: null, very large, repeated, strings; repeated rows are dealt out."""
+    r = random.Random(4)
+    rows = [(2**60 + 7, "a" * 30), (2**60 + 9, "b" * 30), (None, "c" * 30), (None, "c" * 30), (-1, None)] + [(k, "x" * r.randint(0, 250)) for k in range(60)] + [(3, "same")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack(docs, capacities=(64, 128), overhead=4).collect()
+    assert collections.Counter(r["doc_id"] for r in got if r["piece"] == 0) == collections.Counter(i for i, _ in rows)
+    got.sort(key=lambda r: (r["bin_id"], r["bin_offset"]))
+    lengths = sorted((r["length"] for r in got), reverse=True)
+    placed, sizes = best_fit_twin(lengths, (64, 128), 4)
+    assert collections.Counter((r["length"], r["bin_offset"], r["bin_capacity"]) for r in got) == collections.Counter((n, at, sizes[k]) for n, (k, at) in zip(lengths, placed, strict=True))
+    many = packing.pack(spark.createDataFrame([("id", "w" * 99)] * 3000, "doc_id string, text string"), capacities=(100, 200), group_bins=4).collect()
+    assert {r["doc_id"] for r in many} == {"id"} and len({r["bin_id"] >> 24 for r in many}) > 50
+
+
+def test_jaccard_join_of_hot_lists(spark):
+    """Lists cut into shares of two classes, families of unequal size over shared passages, against brute force."""
+    r = random.Random(8)
+    commons = [prose(50 + k, 25) for k in range(4)]
+    texts = []
+    for f in range(14):
+        base = prose(100 + f, r.randint(12, 80)).split() + r.choice(commons).split()
+        for _ in range(r.randint(1, 7)):
+            words = base[: len(base) - r.randint(0, len(base) // 6)] + prose(r.randint(0, 10**6), r.randint(0, len(base) // 5)).split()
+            if r.random() < 0.4:
+                words[r.randrange(len(words))] = "changed"
+            texts.append((len(texts), " ".join(words)))
+    texts += [(900 + k, texts[k][1]) for k in range(9)] + [(950 + k, commons[k % 4]) for k in range(7)]
+    r.shuffle(texts)
+    for share in (2, 4096):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_jaccard_join(table(spark, texts).repartition(5), share=share).collect()}
+        assert got == linked(texts)
+
+
+def test_language_counts_every_declaration(spark):
+    """More kinds of declaration than any limit, and a language that is rare in the corpus."""
+    rows = [(k, prose(k, 40), f"x{k}" if k % 2 else "aa", "h", 1, 0.0, "", 0) for k in range(600)] + [(1000 + k, "ωδε " * 30 + prose(k, 3), "el", "h", 1, 0.0, "", 0) for k in range(6)]
+    got = {r["doc_id"]: r for r in langid.language_id(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == 606 and all(got[1000 + k]["language"] == "el" for k in range(6)) and got[0]["language"] == "aa"
+
+
+def test_lookup_of_many_keys(spark, monkeypatch):
+    """Beyond the broadcast's size hot keys are broadcast, the others shuffled, and null keys find nothing."""
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 10)
+    keys = [k % 50 if k % 3 else 7 for k in range(600)]
+    rows = spark.createDataFrame([(k, None if k % 11 == 0 else key) for k, key in enumerate(keys)], "id long, key long")
+    table_ = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).withColumn("value", F.col("key") * 2)
+    for least in (0, 49):
+        got = C.looked_up(rows, table_.where(F.col("key") >= least), "key", "n", "id").collect()
+        assert {(r["id"], r["value"]) for r in got} == {(k, 2 * key if k % 11 and key >= least else None) for k, key in enumerate(keys)} and len(got) == 600
+
+
+def test_bounded_samples(spark):
+    """Of a doc_id that stands a great many times one row is a sample's; string ids work throughout."""
+    docs = spark.range(5000).select(F.when(F.col("id") < 4900, F.lit("many")).otherwise(F.col("id").cast("string")).alias("doc_id"), F.concat(F.lit("text of words "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.length("doc_id") % 2).cast("int").alias("quality"), F.lit(1).alias("toxic")).distinct()
+    for f, label in ((quality.score_quality, "quality"), (toxicity.score_toxicity, "toxic")):
+        from lotwise.llm import learn
+
+        sample = learn.training_rows(docs, labels, label, 50)
+        assert sample.count() == min(50, sample.select("doc_id").distinct().count()) <= 50
+        assert f(docs.where("doc_id <> 'many'"), labels).count() == 100
+
+
+@pytest.mark.parametrize("word", ["idi€t", "idio€t", "stup€id", "路idiot", "IDIOT", "ÉCRIVAÎN", "écrivein"])
+def test_misspellings_in_characters(word):
+    finder = toxicity.Finder(("idiot", "stupid", "écrivain"))
+    x = finder.features(*C.utf8(toxicity.folded(pa.array([f"you are {word} and so on"]))))
+    assert x[0, [0, 1, 2, 3]].sum() > 0
+
+
+def test_upper_case_spellings_are_read():
+    assert pii.stretches("write to JANE.DOE [AT] EXAMPLE [DOT] ORG now", []) and pii._SHAPE["email"].search("JANE.DOE [AT] EXAMPLE [DOT] ORG") and pii._SHAPE["email"].search("JANE AT EXAMPLE DOT ORG")
+
+
+def test_decontamination_keeps_repeated_rows(spark):
+    """A window in very many rows, rows alike in all, and null ids: each row is returned by itself."""
+    passage = prose(77, 12)
+    rows = [(5, passage)] * 40 + [(None, passage)] * 30 + [(k, prose(k, 20)) for k in range(100, 120)] + [(None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([("a", passage), ("b", prose(78, 30))], "item_id string, text string")
+    got = decontaminate.decontaminate(docs, bench).collect()
+    assert collections.Counter((r["doc_id"], r["n_hit"]) for r in got) == collections.Counter((i, 12 if t == passage else 0) for i, t in rows)
+
+
+def test_long_pretokens_as_the_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    own = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdeést") for _ in range(n)) for n in (513, 900, 4000)] + ["a" * 3001, "ab" * 1500, "the" * 700, "!" * 2000]
+    assert token_count.count_tokens(texts, "byte_bpe_50k.json") == [len(own.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_forms_of_texts(spark):
+    """Every way of storing occurs, equal texts are stored alike, and what is read back is the text."""
+    docs = spark.createDataFrame([(k, prose(k % 60, 1 + k % 60 * 3)) for k in range(120)], "doc_id long, text string")
+    files = media_tiff.texts_to_tiff(docs, "doc_id", "text")
+    pages = media_tiff.tiff_pages(files).collect()
+    assert {r["compression"] for r in pages} == {media_tiff.LZW, media_tiff.PACKBITS, media_tiff.DEFLATE} and {r["predictor"] for r in pages} == {1, 2}
+    assert len({bytes(r["media"])[:2] for r in files.collect()}) == 2
+    got = {r["doc_id"]: bytes(r["pixels"]).rstrip(b" ").decode() for r in pages}
+    assert got == {r["doc_id"]: r["text"] for r in docs.collect()}
+    stored = {r["doc_id"]: r["media_sha256"] for r in media_tiff.text_media(docs).collect()}
+    assert all(stored[k] == stored[k + 60] for k in range(60))
+
+
+def test_pipeline_keeps_both_texts_of_an_id(spark):
+    """A doc_id with two texts: both stay where nothing links them, one where they link; rows alike stay once."""
+    a, b = prose(1, 60), prose(2, 60)
+    docs = table(spark, [(1, a), (1, b), (2, a + " more"), (3, prose(3, 50)), (3, prose(3, 50)), (4, prose(4, 60)), (4, prose(4, 60) + " end"), (None, a)])
+    got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.ngram_jaccard_join(spark, docs, "").collect())
+    rest = {k: v for k, v in got.items() if k[0] != 4}
+    assert rest == {(1, a): 1, (1, b): 1, (3, prose(3, 50)): 1, (None, a): 1} and sum(v for k, v in got.items() if k[0] == 4) == 1
+
+
 def test_pipeline_stages(spark, tmp_path):
     base = [(i, prose(i, 60)) for i in range(30)]
     words = base[4][1].split()
