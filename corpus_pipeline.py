@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm import common, decontaminate, langid, ngram_join, packing, pii
@@ -14,15 +14,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one of least doc_id; documents without links, words or doc_id all stay. Of repeated rows of one doc_id one stays."""
-    found = ngram_join.ngram_jaccard_join(docs, width=5, percent=75)
-    gone = found.where("component_id <> doc_id").select("doc_id")
-    one = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if _repeated(docs) else docs.where("doc_id is not null")
-    return one.join(gone, "doc_id", "left_anti").select(*docs.columns).union(docs.where("doc_id is null"))
-
+    """One document of each group that links join, that of least doc_id; documents without links, words or doc_id all stay.
 
-def _repeated(docs: DataFrame) -> bool:
-    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    Rows are told apart by doc_id and text, so a doc_id with two texts that link with nothing keeps both; of rows alike in both one stays.
+    """
+    found = ngram_join.ngram_jaccard_join(docs, width=5, percent=75)
+    rows = found.select("doc_id", F.col("text_key").alias("_key"), "component_id", "component_class", "n_shingles")
+    least = Window.partitionBy("component_class", "doc_id").orderBy("_key")
+    # texts of the least doc_id that are linked with each other: one of them stays
+    same = rows.where("component_id = doc_id and n_shingles > 0").distinct().withColumn("_rank", F.row_number().over(least)).where("_rank > 1")
+    gone = rows.where("component_id <> doc_id").select("doc_id", "_key").union(same.select("doc_id", "_key")).distinct()
+    one = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("text"))
+    if not one.groupBy("doc_id", "_key").count().where("count > 1").isEmpty():
+        one = one.dropDuplicates(["doc_id", "_key"])
+    return one.join(gone, ["doc_id", "_key"], "left_anti").select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
