@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 # Patterns and word lists that results must agree on.
 MONEY = r"\$\s*([0-9]+(?:\.[0-9]{1,2})?)"
-SHIPPING = r"(?i)shipping[^0-9$]*\$\s*([0-9]+(?:\.[0-9]{1,2})?)"
+SHIPPING = r"(?i)(?:shipping|ship)\s*[:$]?\s*\$?\s*([0-9]+(?:\.[0-9]{1,2})?)"
+BLOCKED = r"(?i)cloudflare|attention required|verify you are human|access denied|too many requests|temporarily unavailable"
+BOARD_PATTERNS = (
+    r"(?i)\b(?:ASUS|MSI|GIGABYTE|ASROCK|EVGA|SUPERMICRO|BIOSTAR|INTEL)\b[^\n]{0,100}?\b(?:Z|B|H|X|A|Q|C|W)[0-9]{2,3}[A-Z0-9-]*\b[^\n]{0,80}",
+    r"(?i)\b(?:MAXIMUS|STRIX|AORUS|TOMAHAWK|MORTAR|GAMING|DESIGNARE|STEEL LEGEND|TAICHI|PRIME|PROART)\b[^\n]{0,100}",
+)
 INTEL_CHIPSET = r"(?i)\b(?:H|B|Z|Q|W|P|X)(?:6[1-9]|7[5-9]|8[1-9]|9[1-9]|1[0-9]{2}|2[0-9]{2}|3[0-9]{2}|4[0-9]{2}|5[0-9]{2}|6[0-9]{2}|7[0-9]{2})\b"
 AMD_CHIPSET = r"(?i)\b(?:A|B|X)(?:3[0-9]{2}|4[0-9]{2}|5[0-9]{2}|6[0-9]{2})\b|\bAM[2345]\b"
 COOLER_WORDS = r"(?i)\b(?:cpu\s+fan|cpu\s+cooler|heatsink|heat\s+sink|wraith|stock\s+cooler|tower\s+cooler|aio)\b"
@@ -78,10 +83,21 @@ def token_overlap(model: Column, text: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: F.array_contains(there, t))) / F.greatest(F.lit(1), F.size(tokens))
 
 
+def candidates(text: Column, patterns: tuple[str, ...]) -> Column:
+    """All that the patterns find in a text, pattern by pattern, normalised, the first of equals kept."""
+    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns)))
+    return F.filter(F.array_distinct(F.transform(found, normalized)), lambda x: x != "")
+
+
+def board_candidates(title: Column, text: Column) -> Column:
+    """Names of boards in a listing: the concise model of its title, else of all its text, goes before the patterns' finds."""
+    concise = F.coalesce(canonical_model(title), canonical_model(text))
+    found = candidates(text, BOARD_PATTERNS)
+    return F.when(concise.isNull(), found).otherwise(F.concat(F.array(concise), F.filter(found, lambda x: x != normalized(concise))))
+
+
 def cpu_candidates(text: Column) -> Column:
-    """All CPU names in a text, normalised, the first of equals kept."""
-    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in CPU_PATTERNS)))
-    return F.array_distinct(F.transform(found, normalized))
+    return candidates(text, CPU_PATTERNS)
 
 
 def canonical_model(text: Column) -> Column:
@@ -91,24 +107,38 @@ def canonical_model(text: Column) -> Column:
 
 
 def structured_model(text: Column) -> Column:
-    """struct(manufacturer, chipset, family) of a model name; null parts where it has none."""
+    """struct(manufacturer, chipset, suffix, family) of a model name; null parts where it has none."""
     t = normalized(text)
     tokens = F.split(t, " ")
     maker = F.get(F.filter(F.array(*map(F.lit, MANUFACTURERS)), lambda m: F.array_contains(tokens, m)), F.lit(0))
     family = F.get(F.filter(tokens, lambda x: x.isin(*FAMILIES)), F.lit(0))
-    return F.struct(maker.alias("manufacturer"), first_match(t, r"\b([ZBHXAQCW][0-9]{2,3})\b").alias("chipset"), family.alias("family"))
+    chipset = first_match(t, r"\b([ZBHXAQCW][0-9]{2,3})\b")
+    after = first_match(t, r"\b([ZBHXAQCW][0-9]{2,3})[- ]?([A-Z0-9]+)\b", 2)
+    suffix = F.when(~F.coalesce(after == chipset, F.lit(False)), after)
+    return F.struct(maker.alias("manufacturer"), chipset.alias("chipset"), suffix.alias("suffix"), family.alias("family"))
 
 
 def models_conflict(a: Column, b: Column) -> Column:
-    """True where both structures have a part and differ in it."""
-    return F.coalesce(a["manufacturer"] != b["manufacturer"], F.lit(False)) | F.coalesce(a["chipset"] != b["chipset"], F.lit(False)) | F.coalesce(a["family"] != b["family"], F.lit(False))
+    """True where the structures of two names both have a part and differ in it; false if there is no name."""
+    x, y = structured_model(a), structured_model(b)
+    out = F.lit(False)
+    for part in ("manufacturer", "chipset", "suffix", "family"):
+        out = out | F.coalesce(x[part] != y[part], F.lit(False))
+    return out
 
 
 def specificity(text: Column) -> Column:
-    """100 for a chipset, and one for each token that isn't generic."""
+    """struct(points, length): 100 for a chipset, and one for each token that isn't generic; then the text's length."""
     t = normalized(text)
     informative = F.filter(F.split(t, " "), lambda x: (x != "") & ~x.isin(*GENERIC_TOKENS))
-    return F.when(t.rlike(r"\b[ZBHXAQCW][0-9]{2,3}\b"), 100).otherwise(0) + F.size(informative)
+    points = F.when(t.rlike(r"\b[ZBHXAQCW][0-9]{2,3}\b"), 100).otherwise(0) + F.size(informative)
+    return F.struct(points.alias("points"), F.char_length(text).alias("length"))
+
+
+def only_generic(text: Column) -> Column:
+    """A name of nothing but generic tokens, of which there is one at least."""
+    tokens = F.filter(F.split(normalized(text), " "), lambda x: x != "")
+    return (F.size(tokens) > 0) & F.forall(tokens, lambda x: x.isin(*GENERIC_TOKENS))
 
 
 def platform_hint(title: Column) -> Column:
@@ -148,6 +178,76 @@ def gallery_urls(html: Column, host: str) -> Column:
     return F.array_distinct(F.transform(mine, lambda u: F.regexp_replace(u, r"t([0-9]+)\.jpeg", "$1.jpg")))
 
 
-def is_blocked(title: Column, status: Column) -> Column:
-    """A page that a site shows in place of its content."""
-    return title.rlike(r"(?i)access denied|captcha|too many requests|verify you are human|unusual traffic|temporarily blocked") | status.isin(403, 429) | (status >= 500)
+def is_blocked(title: Column, body: Column) -> Column:
+    """A page that a site shows in place of its content, by its title and the first 5,000 characters of its text (that bound is the rule's)."""
+    return F.concat_ws("\n", F.coalesce(title, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, 5000)).rlike(BLOCKED)
+
+
+def visible_text(html: Column) -> Column:
+    """A page's text without scripts, styles, comments and tags, with single spaces."""
+    plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+
+
+def cards(html: Column) -> Column:
+    """Listings of a search page as structs (id, title, url, card): the list items that link to an item and state a price and how it is sold; the first of an id counts.
+
+    An item's card is what stands from the start of its list item to the next one's.
+    """
+    parts = F.filter(F.split(html, r"(?i)(?=<li\b)"), lambda x: x.rlike(r"(?i)^<li\b"))
+    link = r"(?is)<a\b[^>]*href=[\"']([^\"']*/item/([0-9]+)[^\"']*)[\"'][^>]*>(.*?)</a>"
+    rows = F.transform(parts, lambda x: F.struct(F.regexp_extract(x, link, 2).alias("id"), visible_text(F.regexp_extract(x, link, 3)).alias("title"), F.regexp_extract(x, link, 1).alias("url"), visible_text(x).alias("card")))
+    rows = F.filter(rows, lambda r: (r["id"] != "") & (r["title"] != "") & r["card"].rlike(r"\$[0-9]") & r["card"].rlike("Time remaining:|Buy It Now"))
+    ids = F.transform(rows, lambda r: r["id"])
+    return F.filter(rows, lambda r, k: F.array_position(ids, r["id"]) == k + 1)
+
+
+def gallery(html: Column, host: str, most: int = 4000) -> Column:
+    """struct(title, urls, description, details) of an item's page: its heading, image addresses of one host, the text of its description (cut to `most` characters, which is the rule's bound), and its table rows."""
+    title = visible_text(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
+    said = F.substring(visible_text(F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*?)</article>", 1)), 1, most)
+    details = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), visible_text)
+    return F.struct(title.alias("title"), gallery_urls(html, host).alias("urls"), said.alias("description"), details.alias("details"))
+
+
+def map_value(values: Column, *keys: str) -> Column:
+    """The value under the first of the keys that a map has, else 0."""
+    return F.coalesce(*(F.try_element_at(values, F.lit(k)) for k in keys), F.lit(0.0))
+
+
+def edited(reasons: Column, without: tuple[str, ...] = (), more: Column | None = None) -> Column:
+    """A list of reasons less some and with one more (if not null), sorted, each once."""
+    out = reasons
+    for r in without:
+        out = F.array_remove(out, r)
+    if more is not None:
+        out = F.array_compact(F.concat(out, F.array(more)))
+    return F.array_sort(F.array_distinct(out))
+
+
+def iso_time(at: Column) -> Column:
+    """A time in UTC as text, to the second."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def from_iso(text: Column) -> Column:
+    """The time that such a text tells (with an offset too), as a time without a zone in UTC; null if it tells none."""
+    return F.to_timestamp_ntz(F.date_format(F.to_utc_timestamp(F.try_to_timestamp(text), F.current_timezone()), "yyyy-MM-dd HH:mm:ss"))
+
+
+def money_text(amount: Column) -> Column:
+    """A dollar amount with thousands separators and two places, a hyphen if there is none."""
+    return F.coalesce(F.concat(F.lit("$"), F.format_number(amount, 2)), F.lit("-"))
+
+
+def escaped(text: Column) -> Column:
+    """Text as HTML: the five characters that mean something there are replaced, the ampersand first."""
+    out = text
+    for c, e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(c), F.lit(e))
+    return out
+
+
+def backoff(attempt: Column, draw: Column, base: float = 1500.0, most: float = 30000.0) -> Column:
+    """Milliseconds to wait before an attempt: doubled each time up to `most`, times 0.8 to 1.2 by a draw from 0 to 1."""
+    return F.round(F.least(F.lit(most), base * F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt - 1))) * (0.8 + draw * 0.4)).cast("long")

@@ -29,12 +29,38 @@ def ratio_matches(queries: DataFrame, references: DataFrame, ratio: float = 0.8)
     return near.select("q", F.get("near", F.lit(0))["r"].alias("r"), F.get("near", F.lit(0))["d"].alias("d1"), F.get("near", F.lit(1))["d"].alias("d2")).where(F.col("d1") < ratio * F.col("d2"))
 
 
-def pair_agreement(rows: DataFrame, threshold: float) -> DataFrame:
-    """(id, agreeing, conflicting): of each row (id, model, v) how many others of its model lie within a distance. Pairs are made once and counted for both."""
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.model") == F.col("b.model")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), (euclid(F.col("a.v"), F.col("b.v")) <= threshold).alias("near"))
-    both = pairs.select(F.explode(F.array("x", "y")).alias("id"), "near")
-    return both.groupBy("id").agg(F.count_if("near").alias("agreeing"), F.count_if(~F.col("near")).alias("conflicting"))
+#: Rows of one model that a block has, about; two blocks meet in one task.
+BLOCK = 512
+
+
+def pair_agreement(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(id, agreeing, conflicting): of each row (id, model, v) how many others of its model lie within a distance.
+
+    A model's rows are cut into blocks by a hash of the id; each two blocks are one group, compared as matrices and counted for both sides, so no
+    pair becomes a row and a group is bounded however many rows a model has. The work is still every pair of a model, by definition.
+    """
+    sizes = rows.groupBy("model").agg(F.count("*").alias("_n"))
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    dealt = rows.join(sizes.select("model", blocks.alias("_blocks")), "model").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    met = dealt.withColumn("_w", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    met = met.select("model", F.least("_b", "_w").alias("_low"), F.greatest("_b", "_w").alias("_high"), "_b", "id", "v")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        _, low, high = key
+        v = np.stack(pdf["v"].to_numpy()).astype(float)
+        side, near = pdf["_b"].to_numpy(), np.zeros(len(v), np.int64)
+        other = np.zeros(len(v), np.int64)
+        for i in range(0, len(v), 256):
+            d = np.sqrt(((v[i : i + 256, None] - v[None]) ** 2).sum(axis=2)) <= threshold
+            counts = side[i : i + 256, None] != side[None] if low != high else ~np.eye(len(v), dtype=bool)[i : i + 256]
+            near[i : i + 256], other[i : i + 256] = (d & counts).sum(axis=1), (~d & counts).sum(axis=1)
+        return pd.DataFrame({"id": pdf["id"], "agreeing": near, "conflicting": other})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    part = met.groupBy("model", "_low", "_high").applyInPandas(run, f"id {kind}, agreeing long, conflicting long")
+    return part.groupBy("id").agg(F.sum("agreeing").alias("agreeing"), F.sum("conflicting").alias("conflicting")).where("agreeing + conflicting > 0")
 
 
 def recommendation(agreeing: Column, conflicting: Column, least: int = 2) -> Column:
@@ -42,7 +68,7 @@ def recommendation(agreeing: Column, conflicting: Column, least: int = 2) -> Col
 
 
 def verification(score: Column, references: Column, confirm: float = 0.7, conflict: float = 0.42) -> Column:
-    return F.when(references == 0, "no_reference").when(score >= confirm, "confirmed").when(score < conflict, "reference_conflict").otherwise("uncertain")
+    return F.when(references == 0, "no_reference").when(score >= confirm, "reference_confirmed").when(score < conflict, "reference_conflict").otherwise("reference_uncertain")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -57,33 +83,141 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.95).otherwise(sequence_ratio(x, y))
 
 
+#: A catalog of more names than this isn't sent to all tasks.
+CATALOG = 100_000
+
+
 def best_names(candidates: DataFrame, catalog: DataFrame, least: float = 0.6) -> DataFrame:
-    """(name, model, similarity): of each name the most similar catalog model that shares its first token; names and models without one don't meet."""
-    first = lambda c: F.get(F.split(X.normalized(F.col(c)), " "), F.lit(0))
-    pairs = candidates.select("name", first("name").alias("t")).distinct().join(catalog.select("model", first("model").alias("t")).distinct(), "t")
-    scored = pairs.select("name", "model", name_similarity(F.col("name"), F.col("model")).alias("similarity")).where(F.col("similarity") >= least)
-    return scored.groupBy("name").agg(F.max_by(F.struct("model", "similarity"), F.struct(F.col("similarity"), F.col("model"))).alias("x")).select("name", "x.*")
+    """(name, model, similarity): of each distinct name the most similar of all catalog models, the first by name of equals; names without one of `least` aren't returned.
+
+    Similarity is that of the normalised texts as sequences, 0.92 at least if one contains the other. The catalog is a configured list, its size is checked; each
+    batch bounds all similarities by counts of characters first and compares only models whose bound can still win.
+    """
+    models = [r["model"] for r in catalog.where("model is not null").select("model").distinct().orderBy("model").limit(CATALOG + 1).collect()]
+    if len(models) > CATALOG:
+        raise ValueError(f"a catalog has at most {CATALOG} models")
+    if not models:
+        return candidates.select("name", F.lit(None).cast("string").alias("model"), F.lit(0.0).alias("similarity")).where(F.lit(False))
+    keys = [_plain(m) for m in models]
+    shared = candidates.sparkSession.sparkContext.broadcast((models, keys, _letters(keys)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        models, keys, letters = shared.value
+        length = np.array([len(k) for k in keys])
+        for pdf in batches:
+            out = []
+            for name in pdf["name"]:
+                text = _plain(name)
+                own = _letters([text])[0]
+                bound = 2 * np.minimum(letters, own).sum(axis=1) / np.maximum(length + len(text), 1)
+                bound = np.maximum(bound, [0.92 * (k in text or text in k) for k in keys])
+                best = (0.0, -1)
+                for k in np.argsort(-bound, kind="stable"):
+                    if bound[k] < max(best[0], least):
+                        break
+                    ratio = SequenceMatcher(None, text, keys[k]).ratio()
+                    if keys[k] in text or text in keys[k]:
+                        ratio = max(ratio, 0.92)
+                    if ratio > best[0] or (ratio == best[0] and k < best[1]):
+                        best = (ratio, int(k))
+                if best[0] >= least and best[1] >= 0:
+                    out.append((name, models[best[1]], best[0]))
+            yield pd.DataFrame(out, columns=["name", "model", "similarity"])
+
+    return candidates.where("name is not null").select("name").distinct().mapInPandas(run, "name string, model string, similarity double")
+
+
+def _plain(text: str) -> str:
+    """As functions.text.normalized, in Python."""
+    return " ".join("".join(c if c.isascii() and (c.isalnum() or c in "+- ") else " " for c in text.upper()).split())
+
+
+def _letters(texts: list[str]):
+    """How often each character stands in each text."""
+    import numpy as np
 
+    out = np.zeros((len(texts), 128), np.int16)
+    for row, text in zip(out, texts, strict=True):
+        np.add.at(row, np.frombuffer(text.encode(), np.uint8), 1)
+    return out
 
-def discovery(rows: DataFrame, allowed: tuple[str, ...], least: float = 0.5) -> DataFrame:
+
+def identified(items: DataFrame, catalog: DataFrame) -> DataFrame:
+    """text, confidence, source, stated_text, confirmation of each item from candidate names in its listing and in its images: the whole chain.
+
+    items are (item_id, listing, visual), the latter two arrays of names in order. Of an item's names on one side the one counts that is most like a catalog model; of
+    equals the more specific, then the earlier one. Names of generic tokens alone don't count. catalog is (model).
+    """
+    sides = {"listing": items.select("item_id", F.posexplode("listing").alias("pos", "name")), "visual": items.select("item_id", F.posexplode("visual").alias("pos", "name"))}
+    names = sides["listing"].select("name").union(sides["visual"].select("name"))
+    # below 0.60 a match isn't used, but the name that was nearest is still what a listing says
+    known = best_names(names, catalog, 1e-9)
+    out = items.select("item_id")
+    for side, rows in sides.items():
+        s = X.specificity(F.col("name"))
+        scored = rows.where(~X.only_generic(F.col("name"))).join(known, "name").select("item_id", F.struct("similarity", s["points"], s["length"], (-F.col("pos")).alias("p")).alias("by"), F.struct("name", "model", "similarity").alias("r"))
+        best = scored.groupBy("item_id").agg(F.max_by("r", "by").alias("r"))
+        out = out.join(best.select("item_id", F.col("r.name").alias(f"{side}_raw"), F.col("r.model").alias(f"{side}_key"), F.col("r.similarity").alias(f"{side}_score")), "item_id", "left").withColumn(f"{side}_score", F.coalesce(f"{side}_score", F.lit(0.0)))
+    used = lambda side: F.coalesce(F.when(F.col(f"{side}_score") >= 0.60, F.col(f"{side}_key")), F.col(f"{side}_raw"))
+    a, b = used("listing"), used("visual")
+    both = a.isNotNull() & b.isNotNull()
+    return out.withColumns({"agreement": F.when(both, name_similarity(a, b)).otherwise(F.lit(0.0)), "conflict": both & X.models_conflict(a, b)})
+
+
+def source_type(host: Column, domains: dict[str, tuple[str, ...]], marketplaces: tuple[str, ...] = ()) -> Column:
+    """The first type of source whose domains a host belongs to, "ebay" for any marketplace, null for others."""
+    out = F.coalesce(*(F.when(X.domain_matches(host, own), name) for name, own in domains.items()), F.when(X.domain_matches(host, marketplaces), "ebay"))
+    return out
+
+
+def discovery(rows: DataFrame, allowed: tuple[str, ...], least: float = 0.6) -> DataFrame:
     """Rows (id, model, title, page_url, image_url) with ratio and rejection: the first reason that holds, null if accepted.
 
-    Only rows without another fault count as the first of an image.
+    A model's tokens may stand in the title or in either address. Only rows without another fault count as the first of an image.
     """
-    ratio = X.token_overlap(F.col("model"), F.col("title"))
+    ratio = X.token_overlap(F.col("model"), F.concat_ws(" ", "title", "page_url", "image_url"))
     host = X.url_host(F.col("page_url"))
-    fault = F.when(F.col("page_url").isNull() | F.col("image_url").isNull() | F.col("model").isNull(), "missing_field").when(~X.domain_matches(host, allowed), "source_domain").when(ratio < least, "model_evidence").when(~F.col("image_url").rlike("^https?://"), "image_scheme")
+    fault = F.when(F.col("page_url").isNull() | F.col("image_url").isNull() | F.col("model").isNull(), "missing_required_fields").when(~X.domain_matches(host, allowed), "unapproved_domain").when(ratio < least, "insufficient_model_evidence").when(~F.col("image_url").rlike("^https?://"), "unsupported_image_url")
     out = rows.withColumn("ratio", ratio).withColumn("_f", fault)
     w = Window.partitionBy(X.model_key(F.col("model")), "image_url", F.col("_f").isNull()).orderBy("id")
     out = out.withColumn("_n", F.row_number().over(w))
     return out.withColumn("rejection", F.coalesce("_f", F.when(F.col("_n") > 1, "duplicate_image_url"))).drop("_f", "_n")
 
 
+# What still needs references, what is searched for, and where.
+OPEN_STATUSES = ("no_reference", "reference_conflict", "reference_uncertain")
+REVIEWED_STATUSES = ("reference_conflict", "reference_uncertain")
+SEARCHES = ('"{}" motherboard official product image', '"{}" motherboard review high resolution', '"{}" motherboard ebay')
+SOURCES = ("manufacturer", "review_site", "ebay")
+REQUIRED_FIELDS = ("page_url", "image_url", "title")
+
+
 def gap_queue(verified: DataFrame, identified: DataFrame) -> DataFrame:
-    """(item_id, model, status, queries): items of a known model whose references don't settle it, with search texts."""
-    out = verified.join(identified, "item_id", "left").withColumn("model", F.coalesce("board", "model")).where(F.col("model").isNotNull() & F.col("status").isin("no_reference", "uncertain"))
-    texts = F.array(F.concat("model", F.lit(" motherboard top view")), F.concat("model", F.lit(" board layout")), F.concat("model", F.lit(" official product image")))
-    return out.select("item_id", "model", "status", texts.alias("queries"))
+    """(item_id, model, status, identity_score, queries, sources, next_action, human_review): items of a known model whose references don't settle it.
+
+    verified is (item_id, model, status, identity_score), identified (item_id, board); the board's name counts before the model.
+    """
+    out = verified.join(identified, "item_id", "left").withColumn("model", F.coalesce("board", "model")).where(F.col("model").isNotNull() & F.col("status").isin(*OPEN_STATUSES))
+    texts = F.array(*(F.concat(*(F.lit(part) if part else F.col("model") for part in (t.split("{}")[0], "", t.split("{}")[1]))) for t in SEARCHES))
+    return out.select("item_id", "model", "status", F.coalesce("identity_score", F.lit(0.0)).alias("identity_score"), texts.alias("queries"), F.array(*map(F.lit, SOURCES)).alias("sources"), F.lit("collect_reference_candidates").alias("next_action"), F.col("status").isin(*REVIEWED_STATUSES).alias("human_review"))
+
+
+def gap_order() -> list[Column]:
+    """What a person must look at first, then by model and item."""
+    return [(~F.col("human_review")).asc(), F.col("model"), F.col("item_id")]
+
+
+def discovery_requests(queue: DataFrame, most: int = 8) -> DataFrame:
+    """(item_id, model, query, maximum_results, required_fields): a request for each search of the gap queue."""
+    return queue.select("item_id", "model", F.explode("queries").alias("query"), F.lit(most).alias("maximum_results"), F.array(*map(F.lit, REQUIRED_FIELDS)).alias("required_fields"))
+
+
+def with_models(results: DataFrame, queue: DataFrame) -> DataFrame:
+    """results (item_id, model) with the queue's model where they have none of their own; the last of an item's in the queue counts."""
+    known = queue.groupBy("item_id").agg(F.max("model").alias("_m"))
+    return results.join(known, "item_id", "left").withColumn("model", F.coalesce(X.nonempty(F.col("model")), "_m")).drop("_m")
 
 
 def greedy_clusters(rows: DataFrame, key: str, reach: float) -> DataFrame:

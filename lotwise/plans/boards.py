@@ -57,7 +57,7 @@ def market_interval(t):
     return B.market_interval(rows).select("p_partkey", *r6(*(f"{what}_{n}" for n, _ in _POINTS for what in ("value", "profit", "max_bid"))))
 
 
-@query(f"WITH {_EMB}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY id) AS n FROM e WHERE id % 5 = 1) WHERE n <= 8 AND id % 2 = 0), i AS (SELECT id // 3 AS item_id, model, v FROM e), p AS (SELECT i.item_id, f.id AS reference, coalesce(1 / (1 + list_distance(i.v, f.v)), 0) AS score FROM i LEFT JOIN f USING (model)), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, reference) AS n FROM p) WHERE n = 1) SELECT item_id, reference, round(score, 4) AS score, CASE WHEN reference IS NULL THEN 'no_reference' WHEN score >= 0.7 THEN 'confirmed' WHEN score < 0.42 THEN 'reference_conflict' ELSE 'uncertain' END AS status FROM b")
+@query(f"WITH {_EMB}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY id) AS n FROM e WHERE id % 5 = 1) WHERE n <= 8 AND id % 2 = 0), i AS (SELECT id // 3 AS item_id, model, v FROM e), p AS (SELECT i.item_id, f.id AS reference, coalesce(1 / (1 + list_distance(i.v, f.v)), 0) AS score FROM i LEFT JOIN f USING (model)), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, reference) AS n FROM p) WHERE n = 1) SELECT item_id, reference, round(score, 4) AS score, CASE WHEN reference IS NULL THEN 'no_reference' WHEN score >= 0.7 THEN 'reference_confirmed' WHEN score < 0.42 THEN 'reference_conflict' ELSE 'reference_uncertain' END AS status FROM b")
 def best_reference(t):
     e = features(t)
     refs = e.where("id % 5 = 1").select(F.col("id").alias("reference"), "model", "v", (F.col("id") % 2 == 0).alias("approved"))
@@ -73,13 +73,14 @@ def candidate_manifest(t):
     return B.candidate_manifest(queue, t("lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("item_id")))
 
 
-@query("WITH v AS (SELECT p_partkey AS item_id, ['no_reference', 'uncertain', 'confirmed', 'reference_conflict'][p_partkey % 4 + 1] AS status, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS model FROM part), i AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS board FROM part WHERE p_partkey % 2 = 0), g AS (SELECT item_id, status, coalesce(board, model) AS model FROM v LEFT JOIN i USING (item_id)) SELECT item_id, model, status, concat(model, ' motherboard top view|', model, ' board layout|', model, ' official product image') AS queries FROM g WHERE model IS NOT NULL AND status IN ('no_reference', 'uncertain')")
+@query("SELECT item_id, coalesce(board, own) AS model, status, concat('\"', coalesce(board, own), '\" motherboard official product image') AS first_query, status <> 'no_reference' AS human_review FROM (SELECT cast(c_custkey AS varchar) AS item_id, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END AS own, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS board, ['no_reference', 'reference_conflict', 'reference_confirmed', 'model_unknown'][c_nationkey % 4 + 1] AS status FROM customer) WHERE coalesce(board, own) IS NOT NULL AND status IN ('no_reference', 'reference_conflict', 'reference_uncertain')")
 def gap_queue(t):
-    k = F.col("p_partkey")
-    status = F.get(F.array(*map(F.lit, ("no_reference", "uncertain", "confirmed", "reference_conflict"))), (k % 4).cast("int"))
-    verified = t("part").select(k.alias("item_id"), status.alias("status"), F.when(k % 3 > 0, F.col("p_type")).alias("model"))
-    identified = t("part").where("p_partkey % 2 = 0").select(k.alias("item_id"), F.when(k % 5 > 0, F.col("p_name")).alias("board"))
-    return R.gap_queue(verified, identified).select("item_id", "model", "status", F.concat_ws("|", "queries").alias("queries"))
+    c = t("customer")
+    item = F.col("c_custkey").cast("string").alias("item_id")
+    status = F.get(F.array(*map(F.lit, ("no_reference", "reference_conflict", "reference_confirmed", "model_unknown"))), (F.col("c_nationkey") % 4).cast("int"))
+    verified = c.select(item, F.when(F.col("c_custkey") % 4 > 0, F.col("c_mktsegment")).alias("model"), status.alias("status"), F.lit(0.5).alias("identity_score"))
+    identified = c.select(item, F.when(F.col("c_custkey") % 3 > 0, F.col("c_name")).alias("board"))
+    return R.gap_queue(verified, identified).select("item_id", "model", "status", F.get("queries", F.lit(0)).alias("first_query"), "human_review")
 
 
 @query()

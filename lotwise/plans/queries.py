@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
+from ..operators import boards as M
 from ..operators import evidence as E
 from ..operators import references as R
+from ..operators import registry as N
+from ..operators import report as P
 from ..operators import tables as B
 from ..operators import value as V
 
@@ -39,13 +42,14 @@ ROLES = {"cooler": "cooler", "installed": "visible_cpu", "empty": "empty_socket"
 
 def detections(t) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    label = F.coalesce(*(F.when(F.col("event_type") == e, x) for e, x in LABELS.items()), F.lit("bent_pins"))
+    part = F.when((F.col("event_type") == "click") & (k % 4 == 3), "ram_dimm").when((F.col("event_type") == "view") & (k % 4 == 3), "nvme")
+    label = F.coalesce(part, *(F.when(F.col("event_type") == e, x) for e, x in LABELS.items()), F.lit("bent_pins"))
     d = t("events").select(F.expr("cast(event_id div 6 as string)").alias("item_id"), F.col("event_id").alias("pos"), label.alias("label"), F.least(F.lit(1.0), F.col("value") / 150).alias("score"), (k % 5).alias("image_index"), ((k * 7) % 100).cast("double").alias("x1"), ((F.col("event_id") * 13) % 100).cast("double").alias("y1"), (k % 60 + 20).alias("w"), (F.col("event_id") % 60 + 20).alias("h"))
     return d.withColumn("x2", F.col("x1") + F.col("w")).withColumn("y2", F.col("y1") + F.col("h")).drop("w", "h")
 
 
 DET = """det AS (SELECT *, x1 + w AS x2, y1 + h AS y2 FROM (SELECT cast(event_id // 6 AS varchar) AS item_id, event_id AS pos,
- CASE event_type WHEN 'click' THEN 'visible_cpu' WHEN 'view' THEN 'empty_socket' WHEN 'purchase' THEN 'cooler' WHEN 'signup' THEN 'socket_cover' ELSE 'bent_pins' END AS label,
+ CASE WHEN event_type = 'click' AND k % 4 = 3 THEN 'ram_dimm' WHEN event_type = 'view' AND k % 4 = 3 THEN 'nvme' ELSE CASE event_type WHEN 'click' THEN 'visible_cpu' WHEN 'view' THEN 'empty_socket' WHEN 'purchase' THEN 'cooler' WHEN 'signup' THEN 'socket_cover' ELSE 'bent_pins' END END AS label,
  least(1.0, value / 150) AS score, k % 5 AS image_index, cast((k * 7) % 100 AS double) AS x1, cast((event_id * 13) % 100 AS double) AS y1, k % 60 + 20 AS w, event_id % 60 + 20 AS h
  FROM (SELECT *, cast(regexp_extract(props, '([0-9]+)', 1) AS int) AS k FROM events)))"""
 EV = DET + """, img AS (SELECT item_id, label, image_index, max(score) AS m, count(*) AS n FROM det GROUP BY ALL),
@@ -63,11 +67,17 @@ state AS (SELECT *, ['empty_socket_likely','socket_cover_likely','unclear','cool
  [0, -60][1] * 0 + CASE WHEN b IN (0, 5, 8) THEN -100 WHEN b = 1 THEN -60 WHEN b IN (3, 6) THEN 100 WHEN b IN (4, 7) THEN 80 ELSE 0 END - CASE WHEN damaged THEN 100 ELSE 0 END AS value_score,
  concat_ws(',', CASE WHEN b = 0 AND cooler_score >= 0.46 THEN 'cooler_evidence_rejected_by_empty_socket' END, CASE WHEN b = 1 AND cooler_score >= 0.46 THEN 'cooler_evidence_rejected_by_socket_cover' END,
  CASE WHEN b = 2 THEN 'conflicting_socket_evidence' END, CASE WHEN b = 9 THEN 'socket_state_unclear' END, CASE WHEN damaged THEN 'possible_physical_damage' END) AS reasons FROM br)""".replace("[0, -60][1] * 0 + ", "")
-VALUE = STATE + """, lst AS (SELECT cast(o_orderkey AS varchar) AS item_id, o_orderkey AS pos, concat('ASUS ', ['Z390','B450','H110'][o_orderkey % 3 + 1], ' board') AS title, round(o_totalprice / 1000, 2) AS current_bid, 18.0 AS shipping FROM orders),
-val0 AS (SELECT l.*, s.cpu_state, s.cpu_confidence, s.damaged, s.reasons <> '' AS needs_review, 35.0 + CASE WHEN cpu_state IN ('cooler_attached_cpu_highly_likely', 'visible_cpu_likely') THEN 70 ELSE 0 END + CASE WHEN cpu_state = 'cooler_attached_cpu_highly_likely' THEN 25 ELSE 0 END + CASE WHEN o.pos % 3 = 0 THEN 35 ELSE 0 END AS gross,
- CASE WHEN cpu_state = 'unclear' THEN 20 ELSE 0 END + CASE WHEN damaged THEN 80 ELSE 0 END + CASE WHEN cpu_state = 'socket_cover_likely' THEN 5 ELSE 0 END AS risk FROM lst l JOIN state s USING (item_id) JOIN lst o USING (item_id)),
-val1 AS (SELECT *, greatest(0.0, gross - risk) AS net, current_bid + shipping AS cost, least(1.0, cpu_confidence * CASE WHEN needs_review THEN 0.75 ELSE 1 END) AS confidence FROM val0),
-val AS (SELECT *, net - cost AS profit, greatest(0.0, least(net - shipping - 60, CASE WHEN net > shipping THEN (net - shipping) / 1.35 ELSE 0 END)) AS max_bid FROM val1),
+CLIP = "CASE WHEN cooler_score >= 0.62 AND cooler_score > greatest(empty_score, cover_score) + 0.08 THEN 'cooler_attached_cpu_highly_likely' WHEN installed_score >= 0.68 AND installed_score > empty_score + 0.08 THEN 'visible_cpu_likely' WHEN empty_score >= 0.66 AND empty_score > installed_score + 0.08 THEN 'empty_socket_likely' WHEN cover_score >= 0.66 THEN 'socket_cover_likely' ELSE 'unclear' END"
+VALUE = STATE + f""", mx AS (SELECT item_id, max(m) AS top, coalesce(max(CASE WHEN label = 'ram_dimm' THEN m END), 0) AS ram, coalesce(max(CASE WHEN label = 'nvme' THEN m END), 0) AS nvme FROM img GROUP BY item_id),
+lst AS (SELECT cast(o_orderkey AS varchar) AS item_id, o_orderkey AS pos, concat('ASUS ', ['Z390','B450','H110'][o_orderkey % 3 + 1], ' board') AS title, round(o_totalprice / 1000, 2) AS current_bid, [18.0, 12.0, 7.5][o_orderkey % 3 + 1] AS shipping FROM orders),
+val0 AS (SELECT l.*, cpu_state, CASE WHEN pos % 11 > 0 THEN cpu_confidence END AS own, top, concat_ws(',', nullif(reasons, ''), CASE WHEN {CLIP} <> cpu_state THEN 'detector_disagreement' END) AS why,
+ cpu_state IN ('cooler_attached_cpu_highly_likely', 'visible_cpu_likely') AS has_cpu, cpu_state = 'cooler_attached_cpu_highly_likely' AS has_cooler, ram >= 0.38 AS has_ram, nvme >= 0.38 AS has_nvme, pos % 3 = 0 AS premium, damaged OR damage_score >= 0.38 AS hurt FROM lst l JOIN state USING (item_id) JOIN mx USING (item_id)),
+val1 AS (SELECT *, 35.0::double + CASE WHEN has_cpu THEN 70 ELSE 0 END + CASE WHEN has_cooler THEN 25 ELSE 0 END + CASE WHEN has_ram THEN 30 ELSE 0 END + CASE WHEN has_nvme THEN 25 ELSE 0 END + CASE WHEN premium THEN 35 ELSE 0 END AS gross,
+ concat_ws(',', 'motherboard', CASE WHEN has_cpu THEN 'cpu' END, CASE WHEN has_cooler THEN 'cooler_cpu_bonus' END, CASE WHEN has_ram THEN 'ram' END, CASE WHEN has_nvme THEN 'nvme' END, CASE WHEN premium THEN 'premium_chipset' END) AS parts,
+ CASE WHEN cpu_state = 'unclear' THEN 20 ELSE 0 END + CASE WHEN contains(why, 'detector_disagreement') THEN 25 ELSE 0 END + CASE WHEN hurt THEN 80 ELSE 0 END + CASE WHEN cpu_state = 'socket_cover_likely' THEN 5 ELSE 0 END AS risk,
+ why <> '' AS needs_review, concat_ws(',', CASE cpu_state WHEN 'cooler_attached_cpu_highly_likely' THEN 'cooler_attached' WHEN 'visible_cpu_likely' THEN 'cpu_visible' WHEN 'empty_socket_likely' THEN 'empty_socket' WHEN 'socket_cover_likely' THEN 'socket_cover' END, nullif(array_to_string(list_sort(list_distinct(string_split(why, ','))), ','), '')) AS reasons FROM val0),
+val2 AS (SELECT *, greatest(0.0::double, gross - risk) AS net, current_bid + shipping AS cost, least(1.0, coalesce(own, top) * CASE WHEN needs_review THEN 0.75 ELSE 1 END) AS confidence FROM val1),
+val AS (SELECT *, net - cost AS profit, greatest(0.0, least(net - shipping - 60, CASE WHEN net > shipping THEN (net - shipping) / 1.35 ELSE 0 END)) AS max_bid FROM val2),
 rec AS (SELECT *, CASE WHEN confidence < 0.75 THEN 'review' WHEN current_bid <= max_bid AND profit > 0 THEN 'bid' ELSE 'pass' END AS recommendation FROM val)"""
 
 
@@ -75,16 +85,24 @@ def states(t) -> DataFrame:
     return E.fused_state(E.labelled(E.evidence(detections(t)), ROLES))
 
 
+def disagreeing(rows: DataFrame) -> DataFrame:
+    """States with the reason that a second detector, which looks at the same scores, sees another state."""
+    other = E.clip_state(*(F.col(f"{k}_score") for k in ("cooler", "installed", "empty", "cover")), F.lit(0.0), F.lit(0.0))["state"]
+    why = F.when(other != F.col("cpu_state"), F.concat("review_reasons", F.array(F.lit("detector_disagreement")))).otherwise(F.col("review_reasons"))
+    return rows.withColumn("review_reasons", why).withColumn("needs_review", F.size("review_reasons") > 0)
+
+
 def listings(t) -> DataFrame:
     o = t("orders")
-    chip = F.get(F.array(*map(F.lit, ("Z390", "B450", "H110"))), (F.col("o_orderkey") % 3).cast("int"))
-    card = F.concat(F.lit("Current Price $"), F.format_string("%.2f", F.round(F.col("o_totalprice") / 1000, 2)))
-    return o.select(F.col("o_orderkey").cast("string").alias("item_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("ASUS "), chip, F.lit(" board")).alias("title"), card.alias("card"))
+    pick = lambda *x: F.get(F.array(*map(F.lit, x)), (F.col("o_orderkey") % 3).cast("int"))
+    card = F.concat(F.lit("Current Price $"), F.format_string("%.2f", F.round(F.col("o_totalprice") / 1000, 2)), pick("", " Ship: 12", " Shipping $7.50 flat"))
+    return o.select(F.col("o_orderkey").cast("string").alias("item_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("ASUS "), pick("Z390", "B450", "H110"), F.lit(" board")).alias("title"), card.alias("card"))
 
 
 def values(t) -> DataFrame:
     own = listings(t).withColumn("current_bid", X.money(F.col("card"))).withColumn("shipping", X.shipping(F.col("card")))
-    return V.estimate(own.join(states(t).select("item_id", "cpu_state", "cpu_confidence", "damaged", "needs_review"), "item_id"))
+    rows = own.join(disagreeing(states(t)).select("item_id", "cpu_state", "cpu_confidence", "review_reasons", "needs_review", "damage_score", "maxima"), "item_id")
+    return V.estimate(rows.withColumn("cpu_confidence", F.when(F.col("pos") % 11 > 0, F.col("cpu_confidence"))))
 
 
 def r6(*names: str) -> list:
@@ -106,9 +124,9 @@ def best_crop_argmax(t):
     return E.best_detection(detections(t)).select("item_id", "image_index", "label", "pos")
 
 
-@query(f"WITH {DET} SELECT pos FROM det WHERE (x2 - x1) * (y2 - y1) / 40000.0 BETWEEN CASE label WHEN 'cooler' THEN 0.05 WHEN 'empty_socket' THEN 0.02 ELSE 0.0008 END AND 0.1")
+@query(f"WITH {DET} SELECT pos FROM det WHERE (x2 - x1) * (y2 - y1) / 40000.0 BETWEEN CASE label WHEN 'cooler' THEN 0.05 WHEN 'empty_socket' THEN 0.02 ELSE 0.0008 END AND 0.1 AND (label <> 'cooler' OR (x2 - x1 <= 70 AND y2 - y1 <= 60))")
 def geometry_filter(t):
-    return E.geometry_filter(detections(t), 200.0, 200.0, 0.0008, 0.1, {"cooler": 0.05, "empty_socket": 0.02}).select("pos")
+    return E.geometry_filter(detections(t), 200.0, 200.0, 0.0008, 0.1, {"cooler": 0.05, "empty_socket": 0.02}, (("cooler",), 0.35, 0.3)).select("pos")
 
 
 @query(f"WITH {DET}, th(label, threshold) AS (VALUES ('cooler', 0.3), ('visible_cpu', 0.4), ('bent_pins', 0.5)) SELECT pos, label FROM det JOIN th USING (label) WHERE score >= threshold")
@@ -132,10 +150,11 @@ def fused_state(t):
     return states(t).select("item_id", "cpu_state", *r6("cpu_confidence"), "value_score", F.concat_ws(",", "review_reasons").alias("reasons"), "damaged")
 
 
-@query(f"WITH {STATE} SELECT item_id, CASE WHEN cooler_score >= 0.62 AND cooler_score > greatest(empty_score, cover_score) + 0.08 THEN 'cooler_attached_cpu_highly_likely' WHEN installed_score >= 0.68 AND installed_score > empty_score + 0.08 THEN 'visible_cpu_likely' WHEN empty_score >= 0.66 AND empty_score > installed_score + 0.08 THEN 'empty_socket_likely' WHEN cover_score >= 0.66 THEN 'socket_cover_likely' ELSE 'unclear' END AS clip_state FROM wide")
+@query(f"WITH {STATE}, c AS (SELECT *, {CLIP} AS clip_state, socket AS ram, drive AS nvme FROM (SELECT *, cover_score AS socket, damage_score AS drive FROM wide)) SELECT item_id, clip_state, CASE clip_state WHEN 'cooler_attached_cpu_highly_likely' THEN 100 WHEN 'visible_cpu_likely' THEN 80 WHEN 'empty_socket_likely' THEN -100 WHEN 'socket_cover_likely' THEN -60 ELSE 0 END + CASE WHEN ram >= 0.6 THEN 35 ELSE 0 END + CASE WHEN nvme >= 0.6 THEN 25 ELSE 0 END AS score FROM c")
 def clip_state(t):
     w = E.labelled(E.evidence(detections(t)), ROLES)
-    return w.select("item_id", E.clip_state(*(F.col(f"{k}_score") for k in ("cooler", "installed", "empty", "cover"))).alias("clip_state"))
+    found = E.clip_state(*(F.col(f"{k}_score") for k in ("cooler", "installed", "empty", "cover", "cover", "damage")))
+    return w.select("item_id", found["state"].alias("clip_state"), found["score"].alias("score"))
 
 
 @query(f"WITH {EV}, s AS (SELECT item_id, max(score) AS top, sum(score) AS total, count(*) AS n FROM ev WHERE label IN ('empty_socket', 'socket_cover', 'bent_pins') GROUP BY item_id), i AS (SELECT item_id, count(DISTINCT image_index) AS k FROM det WHERE label IN ('empty_socket', 'socket_cover', 'bent_pins') GROUP BY item_id) SELECT item_id, round(least(1.0, top + CASE WHEN n > 1 THEN 0.18 * (total - top) / (n - 1) + 0.05 * least(2, n - 1) ELSE 0 END + CASE WHEN k > 1 THEN 0.05 * least(2, k - 1) ELSE 0 END), 9) AS cue_score, k AS cue_images FROM s JOIN i USING (item_id)")
@@ -144,16 +163,23 @@ def cue_fusion(t):
     return E.cue_fusion(E.evidence(d), d, ("empty_socket", "socket_cover", "bent_pins")).select("item_id", F.round("cue_score", 9).alias("cue_score"), "cue_images")
 
 
-@query(f"WITH {EV} SELECT item_id, round(max(score), 6) AS damage_score FROM ev WHERE label = 'bent_pins' AND score >= 0.58 AND distinct_images >= 2 GROUP BY item_id")
+@query(f"WITH {EV} SELECT item_id, round(max(score), 6) AS damage_score, array_to_string(list_sort(list(label)), ',') AS labels FROM ev WHERE label IN ('bent_pins', 'socket_cover') AND score >= 0.58 AND distinct_images >= 2 GROUP BY item_id")
 def damage_gate(t):
-    ev = E.evidence(detections(t)).where("label = 'bent_pins' and score >= 0.58 and distinct_images >= 2")
-    return ev.groupBy("item_id").agg(F.round(F.max("score"), 6).alias("damage_score"))
+    return E.damage_gate(E.evidence(detections(t)), ("bent_pins", "socket_cover")).select("item_id", *r6("damage_score"), F.concat_ws(",", "damage_labels").alias("labels"))
+
 
+_CONTEXT = """j AS (SELECT s.*, o_orderkey % 4 AS m, CASE WHEN installed_score < 0.9 THEN installed_score * 0.9::double ELSE 0.95 END AS exposed FROM state s JOIN orders ON s.item_id = cast(o_orderkey AS varchar)),
+c AS (SELECT *, CASE WHEN m = 3 AND cpu_state = 'unclear' THEN 1 WHEN m IN (0, 2) AND cpu_state = 'unclear' AND exposed >= 0.3 THEN 2 WHEN m = 1 AND cpu_state = 'socket_cover_likely' AND cover_score >= 0.5 AND empty_score < cover_score THEN 3 ELSE 0 END AS x FROM j),
+n AS (SELECT *, list_filter(string_split(reasons, ','), lambda r: r <> '' AND (x NOT IN (1, 2) OR r <> 'socket_state_unclear')) AS kept, ['cooler_supported_by_listing_title', 'intel_empty_socket_supported_by_platform_context', 'amd_socket_cover_reinterpreted_as_empty_socket'][x] AS note FROM c)"""
 
-@query(f"WITH {STATE}, j AS (SELECT s.*, l.o_orderkey % 3 AS m FROM state s JOIN orders l ON s.item_id = cast(l.o_orderkey AS varchar)), c AS (SELECT *, CASE WHEN m IN (0, 2) AND cpu_state = 'unclear' AND empty_score >= 0.3 THEN 2 WHEN m = 1 AND cpu_state = 'socket_cover_likely' AND cover_score >= 0.5 THEN 3 ELSE 0 END AS x FROM j) SELECT item_id, CASE WHEN x > 1 THEN 'empty_socket_likely' ELSE cpu_state END AS cpu_state, round(CASE x WHEN 2 THEN empty_score WHEN 3 THEN cover_score ELSE cpu_confidence END, 6) AS cpu_confidence, value_score + CASE x WHEN 2 THEN -100 WHEN 3 THEN -40 ELSE 0 END AS value_score FROM c")
+
+@query(f"WITH {STATE}, {_CONTEXT} SELECT item_id, CASE WHEN x = 1 THEN 'cooler_attached_cpu_highly_likely' WHEN x > 1 THEN 'empty_socket_likely' ELSE cpu_state END AS cpu_state, round(CASE x WHEN 1 THEN greatest(cpu_confidence, 0.62) WHEN 2 THEN exposed WHEN 3 THEN cover_score ELSE cpu_confidence END, 6) AS cpu_confidence, value_score + CASE x WHEN 1 THEN 100 WHEN 2 THEN -100 WHEN 3 THEN -40 ELSE 0 END AS value_score, array_to_string(list_sort(list_distinct(CASE WHEN note IS NULL THEN kept ELSE list_append(kept, note) END)), ',') AS reasons, CASE WHEN x = 2 THEN exposed < 0.58 WHEN x > 0 THEN true ELSE reasons <> '' END AS needs_review FROM n")
 def context_adjust(t):
-    rows = states(t).join(listings(t).select("item_id", "title"), "item_id")
-    return E.context_adjusted(rows, weak_empty=0.3).select("item_id", "cpu_state", *r6("cpu_confidence"), "value_score")
+    name = F.get(F.array(*map(F.lit, ("ASUS Z390", "MSI B450", "ASROCK H110", "ASUS board with cpu fan"))), (F.col("o_orderkey") % 4).cast("int"))
+    named = t("orders").select(F.col("o_orderkey").cast("string").alias("item_id"), name.alias("title"))
+    exposed = F.when(F.col("installed_score") < 0.9, F.col("installed_score") * 0.9).otherwise(0.95)
+    rows = states(t).withColumn("exposed_score", exposed).join(named, "item_id")
+    return E.context_adjusted(rows, weak_empty=0.3).select("item_id", "cpu_state", *r6("cpu_confidence"), "value_score", F.concat_ws(",", "review_reasons").alias("reasons"), "needs_review")
 
 
 @query(f"WITH {DET} SELECT DISTINCT a.pos FROM det a JOIN det b ON a.item_id = b.item_id AND a.image_index = b.image_index AND a.label = 'cooler' AND b.label IN ('visible_cpu', 'bent_pins') WHERE greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) >= 0.35 * least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1))")
@@ -171,9 +197,9 @@ def nms_keep(t):
     return E.suppressed(detections(t), 0.3).select("item_id", "image_index", "pos")
 
 
-@query(f"WITH {VALUE} SELECT item_id, round(gross, 6) AS gross, round(net, 6) AS net, round(profit, 6) AS profit, round(max_bid, 6) AS max_bid, recommendation FROM rec")
+@query(f"WITH {VALUE} SELECT item_id, round(gross, 6) AS gross, cast(risk AS double) AS risk, round(net, 6) AS net, round(cost, 6) AS cost, round(profit, 6) AS profit, round(profit / cost, 6) AS roi, round(max_bid, 6) AS max_bid, round(confidence + 1e-9, 6) AS confidence, recommendation, parts, reasons FROM rec")
 def value_estimate(t):
-    return values(t).select("item_id", *r6("gross", "net", "profit", "max_bid"), "recommendation")
+    return values(t).select("item_id", *r6("gross", "risk", "net", "cost", "profit", "roi", "max_bid"), F.round(F.col("confidence") + 1e-9, 6).alias("confidence"), "recommendation", F.concat_ws(",", F.map_keys("breakdown")).alias("parts"), F.concat_ws(",", "reasons").alias("reasons"))
 
 
 @query(f"WITH {VALUE} SELECT item_id, recommendation, rank FROM (SELECT *, row_number() OVER (PARTITION BY recommendation ORDER BY CASE WHEN recommendation = 'bid' THEN 0 ELSE 1 END, profit DESC, confidence DESC, pos) AS rank FROM rec) WHERE rank <= 20")
@@ -191,9 +217,30 @@ def daily_summary(t):
     return B.summary(values(t), ["recommendation"]).select("recommendation", F.col("samples").alias("n"), *r6("mean_confidence", "review_rate"))
 
 
-@query(f"WITH {VALUE} SELECT item_id FROM rec WHERE profit >= -60 AND confidence >= 0.5 AND max_bid <= 100")
+_RUN = "run AS (SELECT count(*) FILTER (WHERE event_type = 'error' AND value > 100) AS se, count(*) FILTER (WHERE event_type = 'error' AND value <= 100) AS ge, avg(value) > 40 AS rb FROM events)"
+
+
+def run_report(t) -> DataFrame:
+    e, v = F.col("event_type") == "error", F.col("value")
+    return t("events").agg(F.count_if(e & (v > 100)).alias("search_errors"), F.count_if(e & (v <= 100)).alias("gallery_errors"), F.lit(0).alias("image_download_errors"), (F.avg("value") > 40).alias("rollback_recommended"), F.array(F.lit("confidence_drop")).alias("rollback_reasons"), F.lit("completed").alias("status"), F.count("*").alias("listings_found"), F.countDistinct("user_id").alias("processed"))
+
+
+@query(f"WITH {VALUE}, {_RUN} SELECT 'bid_candidate' AS type, item_id, round(profit, 6) AS profit, round(max_bid, 6) AS max_bid, NULL AS detail FROM rec WHERE recommendation = 'bid' AND profit >= 20 AND confidence >= 0.8 AND max_bid <= 90 UNION ALL SELECT 'model_drift', NULL, NULL, NULL, 'confidence_drop' FROM run WHERE rb UNION ALL SELECT 'crawler_errors', NULL, NULL, NULL, cast(se + ge AS varchar) FROM run WHERE se + ge > 0")
 def alerts(t):
-    return values(t).where("profit >= -60 and confidence >= 0.5 and max_bid <= 100").select("item_id")
+    found = P.alerts(values(t), run_report(t), 20.0, 0.8, 90.0)
+    return found.select("type", "item_id", *r6("profit", "max_bid"), "detail")
+
+
+@query(f"WITH {VALUE}, {_RUN} SELECT 'completed' AS status, (SELECT count(*) FROM events) AS listings_found, (SELECT count(DISTINCT user_id) FROM events) AS processed, count(*) FILTER (WHERE recommendation = 'bid') AS bid_candidates, count(*) FILTER (WHERE recommendation = 'review') AS review_candidates, (SELECT se + ge <= 3 FROM run) AS healthy FROM rec")
+def report_overview(t):
+    healthy = run_report(t).select((F.col("search_errors") + F.col("gallery_errors") <= 3).alias("healthy"))
+    return P.overview(values(t), run_report(t), healthy)
+
+
+@query(f"WITH {VALUE} SELECT item_id, concat('$', format('{{:,.2f}}', cast(current_bid AS double))) AS bid, concat('$', format('{{:,.2f}}', gross * 37.5)) AS gross, replace(replace(replace(concat('<', title, '> & ', reasons), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS cell, NULL IS NULL AS known FROM rec")
+def report_cells(t):
+    v = values(t)
+    return v.select("item_id", X.money_text(F.col("current_bid")).alias("bid"), X.money_text(F.col("gross") * 37.5).alias("gross"), X.escaped(F.concat(F.lit("<"), "title", F.lit("> & "), F.concat_ws(",", "reasons"))).alias("cell"), (X.money_text(F.lit(None).cast("double")) == "-").alias("known"))
 
 
 @query(f"WITH {VALUE} SELECT item_id, CASE WHEN net < 20 THEN 'value' END AS why FROM rec WHERE net < 20 UNION ALL SELECT item_id, 'confidence' FROM rec WHERE confidence < 0.3")
@@ -202,23 +249,46 @@ def error_union(t):
     return v.where("net < 20").select("item_id", F.lit("value").alias("why")).unionByName(v.where("confidence < 0.3").select("item_id", F.lit("confidence").alias("why")))
 
 
-_PRICE = "p AS (SELECT p_brand AS model, count(*) AS samples, quantile_cont(l_extendedprice, 0.5) AS median, list_sort(list(l_extendedprice)) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand), pr AS (SELECT model, samples, median, v[greatest(1, cast(floor(0.2 * samples) AS int))] AS low, v[least(samples, cast(floor(0.8 * samples) AS int) + 1)] AS high FROM p WHERE samples >= 3)"
+_PRICE = "o AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'cpu' ELSE 'motherboard' END AS component_type, p_brand AS model, l_extendedprice AS r FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N' OR p_size > 25), p AS (SELECT component_type, model, count(*) AS samples, quantile_cont(r, 0.5) AS median, list_sort(list(r)) AS v FROM o GROUP BY ALL), pr AS (SELECT component_type, model, samples, median, v[greatest(1, cast(floor(0.2 * samples) AS int))] AS low, v[least(samples, cast(floor(0.8 * samples) AS int) + 1)] AS high FROM p WHERE samples >= 3)"
+_KEY = ("component_type", "model")
 
 
 def outcomes(t) -> DataFrame:
-    return t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("model"), F.col("l_extendedprice").alias("realized"))
+    sold = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).where("l_returnflag <> 'N' or p_size > 25")
+    return sold.select(F.when(F.col("l_linenumber") % 2 == 0, "cpu").otherwise("motherboard").alias("component_type"), F.col("p_brand").alias("model"), F.col("l_extendedprice").alias("realized"))
 
 
-@query(f"WITH {_PRICE} SELECT model, cast(samples AS int) AS samples, round(median, 4) AS median, round(low, 4) AS low, round(high, 4) AS high FROM pr")
+@query(f"WITH {_PRICE} SELECT component_type, model, cast(samples AS int) AS samples, round(median, 4) AS median, round(low, 4) AS low, round(high, 4) AS high FROM pr")
 def empirical_price_range(t):
-    return V.price_ranges(outcomes(t)).select("model", "samples", *(F.round(c, 4).alias(c) for c in ("median", "low", "high")))
+    return V.price_ranges(outcomes(t), _KEY).select(*_KEY, "samples", *(F.round(c, 4).alias(c) for c in ("median", "low", "high")))
+
+
+_MARKET = _PRICE + """, c AS (SELECT 'motherboard' AS component_type, p_type AS model, avg(p_retailprice) AS median, min(p_retailprice) AS low, max(p_retailprice) AS high, count(*) AS samples FROM part GROUP BY p_type),
+d(component_type, median, low, high, samples) AS (VALUES ('motherboard', 45.0::double, 25.0::double, 75.0::double, 0), ('cpu', 75.0::double, 40.0::double, 130.0::double, 0), ('ram', 25.0::double, 15.0::double, 40.0::double, 0)),
+i AS (SELECT p_partkey, ['motherboard', 'cpu', 'ram', 'case'][p_partkey % 4 + 1] AS component_type, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN p_type ELSE p_brand END AS model FROM part),
+k AS (SELECT p_partkey, component_type, CASE WHEN pr.model IS NOT NULL THEN 'purchase_outcomes' WHEN c.model IS NOT NULL THEN 'catalog' WHEN d.median IS NOT NULL THEN 'default' END AS price_source, coalesce(pr.median, c.median, d.median) AS median, coalesce(pr.low, c.low, d.low) AS low, coalesce(pr.high, c.high, d.high) AS high, cast(coalesce(pr.samples, c.samples, d.samples) AS int) AS samples FROM i LEFT JOIN pr USING (component_type, model) LEFT JOIN c USING (component_type, model) LEFT JOIN d USING (component_type))"""
+
 
+def market(t) -> DataFrame:
+    kind = F.get(F.array(*map(F.lit, ("motherboard", "cpu", "ram", "case"))), (F.col("p_partkey") % 4).cast("int"))
+    items = t("part").select("p_partkey", kind.alias("component_type"), F.when(F.col("p_partkey") % 5 == 0, None).when(F.col("p_partkey") % 5 == 1, F.col("p_type")).otherwise(F.col("p_brand")).alias("model"))
+    listed = t("part").groupBy(F.col("p_type").alias("model")).agg(F.avg("p_retailprice").alias("median"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"), F.count("*").alias("samples")).withColumn("component_type", F.lit("motherboard"))
+    defaults = items.sparkSession.createDataFrame([("motherboard", 45.0, 25.0, 75.0, 0), ("cpu", 75.0, 40.0, 130.0, 0), ("ram", 25.0, 15.0, 40.0, 0)], "component_type string, median double, low double, high double, samples int")
+    return V.market_lookup(items, V.price_ranges(outcomes(t), _KEY), listed, defaults)
 
-@query(f"WITH {_PRICE}, c AS (SELECT p_brand AS model, avg(p_retailprice) AS price FROM part WHERE p_size < 25 GROUP BY p_brand), e AS (SELECT * FROM pr WHERE model < 'Brand#3') SELECT p_partkey, round(coalesce(e.median, c.price, 60.0), 4) AS price, CASE WHEN e.median IS NOT NULL THEN 'empirical' WHEN c.price IS NOT NULL THEN 'catalog' ELSE 'default' END AS price_source FROM part LEFT JOIN e ON p_brand = e.model LEFT JOIN c ON p_brand = c.model")
+
+@query(f"WITH {_MARKET} SELECT p_partkey, price_source, round(median, 4) AS median, round(low, 4) AS low, round(high, 4) AS high, samples FROM k")
 def price_fallback(t):
-    e = V.price_ranges(outcomes(t)).where("model < 'Brand#3'")
-    c = t("part").where("p_size < 25").groupBy(F.col("p_brand").alias("model")).agg(F.avg("p_retailprice").alias("price"))
-    return V.priced(t("part").select("p_partkey", F.col("p_brand").alias("model")), e, c, 60.0).select("p_partkey", F.round("price", 4).alias("price"), "price_source")
+    return market(t).select("p_partkey", "price_source", *(F.round(f"price.{c}", 4).alias(c) for c in ("median", "low", "high")), "price.samples")
+
+
+@query(f"WITH {_MARKET} SELECT p_partkey, " + ", ".join(f"round({c}, 4) AS value_{c}, round({c} - 30, 4) AS profit_{c}, round(greatest(0, {c} - 10 - 60), 4) AS max_bid_{c}" for c in ("low", "median", "high")) + " FROM k WHERE component_type = 'motherboard'")
+def market_chain(t):
+    """What a board's price range, looked up in three tiers, makes of its value, profit and greatest bid."""
+    none = F.lit(None).cast("struct<low: double, median: double, high: double>")
+    rows = market(t).where("component_type = 'motherboard'").select("p_partkey", F.struct("price.low", "price.median", "price.high").alias("board"), none.alias("cpu"), F.array(F.lit("empty_socket")).alias("reasons"), F.lit(30.0).alias("acquisition_cost"), F.lit(10.0).alias("shipping"))
+    out = M.market_interval(rows)
+    return out.select("p_partkey", *(F.round(f"{what}_{c}", 4).alias(f"{what}_{c}") for c in ("low", "median", "high") for what in ("value", "profit", "max_bid")))
 
 
 @query("SELECT c_custkey, coalesce(o.n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey")
@@ -227,19 +297,32 @@ def left_join_default(t):
     return B.left_with_default(t("customer").select("c_custkey"), n, "c_custkey", {"n": F.lit(0)})
 
 
-@query("WITH a AS (SELECT o_orderkey AS id, o_orderstatus AS state, o_totalprice AS score FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'X' END AS state, o_totalprice * 2 AS score FROM orders WHERE o_orderkey % 5 <> 0) SELECT id, coalesce(b.state, a.state) AS state, round(coalesce(b.score, a.score), 4) AS score, CASE WHEN b.state IS NULL THEN 'old_only' WHEN a.state IS NULL THEN 'new_only' ELSE 'both' END AS source, coalesce(a.state <> b.state, false) AS disagree FROM a FULL JOIN b USING (id)")
+_TWO = f"""a AS (SELECT item_id, {CLIP} AS cpu_state, 10 AS value_score FROM wide), b AS (SELECT item_id, cpu_state, value_score, reasons FROM state WHERE cooler_score < 0.9 OR empty_score > 0.9)"""
+
+
+def two_detectors(t) -> tuple[DataFrame, DataFrame]:
+    s = states(t)
+    other = E.clip_state(*(F.col(f"{k}_score") for k in ("cooler", "installed", "empty", "cover")), F.lit(0.0), F.lit(0.0))["state"]
+    return s.select("item_id", other.alias("cpu_state"), F.lit(10).alias("value_score"), F.array().cast("array<string>").alias("review_reasons")), s.where("cooler_score < 0.9 or empty_score > 0.9").select("item_id", "cpu_state", "value_score", "review_reasons")
+
+
+@query(f"WITH {STATE}, {_TWO} SELECT item_id, coalesce(b.cpu_state, a.cpu_state) AS cpu_state, coalesce(b.value_score, a.value_score) AS value_score, CASE WHEN b.cpu_state IS NULL THEN 'phase2_missing' ELSE concat_ws(',', nullif(reasons, ''), CASE WHEN a.cpu_state <> b.cpu_state THEN 'detector_disagreement' END) END AS reasons, b.cpu_state IS NULL OR reasons <> '' OR a.cpu_state <> b.cpu_state AS needs_review, CASE WHEN b.cpu_state IS NOT NULL THEN a.cpu_state END AS legacy_state, CASE WHEN b.cpu_state IS NULL THEN 'legacy_fallback' ELSE 'phase2_spatial_with_legacy_reference' END AS detector_source FROM a FULL JOIN b USING (item_id)")
 def full_outer_merge(t):
-    o = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"), F.col("o_totalprice").alias("score"))
-    new = o.where("id % 5 <> 0").select("id", F.when(F.col("id") % 2 == 0, F.col("state")).otherwise("X").alias("state"), (F.col("score") * 2).alias("score"))
-    return B.merged(o.where("id % 3 <> 0"), new, "id").withColumn("score", F.round("score", 4))
+    out = B.merged(*two_detectors(t), "item_id")
+    return out.select("item_id", "cpu_state", "value_score", F.concat_ws(",", "review_reasons").alias("reasons"), "needs_review", "legacy_state", "detector_source")
+
+
+@query(f"WITH {STATE}, {_TWO} SELECT item_id, cpu_state, value_score, 'legacy_clip' AS detector_source FROM a")
+def merge_off(t):
+    return B.merged(*two_detectors(t), "item_id", "off").select("item_id", "cpu_state", "value_score", "detector_source")
 
 
-@query(f"WITH {STATE}, b AS (SELECT item_id, cpu_state AS state, cpu_confidence AS confidence, value_score AS score FROM state), f AS (SELECT item_id, clip AS f_state, i AS f_confidence, 50 AS f_score, e AS identity FROM (SELECT item_id, CASE WHEN installed_score >= 0.5 THEN 'visible_cpu_likely' ELSE 'unclear' END AS clip, installed_score AS i, empty_score AS e FROM state WHERE cooler_score < 0.5)) SELECT item_id, CASE WHEN u THEN f_state ELSE state END AS state, round(CASE WHEN u THEN f_confidence ELSE confidence END, 6) AS confidence, score + CASE WHEN u THEN 50 ELSE 0 END AS score, u AS overridden FROM (SELECT *, coalesce(identity >= 0.58 AND f_confidence >= 0.5 AND f_state <> 'unclear', false) AS u FROM b LEFT JOIN f USING (item_id))")
+@query(f"WITH {STATE}, b AS (SELECT item_id, cpu_state, cpu_confidence AS sure, value_score, reasons, CASE WHEN installed_score >= 0.5 THEN 'visible_cpu_likely' ELSE 'unclear' END AS fs, installed_score AS fc, empty_score AS identity, cooler_score < 0.5 AS there FROM state), u AS (SELECT *, there AND identity >= 0.3 AND fc >= 0.5 AND fs <> 'unclear' AS used FROM b) SELECT item_id, CASE WHEN used THEN fs ELSE cpu_state END AS cpu_state, round(CASE WHEN used THEN fc ELSE sure END, 6) AS cpu_confidence, value_score + CASE WHEN used THEN 50 ELSE 0 END AS value_score, CASE WHEN used AND fs <> cpu_state THEN array_to_string(list_sort(list_distinct(list_append(list_filter(string_split(reasons, ','), lambda r: r NOT IN ('', 'socket_state_unclear')), 'full_image_overridden_by_reference_socket_region'))), ',') WHEN there AND NOT used THEN concat_ws(',', nullif(reasons, ''), 'focused_socket_detection_inconclusive') ELSE reasons END AS reasons, CASE WHEN used AND fs <> cpu_state THEN fc < 0.8 WHEN there AND NOT used THEN true ELSE reasons <> '' END AS needs_review, used AS overridden FROM u")
 def reconcile_override(t):
     s = states(t)
-    focused = s.where("cooler_score < 0.5").select("item_id", F.when(F.col("installed_score") >= 0.5, "visible_cpu_likely").otherwise("unclear").alias("f_state"), F.col("installed_score").alias("f_confidence"), F.lit(50).alias("f_score"), F.col("empty_score").alias("identity"))
-    base = s.select("item_id", F.col("cpu_state").alias("state"), F.col("cpu_confidence").alias("confidence"), F.col("value_score").alias("score"))
-    return B.reconciled(base, focused, "item_id").withColumn("confidence", F.round("confidence", 6))
+    focused = s.where("cooler_score < 0.5").select("item_id", F.when(F.col("installed_score") >= 0.5, "visible_cpu_likely").otherwise("unclear").alias("f_state"), F.col("installed_score").alias("f_confidence"), F.lit(50).alias("f_score"), (F.col("installed_score") < 0.8).alias("f_review"), F.col("empty_score").alias("identity"))
+    out = B.reconciled(s.select("item_id", "cpu_state", "cpu_confidence", "value_score", "review_reasons", "needs_review"), focused, "item_id", least_identity=0.3)
+    return out.select("item_id", "cpu_state", *r6("cpu_confidence"), "value_score", F.concat_ws(",", "review_reasons").alias("reasons"), "needs_review", "overridden")
 
 
 @query("SELECT o_orderkey, c_name, n_name, round(o_totalprice, 4) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
@@ -247,18 +330,50 @@ def enrichment_star(t):
     return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("o_orderkey", "c_name", "n_name", F.round("o_totalprice", 4).alias("total"))
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderkey % 4 <> 0)")
+_LEDGER = """run AS (SELECT cast(o_orderkey AS varchar) AS item_id, substr(sha256(concat('{"price":"', o_totalprice::varchar, '","status":"', o_orderstatus, '"}')), 1, 16) AS listing_hash, o_orderdate AS d, o_orderstatus, o_orderpriority FROM orders),
+ledger AS (SELECT item_id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'v1' ELSE 'v2' END AS detector_version, CASE WHEN o_orderpriority = '5-LOW' THEN 'legacy' WHEN o_orderstatus = 'F' THEN 'changed' ELSE listing_hash END AS listing_hash, d FROM run WHERE d >= TIMESTAMP '1997-01-01')"""
+
+
+def ledger_run(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A run's listings, its results (cancelled orders have none), and the ledger before it: another version of the detector, changed listings and rows without a hash among it."""
+    o = t("orders").select(F.col("o_orderkey").cast("string").alias("item_id"), X.fingerprint(("status", F.col("o_orderstatus")), ("price", F.col("o_totalprice").cast("string"))).alias("listing_hash"), "o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    old = o.where("o_orderdate >= timestamp_ntz'1997-01-01'").select("item_id", F.when(F.col("o_orderpriority") == "1-URGENT", "v1").otherwise("v2").alias("detector_version"), F.when(F.col("o_orderpriority") == "5-LOW", None).when(F.col("o_orderstatus") == "F", "changed").otherwise(F.col("listing_hash")).alias("listing_hash"), F.col("o_orderdate").alias("first_seen_at"), F.col("o_orderdate").alias("last_seen_at"), F.lit("unclear").alias("cpu_state"), F.lit(0).alias("value_score"), F.lit(None).cast("string").alias("result_hash"))
+    results = o.where("o_orderstatus <> 'P'").select("item_id", F.when(F.col("o_orderstatus") == "O", "visible_cpu_likely").otherwise("unclear").alias("cpu_state"), F.lit(80).alias("value_score"))
+    return o.select("item_id", "listing_hash"), results, old
+
+
+@query(f"WITH {_LEDGER} SELECT item_id, listing_hash FROM run WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.item_id = run.item_id AND l.detector_version = 'v2' AND l.listing_hash = run.listing_hash)")
 def ledger_pending_anti(t):
-    o = t("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, F.lit(None)).otherwise("h").alias("listing_hash"), "o_orderdate")
-    return B.pending(o.select("id", F.lit("h").alias("listing_hash")), o.where("o_orderdate >= timestamp_ntz'2000-01-01'").select("id", "listing_hash"), ["id", "listing_hash"]).select("id")
+    rows, _, old = ledger_run(t)
+    return B.pending(rows, old, "v2").select("item_id", "listing_hash")
+
 
+_MERGED = _LEDGER + """, new AS (SELECT item_id, 'v2' AS detector_version, listing_hash, CASE WHEN o_orderstatus = 'O' THEN 'visible_cpu_likely' ELSE 'unclear' END AS cpu_state FROM run WHERE o_orderstatus <> 'P'),
+m AS (SELECT item_id, detector_version, listing_hash, coalesce(l.d, TIMESTAMP '2001-08-02') AS first_seen_at, CASE WHEN n.cpu_state IS NOT NULL THEN TIMESTAMP '2001-08-02' ELSE l.d END AS last_seen_at, coalesce(n.cpu_state, 'unclear') AS cpu_state, CASE WHEN n.cpu_state IS NULL THEN 0 ELSE 80 END AS value_score,
+ CASE WHEN n.cpu_state IS NOT NULL THEN substr(sha256(concat('{"cpu_state":"', n.cpu_state, '","value_score":80}')), 1, 16) END AS result_hash FROM ledger l FULL JOIN new n USING (item_id, detector_version, listing_hash))"""
 
-@query("WITH l AS (SELECT o_orderkey AS id, o_orderdate AS d, o_totalprice AS s FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS id, o_orderdate + INTERVAL 1 DAY AS d, o_totalprice + 1 AS s FROM orders WHERE o_orderkey % 2 = 0) SELECT id, coalesce(l.d, n.d) AS first_seen, coalesce(n.d, l.d) AS last_seen, round(coalesce(n.s, l.s), 4) AS score FROM l FULL JOIN n USING (id)")
+
+@query(f"WITH {_MERGED} SELECT * FROM m")
 def ledger_upsert(t):
-    o = t("orders").select(F.col("o_orderkey").alias("id"), "o_orderdate", F.col("o_totalprice").alias("score"))
-    old = o.where("id % 3 <> 0").select("id", F.col("o_orderdate").alias("first_seen"), F.col("o_orderdate").alias("last_seen"), "score")
-    new = o.where("id % 2 = 0").select("id", F.expr("o_orderdate + interval 1 day").alias("seen"), (F.col("score") + 1).alias("score"))
-    return B.upserted(old, new, ["id"]).withColumn("score", F.round("score", 4))
+    rows, results, old = ledger_run(t)
+    return B.ledger_merged(old, rows, results, "v2", "2001-08-02 00:00:00")
+
+
+@query(f"WITH {_MERGED} SELECT item_id, detector_version, listing_hash, row_number() OVER (ORDER BY last_seen_at DESC, item_id DESC, detector_version, listing_hash) AS place FROM m ORDER BY place LIMIT 200")
+def ledger_sorted(t):
+    """The head of the ledger, which is a listing of a given length."""
+    rows, results, old = ledger_run(t)
+    merged = B.ledger_merged(old, rows, results, "v2", "2001-08-02 00:00:00")
+    head = merged.orderBy(*B.ledger_order(), "detector_version", "listing_hash").limit(200)
+    return head.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*B.ledger_order(), "detector_version", "listing_hash")).cast("long")).select("item_id", "detector_version", "listing_hash", "place")
+
+
+@query("SELECT event_type AS file, substr(sha256(x), 1, 16) AS detector_version FROM (SELECT DISTINCT event_type FROM events), (SELECT string_agg(event_type || ' ' || sha256(n::varchar), chr(10) ORDER BY event_type) AS x FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1))")
+def code_version(t):
+    """One version over some files: the contents are made of the events' counts, so that any other event makes another version."""
+    files = t("events").groupBy(F.col("event_type").alias("path")).agg(F.encode(F.count("*").cast("string"), "UTF-8").alias("content"))
+    version = B.code_version(files)
+    return files.select(F.col("path").alias("file")).join(F.broadcast(version), F.lit(True))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 30 DAY")
@@ -287,22 +402,37 @@ def shard_union_checked(t):
     return B.checked_union([o.where(B.shard_of(F.col("id").cast("string"), 2) == k) for k in range(2)], "id")
 
 
-_LEASE = "s AS (SELECT o_custkey AS run, o_orderkey AS shard, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'completed' ELSE 'pending' END AS status, o_orderkey % 4 AS attempts, o_orderdate AS updated_at FROM orders), n AS (SELECT *, CASE WHEN status = 'running' AND updated_at < TIMESTAMP '2000-01-01' - INTERVAL 60 MINUTE THEN CASE WHEN attempts <= 2 THEN 'retry' ELSE 'failed' END ELSE status END AS next_status FROM s)"
+_LEASE = """s AS (SELECT o_custkey AS run, o_orderkey AS shard, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'completed' ELSE 'pending' END AS status, o_orderkey % 4 AS attempts, o_orderdate AS updated_at FROM orders),
+n AS (SELECT run, shard, attempts, CASE WHEN stale THEN 'retry' ELSE status END AS status, CASE WHEN stale THEN 'stale_assignment' END AS error, stale FROM (SELECT *, status = 'running' AND updated_at < TIMESTAMP '2000-01-01' - INTERVAL 60 MINUTE AS stale FROM s))"""
 
 
 def leases(t) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "F", "completed").otherwise("pending")
-    return B.lease_states(t("orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("shard"), status.alias("status"), (F.col("o_orderkey") % 4).alias("attempts"), F.col("o_orderdate").alias("updated_at")), "2000-01-01 00:00:00")
+    none = F.lit(None).cast("string")
+    return t("orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("shard"), status.alias("status"), (F.col("o_orderkey") % 4).alias("attempts"), none.alias("worker_id"), none.alias("error"), F.col("o_orderdate").alias("updated_at"))
 
 
-@query(f"WITH {_LEASE} SELECT next_status, count(*) AS n FROM n GROUP BY next_status")
+@query(f"WITH {_LEASE} SELECT status, error, count(*) AS n FROM n GROUP BY ALL")
+def lease_recovery(t):
+    return B.recovered(leases(t), "2000-01-01 00:00:00").groupBy("status", "error").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_LEASE}, e AS (SELECT *, ['claim', 'complete', 'fail', 'noise'][shard % 4 + 1] AS event FROM n) SELECT shard, CASE WHEN event = 'claim' AND status IN ('pending', 'retry') THEN 'running' WHEN event = 'complete' THEN 'completed' WHEN event = 'fail' THEN CASE WHEN attempts <= 2 THEN 'retry' ELSE 'failed' END ELSE status END AS status, attempts + CASE WHEN event = 'claim' AND status IN ('pending', 'retry') THEN 1 ELSE 0 END AS attempts, CASE WHEN event = 'fail' THEN 'detail' WHEN event = 'complete' OR (event = 'claim' AND status IN ('pending', 'retry')) THEN NULL ELSE error END AS error FROM e")
 def lease_transitions(t):
-    return leases(t).groupBy("next_status").agg(F.count("*").alias("n"))
+    event = F.get(F.array(*map(F.lit, ("claim", "complete", "fail", "noise"))), (F.col("shard") % 4).cast("int"))
+    rows = B.recovered(leases(t), "2000-01-01 00:00:00")
+    events = leases(t).select("run", "shard", event.alias("event"), F.lit("detail").alias("detail"), F.lit("2000-01-02 00:00:00").cast("timestamp_ntz").alias("at"))
+    return B.lease_events(rows, events).select("shard", "status", "attempts", "error")
+
 
+@query(f"WITH {_LEASE} SELECT run, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_and(status = 'completed') THEN 'completed' WHEN bool_and(status = 'pending') THEN 'pending' ELSE 'running' END AS status FROM n GROUP BY run")
+def run_states(t):
+    return B.run_states(B.recovered(leases(t), "2000-01-01 00:00:00"))
 
-@query(f"WITH {_LEASE} SELECT run, min(shard) AS shard FROM n WHERE next_status IN ('pending', 'retry') GROUP BY run")
+
+@query(f"WITH {_LEASE} SELECT run, min(shard) AS shard FROM n WHERE status IN ('pending', 'retry') GROUP BY run")
 def lease_first_claim(t):
-    return B.first_claimable(leases(t).drop("status").withColumnRenamed("next_status", "status"), "run").select("run", "shard")
+    return B.first_claimable(B.recovered(leases(t), "2000-01-01 00:00:00"), "run").select("run", "shard")
 
 
 @query(f"WITH {_LEASE} SELECT run, bool_and(status = 'completed') AS complete FROM s GROUP BY run")
@@ -310,8 +440,31 @@ def all_complete(t):
     return leases(t).groupBy("run").agg(F.every(F.col("status") == "completed").alias("complete"))
 
 
-@query("WITH a AS (SELECT event_type, count(*) / (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-16') AS s FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1), b AS (SELECT event_type, count(*) / (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-16') AS s FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1) SELECT event_type, round(coalesce(a.s, 0), 6) AS now_share, round(coalesce(b.s, 0), 6) AS before_share, abs(coalesce(a.s, 0) - coalesce(b.s, 0)) > 0.01 AS shifted FROM a FULL JOIN b USING (event_type)")
+_DRIFT = """w AS (SELECT ts >= TIMESTAMP '2024-01-16' AS late, event_type AS s, count(*) AS n, sum(value / 150) AS c, count(*) FILTER (WHERE value > 60) AS r FROM events GROUP BY ALL),
+g AS (SELECT late, sum(n) AS total, round(sum(c) / sum(n), 4) AS mean, round(sum(r) / sum(n), 4) AS rate FROM w GROUP BY late), p AS (SELECT w.late, s, round(n / total, 4) AS share FROM w JOIN g USING (late)),
+d AS (SELECT max(abs(coalesce(a.share, 0) - coalesce(b.share, 0))) AS most FROM (SELECT * FROM p WHERE late) a FULL JOIN (SELECT * FROM p WHERE NOT late) b USING (s))"""
+
+
+def periods(t) -> DataFrame:
+    """Both periods' counts, in one pass over the events: one row (now, before)."""
+    rows = t("events").select((F.col("ts") >= F.expr("timestamp_ntz'2024-01-16'")).alias("late"), (F.col("value") / 150).alias("cpu_confidence"), (F.col("value") > 60).alias("needs_review"), F.col("event_type").alias("cpu_state"))
+    both = B.monitored(rows, ["late"])
+    whole = F.struct(*(c for c in both.columns if c != "late"))
+    return both.agg(F.max_by(whole, F.col("late")).alias("now"), F.min_by(whole, F.col("late")).alias("before"))
+
+
+@query(f"WITH {_DRIFT} SELECT cast(a.total AS bigint) AS samples, a.mean AS mean_confidence, a.rate AS review_rate, concat_ws(',', CASE WHEN b.mean - a.mean > 0.0001 THEN 'confidence_drop' END, CASE WHEN a.rate > 0.01 THEN 'review_rate' END, CASE WHEN most > 0.001 THEN 'class_frequency_shift' END) AS reasons, CASE WHEN a.total >= 30 THEN a.mean ELSE b.mean END AS baseline_mean, b.mean AS kept_mean FROM g a, g b, d WHERE a.late AND NOT b.late")
 def drift_report(t):
+    p = periods(t)
+    return p.select(
+        F.col("now.sample_count").alias("samples"), "now.mean_confidence", "now.review_rate",
+        B.drift_reasons("now", "before", 0.0001, 0.01, 0.001).alias("reasons"),
+        B.next_baseline("now", "before", True)["mean_confidence"].alias("baseline_mean"), B.next_baseline("now", "before", False)["mean_confidence"].alias("kept_mean"),
+    )
+
+
+@query("WITH a AS (SELECT event_type, count(*) / (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-16') AS s FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1), b AS (SELECT event_type, count(*) / (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-16') AS s FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1) SELECT event_type, round(coalesce(a.s, 0), 6) AS now_share, round(coalesce(b.s, 0), 6) AS before_share, abs(coalesce(a.s, 0) - coalesce(b.s, 0)) > 0.01 AS shifted FROM a FULL JOIN b USING (event_type)")
+def class_shift(t):
     e = t("events")
     at = "timestamp_ntz'2024-01-16'"
     shift = B.frequency_shift(B.frequencies(e.where(f"ts >= {at}"), "event_type"), B.frequencies(e.where(f"ts < {at}"), "event_type"), "event_type", 0.01)
@@ -330,18 +483,41 @@ def source_type(t):
     return t("pages").select("page_id", host.alias("host"), F.when(X.domain_matches(host, ("example.com",)), "official").when(X.domain_matches(host, ("example.org",)), "review").alias("source_type"))
 
 
-@query("WITH r AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS title, split_part(regexp_extract(html, '<h1>([^<]*)', 1), ' ', 1) AS model, concat('https://img/', page_id % 40) AS image_url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages), k AS (SELECT *, [x FOR x IN regexp_extract_all(upper(model), '[A-Z0-9]+') IF length(x) >= 2] AS tok, regexp_extract_all(upper(title), '[A-Z0-9]+') AS hay FROM r), q AS (SELECT *, len([x FOR x IN tok IF list_contains(hay, x)]) / greatest(1, len(tok)) AS ratio FROM k), f AS (SELECT *, CASE WHEN NOT host SIMILAR TO '(.*\\.)?example\\.(com|org)' THEN 'source_domain' WHEN ratio < 0.5 THEN 'model_evidence' END AS fault FROM q) SELECT page_id AS id, round(ratio, 6) AS ratio, coalesce(fault, CASE WHEN row_number() OVER (PARTITION BY trim(regexp_replace(upper(model), '[^A-Z0-9]+', '-', 'g'), '-'), image_url, fault IS NULL ORDER BY page_id) > 1 THEN 'duplicate_image_url' END) AS rejection FROM f")
+@query("WITH r AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS title, split_part(regexp_extract(html, '<h1>([^<]*)', 1), ' ', 1) AS model, concat('https://img/', page_id % 40) AS image_url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages), k AS (SELECT *, [x FOR x IN regexp_extract_all(upper(model), '[A-Z0-9]+') IF length(x) >= 2] AS tok, regexp_extract_all(upper(concat_ws(' ', title, url, image_url)), '[A-Z0-9]+') AS hay FROM r), q AS (SELECT *, len([x FOR x IN tok IF list_contains(hay, x)]) / greatest(1, len(tok)) AS ratio FROM k), f AS (SELECT *, CASE WHEN NOT host SIMILAR TO '(.*\\.)?example\\.(com|org)' THEN 'unapproved_domain' WHEN ratio < 0.6 THEN 'insufficient_model_evidence' END AS fault FROM q) SELECT page_id AS id, round(ratio, 6) AS ratio, coalesce(fault, CASE WHEN row_number() OVER (PARTITION BY trim(regexp_replace(upper(model), '[^A-Z0-9]+', '-', 'g'), '-'), image_url, fault IS NULL ORDER BY page_id) > 1 THEN 'duplicate_image_url' END) AS rejection FROM f")
 def discovery_ingest(t):
     rows = t("pages").select(F.col("page_id").alias("id"), F.split_part(F.regexp_extract("html", "<h1>([^<]*)", 1), F.lit(" "), F.lit(1)).alias("model"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.col("url").alias("page_url"), F.concat(F.lit("https://img/"), F.col("page_id") % 40).alias("image_url"))
     return R.discovery(rows, ("example.com", "example.org")).select("id", *r6("ratio"), "rejection")
 
 
-@query("SELECT item_id, model, status, q AS search FROM (SELECT cast(p_partkey AS varchar) AS item_id, p_brand AS model, CASE WHEN p_size < 10 THEN 'no_reference' WHEN p_size < 20 THEN 'uncertain' ELSE 'confirmed' END AS status, unnest([p_brand || ' motherboard top view', p_brand || ' board layout', p_brand || ' official product image']) AS q FROM part WHERE p_partkey % 7 <> 0) WHERE status <> 'confirmed'")
-def discovery_requests(t):
+_GAP = """v AS (SELECT cast(p_partkey AS varchar) AS item_id, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS own, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS board, ['no_reference', 'reference_uncertain', 'reference_conflict', 'reference_confirmed'][p_size % 4 + 1] AS status FROM part),
+g AS (SELECT item_id, coalesce(board, own) AS model, status, status <> 'no_reference' AS human_review FROM v WHERE status <> 'reference_confirmed' AND coalesce(board, own) IS NOT NULL)"""
+
+
+def gaps(t) -> DataFrame:
     p = t("part")
-    verified = p.select(F.col("p_partkey").cast("string").alias("item_id"), F.lit(None).cast("string").alias("model"), F.when(F.col("p_size") < 10, "no_reference").when(F.col("p_size") < 20, "uncertain").otherwise("confirmed").alias("status"))
-    named = p.where("p_partkey % 7 <> 0").select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_brand").alias("board"))
-    return R.gap_queue(verified, named).select("item_id", "model", "status", F.explode("queries").alias("search"))
+    status = F.get(F.array(*map(F.lit, ("no_reference", "reference_uncertain", "reference_conflict", "reference_confirmed"))), (F.col("p_size") % 4).cast("int"))
+    verified = p.select(F.col("p_partkey").cast("string").alias("item_id"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).alias("model"), status.alias("status"), F.lit(None).cast("double").alias("identity_score"))
+    # an item whose board wasn't read has no name of one
+    named = p.select(F.col("p_partkey").cast("string").alias("item_id"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_brand")).alias("board"))
+    return R.gap_queue(verified, named)
+
+
+@query(f"WITH {_GAP} SELECT item_id, model, concat('\"', model, '\" motherboard ', unnest(['official product image', 'review high resolution', 'ebay'])) AS query, 8 AS maximum_results, 'page_url,image_url,title' AS required FROM g")
+def discovery_requests(t):
+    return R.discovery_requests(gaps(t)).select("item_id", "model", "query", "maximum_results", F.concat_ws(",", "required_fields").alias("required"))
+
+
+@query(f"WITH {_GAP} SELECT item_id, model, row_number() OVER (ORDER BY NOT human_review, model, item_id) AS place FROM g ORDER BY place LIMIT 100")
+def gap_sorted(t):
+    """The head of the queue, which is a listing of a given length."""
+    head = gaps(t).orderBy(*R.gap_order()).limit(100)
+    return head.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*R.gap_order())).cast("long")).select("item_id", "model", "place")
+
+
+@query(f"WITH {_GAP}, r AS (SELECT cast(l_partkey AS varchar) AS item_id, l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'Own model' ELSE '' END AS model FROM lineitem) SELECT l_orderkey, l_linenumber, item_id, coalesce(nullif(r.model, ''), g.model) AS model FROM r LEFT JOIN g USING (item_id)")
+def discovery_lookup(t):
+    results = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("item_id"), F.when(F.col("l_returnflag") == "R", "Own model").otherwise("").alias("model"))
+    return R.with_models(results, gaps(t)).select("l_orderkey", "l_linenumber", "item_id", "model")
 
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(upper(left_text), '[^A-Z0-9+ -]', ' ', 'g'), '\\s+', ' ', 'g')) AS norm, trim(regexp_replace(upper(source), '[^A-Z0-9]+', '-', 'g'), '-') AS key FROM (SELECT doc_id, source, regexp_replace(text, '[^ -~]', ' ', 'g') AS left_text FROM documents)")
@@ -363,22 +539,70 @@ def titles(t) -> DataFrame:
     return t("part").select("p_partkey", F.concat(F.get(F.array(*map(F.lit, names)), (F.col("p_partkey") % 5).cast("int")), F.lit(" "), "p_name").alias("title"))
 
 
-@query("SELECT p_partkey, [NULL, 'MSI B450 TOMAHAWK MAX', 'GIGABYTE Z370 AORUS GAMING 5', 'ASROCK X570 STEEL LEGEND', NULL][p_partkey % 5 + 1] AS model, ['intel', 'amd', 'intel', 'amd', 'amd'][p_partkey % 5 + 1] AS platform, p_partkey % 5 IN (0, 2) AS cooler, ['ASUS', 'MSI', 'GIGABYTE', 'ASROCK', NULL][p_partkey % 5 + 1] AS manufacturer, ['Z390', 'B450', 'Z370', 'X570', NULL][p_partkey % 5 + 1] AS chipset FROM part")
+_Q = lambda x: "'" + x.replace("'", "''") + "'"
+_LIST = lambda xs: "[" + ", ".join(map(_Q, xs)) + "]"
+_TOKENS = f"n AS (SELECT p_partkey, {_TITLE} AS title, trim(regexp_replace(regexp_replace(upper({_TITLE}), '[^A-Z0-9+ -]', ' ', 'g'), '\\s+', ' ', 'g')) AS n FROM part), k AS (SELECT *, string_split(n, ' ') AS tok, nullif(regexp_extract(n, '\\b([ZBHXAQCW][0-9]{{2,3}})\\b', 1), '') AS chipset, nullif(regexp_extract(n, '\\b([ZBHXAQCW][0-9]{{2,3}})[- ]?([A-Z0-9]+)\\b', 2), '') AS after FROM n)"
+
+
+@query(f"WITH {_TOKENS} SELECT p_partkey, coalesce({', '.join(f"nullif(concat(regexp_extract(n, {_Q(x)}, 1), ' ', regexp_extract(n, {_Q(x)}, 2)), ' ')" for x in X.CANONICAL_MODELS)}) AS model, CASE WHEN regexp_matches(title, {_Q(X.AMD_CHIPSET)}) THEN 'amd' WHEN regexp_matches(title, {_Q(X.INTEL_CHIPSET)}) THEN 'intel' END AS platform, regexp_matches(title, {_Q(X.COOLER_WORDS)}) AS cooler, list_filter({_LIST(X.MANUFACTURERS)}, lambda m: list_contains(tok, m))[1] AS manufacturer, chipset, CASE WHEN after <> coalesce(chipset, '') THEN after END AS suffix, list_filter(tok, lambda x: list_contains({_LIST(X.FAMILIES)}, x))[1] AS family, CASE WHEN chipset IS NULL THEN 0 ELSE 100 END + len(list_filter(tok, lambda x: NOT list_contains({_LIST(X.GENERIC_TOKENS)}, x))) AS points FROM k")
 def scalar_text(t):
     s = X.structured_model(F.col("title"))
-    return titles(t).select("p_partkey", X.canonical_model(F.col("title")).alias("model"), X.platform_hint(F.col("title")).alias("platform"), X.mentions_cooler(F.col("title")).alias("cooler"), s["manufacturer"].alias("manufacturer"), s["chipset"].alias("chipset"))
+    return titles(t).select("p_partkey", X.canonical_model(F.col("title")).alias("model"), X.platform_hint(F.col("title")).alias("platform"), X.mentions_cooler(F.col("title")).alias("cooler"), *(s[c].alias(c) for c in ("manufacturer", "chipset", "suffix", "family")), X.specificity(F.col("title"))["points"].cast("long").alias("points"))
+
 
+@query(f"WITH {_TOKENS}, c AS (SELECT a.p_partkey, a.chipset <> b.chipset AS c, list_filter({_LIST(X.MANUFACTURERS)}, lambda m: list_contains(a.tok, m))[1] <> list_filter({_LIST(X.MANUFACTURERS)}, lambda m: list_contains(b.tok, m))[1] AS m, list_filter(a.tok, lambda x: list_contains({_LIST(X.FAMILIES)}, x))[1] <> list_filter(b.tok, lambda x: list_contains({_LIST(X.FAMILIES)}, x))[1] AS f, CASE WHEN a.after <> coalesce(a.chipset, '') THEN a.after END <> CASE WHEN b.after <> coalesce(b.chipset, '') THEN b.after END AS s FROM k a JOIN k b ON b.p_partkey = a.p_partkey + 1) SELECT p_partkey, coalesce(c, false) OR coalesce(m, false) OR coalesce(f, false) OR coalesce(s, false) AS conflict FROM c")
+def model_conflicts(t):
+    a = titles(t)
+    return a.join(a.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("title").alias("next")), "p_partkey").select("p_partkey", X.models_conflict(F.col("title"), F.col("next")).alias("conflict"))
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, len(regexp_extract_all(html, 'href=\"[^\"]*\"')) AS links FROM pages")
+
+_PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace({}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_PLAIN.format("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")} AS title, md5(substr({_PLAIN.format("regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1)")}, 1, 4000)) AS description, concat('https://img.shop.example/', page_id, '.jpg') AS urls, 'Size M&M' AS details FROM pages")
 def page_extract(t):
-    return t("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="[^"]*"'), F.lit(0))).cast("long").alias("links"))
+    """Title, images, description and details of item pages; the pages get an image list and a table of details, which they don't have."""
+    k = F.col("page_id").cast("string")
+    more = F.concat(F.lit('<div style="background-image: url(https://img.shop.example/'), k, F.lit('t1.jpeg)"></div><img src="https://img.shop.example/General/logo.png"><table><tr><td>Size</td> <td><b>M&M</b></td></tr></table>'))
+    g = X.gallery(F.concat("html", F.regexp_replace(more, "t1[.]jpeg", ".jpg")), "img.shop.example")
+    return t("pages").select("page_id", g.alias("g")).select("page_id", "g.title", F.md5("g.description").alias("description"), F.concat_ws(",", "g.urls").alias("urls"), F.concat_ws(",", "g.details").alias("details"))
+
+
+@query("SELECT page_id, cast(page_id AS varchar) AS id, concat('Board ', page_id % 7) AS title, concat('https://shop.example/item/', page_id) AS url, concat('Board ', page_id % 7, ' $', page_id, '.50 Time remaining: 2d') AS card FROM pages")
+def listing_cards(t):
+    """Listings of search pages; the pages get a list of three items: a listing, the same again, and one without a price."""
+    k = F.col("page_id").cast("string")
+    item = lambda n, name, rest: F.concat(F.lit('<li class="r"><div><a href="https://shop.example/item/'), n, F.lit('">'), name, F.lit("</a></div>"), rest, F.lit("</li>"))
+    more = F.concat(F.lit("<ul>"), item(k, F.concat(F.lit("Board <i>"), (F.col("page_id") % 7).cast("string"), F.lit("</i>")), F.concat(F.lit("<p>$"), k, F.lit(".50</p> Time remaining: 2d"))), item(k, F.lit("again"), F.lit("$1 Buy It Now")), item(F.concat(k, F.lit("0")), F.lit("no price"), F.lit("")), F.lit("</ul>"))
+    return t("pages").select("page_id", F.explode(X.cards(F.concat("html", more))).alias("c")).select("page_id", "c.*")
+
+
+@query(f"SELECT page_id, page_id % 9 = 0 AS blocked FROM pages")
+def blocked_pages(t):
+    """Pages that a site shows in place of its content; every ninth page gets such a sentence."""
+    body = F.concat(F.when(F.col("page_id") % 9 == 0, "Please VERIFY you are human. ").otherwise(""), X.visible_text(F.col("html")))
+    return t("pages").select("page_id", X.is_blocked(F.regexp_extract("html", "<title>([^<]*)", 1), body).alias("blocked"))
+
+
+CATALOG = ("ASUS PRIME Z390-A", "ASUS ROG MAXIMUS X CODE", "MSI B450 TOMAHAWK", "MSI B450 TOMAHAWK MAX", "MSI MPG B550 GAMING EDGE WIFI", "GIGABYTE Z370 AORUS GAMING 5", "GIGABYTE Z370 AORUS GAMING 7", "GIGABYTE Z690 AORUS ELITE AX", "ASROCK X570 STEEL LEGEND")
+
+
+def board_catalog(t) -> DataFrame:
+    return t("region").sparkSession.createDataFrame([(c,) for c in CATALOG], "model string")
 
 
 @query()
 def fuzzy_match(t):
-    names = titles(t).where("p_partkey % 5 < 4").select(F.col("title").alias("name"))
-    catalog = names.sparkSession.createDataFrame([("ASUS PRIME Z390-A",), ("MSI B450 TOMAHAWK",), ("GIGABYTE Z370 AORUS GAMING 7",), ("ASROCK X570 STEEL LEGEND",)], "model string")
-    return R.best_names(names, catalog, 0.3)
+    return R.best_names(titles(t).select(F.col("title").alias("name")), board_catalog(t), 0.3)
+
+
+@query()
+def identify_boards(t):
+    """From a listing's text and what is read in its images (here another text) to the board's name, how sure that is, and why."""
+    rows = titles(t).withColumn("seen", F.lead("title").over(Window.partitionBy(F.floor(F.col("p_partkey") / 3)).orderBy("p_partkey")))
+    items = rows.select(F.col("p_partkey").alias("item_id"), X.board_candidates(F.col("title"), F.col("title")).alias("listing"), F.coalesce(X.candidates(F.col("seen"), X.BOARD_PATTERNS), F.array().cast("array<string>")).alias("visual"))
+    out = M.resolved_identification(R.identified(items, board_catalog(t)))
+    return out.select(F.col("item_id").alias("p_partkey"), "listing_raw", "visual_raw", "text", *(F.round(c, 4).alias(c) for c in ("confidence", "agreement")), "conflict", "source", "stated_text", "confirmation")
 
 
 def features(t) -> DataFrame:
@@ -399,13 +623,20 @@ def pair_agreement(t):
     return R.pair_agreement(features(t), 1.0).withColumn("recommendation", R.recommendation(F.col("agreeing"), F.col("conflicting")))
 
 
-_TILE = "s AS (SELECT p_partkey, 800 + p_size * 37 AS w, 700 + p_size * 19 AS h FROM part), xy AS (SELECT p_partkey, unnest(list_distinct(list_concat(range(0, greatest(w - 768, 0) + 1, 614), [greatest(w - 768, 0)]))) AS x, h FROM s) SELECT p_partkey, cast(x AS int) AS x, cast(unnest(list_distinct(list_concat(range(0, greatest(h - 768, 0) + 1, 614), [greatest(h - 768, 0)]))) AS int) AS y FROM xy"
+_TILE = "s AS (SELECT p_partkey, 500 + p_size * 37 AS w, 400 + p_size * 19 AS h FROM part), xy AS (SELECT p_partkey, w, h, unnest(list_distinct(list_concat(range(0, greatest(w - 768, 0) + 1, 614), [greatest(w - 768, 0)]))) AS x FROM s WHERE greatest(w, h) > 768), b AS (SELECT *, unnest(list_distinct(list_concat(range(0, greatest(h - 768, 0) + 1, 614), [greatest(h - 768, 0)]))) AS y FROM xy)"
 
 
-@query(f"WITH {_TILE}")
+@query(f"WITH {_TILE} SELECT p_partkey, concat('tile-', x, '-', y) AS name, cast(x AS int) AS x1, cast(y AS int) AS y1, cast(least(w, x + 768) AS int) AS x2, cast(least(h, y + 768) AS int) AS y2 FROM b UNION ALL SELECT p_partkey, 'full', 0, 0, cast(w AS int), cast(h AS int) FROM s")
 def tiles(t):
-    s = t("part").select("p_partkey", (F.col("p_size") * 37 + 800).alias("w"), (F.col("p_size") * 19 + 700).alias("h"))
-    return s.select("p_partkey", F.explode(G.tiles(F.col("w"), F.col("h"), 768, 0.2)).alias("t")).select("p_partkey", "t.x", "t.y")
+    s = t("part").select("p_partkey", (F.col("p_size") * 37 + 500).alias("w"), (F.col("p_size") * 19 + 400).alias("h"))
+    return s.select("p_partkey", F.explode(G.tiles(F.col("w"), F.col("h"), 768, 0.2)).alias("t")).select("p_partkey", "t.name", "t.box.*")
+
+
+@query("WITH s AS (SELECT p_partkey, 500 + p_size * 37 AS w, 400 + p_size * 19 AS h FROM part), g AS (SELECT p_partkey, w, h, n, x, y, w // n AS cw, h // n AS ch FROM s, (VALUES (2), (3)) a(n), range(3) b(x), range(3) c(y) WHERE x < n AND y < n) SELECT p_partkey, concat('g', n, '-', x, '-', y) AS name, cast(greatest(0, x * cw - cw // 6) AS int) AS x1, cast(greatest(0, y * ch - ch // 6) AS int) AS y1, cast(least(w, (x + 1) * cw + cw // 6) AS int) AS x2, cast(least(h, (y + 1) * ch + ch // 6) AS int) AS y2 FROM g WHERE concat('g', n, '-', x, '-', y) IN ('g2-0-1', 'g3-1-1', 'g3-2-0')")
+def named_crops(t):
+    s = t("part").select("p_partkey", (F.col("p_size") * 37 + 500).alias("w"), (F.col("p_size") * 19 + 400).alias("h"))
+    found = G.named_crops(G.crops(F.col("w"), F.col("h")), ("g2-0-1", "g3-1-1", "g3-2-0"))
+    return s.select("p_partkey", F.explode(found).alias("c")).select("p_partkey", "c.name", "c.box.*")
 
 
 @query(f"WITH {DET} SELECT pos, round(greatest(0, x1 - (x2 - x1) * 0.1), 6) AS x1, round(greatest(0, y1 - (y2 - y1) * 0.1), 6) AS y1, round(least(150, x2 + (x2 - x1) * 0.1), 6) AS x2, round(least(150, y2 + (y2 - y1) * 0.1), 6) AS y2 FROM det")
@@ -426,16 +657,24 @@ def centroid_distance(t):
     return detections(t).select("pos", F.round(s["x"], 6).alias("cx"), F.round(G.distance(c, F.struct(F.lit(100.0).alias("x"), F.lit(100.0).alias("y"))), 6).alias("d"))
 
 
-@query(f"WITH {DET} SELECT pos, printf('%d %.9f %.9f', list_position(['visible_cpu','empty_socket','cooler','socket_cover','bent_pins'], label) - 1, (x1 + x2) / 2 / 256, (y1 + y2) / 2 / 256) AS line FROM det")
+@query(f"WITH {DET} SELECT pos, printf('%d %.8f %.8f %.8f %.8f', list_position(['visible_cpu','empty_socket','cooler','socket_cover','bent_pins','ram_dimm','nvme'], label) - 1, (x1 + x2) / 2 / 250, (y1 + y2) / 2 / 190, (x2 - x1) / 250, (y2 - y1) / 190) AS line FROM det")
 def yolo_lines(t):
-    k = F.array_position(F.array(*map(F.lit, ("visible_cpu", "empty_socket", "cooler", "socket_cover", "bent_pins"))), F.col("label")) - 1
-    return detections(t).select("pos", F.format_string("%d %.9f %.9f", k, (F.col("x1") + F.col("x2")) / 2 / 256, (F.col("y1") + F.col("y2")) / 2 / 256).alias("line"))
+    names = ("visible_cpu", "empty_socket", "cooler", "socket_cover", "bent_pins", "ram_dimm", "nvme")
+    k = F.array_position(F.array(*map(F.lit, names)), F.col("label")) - 1
+    return detections(t).select("pos", G.yolo_line(k, E.box(), F.lit(250.0), F.lit(190.0)).alias("line"))
+
+
+@query(f"WITH {DET} SELECT pos, round(min(x1, 190.0), 6) AS x1, 0 AS o FROM det".replace("round(min(x1, 190.0), 6) AS x1, 0 AS o", "round(greatest(0, x1 + 3 - (x2 - x1) * 0.1), 6) AS x1, round(greatest(0, y1 - 2 - (y2 - y1) * 0.1), 6) AS y1, round(least(150, x2 + 3 + (x2 - x1) * 0.1), 6) AS x2, round(least(150, y2 - 2 + (y2 - y1) * 0.1), 6) AS y2"))
+def padded_bounds(t):
+    """The box around a moved polygon, grown and cut to the image."""
+    moved = G.translated(E.box(), F.lit(3.0), F.lit(-2.0))
+    return detections(t).select("pos", G.polygon_bounds(G.corners(moved), 0.1, F.lit(150.0), F.lit(150.0)).alias("b")).select("pos", *(F.round(f"b.{c}", 6).alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
-@query(f"WITH {DET} SELECT pos, CASE WHEN label = 'bent_pins' THEN 'unknown_class' WHEN x2 > 130 OR y2 > 130 THEN 'invalid_box' END AS error FROM det WHERE label = 'bent_pins' OR x2 > 130 OR y2 > 130")
-def annotation_errors(t):
-    error = F.when(F.col("label") == "bent_pins", "unknown_class").when((F.col("x2") > 130) | (F.col("y2") > 130), "invalid_box")
-    return detections(t).select("pos", error.alias("error")).where("error is not null")
+@query(f"WITH {DET} SELECT pos, round((least(1, x1 / 60.0) * 0.45 + score * 0.55) * 0.9, 6) AS match, round(x2 * 2, 6) AS px FROM det")
+def match_scores(t):
+    corner = F.get(G.in_pixels(G.scaled(G.corners(E.box()), F.lit(400.0), F.lit(400.0)), F.lit(800.0), F.lit(800.0)), F.lit(1))
+    return detections(t).select("pos", F.round(G.match_score(F.col("x1"), F.col("score"), F.lit(0.9)), 6).alias("match"), F.round(corner["x"], 6).alias("px"))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE (n_chars > 500)::int = quality) AS correct, round(avg(CASE WHEN (n_chars > 500)::int = quality THEN 1.0 ELSE 0 END), 6) AS accuracy FROM labels JOIN documents USING (doc_id)")
@@ -450,20 +689,28 @@ def review_queue(t):
     return t("labels").join(t("documents"), "doc_id").withColumn("p", p).orderBy(F.desc("p"), "doc_id").limit(50).select("doc_id", F.round("p", 6).alias("priority"))
 
 
-@query("SELECT split, count(*) AS n FROM (SELECT CASE WHEN b < 0.7 THEN 'train' WHEN b < 0.85 THEN 'val' ELSE 'test' END AS split FROM (SELECT concat('0x', substr(sha256(doc_id || '42'), 1, 8))::bigint / 4294967295.0 AS b FROM documents)) GROUP BY split")
+@query("WITH n AS (SELECT count(*) AS n FROM documents) SELECT * FROM (SELECT 'train' AS split, cast(floor(n * 0.7) AS bigint) AS n FROM n UNION ALL SELECT 'val', cast(floor(n * 0.15) AS bigint) FROM n UNION ALL SELECT 'test', n - cast(floor(n * 0.7) AS bigint) - cast(floor(n * 0.15) AS bigint) FROM n)")
 def split_counts(t):
-    b = B.canary_bucket(F.concat(F.col("doc_id").cast("string"), F.lit("42")))
-    return t("documents").select(F.when(b < 0.7, "train").when(b < 0.85, "val").otherwise("test").alias("split")).groupBy("split").agg(F.count("*").alias("n"))
+    return B.seeded_split(t("documents").select("doc_id"), "doc_id", 42).groupBy("split").agg(F.count("*").alias("n"))
+
+
+_MODELS = """m AS (SELECT p_brand AS name, (sum(p_size) % 40 + 60) / 100.0::double AS map50, (count(*) % 30 + 70) / 100.0::double AS precision, (sum(p_partkey) % 35 + 65) / 100.0::double AS recall FROM part GROUP BY 1),
+f AS (SELECT m.*, concat_ws(',', CASE WHEN m.map50 < 0.7 THEN 'map50' END, CASE WHEN m.precision < 0.8 THEN 'precision' END, CASE WHEN m.recall < 0.75 THEN 'recall' END) AS failed, round(m.map50 - a.map50, 6) AS dm, round(m.precision - a.precision, 6) AS dp, round(m.recall - a.recall, 6) AS dr FROM m, m a WHERE a.name = 'Brand#3')"""
 
 
-_MODELS = "m(name, map50, p, r) AS (VALUES ('a', 0.71, 0.82, 0.76), ('b', 0.69, 0.9, 0.8), ('c', 0.78, 0.79, 0.7))"
+def trained_models(t) -> DataFrame:
+    ratio = lambda total, by, least: (total % by + least) / F.lit(100.0)
+    m = t("part").groupBy(F.col("p_brand").alias("name")).agg(ratio(F.sum("p_size"), 40, 60).alias("map50"), ratio(F.count("*"), 30, 70).alias("precision"), ratio(F.sum("p_partkey"), 35, 65).alias("recall"))
+    faults = N.absolute_faults({"map50": 0.7, "precision": 0.8, "recall": 0.75})
+    return m.withColumn("failed", faults).withColumn("promotable", F.col("failed") == "")
 
 
-@query(f"WITH {_MODELS} SELECT name, concat_ws(',', CASE WHEN map50 < 0.7 THEN 'map50' END, CASE WHEN p < 0.8 THEN 'precision' END, CASE WHEN r < 0.75 THEN 'recall' END) AS failed, concat_ws(',', CASE WHEN map50 - 0.7 < 0.02 - 1e-9 THEN 'insufficient_map50_gain' END, CASE WHEN map50 - 0.7 < 0.05 AND p < 0.8 THEN 'precision_regression' END) AS relative FROM m")
+@query(f"WITH {_MODELS}, r AS (SELECT *, concat_ws(',', CASE WHEN failed <> '' THEN 'candidate_failed_absolute_thresholds' END, CASE WHEN dm < 0.02 THEN 'insufficient_map50_gain' END, CASE WHEN dm < 0.05 AND dp < 0 THEN 'precision_regression' END, CASE WHEN dm < 0.05 AND dr < 0 THEN 'recall_regression' END) AS faults FROM f) SELECT name, failed, dm AS delta_map50, faults, CASE WHEN faults <> '' THEN 'rejected' WHEN name < 'Brand#2' THEN 'promoted' ELSE 'approval_required' END AS step FROM r")
 def promotion(t):
-    m = t("region").sparkSession.createDataFrame([("a", 0.71, 0.82, 0.76), ("b", 0.69, 0.9, 0.8), ("c", 0.78, 0.79, 0.7)], "name string, map50 double, p double, r double")
-    gain = F.round(F.col("map50") - 0.7, 6)
-    return m.select("name", B.reasons(map50=F.col("map50") < 0.7, precision=F.col("p") < 0.8, recall=F.col("r") < 0.75).alias("failed"), B.reasons(insufficient_map50_gain=gain < 0.02, precision_regression=(gain < 0.05) & (F.col("p") < 0.8)).alias("relative"))
+    m = trained_models(t)
+    active = N.find_by_name(m, "Brand#3").select(*(F.col(c).alias(f"active_{c}") for c in N.METRICS))
+    out = N.relative_faults(m.join(F.broadcast(active), F.lit(True)))
+    return out.select("name", "failed", "delta_map50", "faults", N.promotion_step(F.col("promote"), F.col("name") < "Brand#2").alias("step"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
