@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,18 +17,37 @@ def windowed_maxima(stream: DataFrame, at: str, length: str = "1 hour", late: st
     return stream.withWatermark(at, late).groupBy(F.window(at, length), "label").agg(F.max("score").alias("top"), F.count("*").alias("n")).select("window.start", "label", "top", "n")
 
 
-def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """A query that keeps the latest row of each key in versions of a Parquet table, one for each micro-batch.
+def latest_rows(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The table that upsert_batches keeps: of each bucket its newest version (older than `before`, if given). Buckets' versions are folders, so others aren't read."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    rows = rows if before is None else rows.where(F.col("version") < before)
+    # one row for each bucket
+    newest = rows.select("bucket", "version").distinct().groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(newest), ["bucket", "version"], "left_semi").drop("version", "bucket")
 
-    A batch that is run again writes the same version again, so replays change nothing.
+
+def upsert_batches(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, buckets: int = 64):
+    """A query that keeps the latest row of each key. Keys are dealt into buckets by hash; a micro-batch writes a new version of the buckets that it touches, and no others.
+
+    A batch that is run again writes the same versions again, from the same older ones, so replays change nothing.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
         spark = batch.sparkSession
-        if number:
-            batch = spark.read.schema(batch.schema).parquet(f"{path}/v{number - 1}").unionByName(batch)
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        try:
+            old = latest_rows(spark, path, number)
+        except AnalysisException:  # nothing was written yet
+            old = None
+        rows = batch
+        if old is not None:
+            # at most one row for each bucket
+            touched = F.broadcast(batch.select(bucket.alias("_b")).distinct())
+            rows = old.withColumn("_b", bucket).join(touched, "_b", "left_semi").select(*batch.columns).unionByName(batch)
         others = [c for c in batch.columns if c != key]
-        latest = batch.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(order, F.xxhash64(*others))).alias("r")).select(key, "r.*")
-        latest.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v{number}")
+        latest = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(order, F.xxhash64(*others))).alias("r")).select(key, "r.*")
+        latest.select(*batch.columns).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

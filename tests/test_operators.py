@@ -322,9 +322,16 @@ def test_streams(spark, tmp_path):
     q = I.windowed_maxima(read(), "ts").writeStream.format("memory").queryName("tops").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r["top"] for r in spark.table("tops").collect()) == [0.1, 0.7]
-    q = I.upsert_batches(read(), str(tmp_path / "out"), "id", "ts", str(tmp_path / "cp"))
-    q.awaitTermination(60)
-    assert {r["id"]: r["score"] for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()} == {1: 0.7, 2: 0.1}
+    run = lambda: I.upsert_batches(read(), str(tmp_path / "out"), "id", "ts", str(tmp_path / "cp"), buckets=8).awaitTermination(60)
+    table = lambda: {r["id"]: r["score"] for r in I.latest_rows(spark, str(tmp_path / "out")).collect()}
+    run()
+    assert table() == {1: 0.7, 2: 0.1}
+    more = [(2, "b", 0.9, dt.datetime(2026, 1, 2)), (3, "c", 0.3, dt.datetime(2026, 1, 2)), (2, "b", 0.2, dt.datetime(2025, 1, 1))]
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    assert table() == {1: 0.7, 2: 0.9, 3: 0.3}
+    # the second batch wrote the buckets of its two keys only
+    assert len(list((tmp_path / "out" / "version=1").glob("bucket=*"))) <= 2
 
 
 def test_ransac_finds_planted_inliers(spark):
