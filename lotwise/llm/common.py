@@ -36,23 +36,79 @@ def shared_dir(spark: SparkSession) -> str:
 
 def as_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    return _written(df, name)[0]
+
+
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _dropped(spark: SparkSession, path: str) -> None:
+    """Delete a table that _written made and that nothing reads any more."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Bytes of text that one partition of a word-level shuffle stands for, about.
-PART_BYTES = 16 << 20
+#: Bytes of text that one deal of a word-level shuffle stands for, about; and partitions at most, whatever the input's size.
+DEAL_BYTES, MOST_PARTS = 16 << 20, 50_000
+#: Bytes of text that a task turns into arrays at once, about.
+SLICE_BYTES = 4 << 20
 
 
-def parts_for(docs: DataFrame, text: str = "text") -> int:
-    """Partitions for a shuffle of what is derived from the texts: as many as the session sets, more if the texts are large."""
+def deals_for(docs: DataFrame, text: str = "text") -> int:
+    """Into how many deals a shuffle of what is derived from the texts goes: as many as the session has partitions, more if the texts are large."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(n_partitions(docs.sparkSession), -(-total // PART_BYTES))
+    return max(n_partitions(docs.sparkSession), -(-total // DEAL_BYTES))
+
+
+def by_deal(df: DataFrame, deals: int) -> DataFrame:
+    """df's rows by their column `deal`: a partition for each, or, if they are too many, several in one partition, one after the other. A task holds one deal at a time."""
+    if deals <= MOST_PARTS:
+        return df.repartitionById(deals, F.col("deal"))
+    return df.repartitionById(MOST_PARTS, F.pmod("deal", F.lit(MOST_PARTS))).sortWithinPartitions("deal")
+
+
+def each_deal(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBatch]]:
+    """The batches of each deal; a deal's are to be used up before the next one's."""
+    state: dict = {"next": None, "last": None}
+
+    def advance() -> None:
+        while state["next"] is None or not len(state["next"]):
+            state["next"] = next(batches, None)
+            if state["next"] is None:
+                return
+
+    def own(deal: int) -> Iterator[pa.RecordBatch]:
+        while state["next"] is not None:
+            deals = np.asarray(state["next"].column(0))
+            # with one deal for each partition rows come in no order, but all are of that deal
+            n = int((deals == deal).argmin()) if (deals != deal).any() else len(deals)
+            if n == 0:
+                return
+            batch, state["next"] = state["next"].slice(0, n), state["next"].slice(n)
+            yield batch
+            advance()
+
+    advance()
+    while state["next"] is not None:
+        deal = int(state["next"].column(0)[0].as_py())
+        part = own(deal)
+        yield part
+        for _ in part:
+            pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each has texts (in column number `text`) of about `most` bytes."""
+    for batch in batches:
+        for i, j in steps(utf8(batch.column(text))[1], most):
+            yield batch.slice(i, j - i)
 
 
 #: A lookup table of up to this many rows is broadcast whole.
@@ -197,10 +253,10 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
     """(v, label) for each vertex of edges (a, b: long): label is its component's smallest vertex.
 
     Alternates large-star and small-star steps (Kiveris and others, 2014) as joins and grouped minima; each
-    round is a table in the shared folder. Empty edges give an empty table. The number of rounds grows with the
+    round is a table in the shared folder, which the next one takes the place of. Empty edges give an empty table. The number of rounds grows with the
     logarithm of the longest path.
     """
-    e = as_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    e, path = _written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     seen = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -208,7 +264,9 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down).distinct()
-        e = as_table(small, name)
+        before = path
+        e, path = _written(small, name)
+        _dropped(edges.sparkSession, before)
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -17,7 +17,7 @@ How it runs on Spark:
    a heap, and classes that occur in at least T - L short lists (L long lists: the greater number of the two) are probed in the long lists. A group of g near copies thus
    costs O(g), and no link between different components is lost: the components are exact.
 
-Partitions are as many as the texts' size asks for, so a task's share of them doesn't grow with the input.
+Deals are as many as the texts' size asks for, and a task holds one at a time, so what it holds doesn't grow with the input.
 Hashes have 64 bits. Documents with null or empty text have no shingles and link with nothing.
 """
 
@@ -120,12 +120,10 @@ _DOCUMENTS = "doc_id long, text_key long, class long, n int, grams binary, count
 
 
 def _describe(width: int):
-    """Each document's class and set size; the first row of a batch also has the shingles that are common in it."""
+    """Each document's class and set size; the first row of a slice also has the shingles that are common in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in C.slices(batches, 2):
             class_id, n, grams, _, _ = _hashed(batch.column(2), width)
             gram, count = np.unique(grams, return_counts=True)
             often = (count > 1) & (count * (2 * HOT) >= len(grams))
@@ -146,7 +144,7 @@ def _scan(width: int, parts: int, hot: np.ndarray, hot_df: np.ndarray):
     ends = np.append(hot, np.uint64(0xFFFFFFFFFFFFFFFF))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.slices(batches, 0):
             _, _, grams, owner, n = _hashed(batch.column(0), width)
             at = np.searchsorted(hot, grams)
             known = (ends[at] == grams) & (at < len(hot))
@@ -172,20 +170,26 @@ def _frequencies(parts: int):
     """Inverted lists: drops those of one class, gives the others' length back to each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for deal in C.each_deal(batches):
+            yield from one(deal)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {1: ([], [], []), 2: ([], [], [])}
         for batch in batches:
             for kind, *arrays in zip(np.asarray(batch.column(1)).tolist(), *batch.columns[2:], strict=True):
                 for part, x in zip(held[kind], arrays, strict=True):
                     part.append(x.as_buffer())
-        joined = lambda kind, *types: [np.concatenate([np.frombuffer(x, t) for x in p] or [np.zeros(0, t)]) for p, t in zip(held[kind], types, strict=True)]
+        joined = lambda kind, *types: [np.concatenate([np.frombuffer(x, t) for x in p] or [np.zeros(0, t)]) for p, t in zip(held.pop(kind), types, strict=True)]
         gram, owner, n = _once(*joined(1, np.uint64, np.uint64, np.int32))
         cut = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
         long = np.diff(np.r_[cut, len(gram)])
         df = np.repeat(long, long)
         keep = df > 1
         both = n[keep].astype(np.int64) << 32 | np.minimum(df[keep], 0x7FFFFFFF)
-        for g, o, b in ((gram[keep], owner[keep], both), _once(*joined(2, np.uint64, np.uint64, np.int64))):
-            yield from _rows([*_packed(1, (o % np.uint64(parts)).astype(np.int32), g, o, b)], _PACKED_NAMES, _PACKED_TYPES)
+        gram, owner = gram[keep], owner[keep]
+        yield from _rows([*_packed(1, (owner % np.uint64(parts)).astype(np.int32), gram, owner, both)], _PACKED_NAMES, _PACKED_TYPES)
+        gram, owner, both = _once(*joined(2, np.uint64, np.uint64, np.int64))
+        yield from _rows([*_packed(1, (owner % np.uint64(parts)).astype(np.int32), gram, owner, both)], _PACKED_NAMES, _PACKED_TYPES)
 
     return run
 
@@ -197,6 +201,10 @@ def _classes(percent: int, share: int):
     """The classes that can match: their shared shingles by frequency, the first n_short of them short lists, and into how many shares each of these lists is cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for deal in C.each_deal(batches):
+            yield from one(deal)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["class", "n", "n_short", "grams", "shares"]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         gram, owner, both = [], [], []
@@ -393,14 +401,15 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, share
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
     described = C.as_table(docs.mapInArrow(_describe(width), _DOCUMENTS), "ngram-documents")
     documents = described.select("doc_id", "text_key", "class", "n")
-    parts = C.parts_for(docs)
+    deals = C.deals_for(docs)
+    parts = min(deals, C.MOST_PARTS)
     postings = documents.agg(F.sum("n")).first()[0] or 0
     often = described.where("grams is not null").select("grams", "counts").mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     hot = sorted((r["gram"] % (1 << 64), min(r["n"], 0x7FFFFFFF)) for r in often.where(F.col("n") * HOT > F.lit(postings)).collect())
     hot, hot_df = np.array([g for g, _ in hot], np.uint64), np.array([n for _, n in hot], np.int64)
-    packed = docs.select("text").mapInArrow(_scan(width, parts, hot, hot_df), _PACKED)
-    lists = packed.repartitionById(parts, F.col("deal")).mapInArrow(_frequencies(parts), _PACKED)
-    classes = C.as_table(lists.repartitionById(parts, F.col("deal")).mapInArrow(_classes(percent, share), _CLASSES), "ngram-classes")
+    packed = docs.select("text").mapInArrow(_scan(width, deals, hot, hot_df), _PACKED)
+    lists = C.by_deal(packed, deals).mapInArrow(_frequencies(deals), _PACKED)
+    classes = C.as_table(C.by_deal(lists, deals).mapInArrow(_classes(percent, share), _CLASSES), "ngram-classes")
 
     def short_lists(comps: DataFrame | None) -> DataFrame:
         own = classes.withColumn("comp", F.col("class")) if comps is None else classes.join(comps.withColumnsRenamed({"v": "class", "label": "comp"}), "class", "left").withColumn("comp", F.coalesce("comp", "class"))

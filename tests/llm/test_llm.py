@@ -537,6 +537,15 @@ def test_lookup_of_many_keys(spark, monkeypatch):
         assert {(r["id"], r["value"]) for r in got} == {(k, 2 * key if k % 11 and key >= least else None) for k, key in enumerate(keys)} and len(got) == 600
 
 
+def test_many_deals_in_few_partitions(spark, mixed, monkeypatch):
+    """Several deals in one partition, one after the other: the same results."""
+    want = [sorted(map(str, f(mixed).collect())) for f in (ngram_join.ngram_jaccard_join, substring_dedup.repeated_passages)]
+    monkeypatch.setattr(C, "DEAL_BYTES", 5000)
+    monkeypatch.setattr(C, "MOST_PARTS", 3)
+    assert C.deals_for(mixed) > 20
+    assert [sorted(map(str, f(mixed).collect())) for f in (ngram_join.ngram_jaccard_join, substring_dedup.repeated_passages)] == want
+
+
 def test_bounded_samples(spark):
     """Of a doc_id that stands a great many times one row is a sample's; string ids work throughout."""
     docs = spark.range(5000).select(F.when(F.col("id") < 4900, F.lit("many")).otherwise(F.col("id").cast("string")).alias("doc_id"), F.concat(F.lit("text of words "), F.col("id").cast("string")).alias("text"))
