@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -579,6 +580,32 @@ def test_decontamination_keeps_repeated_rows(spark):
     assert collections.Counter((r["doc_id"], r["n_hit"]) for r in got) == collections.Counter((i, 12 if t == passage else 0) for i, t in rows)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_network_on_hidden_spellings(spark):
+    """Spans of the driver's documents respelled: most are found again, and nothing else is taken for a span, in documents without any either."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    tagger = pii.fit(docs.select("doc_id", "text"))
+    rng = np.random.default_rng(5)
+    found = hidden = elsewhere = 0
+    for (text,) in docs.where("text is not null").orderBy(F.xxhash64("doc_id").desc()).limit(400).select("text").collect():
+        out, at, where = "", 0, []
+        for s, e, kind in pii.base_spans(text):
+            if s >= at:
+                out += text[at:s]
+                where.append((len(out), kind))
+                out += pii._variants(text[s:e], kind, rng)
+                where[-1] += (len(out),)
+                at = e
+        out += text[at:]
+        base = pii.base_spans(out)
+        added = pii.added_spans([out], [base], tagger)[0]
+        left = [(s, e, k) for s, k, e in where if (s, e) not in {x[:2] for x in base}]
+        hidden += len(left)
+        found += sum(any(s < z and a < e and k == kind for a, z, kind in added) for s, e, k in left)
+        elsewhere += sum(not any(s < z and a < e for s, e, _ in left) for a, z, _ in added)
+    assert hidden >= 20 and found >= 0.6 * hidden and elsewhere <= 1
+
+
 def test_long_pretokens_as_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     import public_tokenizers
