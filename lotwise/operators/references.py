@@ -17,12 +17,17 @@ def euclid(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v))
 
 
-def ratio_matches(queries: DataFrame, references: DataFrame, ratio: float = 0.8) -> DataFrame:
+def hamming(a: Column, b: Column) -> Column:
+    """How many bits two descriptors differ in; a descriptor is an array of 64-bit words."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+
+
+def ratio_matches(queries: DataFrame, references: DataFrame, ratio: float = 0.8, distance=euclid) -> DataFrame:
     """(q, r, d1, d2): of each query (q, model, v) the nearest reference (r, model, v) of its model, if clearly nearer than the second.
 
     A stated set of queries meets the references of its model; a query's candidates are the references of one model.
     """
-    pairs = queries.select("q", "model", F.col("v").alias("a")).join(references.select("r", "model", F.col("v").alias("b")), "model").select("q", "r", euclid(F.col("a"), F.col("b")).alias("d"))
+    pairs = queries.select("q", "model", F.col("v").alias("a")).join(references.select("r", "model", F.col("v").alias("b")), "model").select("q", "r", distance(F.col("a"), F.col("b")).alias("d"))
     pairs = pairs.where(F.col("q") != F.col("r"))
     first = F.row_number().over(Window.partitionBy("q").orderBy("d", "r"))
     near = pairs.withColumn("_n", first).where("_n <= 2").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("d", "r"))).alias("near"))

@@ -48,11 +48,47 @@ def ordered_corners(points: Column) -> Column:
     return F.array(pick(sums, 1), pick(differences, 1), pick(sums, -1), pick(differences, -1))
 
 
-def layout_status(found: DataFrame, expected: tuple[str, ...], key: str = "item_id") -> DataFrame:
-    """(key, name, status) for each key and expected name: PASS if found has it, else MISSING."""
-    names = found.groupBy(key).agg(F.collect_set("label").alias("names"))
-    each = names.select(key, "names", F.explode(F.array(*map(F.lit, expected))).alias("name"))
-    return each.select(key, "name", F.when(F.array_contains("names", F.col("name")), "PASS").otherwise("MISSING").alias("status"))
+def quad_size(points: Column) -> Column:
+    """struct(width, height) of four points in whole pixels, one at least: the longer of opposite sides."""
+    c = ordered_corners(points)
+    side = lambda i, j: F.hypot(c[i][0] - c[j][0], c[i][1] - c[j][1])
+    whole = lambda *x: F.greatest(F.lit(1), F.bround(F.greatest(*x)).cast("int"))
+    return F.struct(whole(side(1, 0), side(2, 3)).alias("width"), whole(side(3, 0), side(2, 1)).alias("height"))
+
+
+def repaired_top_right(points: Column, width: Column, height: Column, least: float = 0.04) -> Column:
+    """struct(applied, reason, x, y, inset_ratio): a top right corner that lies well short of the lower right one is moved along the top edge to above it.
+
+    It stays where the top edge is vertical, and where the new corner would lie outside the image by more than a twentieth of its height.
+    """
+    c = ordered_corners(points)
+    tl, tr, br, bl = (c[k] for k in range(4))
+    board = F.greatest(F.lit(1.0), F.hypot(br[0] - bl[0], br[1] - bl[1]))
+    inset, dx = br[0] - tr[0], tr[0] - tl[0]
+    y = tl[1] + (tr[1] - tl[1]) / dx * (br[0] - tl[0])
+    inside = (y >= height * -0.05) & (y <= height * 1.05) & (br[0] >= 0) & (br[0] <= width)
+    reason = F.when(inset <= board * least, "top_right_not_materially_inset").when(F.abs(dx) < 1e-6, "top_edge_is_vertical").when(~inside, "inferred_corner_outside_image").otherwise("extended_straight_top_edge_to_right_pcb_edge")
+    applied = reason == "extended_straight_top_edge_to_right_pcb_edge"
+    return F.struct(applied.alias("applied"), reason.alias("reason"), F.when(applied, br[0]).otherwise(tr[0]).alias("x"), F.when(applied, y).otherwise(tr[1]).alias("y"), F.round(inset / board, 4).alias("inset_ratio"))
+
+
+def layout_status(found: DataFrame, expected: tuple[str, ...], key: str = "item_id", counted: tuple[str, ...] = ()) -> DataFrame:
+    """(key, name, status) for each key and expected name: PASS if found has it (with how many, for `counted` names), else MISSING."""
+    counts = found.where(F.col("label").isin(*expected)).groupBy(key, "label").agg(F.count("*").alias("n"))
+    names = found.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, expected))).alias("name"))
+    each = names.join(counts.withColumnRenamed("label", "name"), [key, "name"], "left")
+    number = F.when(F.col("name").isin(*counted), F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise("")
+    return each.select(key, "name", F.when(F.col("n").isNull(), "MISSING").otherwise(F.concat(F.lit("PASS"), number)).alias("status"))
+
+
+def any_match(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """(key, matched): whether any of a key's texts has a pattern."""
+    return rows.groupBy(key).agg(F.coalesce(F.bool_or(F.col(text).rlike(pattern)), F.lit(False)).alias("matched"))
+
+
+def difference(values: Column, allowed: tuple[str, ...]) -> Column:
+    """What a list has beyond some values, sorted."""
+    return F.array_sort(F.array_except(values, F.array(*map(F.lit, allowed))))
 
 
 def positional_distances(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -151,3 +151,10 @@ def run_log(t):
     half = F.expr("timestamp_ntz'2024-01-16'")
     log = B.retained(e.where(F.col("ts") < half).unionByName(e.where(F.col("ts") >= half)), "ts", "2024-01-31 00:00:00", 20)
     return log.groupBy("user_id").agg(F.count("*").alias("runs"), F.count_if(F.col("event_type") == "error").alias("failed"), F.max("ts").alias("last"))
+
+
+@query("SELECT p_partkey, ['INTEL CORE I7-8700K', 'AMD RYZEN 5 3600|RYZEN 5 3600', 'RYZEN 7 5800X3D', ''][p_partkey % 4 + 1] AS cpus FROM part")
+def cpu_candidates(t):
+    """Names of processors in a text, the first of equals kept; the twin's names are written out by hand."""
+    said = F.get(F.array(*map(F.lit, ("with Intel Core i7-8700K, used", "and AMD Ryzen 5 3600 (box)", "Ryzen 7 5800X3D / RYZEN  7 5800X3D", "no cpu i7"))), (F.col("p_partkey") % 4).cast("int"))
+    return t("part").select("p_partkey", F.concat_ws("|", X.cpu_candidates(F.concat_ws(" ", "p_name", said))).alias("cpus"))

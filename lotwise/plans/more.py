@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..operators import evidence as E
 from ..operators import sets as S
 from .queries import DET, STATE, VALUE, detections, query, states, values
 
@@ -62,9 +64,38 @@ def inner_results(t):
     return values(t).select("item_id", "recommendation").join(states(t).select("item_id", "cpu_state"), "item_id")
 
 
-@query(f"WITH {DET}, it AS (SELECT DISTINCT item_id FROM det), e AS (SELECT unnest(['visible_cpu', 'cooler', 'bent_pins']) AS name) SELECT it.item_id, e.name, CASE WHEN EXISTS (SELECT 1 FROM det d WHERE d.item_id = it.item_id AND d.label = e.name) THEN 'PASS' ELSE 'MISSING' END AS status FROM it, e")
+@query(f"WITH {DET}, i AS (SELECT DISTINCT item_id FROM det), n AS (SELECT item_id, label AS name, count(*) AS n FROM det GROUP BY ALL) SELECT item_id, name, CASE WHEN n IS NULL THEN 'MISSING' WHEN name = 'cooler' THEN concat('PASS (', n, ')') ELSE 'PASS' END AS status FROM (SELECT item_id, unnest(['visible_cpu', 'cooler', 'bent_pins']) AS name FROM i) LEFT JOIN n USING (item_id, name)")
 def layout_status(t):
-    return S.layout_status(detections(t), ("visible_cpu", "cooler", "bent_pins"))
+    return S.layout_status(detections(t), ("visible_cpu", "cooler", "bent_pins"), counted=("cooler",))
+
+
+@query(f"WITH {DET} SELECT a.pos, printf('%.1fpx', sqrt(power((a.x1 + a.x2 - b.x1 - b.x2) / 2, 2) + power((a.y1 + a.y2 - b.y1 - b.y2) / 2, 2)) + 1e-7) AS shift FROM det a JOIN det b ON a.pos + 1 = b.pos")
+def socket_offsets(t):
+    """How far apart an expected and an observed polygon lie."""
+    own = detections(t).select("pos", G.centroid(G.corners(E.box())).alias("c"))
+    pairs = own.join(own.select((F.col("pos") - 1).alias("pos"), F.col("c").alias("o")), "pos")
+    return pairs.select("pos", F.format_string("%.1fpx", G.distance(F.col("c"), F.col("o")) + 1e-7).alias("shift"))
+
+
+_QUAD = "q AS (SELECT pos, x1, y1, x2, y2, x2 - pos % 3 * 5 AS tx, y1 + pos % 5 AS ty FROM det), r AS (SELECT *, x2 - tx AS inset, y1 + (ty - y1) / (tx - x1) * (x2 - x1) AS iy FROM q)"
+
+
+@query(f"WITH {DET}, {_QUAD}, k AS (SELECT *, CASE WHEN inset <= (x2 - x1) * 0.04::double THEN 0 WHEN iy < -7.5 OR iy > 157.5 OR x2 > 150 THEN 1 ELSE 2 END AS k FROM r) SELECT pos, cast(round(greatest(x2 - x1, sqrt((tx - x1) ** 2 + (ty - y1) ** 2))) AS int) AS width, cast(round(greatest(y2 - y1, sqrt((tx - x2) ** 2 + (ty - y2) ** 2))) AS int) AS height, ['top_right_not_materially_inset', 'inferred_corner_outside_image', 'extended_straight_top_edge_to_right_pcb_edge'][k + 1] AS reason, CASE WHEN k = 2 THEN x2 ELSE tx END AS x, round(CASE WHEN k = 2 THEN iy ELSE ty END, 6) AS y FROM k")
+def quad_repair(t):
+    """Sizes of four-cornered outlines, and their top right corner moved where it was taken too far left."""
+    point = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    c = F.col
+    quad = F.array(point(c("x2"), c("y2")), point(c("x2") - c("pos") % 3 * 5, c("y1") + c("pos") % 5), point(c("x1"), c("y1")), point(c("x1"), c("y2")))
+    rows = detections(t).select("pos", S.quad_size(quad).alias("s"), S.repaired_top_right(quad, F.lit(150.0), F.lit(150.0)).alias("r"))
+    return rows.select("pos", "s.width", "s.height", "r.reason", "r.x", F.round("r.y", 6).alias("y"))
+
+
+@query(f"WITH {DET} SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(list(label), lambda x: x NOT IN {_SOCKET}))), ',') AS rest, bool_or(regexp_matches(label, 'cover|pins$')) AS matched FROM det GROUP BY item_id")
+def label_differences(t):
+    """Labels of an item beyond those of a socket, and whether any has a given text."""
+    d = detections(t)
+    sets = d.groupBy("item_id").agg(F.collect_set("label").alias("labels"))
+    return sets.select("item_id", F.concat_ws(",", S.difference(F.col("labels"), SOCKET)).alias("rest")).join(S.any_match(d, "item_id", "label", "cover|pins$"), "item_id")
 
 
 @query(f"WITH {DET} SELECT pos, x1 AS left_x, y1 AS top_y, x2 AS right_x, y2 AS bottom_y FROM det")

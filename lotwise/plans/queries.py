@@ -618,6 +618,17 @@ def knn_ratio_test(t):
     return R.ratio_matches(e.where("id % 20 = 0").withColumnRenamed("id", "q"), e.withColumnRenamed("id", "r"), 0.98).select("q", "r", F.round("d1", 4).alias("d1"), F.round("d2", 4).alias("d2"))
 
 
+_WORDS = ", ".join(f"list_sum(list_transform(range(1, 33), lambda i: CASE WHEN v[i + {32 * k}] > 0 THEN power(2, i - 1) ELSE 0 END))::bigint" for k in range(2))
+
+
+@query(f"WITH {_EMB}, w AS (SELECT id, model, [{_WORDS}] AS v FROM e), p AS (SELECT a.id AS q, b.id AS r, bit_count(xor(a.v[1], b.v[1]))::int + bit_count(xor(a.v[2], b.v[2]))::int AS d FROM w a JOIN w b ON a.model = b.model AND a.id <> b.id WHERE a.id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, r) AS n FROM p) SELECT x.q, x.r, x.d AS d1, y.d AS d2 FROM k x JOIN k y ON x.q = y.q AND x.n = 1 AND y.n = 2 WHERE x.d < 0.98 * y.d")
+def knn_hamming(t):
+    """The ratio test on binary descriptors: the signs of 64 components as two words."""
+    word = lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("bigint"), lambda s, i: s + F.when(F.get("v", i + 32 * k) > 0, F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    e = features(t).select("id", "model", F.array(word(0), word(1)).alias("v"))
+    return R.ratio_matches(e.where("id % 20 = 0").withColumnRenamed("id", "q"), e.withColumnRenamed("id", "r"), 0.98, R.hamming).select("q", "r", "d1", "d2")
+
+
 @query(f"WITH {_EMB}, p AS (SELECT a.id, list_distance(a.v, b.v) <= 1.0 AS near FROM e a JOIN e b ON a.model = b.model AND a.id <> b.id), c AS (SELECT id, count(*) FILTER (WHERE near) AS agreeing, count(*) FILTER (WHERE NOT near) AS conflicting FROM p GROUP BY id) SELECT *, CASE WHEN agreeing >= 2 AND conflicting = 0 THEN 'approve' WHEN agreeing > 0 AND conflicting = 0 THEN 'manual_approval' WHEN conflicting > 0 THEN 'manual_review' ELSE 'insufficient_evidence' END AS recommendation FROM c")
 def pair_agreement(t):
     return R.pair_agreement(features(t), 1.0).withColumn("recommendation", R.recommendation(F.col("agreeing"), F.col("conflicting")))
