@@ -11,14 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 #: Buckets of byte trigrams.
 GRAMS = 1 << 16
-#: Rows that the trigram profile of a language is fitted on at most (those of least hash of doc_id that declare it), and languages that are fitted, the most declared.
+#: Rows that the trigram profile of a language is fitted on, about (those of least hash of doc_id that declare it), and languages that are fitted, the most declared.
 SAMPLE_ROWS, LANGUAGES = 1500, 256
 #: A language is known if this many rows declare it.
 LEAST_ROWS = 5
@@ -79,21 +79,19 @@ class Profiles:
 
 
 def fit(docs: DataFrame, text: str = "text", declared: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS, most: int = LANGUAGES) -> Profiles:
-    """Profiles of the `most` languages declared most, each from a sample of at most `rows` rows; only fixed-size counts come to the driver.
+    """Profiles of the `most` languages declared most, each from a sample of about `rows` rows (all that there are if they are fewer); only fixed-size counts come to the driver.
 
     A null key or declaration isn't sampled; rows that repeat a key and a declaration count once, with their least text.
     """
     declares = F.col(declared).cast("string").alias("_language")
     ids = docs.where(F.col(key).isNotNull() & F.col(declared).isNotNull())
-    often = ids.groupBy(declares).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "_language").limit(most)
-    names = [r["_language"] for r in often.collect()]
-    if not names:
+    often = ids.groupBy(declares).agg(F.count("*").alias("n"), F.approx_count_distinct(key, 0.02).alias("keys")).where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "_language").limit(most)
+    # the share of the hashes' range that holds about `rows` keys; at most `most` rows of two values
+    bounds = [(r["_language"], -(2.0**63) + 2.0**64 * min(1.0, rows / max(r["keys"], 1))) for r in often.collect()]
+    if not bounds:
         return Profiles([], np.zeros((0, GRAMS), np.float32))
-    # the bound on each language's hashes first, from numbers alone (each task ranks its own rows before they meet); then the texts under it
-    hashes = ids.select(declares, F.xxhash64(key).alias("h")).where(F.col("_language").isin(names))
-    rank = F.row_number().over(Window.partitionBy("_language").orderBy("h"))
-    bounds = F.broadcast(hashes.withColumn("_rank", rank).where(F.col("_rank") <= rows).groupBy("_language").agg(F.max("h").alias("bound")))
-    under = ids.select(declares, F.xxhash64(key).alias("h"), F.col(text).cast("string").alias("text")).join(bounds, "_language").where("h <= bound")
+    bounds = F.broadcast(docs.sparkSession.createDataFrame(bounds, "_language string, bound double"))
+    under = ids.select(declares, F.xxhash64(key).alias("h"), F.col(text).cast("string").alias("text")).join(bounds, "_language").where(F.col("h").cast("double") <= F.col("bound"))
     sample = C.as_table(under.groupBy("_language", "h").agg(F.min("text").alias("text")).select("_language", "text"), "language-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
