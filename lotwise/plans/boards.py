@@ -57,10 +57,10 @@ def market_interval(t):
     return B.market_interval(rows).select("p_partkey", *r6(*(f"{what}_{n}" for n, _ in _POINTS for what in ("value", "profit", "max_bid"))))
 
 
-@query(f"WITH {_EMB}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY id) AS n FROM e WHERE id % 5 = 1) WHERE n <= 8 AND id % 2 = 0), i AS (SELECT id // 3 AS item_id, model, v FROM e), p AS (SELECT i.item_id, f.id AS reference, coalesce(1 / (1 + list_distance(i.v, f.v)), 0) AS score FROM i LEFT JOIN f USING (model)), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, reference) AS n FROM p) WHERE n = 1) SELECT item_id, reference, round(score, 4) AS score, CASE WHEN reference IS NULL THEN 'no_reference' WHEN score >= 0.7 THEN 'reference_confirmed' WHEN score < 0.42 THEN 'reference_conflict' ELSE 'reference_uncertain' END AS status FROM b")
+@query(f"WITH {_EMB}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY id) AS n FROM e) WHERE n <= 8 AND id % 2 = 0), i AS (SELECT id // 3 AS item_id, model, v FROM e), p AS (SELECT i.item_id, f.id AS reference, coalesce(1 / (1 + list_distance(i.v, f.v)), 0) AS score FROM i LEFT JOIN f USING (model)), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, reference) AS n FROM p) WHERE n = 1) SELECT item_id, reference, round(score, 4) AS score, CASE WHEN reference IS NULL THEN 'no_reference' WHEN score >= 0.7 THEN 'reference_confirmed' WHEN score < 0.42 THEN 'reference_conflict' ELSE 'reference_uncertain' END AS status FROM b")
 def best_reference(t):
     e = features(t)
-    refs = e.where("id % 5 = 1").select(F.col("id").alias("reference"), "model", "v", (F.col("id") % 2 == 0).alias("approved"))
+    refs = e.select(F.col("id").alias("reference"), "model", "v", (F.col("id") % 2 == 0).alias("approved"))
     images = e.select(F.expr("id div 3").alias("item_id"), "model", "v")
     return B.best_references(images, refs, most=8).select("item_id", "reference", F.round("score", 4).alias("score"), "status")
 
