@@ -103,7 +103,7 @@ def image_key(path: Column) -> Column:
     return F.substring(F.sha2(path, 256), 1, 20)
 
 
-def with_images(images: DataFrame, new: DataFrame, source: str = "shopgoodwill") -> DataFrame:
+def with_images(images: DataFrame, new: DataFrame, source: str = "listing") -> DataFrame:
     """images (image_id, path, item_id, source, annotations, status) and those of new (path, item_id) that aren't there yet, without annotations."""
     kind = images.schema["annotations"].dataType.simpleString()
     fresh = new.select(image_key(F.col("path")).alias("image_id"), "path", "item_id", F.lit(source).alias("source"), F.array().cast(kind).alias("annotations"), F.lit("unlabeled").alias("status"))
