@@ -254,6 +254,26 @@ def test_chains_are_collinear():
     assert substring_dedup.align(a, b, np.array([2, 40]), np.array([2, 40])) == (0, 60, 0, 60, 59)
 
 
+def test_single_ties_are_aligned_as_chains():
+    """All chains of one tie at once, against one by one: texts of few words that agree around the tie, near their ends too."""
+    r = np.random.default_rng(9)
+    a, b, a_at, b_at, places, others, want = [], [], [0], [0], [], [], []
+    for k in range(400):
+        p, o = int(r.integers(0, 70)), int(r.integers(0, 70))
+        x, y = (r.integers(0, 30 if k % 2 else 10**6, n + 8 + int(r.integers(0, 70)), np.uint32) for n in (p, o))
+        low, high = min(p, o), min(len(x) - p, len(y) - o)
+        y[o - low : o + high] = np.where(r.random(low + high) < r.choice([0.05, 0.2, 0.5]), y[o - low : o + high], x[p - low : p + high])
+        y[o : o + 8] = x[p : p + 8]
+        for w, at, one in ((a, a_at, x), (b, b_at, y)):
+            w.append(one)
+            at.append(at[-1] + len(one))
+        places.append(p)
+        others.append(o)
+        want += [(k, p - i, j - p) for i, j, _, _, _ in substring_dedup.alike(x, y, np.array([p]), np.array([o]), 43)]
+    got = substring_dedup.alike_singles(np.concatenate(a), np.array(a_at), np.concatenate(b), np.array(b_at), np.array(places), np.array(others), 43)
+    assert [*zip(*(g.tolist() for g in got), strict=True)] == want and len(want) > 40
+
+
 def test_tokens_as_the_library(spark, mixed, empty):
     import public_tokenizers
     import tokenizers
