@@ -39,6 +39,8 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 HOT = 1 << 14
 #: Classes in a share of an inverted list, about; and of how many one goes to the share where all shares meet, at most.
 SHARE, MEET = 4096, 512
+#: Pairs in a batch that is probed: each brings both classes' shingles.
+PROBED = 256
 
 
 def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -418,10 +420,12 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, share
     def linked(pairs: DataFrame) -> DataFrame:
         one = classes.select(F.col("class").alias("a"), "n", F.col("grams").alias("x"))
         two = classes.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("grams").alias("y"))
-        return pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_probe(percent), "a long, b long")
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_probe(percent), "a long, b long")
 
     near = short_lists(None).repartition(parts, "gram", "share").sortWithinPartitions("gram", "share")
-    first = C.as_table(linked(near.mapInArrow(_chain(percent), "a long, b long")), "ngram-links")
+    near = C.as_table(near.mapInArrow(_chain(percent), "a long, b long").distinct(), "ngram-pairs")
+    with C.small_batches(spark, PROBED):
+        first = C.as_table(linked(near), "ngram-links")
     comps = C.connected_components(first)
     own = short_lists(comps)
     several = own.groupBy("gram").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("shares").alias("all")).where("least <> most")
@@ -430,7 +434,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, share
     met = met.withColumns({"low": F.least("share", "with"), "high": F.greatest("share", "with")}).drop("with", "shares")
     met = met.repartition(parts, "gram", "low", "high").sortWithinPartitions("gram", "low", "high")
     merged = met.mapInArrow(_postings(percent), "a long, n int, others array<long>, sizes array<int>").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_merge(percent), "a long, b long")
-    more = C.as_table(linked(merged), "ngram-links")
+    merged = C.as_table(merged.distinct(), "ngram-pairs")
+    with C.small_batches(spark, PROBED):
+        more = C.as_table(linked(merged), "ngram-links")
     comps = C.connected_components(more.union(comps.selectExpr("v as a", "label as b").where("a <> b"))) if not more.isEmpty() else comps
     by_class = documents.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     # classes of one row that link with nothing name themselves
