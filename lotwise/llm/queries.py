@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, langid, media_tiff, ngram_join, packing, pii, quality, substring_dedup, token_count, toxicity
+from . import alignment, decontaminate, langid, media_tiff, ngram_join, packing, pii, quality, ranked, substring_dedup, token_count, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.align(_docs(spark, sf_dir), "byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 def tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page of every document's TIFF."""
     files = media_tiff.texts_to_tiff(_docs(spark, sf_dir), "doc_id", "text")
@@ -79,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_ranked_lexical_search": ranked.SEARCH_SQL}
