@@ -52,6 +52,18 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of about `most` bytes, for what is run meanwhile."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -262,6 +274,17 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def bit_table(rows: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2**bits bits, those set that rows (bit: long) name. Spark sets them in blocks, and only the blocks, 2**bits / 8 bytes together, come to the driver."""
+    # bitmap block k >= 1 has bit 32768 * (k - 1) + p + 1 at place p, block 0 the bit 0
+    blocks = rows.groupBy(F.bitmap_bucket_number("bit").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    table = np.zeros(1 << bits - 3, np.uint8)
+    for block, part in blocks.toLocalIterator():
+        places = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(part), np.uint8), bitorder="little")) + (32768 * (block - 1) + 1 if block > 0 else 0)
+        np.bitwise_or.at(table, places >> 3, (1 << (places & 7)).astype(np.uint8))
+    return table
+
+
 def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """(v, label) for each vertex of edges (a, b: long): label is its component's smallest vertex.
 

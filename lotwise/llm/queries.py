@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, langid, media_tiff, ngram_join, packing, pii, quality, ranked, substring_dedup, token_count, toxicity
+from . import alignment, decontaminate, langid, media_tiff, minmax_dedup, ngram_join, packing, pii, quality, ranked, shingle_sql, substring_dedup, token_count, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_join(_docs(spark, sf_dir), width=5, percent=75).drop("text_key", "component_class")
+    return ngram_join.ngram_jaccard_join(_docs(spark, sf_dir), width=5, percent=75).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.minmax_dedup(_docs(spark, sf_dir), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_docs(spark, sf_dir), "byte_bpe_50k.json", "piece_bpe_32k.model")
 
@@ -83,4 +87,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_ranked_lexical_search": ranked.SEARCH_SQL}
+    return {
+        "op2_ngram_jaccard_join": shingle_sql.components(width=5, percent=75),
+        "op11_minhash_near_dedup": shingle_sql.components(width=3, percent=85, more=", doc_id = component_id as kept"),
+        "op13_ranked_lexical_search": ranked.SEARCH_SQL,
+    }
