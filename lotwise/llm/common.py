@@ -35,9 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def as_table(df: DataFrame, name: str) -> DataFrame:
+def as_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    return _written(df, name)[0]
+    return _written(df, name, **options)[0]
 
 
 @contextmanager
@@ -64,9 +64,9 @@ def batch_bytes(spark: SparkSession, most: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def _written(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -193,12 +193,13 @@ def byte_table(separators: bytes, fold_case: bool = True) -> tuple[np.ndarray, n
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and each text's offsets in them; null is the empty text."""
+    """The bytes of a string or binary column and each text's offsets in them; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    raw = pa.types.is_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if raw else "")
+    column = column.cast(pa.large_binary() if raw else pa.large_string())
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
