@@ -8,7 +8,8 @@ On Spark:
 1. A pass over the texts hashes each document's shingles. Documents of one shingle set are one *class*. A class has a signature of 2 * PERMUTATIONS values, kept as
    a hash for each band (RULES) and a sketch: the last byte of each value.
 2. Bands are grouped as (band hash, class) rows: partial aggregation gives each group's size, its first and its last class. Each member is paired with these two, which is linear in
-   the group, however large. Pairs that their sizes and sketches don't rule out are confirmed on the full sets, and joined into components.
+   the group, however large. Pairs that their sizes and sketches don't rule out are confirmed on the full sets, and joined into components. ROUNDS more times, the members of a group that
+   aren't in its largest component are paired with one of those that are, another one for each band: most of what links is one component then.
 3. Groups whose members are still in several components meet once more. Members of the group's largest component needn't meet each other; shares of SHARE of them, and of
    the others, meet in tasks, where numpy compares the sketches of members of different components. Only pairs that can link come out, to be confirmed on the full sets.
 
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from . import common as C
 from .ngram_join import _sets
 
-#: Each gives two values.
-PERMUTATIONS = 64
-#: Values in a band, at most: both ends of two permutations.
-ROWS = 4
+#: Each gives two values to the sketch; the first ones also give them to the bands.
+PERMUTATIONS = 128
+#: Permutations in a band, at most: each with both ends.
+ROWS = 2
+#: How often members outside a group's largest component are paired with one inside.
+ROUNDS = 2
 #: The chance that a pair at the threshold is missed by all bands, or by the sketch, is under this.
 MISSED = 1e-9
 #: Members of a group that meet in one task, about.
@@ -45,12 +48,13 @@ PROBED = 16 << 20
 _FACTORS = C.mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 
 
-def bands_for(percent: int, permutations: int = PERMUTATIONS) -> int:
-    """Permutations in a band: as many as leave pairs at the threshold a chance under MISSED to be in no band together."""
-    for n in range(ROWS // 2, 0, -1):
-        if (1 - (percent / 100) ** (2 * n)) ** (permutations // n) < MISSED:
-            return n
-    return 1
+def bands_for(percent: int, permutations: int = PERMUTATIONS) -> tuple[int, int]:
+    """(permutations in a band, bands): as long bands and then as few as leave pairs at the threshold a chance under MISSED to be in no band together."""
+    for n in range(ROWS, 0, -1):
+        bands = math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** (2 * n)))) if percent < 100 else 1
+        if n * bands <= permutations:
+            return n, bands
+    return 1, permutations
 
 
 def least_equal(percent: int, values: int = 2 * PERMUTATIONS) -> int:
@@ -74,10 +78,9 @@ def signatures(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_hashes(signature: np.ndarray, permutations: int) -> np.ndarray:
+def band_hashes(signature: np.ndarray, permutations: int, bands: int) -> np.ndarray:
     """(sets, bands): one hash for the values of each band."""
     width = 2 * permutations
-    bands = signature.shape[1] // width
     out = np.empty((len(signature), bands), np.uint64)
     for b in range(bands):
         h = np.full(len(signature), np.uint64(b + 1))
@@ -105,7 +108,7 @@ def _once(class_id: np.ndarray, n: np.ndarray) -> np.ndarray:
 _DOCUMENTS = "doc_id long, text_key long, class long, n int, bands binary, sketch binary"
 
 
-def _describe(width: int, permutations: int):
+def _describe(width: int, permutations: int, n_bands: int):
     """Each document's class and set size; once for each class of a slice also its bands and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,13 +118,11 @@ def _describe(width: int, permutations: int):
             chosen = _once(class_id, n)
             bands, sketches = [None] * len(batch), [None] * len(batch)
             if len(chosen):
-                at = np.searchsorted(text, chosen)
                 mine = np.zeros(len(batch), bool)
                 mine[chosen] = True
                 size = n[chosen].astype(np.int64)
                 made = signatures(grams[mine[text]], np.cumsum(size) - size)
-                assert len(at) == len(made)
-                for k, b, s in zip(chosen.tolist(), band_hashes(made, permutations), (made >> np.uint64(20)).astype(np.uint8), strict=True):
+                for k, b, s in zip(chosen.tolist(), band_hashes(made, permutations, n_bands), (made >> np.uint64(20)).astype(np.uint8), strict=True):
                     bands[k], sketches[k] = b.tobytes(), s.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), C.signed(class_id), pa.array(n), pa.array(bands, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "text_key", "class", "n", "bands", "sketch"])
 
@@ -154,14 +155,19 @@ def _could(percent: int, least: int):
     return run
 
 
+def _unsettled(members: DataFrame, seed: int) -> DataFrame:
+    """(band, main, rep, most, size) of the groups of members (band, class, n, comp) that are in several components: the largest one and one of its members, its size and the group's."""
+    sizes = members.groupBy("band", "comp").agg(F.count("*").alias("c"), F.min_by("class", F.xxhash64("class", "band", F.lit(seed))).alias("rep"))
+    groups = sizes.groupBy("band").agg(F.max_by(F.struct("comp", "rep"), F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"), F.count("*").alias("comps"))
+    return groups.where("comps > 1").select("band", F.col("main.comp").alias("main"), F.col("main.rep").alias("rep"), "most", "size")
+
+
 def _cells(members: DataFrame, share: int) -> DataFrame:
     """(band, low, high, class, n, comp, share) for each member (band, class, n, comp) of a group of several components, in each cell where it meets others.
 
     The largest component's shares are numbered from -1 downward and meet those of the others, which are numbered from 0 and meet each other too.
     """
-    sizes = members.groupBy("band", "comp").agg(F.count("*").alias("c"))
-    groups = sizes.groupBy("band").agg(F.max_by("comp", "c").alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"), F.count("*").alias("comps")).where("comps > 1")
-    groups = groups.select("band", "main", F.expr(f"1 + most div {share}").alias("mains"), F.expr(f"1 + (size - most) div {share}").alias("others"))
+    groups = _unsettled(members, 0).select("band", "main", F.expr(f"1 + most div {share}").alias("mains"), F.expr(f"1 + (size - most) div {share}").alias("others"))
     met = members.join(groups, "band").withColumn("is_main", F.col("comp") == F.col("main"))
     dealt = F.xxhash64("class")
     met = met.withColumn("share", F.when(F.col("is_main"), -1 - F.pmod(dealt, F.col("mains"))).otherwise(F.pmod(dealt, F.col("others"))))
@@ -269,33 +275,43 @@ def minmax_dedup(docs: DataFrame, width: int = 3, percent: int = 85, share: int
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50, up to 100")
-    permutations, least = bands_for(percent), least_equal(percent)
+    (permutations, bands), least = bands_for(percent), least_equal(percent)
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    described = C.as_table(docs.mapInArrow(_describe(width, permutations), _DOCUMENTS), "minmax-documents")
+    described = C.as_table(docs.mapInArrow(_describe(width, permutations, bands), _DOCUMENTS), "minmax-documents")
     documents = described.select("doc_id", "text_key", "class", "n")
     classes = C.as_table(described.where("bands is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "minmax-classes")
     members = classes.select("class", "n", "bands").mapInArrow(_members, "band long, class long, n int")
     groups = members.groupBy("band").agg(F.count("*").alias("size"), F.min("class").alias("first"), F.max("class").alias("last")).where("size > 1")
     groups = C.as_table(groups, "minmax-groups")
 
+    sets = _Sets(docs, width, percent)
     sketched = classes.select("class", "n", "sketch")
     one, two = sketched.toDF("a", "n", "x"), sketched.toDF("b", "m", "y")
-    ends = members.join(groups, "band").select("class", F.explode(F.array("first", "last")).alias("end")).where("class <> end")
-    ends = ends.select(F.least("class", "end").alias("a"), F.greatest("class", "end").alias("b")).distinct()
-    near = C.as_table(ends.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_could(percent, least), "a long, b long"), "minmax-pairs")
-    links = _links(docs, near, width, percent)
-    comps = C.connected_components(links)
-
-    comp = comps.withColumnsRenamed({"v": "class", "label": "comp"})
-    own = members.join(groups.select("band"), "band").join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Of pairs (class, end) those that can link, once each, as (a, b)."""
+        pairs = pairs.where("class <> end").select(F.least("class", "end").alias("a"), F.greatest("class", "end").alias("b")).distinct()
+        return C.as_table(pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_could(percent, least), "a long, b long"), "minmax-pairs")
+
+    comps = C.connected_components(sets.links(likely(members.join(groups, "band").select("class", F.explode(F.array("first", "last")).alias("end")))))
+
+    def settled(links: DataFrame) -> DataFrame:
+        return comps if links.isEmpty() else C.connected_components(links.union(comps.selectExpr("v as a", "label as b").where("a <> b")))
+
+    def placed() -> DataFrame:
+        """Members of the groups with their components."""
+        return members.join(groups.select("band"), "band").join(comps.withColumnsRenamed({"v": "class", "label": "comp"}), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+
+    for seed in range(1, ROUNDS + 1):
+        own = placed()
+        comps = settled(sets.links(likely(own.join(_unsettled(own, seed), "band").where("comp <> main").select("class", F.col("rep").alias("end")))))
+    own = placed()
     met = _cells(own, share).join(classes.select("class", "sketch"), "class")
     parts = min(C.deals_for(docs), C.MOST_PARTS)
     met = met.repartition(parts, "band", "low", "high").sortWithinPartitions("band", "low", "high")
     rest = C.as_table(met.mapInArrow(_meet(percent, least), "a long, b long").distinct(), "minmax-pairs")
-    more = _links(docs, rest, width, percent)
-    if not more.isEmpty():
-        comps = C.connected_components(more.union(comps.selectExpr("v as a", "label as b").where("a <> b")))
+    comps = settled(sets.links(rest))
 
     by_class = documents.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     # classes of one row that link with nothing name themselves
@@ -309,14 +325,33 @@ def minmax_dedup(docs: DataFrame, width: int = 3, percent: int = 85, share: int
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link on their full sets, which are made again from the texts for just the classes of the pairs (and a few others)."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class"))
-    table = C.bit_table(wanted.select(F.shiftrightunsigned("class", 64 - BITS).alias("bit")), BITS)
-    sets = docs.select("text").mapInArrow(_wanted_sets(width, spark.sparkContext.broadcast(table)), "class long, grams binary")
-    # copies of a class in several slices are alike
-    sets = C.as_table(sets.groupBy("class").agg(F.first("grams").alias("grams")), "minmax-sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    with C.batch_bytes(spark, PROBED):
-        return C.as_table(both.mapInArrow(_confirm(percent), "a long, b long"), "minmax-links")
+class _Sets:
+    """Full sets of the classes that pairs ask for: made from the texts again, in a pass for those that no earlier pass has made."""
+
+    def __init__(self, docs: DataFrame, width: int, percent: int) -> None:
+        self.docs, self.width, self.percent, self.made = docs, width, percent, []
+
+    def _of(self, pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+        for table in self.made:
+            wanted = wanted.join(table.select("class"), "class", "left_anti")
+        spark = self.docs.sparkSession
+        table = C.bit_table(wanted.select(F.shiftrightunsigned("class", 64 - BITS).alias("bit")), BITS)
+        if table.any():
+            sets = self.docs.select("text").mapInArrow(_wanted_sets(self.width, spark.sparkContext.broadcast(table)), "class long, grams binary")
+            for before in self.made:
+                # others of the same bit may be there already
+                sets = sets.join(before.select("class"), "class", "left_anti")
+            # copies of a class in several slices are alike
+            self.made.append(C.as_table(sets.groupBy("class").agg(F.first("grams").alias("grams")), "minmax-sets"))
+        out = self.made[0] if self.made else spark.createDataFrame([], "class long, grams binary")
+        for more in self.made[1:]:
+            out = out.union(more)
+        return out
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes that link on their full sets."""
+        sets = self._of(pairs)
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        with C.batch_bytes(pairs.sparkSession, PROBED):
+            return C.as_table(both.mapInArrow(_confirm(self.percent), "a long, b long"), "minmax-links")

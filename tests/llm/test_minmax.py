@@ -96,7 +96,8 @@ def test_hot_group_and_long_text(spark):
 
 
 def test_bounds():
-    assert M.bands_for(85) == 2 and M.least_equal(85) in range(76, 92) and M.least_equal(100) == 128
+    assert M.bands_for(85) == (2, 29) and M.least_equal(85) in range(170, 195) and M.least_equal(100) == 256
+    assert M.bands_for(51) == (1, 69) and M.bands_for(100) == (2, 1)
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 900).astype(np.uint64)
     both = np.concatenate([a, a[:850], rng.integers(0, 1 << 63, 40).astype(np.uint64)])
