@@ -40,18 +40,6 @@ def as_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     return _written(df, name, **options)[0]
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows, for what is run meanwhile: where a row may be large, ten thousand of them don't fit a task."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 @contextmanager
 def batch_bytes(spark: SparkSession, most: int) -> Iterator[None]:
     """Arrow batches of about `most` bytes, for what is run meanwhile."""

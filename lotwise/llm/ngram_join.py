@@ -39,8 +39,8 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 HOT = 1 << 14
 #: Classes in a share of an inverted list, about; and of how many one goes to the share where all shares meet, at most.
 SHARE, MEET = 4096, 512
-#: Pairs in a batch that is probed: each brings both classes' shingles.
-PROBED = 256
+#: Bytes of pairs with both classes' shingles in a batch, and of lists in one.
+PROBED, MERGED = 16 << 20, 8 << 20
 
 
 def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -333,34 +333,46 @@ def _postings(percent: int):
     return run
 
 
+def _ascending(ids: np.ndarray) -> Iterator[int]:
+    """An ascending list's members, a part of it as Python numbers at a time."""
+    for k in range(0, len(ids), 1024):
+        yield from ids[k : k + 1024].tolist()
+
+
 def _merge(percent: int):
-    """T-occurrence: merges a class's short lists with a heap; keeps what occurs in at least T - L of them, L the greater number of long lists."""
+    """T-occurrence: merges a class's short lists with a heap; keeps what occurs in at least T - L of them, L the greater number of long lists. Lists stay arrays of one class at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, size, lists = None, 0, []
 
-        def found() -> list[tuple]:
-            out, last, times = [], None, 0
-            long = -(-percent * size // 100) - 1
-            for b, m in heapq.merge(*lists):
-                if (b, m) != last:
-                    last, times = (b, m), 0
+        def found() -> Iterator[pa.RecordBatch]:
+            if not lists:
+                return
+            ids = np.concatenate([x for x, _ in lists])
+            known, at = np.unique(ids, return_index=True)
+            m = np.concatenate([x for _, x in lists])[at].astype(np.int64)
+            # both follow one order, so what they share outside both prefixes is in the one's long lists or in the other's
+            probed = np.maximum(-(-percent * size // 100) - 1, -(-percent * m // 100) - 1)
+            least = np.maximum(1, -(-percent * (size + m) // (100 + percent)) - probed)
+            kept, k, times, place = [], None, 0, -1
+            for x in heapq.merge(*(_ascending(x) for x, _ in lists)):
+                if x != k:
+                    k, times, place = x, 0, place + 1
                 times += 1
-                # both follow one order, so what they share outside both prefixes is in the one's long lists or in the other's
-                lists_probed = max(long, -(-percent * m // 100) - 1)
-                if times == max(1, -(-percent * (size + m) // (100 + percent)) - lists_probed):
-                    out.append((now, b))
-            return out
+                if times == least[place]:
+                    kept.append(k)
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), now, np.int64)), pa.array(kept, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            out = []
-            for a, n, others, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            owner, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            values = [(np.asarray(c.values), np.asarray(c.offsets)) for c in batch.columns[2:]]
+            for k, a in enumerate(owner.tolist()):
                 if a != now:
-                    out += found()
-                    now, size, lists = a, n, []
-                lists.append([*zip(others, sizes, strict=True)])
-            yield from _rows(out, ["a", "b"], [pa.int64(), pa.int64()])
-        yield from _rows(found(), ["a", "b"], [pa.int64(), pa.int64()])
+                    yield from found()
+                    now, size, lists = a, int(n[k]), []
+                lists.append(tuple(v[o[k] : o[k + 1]].copy() for v, o in values))
+        yield from found()
 
     return run
 
@@ -424,7 +436,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, share
 
     near = short_lists(None).repartition(parts, "gram", "share").sortWithinPartitions("gram", "share")
     near = C.as_table(near.mapInArrow(_chain(percent), "a long, b long").distinct(), "ngram-pairs")
-    with C.small_batches(spark, PROBED):
+    with C.batch_bytes(spark, PROBED):
         first = C.as_table(linked(near), "ngram-links")
     comps = C.connected_components(first)
     own = short_lists(comps)
@@ -434,8 +446,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, share
     met = met.withColumns({"low": F.least("share", "with"), "high": F.greatest("share", "with")}).drop("with", "shares")
     met = met.repartition(parts, "gram", "low", "high").sortWithinPartitions("gram", "low", "high")
     merged = met.mapInArrow(_postings(percent), "a long, n int, others array<long>, sizes array<int>").repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_merge(percent), "a long, b long")
-    merged = C.as_table(merged.distinct(), "ngram-pairs")
-    with C.small_batches(spark, PROBED):
+    with C.batch_bytes(spark, MERGED):
+        merged = C.as_table(merged.distinct(), "ngram-pairs")
+    with C.batch_bytes(spark, PROBED):
         more = C.as_table(linked(merged), "ngram-links")
     comps = C.connected_components(more.union(comps.selectExpr("v as a", "label as b").where("a <> b"))) if not more.isEmpty() else comps
     by_class = documents.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
