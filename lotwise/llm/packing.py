@@ -20,6 +20,8 @@ from . import common as C
 CAPACITIES, OVERHEAD = (2048, 8192, 32768), 64
 #: The pieces of a group fill about this many of the longest sequences.
 GROUP_BINS = 256
+#: Pieces in a group at most, about, however short they are.
+GROUP_PIECES = 1 << 17
 
 
 def best_fit(lengths: list[int], capacities: tuple[int, ...], overhead: int = OVERHEAD) -> tuple[list[int], list[int], list[int]]:
@@ -54,7 +56,7 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, .
     length is that of a text in units of the model, by default its UTF-8 bytes and one for its end. A text longer than the largest
     capacity is cut into pieces that fill sequences of their own, its last piece apart; nothing is left out. bin_id is unique and numbers no empty bin. Rows
     of length 0 or null (possible with a length of one's own) get a row without a bin. Repeated rows are packed
-    each, and dealt to groups like any other rows; ties are broken by doc_id, piece and row. Null ids are packed too, and an id of any type comes back as it is.
+    each, and dealt to groups like any other rows; ties are broken by doc_id, piece, text and number among equal rows, so the same rows give the same bins however they are split into files. Null ids are packed too, and an id of any type comes back as it is.
     Other columns are left aside; an empty table gives an empty one.
     """
     capacities = tuple(sorted(set(capacities)))
@@ -62,18 +64,21 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, .
         raise ValueError("capacities must be positive")
     top = capacities[-1]
     length = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))) + 1 if length is None else length
-    # the row's number is settled in the written table; it deals out rows that are alike in all else
-    sizes = C.as_table(docs.select("doc_id", F.coalesce(length.cast("long"), F.lit(0)).alias("size"), F.monotonically_increasing_id().alias("row")), "packing-lengths")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    groups = max(1, -(-total // (top * group_bins)))
+    key = F.xxhash64(F.col("text").cast("string")) if "text" in docs.columns else F.lit(0).cast("long")
+    # rows alike in id and text are counted, and then numbered: what deals them out doesn't depend on how the input is split
+    alike = docs.select("doc_id", F.coalesce(length.cast("long"), F.lit(0)).alias("size"), key.alias("key")).groupBy("doc_id", "size", "key").agg(F.count("*").alias("n"))
+    sizes = C.as_table(alike, "packing-lengths")
+    total, n_pieces = sizes.agg(F.sum(F.col("size") * F.col("n")), F.sum(F.greatest(F.ceil(F.col("size") / top), F.lit(1)) * F.col("n"))).first()
+    groups = max(1, -(-(total or 0) // (top * group_bins)), -(-(n_pieces or 0) // GROUP_PIECES))
     last = F.greatest(F.ceil(F.col("size") / top) - 1, F.lit(0)).cast("int")
-    pieces = sizes.select("doc_id", "size", F.explode(F.sequence(F.lit(0), last)).alias("piece"), "row")
+    sizes = sizes.select("doc_id", "size", "key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("row"))
+    pieces = sizes.select("doc_id", "size", F.explode(F.sequence(F.lit(0), last)).alias("piece"), "key", "row")
     start = F.col("piece").cast("long") * top
-    pieces = pieces.select("doc_id", "piece", start.alias("start"), F.least(F.col("size") - start, F.lit(top)).alias("length"), "row", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(groups)).alias("group"))
+    pieces = pieces.select("doc_id", "piece", start.alias("start"), F.least(F.col("size") - start, F.lit(top)).alias("length"), "key", "row", F.pmod(F.xxhash64("doc_id", "key", "row", "piece"), F.lit(groups)).alias("group"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(group: pa.Table) -> pa.Table:
-        order = pc.sort_indices(group, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
+        order = pc.sort_indices(group, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("key", "ascending"), ("row", "ascending")])
         group = group.take(order)
         lengths = group.column("length").to_pylist()
         full = sum(n > 0 for n in lengths)
