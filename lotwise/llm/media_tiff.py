@@ -20,6 +20,8 @@ NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 ROW = 192
 #: Rows of a page, and of a strip.
 PAGE_ROWS, STRIP_ROWS = 4096, 128
+#: Bytes that a coder makes of one byte at most: an LZW code of nine bits can stand for a string of 4,093 bytes.
+EXPANDS = 4096
 #: Side of a tile.
 TILE = 64
 
@@ -133,11 +135,16 @@ def lzw_decode(coded: bytes) -> bytes:
     return b"".join(out)
 
 
+def _inflate(coded: bytes) -> bytes:
+    """Deflated bytes, of which a damaged part may hold more than a thousandfold."""
+    return zlib.decompressobj().decompress(coded, 1 + 1100 * len(coded))
+
+
 _CODERS = {
     NONE: (bytes, bytes),
     LZW: (lzw_encode, lzw_decode),
-    DEFLATE: (lambda x: zlib.compress(x, 1), zlib.decompress),
-    32946: (lambda x: zlib.compress(x, 1), zlib.decompress),
+    DEFLATE: (lambda x: zlib.compress(x, 1), _inflate),
+    32946: (lambda x: zlib.compress(x, 1), _inflate),
     PACKBITS: (packbits_encode, packbits_decode),
 }
 
@@ -219,9 +226,14 @@ def read_pages(file: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
         tiled = 324 in tags
         width, height = (one(322, 0), one(323, 0)) if tiled else (columns, min(one(278, rows), rows) or 1)
         starts, counts = (tags.get(324, ()), tags.get(325, ())) if tiled else (tags.get(273, ()), tags.get(279, ()))
-        grid = [(y, x) for y in range(0, rows, height) for x in range(0, columns, width)] if width and height else []
-        if len(grid) != len(starts) or len(starts) != len(counts):
+        n_parts = -(-rows // height) * -(-columns // width) if width and height else 0
+        if n_parts != len(starts) or len(starts) != len(counts):
             raise ValueError("parts don't make up the page")
+        # a header alone can ask for any size; no coder makes more than EXPANDS bytes of one
+        stored = sum(min(max(c, 0), max(len(file) - s, 0)) for s, c in zip(starts, counts, strict=True))
+        if max(rows, height) * max(columns, width) * samples > EXPANDS * stored:
+            raise ValueError("a page of more bytes than its parts can hold")
+        grid = [(y, x) for y in range(0, rows, height) for x in range(0, columns, width)] if n_parts else []
         image = np.empty((rows, columns, samples), np.uint8)
         for (y, x), start, count in zip(grid, starts, counts, strict=True):
             high = height if tiled else min(height, rows - y)
@@ -273,6 +285,8 @@ def texts_to_tiff(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
+#: What reading a damaged file ends in.
+DAMAGED = (ValueError, zlib.error, IndexError, struct.error, OverflowError, MemoryError)
 _PAGE = "struct<page: int, width: int, height: int, samples: int, compression: int, predictor: int, mean: int, distinct: int, pixels: binary>"
 
 
@@ -297,7 +311,7 @@ def with_pages(df: DataFrame, media: str = "media") -> DataFrame:
                             seen = np.bincount(image.ravel(), minlength=256)
                             rows, columns, samples = image.shape
                             mine.append({"page": n, "width": columns, "height": rows, "samples": samples, "compression": compression, "predictor": predictor, "mean": int(image.mean()) if image.size else 0, "distinct": int((seen > 0).sum()), "pixels": image.tobytes()})
-                    except (ValueError, zlib.error, IndexError) as e:
+                    except DAMAGED as e:
                         error = str(e)
                     pages.append(mine)
                     errors.append(error)
