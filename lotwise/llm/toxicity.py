@@ -41,10 +41,15 @@ EDIT_FROM = 5
 WINDOW = 12
 #: Looked-up words that a task keeps.
 KEPT = 200_000
-SEPARATORS = bytes(b for b in range(128) if not (chr(b).isalnum() or chr(b) in "'-@"))
+#: Bytes between words; and between spellings that marks hold together, which are looked up too if none of their words is a hit.
+SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
+OUTER = bytes(b for b in SEPARATORS if chr(b) not in "'-@")
 _REPORTED = re.compile(r"\b(?:said|says|wrote|writes|called|calls|quoted?|quotes|according|reported|reports|replied|asked|claimed|dit|sagte|dijo)\b")
 _DIRECT = re.compile(r"\b(?:you|your|you're|youre|ur|u|all of you|du|tu|vous)\b")
-_MARKS = re.compile("[\"“”«»„]")
+#: Quotation marks of folded texts: an apostrophe between letters is none.
+_MARKS = re.compile("\"|(?<![^\\W_])'|'(?![^\\W_])")
+#: What punctuation beyond ASCII is folded to.
+FOLDED = (("[\u201c-\u201f\u00ab\u00bb\u2039\u203a\u300c-\u300f\u301d-\u301f\uff02]", '"'), ("[\u2018-\u201b\u02bc\uff07]", "'"), ("[\u2010\u2011]", "-"), ("[\u00a1\u00b7\u00bf\u2000-\u206f\u3000-\u303f\uff01-\uff0f\uff1a-\uff20]", " "))
 FEATURES = ["exact_abuse", "exact_quote", "near_abuse", "near_quote", "density", "any_exact", "many", "kinds", "clustered", "direct"]
 
 
@@ -53,6 +58,7 @@ class Lexicon:
 
     def __init__(self, terms: tuple[str, ...], edits: int = 1) -> None:
         self.terms, self.edits = terms, edits
+        self.longest = max(map(len, terms), default=0)
         self.trie: dict = {}
         for k, term in enumerate(terms):
             node = self.trie
@@ -63,28 +69,38 @@ class Lexicon:
     def closest(self, word: str) -> tuple[int, int]:
         """(term, edits) of the nearest term within reach, the first of equals; (-1, 0) if there is none.
 
-        The automaton's state after some letters of a term is the row of edit distances to all prefixes of the word; a branch ends
-        where every distance is over the bound. Two neighbours that are swapped are one edit. Short terms allow none.
+        The automaton's state after some letters of a term is the band of edit distances to the word's prefixes of about that length; a branch ends
+        where every distance is over the bound, and where one edit more would be, only letters of the band are tried. Two neighbours that are swapped are one edit. Short terms allow none.
         """
-        best = (self.edits + 1, -1)
-        start = tuple(range(len(word) + 1))
-        stack = [(self.trie, start, None, "")]
+        k, n = self.edits, len(word)
+        best, far = (k + 1, -1), k + 1
+        if n > self.longest + k:
+            return -1, 0
+        # (node, letters so far, distances to the prefixes of `depth - k` to `depth + k` letters, the same a letter before, last letter)
+        stack = [(self.trie, 0, tuple(min(j, far) if 0 <= j <= n else far for j in range(-k, k + 1)), None, "")]
         while stack:
-            node, row, before, last = stack.pop()
-            for c, child in node.items():
+            node, depth, row, before, last = stack.pop()
+            term = node.get("")
+            if term is not None and 0 <= n - depth + k <= 2 * k and row[n - depth + k] <= (k if len(self.terms[term]) >= EDIT_FROM else 0):
+                best = min(best, (row[n - depth + k], term))
+            near = node if min(row) < k else {word[j] for j in range(max(0, depth - k - 1), min(n, depth + k + 1))} & node.keys()
+            for c in near:
                 if c == "":
-                    k, d = child, row[-1]
-                    if d <= (self.edits if len(self.terms[k]) >= EDIT_FROM else 0):
-                        best = min(best, (d, k))
                     continue
-                new = [row[0] + 1]
-                for i, x in enumerate(word):
-                    d = min(new[i] + 1, row[i + 1] + 1, row[i] + (x != c))
-                    if before is not None and i and x == last and word[i - 1] == c:
-                        d = min(d, before[i - 1] + 1)
-                    new.append(d)
-                if min(new) <= self.edits:
-                    stack.append((child, tuple(new), row, c))
+                new, left = [], far
+                for p in range(2 * k + 1):
+                    j = depth + 1 - k + p
+                    if j < 0 or j > n:
+                        left = far
+                    elif j == 0:
+                        left = min(depth + 1, far)
+                    else:
+                        left = min(left + 1, row[p] + (word[j - 1] != c), row[p + 1] + 1 if p < 2 * k else far)
+                        if before is not None and j > 1 and word[j - 1] == last and word[j - 2] == c:
+                            left = min(left, before[p] + 1)
+                    new.append(left)
+                if min(new) <= k:
+                    stack.append((node[c], depth + 1, tuple(new), row, c))
         return (best[1], best[0]) if best[1] >= 0 else (-1, 0)
 
 
@@ -94,6 +110,7 @@ class Finder:
     def __init__(self, terms: tuple[str, ...] = LEXICON, edits: int = 1) -> None:
         self.lexicon = Lexicon(terms, edits)
         self.is_word, self.same = C.byte_table(SEPARATORS)
+        self.is_outer, _ = C.byte_table(OUTER)
         self.halves: dict[tuple[bool, int], np.ndarray] = {}
         for term in terms:
             exact = len(term) < EDIT_FROM or edits == 0
@@ -104,22 +121,23 @@ class Finder:
                 at = len(form[:cut].encode())
                 for back, half in ((False, raw[:at][:8]), (True, raw[at:][-8:])):
                     for n in range(max(1, len(form) - reach), len(form) + reach + 1) if half else ():
-                        table = self.halves.setdefault((back, len(half)), np.zeros(1 << 16, bool))
+                        table = self.halves.setdefault((back, len(half)), np.zeros(1 << 20, bool))
                         table[self._place(np.array([int.from_bytes(half, "little")], np.uint64), np.array([n]))] = True
         self.every = edits > 1
         self.known: dict[int, int] = {}
 
     @staticmethod
     def _place(half: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return (C.mix(half ^ length.astype(np.uint64) << np.uint64(56)) >> np.uint64(48)).astype(np.int64)
+        return (C.mix(half ^ length.astype(np.uint64) << np.uint64(56)) >> np.uint64(44)).astype(np.int64)
 
     def candidates(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Words that may be near a term: one edit leaves the front or the back half of the term as it is."""
-        if self.every:
-            return np.arange(len(starts))
         # in characters: bytes that don't continue one
         begun = np.r_[0, np.cumsum((low & 0xC0) != 0x80)]
         length = begun[ends] - begun[starts]
+        fits = length <= self.lexicon.longest + self.lexicon.edits
+        if self.every:
+            return np.flatnonzero(fits)
         padded = np.zeros(len(low) + 8, np.uint8)
         padded[:-8] = low
         eight = np.ndarray((len(low) + 1,), "<u8", padded, strides=(1,))
@@ -127,7 +145,7 @@ class Finder:
         for (back, n), table in self.halves.items():
             at = np.maximum(ends - n, 0) if back else starts
             near |= table[self._place(eight[at] & C._KEEP[n], length)]
-        return np.flatnonzero(near)
+        return np.flatnonzero(near & fits)
 
     def look_up(self, hashes: np.ndarray, word_of) -> np.ndarray:
         """Of each hash 2 * term + edits, or -1."""
@@ -151,12 +169,26 @@ class Finder:
             n = np.diff(first)
             rows = np.zeros((j - i, len(FEATURES)))
             low = self.same[part]
-            could = self.candidates(low, starts, ends)
-            hashes = C.word_hashes(part, starts[could], ends[could], self.same)
+            # spellings of several words that marks hold together, each in the place of its first word
+            outer, until, _ = C.word_bounds(part, at, self.is_outer)
+            begin, words = np.searchsorted(starts, outer), np.searchsorted(starts, until)
+            joined = words - begin > 1
+            begin, words = begin[joined], words[joined]
+            place_of, all_starts, all_ends = np.r_[np.arange(len(starts)), begin], np.r_[starts, outer[joined]], np.r_[ends, until[joined]]
+            could = self.candidates(low, all_starts, all_ends)
+            hashes = C.word_hashes(part, all_starts[could], all_ends[could], self.same)
             distinct, sample, place = np.unique(hashes, return_index=True, return_inverse=True)
-            found = self.look_up(distinct, lambda k, c=could, x=sample: low[starts[c[x[k]]] : ends[c[x[k]]]].tobytes().decode("utf-8", "replace"))
+            found = self.look_up(distinct, lambda k, c=could, x=sample: low[all_starts[c[x[k]]] : all_ends[c[x[k]]]].tobytes().decode("utf-8", "replace"))
             hit = found[place] >= 0
             where, what = could[hit], found[place][hit]
+            single = where < len(starts)
+            hits = np.sort(where[single])
+            group = where[~single] - len(starts)
+            alone = np.searchsorted(hits, begin[group]) == np.searchsorted(hits, words[group])
+            keep = np.r_[np.flatnonzero(single), np.flatnonzero(~single)[alone]]
+            where, what = place_of[where[keep]], what[keep]
+            order = np.argsort(where, kind="stable")
+            where, what = where[order], what[order]
             doc = np.searchsorted(first, where, "right") - 1
             own = np.searchsorted(doc, np.arange(j - i + 1))
             for d in np.flatnonzero(np.diff(own)):
@@ -173,7 +205,8 @@ class Finder:
             a, b = max(first, w - WINDOW), min(last - 1, w + WINDOW)
             before = low[starts[a] : starts[w]].tobytes().decode("utf-8", "replace")
             after = low[ends[w] : min(ends[b] + 3, end)].tobytes().decode("utf-8", "replace")
-            marks, closing = len(_MARKS.findall(before)), len(_MARKS.findall(after))
+            # the term itself is a letter here
+            marks, closing = len(_MARKS.findall(before + "x")), len(_MARKS.findall("x" + after))
             quoted = 0.6 * (marks % 2 == 1 and closing > 0) + 0.4 * bool(_REPORTED.search(before)) + 0.2 * (marks > 0 and closing > 0)
             quoted = min(1.0, quoted)
             near = x & 1
@@ -211,8 +244,12 @@ _WORDS = re.compile(r"[^\W\d_]{4,40}")
 
 
 def folded(column: pa.Array) -> pa.Array:
-    """Texts in lower case: the one folding of texts and of learned terms."""
-    return pc.utf8_lower(column)
+    """Texts in lower case and with ASCII's quotation marks, hyphens and spaces in place of others and of more punctuation: the one folding of texts and of learned terms."""
+    out = pc.utf8_lower(column)
+    if not pc.all(pc.string_is_ascii(out), min_count=0).as_py():
+        for pattern, sign in FOLDED:
+            out = pc.replace_substring_regex(out, pattern, sign)
+    return out
 
 
 def learned_terms(sample: DataFrame) -> list[str]:
