@@ -26,7 +26,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     gone = rows.where("component_id <> doc_id").select("doc_id", "_key").union(same.select("doc_id", "_key")).distinct()
     one = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("text"))
     if not one.groupBy("doc_id", "_key").count().where("count > 1").isEmpty():
-        one = one.dropDuplicates(["doc_id", "_key"])
+        rest = F.struct(*(c for c in one.columns if c not in ("text", "_key")))
+        # of rows alike in both, the same one in each run: that whose other columns come first as JSON
+        one = one.groupBy("doc_id", "_key").agg(F.min_by(F.struct(*docs.columns), F.to_json(rest)).alias("_row")).select("_row.*", "_key")
     return one.join(gone, ["doc_id", "_key"], "left_anti").select(*docs.columns).union(docs.where("doc_id is null"))
 
 

@@ -32,16 +32,16 @@ def box() -> Column:
     return F.struct("x1", "y1", "x2", "y2")
 
 
-def geometry_filter(d: DataFrame, width: float, height: float, least: float = 0.0008, most: float = 0.65, by_label: dict[str, float] | None = None, capped: tuple[tuple[str, ...], float, float] | None = None) -> DataFrame:
-    """Boxes whose share of the image lies between their label's least share and the most; those of `capped` labels have at most a share of its width and of its height."""
+def geometry_filter(d: DataFrame, width: float, height: float, least: float = 0.0008, most: float = 0.65, by_label: dict[str, float] | None = None, capped: tuple[tuple[str, ...], float, float, float] | None = None) -> DataFrame:
+    """Boxes whose share of the image lies between their label's least share and the most; those of `capped` labels have at most a share of its width, of its height, and of its area."""
     ratio = G.area(box()) / (width * height)
     floor = F.lit(least)
     for label, value in (by_label or {}).items():
         floor = F.when(F.col("label") == label, max(value, least)).otherwise(floor)
     fits = (ratio >= floor) & (ratio <= most)
     if capped:
-        labels, wide, high = capped
-        fits = fits & (~F.col("label").isin(*labels) | ((F.col("x2") - F.col("x1") <= wide * width) & (F.col("y2") - F.col("y1") <= high * height)))
+        labels, wide, high, large = capped
+        fits = fits & (~F.col("label").isin(*labels) | ((F.col("x2") - F.col("x1") <= wide * width) & (F.col("y2") - F.col("y1") <= high * height) & (ratio <= large)))
     return d.where(fits)
 
 
@@ -81,13 +81,6 @@ def cue_fusion(ev: DataFrame, d: DataFrame, cues: tuple[str, ...]) -> DataFrame:
     return s.join(images, "item_id").select("item_id", F.least(F.lit(1.0), score).alias("cue_score"), "cue_images")
 
 
-def supported_by_structure(d: DataFrame, whole: tuple[str, ...], parts: tuple[str, ...], least: float = 0.35) -> DataFrame:
-    """Whole-object detections that a part of the same image overlaps by the least share of the smaller box."""
-    a, b = d.where(F.col("label").isin(*whole)).alias("a"), d.where(F.col("label").isin(*parts)).alias("b")
-    ba, bb = (F.struct(*(F.col(f"{s}.{c}") for c in ("x1", "y1", "x2", "y2"))) for s in "ab")
-    return a.join(b, (F.col("a.item_id") == F.col("b.item_id")) & (F.col("a.image_index") == F.col("b.image_index")) & (G.overlap_smaller(ba, bb) >= least), "left_semi")
-
-
 def labelled(ev: DataFrame, roles: dict[str, str]) -> DataFrame:
     """One row for each item: score and images of each role's label, 0 where there is none, and `maxima`, the best score of every label it has."""
     out = [F.coalesce(F.max(F.when(F.col("label") == label, F.col(c))), F.lit(zero)).alias(f"{role}_{name}") for role, label in roles.items() for c, name, zero in (("score", "score", 0.0), ("distinct_images", "images", 0))]
@@ -99,36 +92,6 @@ def points(state: Column) -> Column:
     return F.when(state == "cooler_attached_cpu_highly_likely", 100).when(state == "visible_cpu_likely", 80).when(state == "empty_socket_likely", -100).when(state == "socket_cover_likely", -60).otherwise(0)
 
 
-def fused_state(wide: DataFrame, f: Fusion = Fusion()) -> DataFrame:
-    """cpu_state, cpu_confidence, review_reasons, damaged, value_score from the scores of cooler, installed, empty, cover, damage, in ten ordered branches."""
-    c, i, e, v = (F.col(f"{k}_score") for k in ("cooler", "installed", "empty", "cover"))
-    conflict = (i >= f.moderate) & (e >= f.moderate) & (F.abs(i - e) < f.margin)
-    branches = [
-        ((e >= f.override) & (e >= i + f.override_margin), "empty_socket_likely", e),
-        ((v >= f.override) & (v >= i + f.override_margin), "socket_cover_likely", v),
-        (conflict, "unclear", F.greatest(i, e)),
-        ((c >= f.cooler_single) & (F.col("cooler_images") >= 1), "cooler_attached_cpu_highly_likely", c),
-        ((i >= f.strong) & (i >= e + f.margin), "visible_cpu_likely", i),
-        ((e >= f.strong) & (e >= i + f.margin), "empty_socket_likely", e),
-        ((c >= f.cooler_multi) & (F.col("cooler_images") >= 2), "cooler_attached_cpu_highly_likely", c),
-        ((i >= f.moderate) & (F.col("installed_images") >= 2) & (i >= e + f.margin), "visible_cpu_likely", i),
-        ((e >= f.moderate) & (F.col("empty_images") >= 2) & (e >= i + f.margin), "empty_socket_likely", e),
-    ]
-    number = F.coalesce(*(F.when(test, k) for k, (test, _, _) in enumerate(branches)), F.lit(len(branches)))
-    pick = lambda place, default: F.coalesce(*(F.when(F.col("_branch") == k, x[place] if isinstance(x[place], Column) else F.lit(x[place])) for k, x in enumerate(branches)), default)
-    damaged = (F.col("damage_score") >= f.strong) & (F.col("damage_images") >= f.damage_images)
-    out = wide.withColumn("_branch", number).withColumn("cpu_state", pick(1, F.lit("unclear"))).withColumn("cpu_confidence", pick(2, F.greatest(c, i, e, v)))
-    reasons = F.array_compact(F.array(
-        F.when((F.col("_branch") == 0) & (c >= f.moderate), "cooler_evidence_rejected_by_empty_socket"),
-        F.when((F.col("_branch") == 1) & (c >= f.moderate), "cooler_evidence_rejected_by_socket_cover"),
-        F.when(F.col("_branch") == 2, "conflicting_socket_evidence"),
-        F.when(F.col("_branch") == len(branches), "socket_state_unclear"),
-        F.when(damaged, "possible_physical_damage"),
-    ))
-    out = out.withColumn("review_reasons", reasons).withColumn("damaged", damaged)
-    return out.withColumn("value_score", points(F.col("cpu_state")) - F.when(F.col("damaged"), 100).otherwise(0)).withColumn("needs_review", F.size("review_reasons") > 0).drop("_branch")
-
-
 def clip_state(cooler: Column, cpu: Column, empty: Column, cover: Column, ram: Column, nvme: Column) -> Column:
     """struct(state, score) of one detector's maxima, in four ordered branches; memory and drives add to the score."""
     state = F.when((cooler >= 0.62) & (cooler > F.greatest(empty, cover) + 0.08), "cooler_attached_cpu_highly_likely").when((cpu >= 0.68) & (cpu > empty + 0.08), "visible_cpu_likely").when((empty >= 0.66) & (empty > cpu + 0.08), "empty_socket_likely").when(cover >= 0.66, "socket_cover_likely").otherwise("unclear")

@@ -15,6 +15,7 @@ from ..functions import geometry as G
 from ..functions import text as X
 from ..operators import boards as M
 from ..operators import evidence as E
+from ..operators import fusion as U
 from ..operators import references as R
 from ..operators import registry as N
 from ..operators import report as P
@@ -38,6 +39,14 @@ def query(sql: str | None = None):
 
 LABELS = {"click": "visible_cpu", "view": "empty_socket", "purchase": "cooler", "signup": "socket_cover"}
 ROLES = {"cooler": "cooler", "installed": "visible_cpu", "empty": "empty_socket", "cover": "socket_cover", "damage": "bent_pins"}
+#: What an event's detection is called where the fused decision is asked for: by type, one label for each k.
+SEEN_LABELS = {
+    "purchase": ("tower_cpu_cooler", "cpu_fan_blades", "intel_stock_cooler", "heatsink_fin_stack", "amd_wraith_cooler", "cooler_heatpipes", "aio_pump_block", "cpu_fan_hub"),
+    "click": ("cpu_installed", "cpu_fan_hub", "cpu_installed", "ram_dimm", "cpu_installed", "cpu_fan_blades", "cpu_installed", "nvme_ssd"),
+    "view": ("empty_lga_socket", "heatsink_fin_stack", "exposed_lga_contact_field", "empty_amd_socket", "cooler_heatpipes", "lga_center_rectangle", "open_lga_retention_frame", "intel_stock_cooler"),
+    "signup": ("socket_cover", "cpu_fan_blades", "ram_dimm", "tower_cpu_cooler", "heatsink_fin_stack", "nvme_ssd", "cpu_fan_hub", "socket_cover"),
+    "error": ("bent_socket_pins", "cooler_heatpipes", "burn_damage", "tower_cpu_cooler", "cracked_pcb", "cpu_fan_blades", "bent_socket_pins", "heatsink_fin_stack"),
+}
 
 
 def detections(t) -> DataFrame:
@@ -56,22 +65,48 @@ EV = DET + """, img AS (SELECT item_id, label, image_index, max(score) AS m, cou
 ev AS (SELECT item_id, label, least(1.0, max(m) + CASE WHEN count(*) > 1 THEN 0.35 * (sum(m) - max(m)) / (count(*) - 1) + 0.08 * least(2, count(*) - 1) ELSE 0 END) AS score,
  max(m) AS max_score, count(*) AS distinct_images, cast(sum(n) AS bigint) AS detections FROM img GROUP BY item_id, label)"""
 _ROLE = ", ".join(f"coalesce(max(CASE WHEN label = '{x}' THEN score END), 0) AS {r}_score, coalesce(max(CASE WHEN label = '{x}' THEN distinct_images END), 0) AS {r}_images" for r, x in ROLES.items())
-STATE = EV + f""", wide AS (SELECT item_id, {_ROLE} FROM ev GROUP BY item_id),
-br AS (SELECT *, CASE WHEN empty_score >= 0.5 AND empty_score >= installed_score + 0.05 THEN 0 WHEN cover_score >= 0.5 AND cover_score >= installed_score + 0.05 THEN 1
- WHEN installed_score >= 0.46 AND empty_score >= 0.46 AND abs(installed_score - empty_score) < 0.1 THEN 2 WHEN cooler_score >= 0.58 AND cooler_images >= 1 THEN 3
- WHEN installed_score >= 0.58 AND installed_score >= empty_score + 0.1 THEN 4 WHEN empty_score >= 0.58 AND empty_score >= installed_score + 0.1 THEN 5
- WHEN cooler_score >= 0.52 AND cooler_images >= 2 THEN 6 WHEN installed_score >= 0.46 AND installed_images >= 2 AND installed_score >= empty_score + 0.1 THEN 7
- WHEN empty_score >= 0.46 AND empty_images >= 2 AND empty_score >= installed_score + 0.1 THEN 8 ELSE 9 END AS b, damage_score >= 0.58 AND damage_images >= 2 AS damaged FROM wide),
+
+
+def seen(t) -> DataFrame:
+    """Detections with the labels that the fused decision knows: twelve events are an item, its images are numbered 0 to 2."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    label = F.coalesce(*(F.when(F.col("event_type") == e, F.get(F.array(*map(F.lit, x)), k % 8)) for e, x in SEEN_LABELS.items()))
+    d = t("events").select(F.expr("cast(event_id div 12 as string)").alias("item_id"), F.col("event_id").alias("pos"), label.alias("label"), F.least(F.lit(1.0), F.col("value") / 107.3).alias("score"), (F.col("event_id") % 3).cast("int").alias("image_index"), ((k * 7) % 60).cast("double").alias("x1"), ((F.col("event_id") * 13) % 60).cast("double").alias("y1"), (k % 60 + 30).alias("w"), (F.col("event_id") % 60 + 30).alias("h"))
+    return d.withColumn("x2", F.col("x1") + F.col("w")).withColumn("y2", F.col("y1") + F.col("h")).drop("w", "h")
+
+
+_IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+_SEEN = " ".join(f"WHEN event_type = '{e}' THEN [{', '.join(repr(y) for y in x)}][k % 8 + 1]" for e, x in SEEN_LABELS.items())
+SEEN = f"""seen AS (SELECT *, x1 + w AS x2, y1 + h AS y2 FROM (SELECT cast(event_id // 12 AS varchar) AS item_id, event_id AS pos, CASE {_SEEN} END AS label, least(1.0, value / 107.3::double) AS score, event_id % 3 AS image_index,
+ cast((k * 7) % 60 AS double) AS x1, cast((event_id * 13) % 60 AS double) AS y1, k % 60 + 30 AS w, event_id % 60 + 30 AS h FROM (SELECT *, cast(regexp_extract(props, '([0-9]+)', 1) AS int) AS k FROM events))),
+met AS (SELECT c.item_id, c.pos, list_distinct(list(p.label)) AS parts FROM seen c JOIN seen p USING (item_id, image_index) WHERE c.label IN {_IN(U.COOLERS)} AND p.label IN {_IN(U.COOLER_PARTS)}
+ AND greatest(0, least(c.x2, p.x2) - greatest(c.x1, p.x1)) * greatest(0, least(c.y2, p.y2) - greatest(c.y1, p.y1)) / least((c.x2 - c.x1) * (c.y2 - c.y1), (p.x2 - p.x1) * (p.y2 - p.y1)) >= 0.35 GROUP BY ALL),
+checked AS (SELECT seen.*, CASE WHEN label IN {_IN(U.COOLERS)} THEN coalesce((list_contains(parts, 'cpu_fan_hub') AND list_contains(parts, 'cpu_fan_blades')) OR (list_contains(parts, 'heatsink_fin_stack') AND list_contains(parts, 'cooler_heatpipes')) OR (list_contains(parts, 'cpu_fan_blades') AND list_contains(parts, 'heatsink_fin_stack')), false) END AS accepted FROM seen LEFT JOIN met USING (item_id, pos))"""
+STATE = SEEN + f""", kept AS (SELECT * FROM checked WHERE coalesce(accepted, true)), simg AS (SELECT item_id, label, image_index, max(score) AS m, count(*) AS n FROM kept GROUP BY ALL),
+sev AS (SELECT item_id, label, round(least(1.0, max(m) + CASE WHEN count(*) > 1 THEN 0.35 * (sum(m) - max(m)) / (count(*) - 1) + 0.08 * least(2, count(*) - 1) ELSE 0 END), 4) AS score, count(*) AS distinct_images FROM simg GROUP BY item_id, label),
+cue AS (SELECT item_id, round(least(1.0, top + CASE WHEN n > 1 THEN 0.18 * (total - top) / (n - 1) + 0.05 * least(2, n - 1) ELSE 0 END + CASE WHEN images > 1 THEN 0.05 * least(2, images - 1) ELSE 0 END), 4) AS cue_score, least(1.0, top + CASE WHEN n > 1 THEN 0.18 * (total - top) / (n - 1) + 0.05 * least(2, n - 1) ELSE 0 END + CASE WHEN images > 1 THEN 0.05 * least(2, images - 1) ELSE 0 END) AS cue_raw, images
+ FROM (SELECT item_id, max(score) AS top, sum(score) AS total, count(*) AS n FROM sev WHERE label IN {_IN(U.EMPTY_CUES)} GROUP BY 1) JOIN (SELECT item_id, count(DISTINCT image_index) AS images FROM kept WHERE label IN {_IN(U.EMPTY_CUES)} GROUP BY 1) USING (item_id)),
+role AS (SELECT item_id, {', '.join(f"coalesce(max(CASE WHEN label IN {_IN(x)} THEN score END), 0) AS {r}_score, coalesce(max(CASE WHEN label IN {_IN(x)} THEN struct_pack(s := score, i := distinct_images) END).i, 0) AS {r}_images" for r, x in U.ROLES.items())},
+ coalesce(max(CASE WHEN label = 'ram_dimm' THEN score END), 0) AS ram, coalesce(max(CASE WHEN label = 'nvme_ssd' THEN score END), 0) AS nvme, max(score) AS best,
+ coalesce(max(CASE WHEN label IN {_IN(U.DAMAGE)} AND score >= 0.58 AND distinct_images >= 2 THEN score END), 0) AS damage_score, array_to_string(list_sort(list(label) FILTER (WHERE label IN {_IN(U.DAMAGE)} AND score >= 0.58 AND distinct_images >= 2)), ',') AS damage_labels FROM sev GROUP BY item_id),
+wide AS (SELECT item_id, accepted, rejected, rejected_score, coalesce(cooler_score, 0) AS cooler_score, coalesce(cooler_images, 0) AS cooler_images, coalesce(installed_score, 0) AS installed_score, coalesce(installed_images, 0) AS installed_images,
+ CASE WHEN cue_raw > empty_score THEN cue_score ELSE coalesce(empty_score, 0) END AS empty_score, CASE WHEN cue_raw > empty_score THEN images ELSE coalesce(empty_images, 0) END AS empty_images, coalesce(cover_score, 0) AS cover_score,
+ coalesce(ram, 0) AS ram, coalesce(nvme, 0) AS nvme, greatest(coalesce(best, 0), CASE WHEN cue_raw > empty_score THEN cue_score ELSE 0 END) AS top, coalesce(damage_score, 0) AS damage_score, coalesce(damage_labels, '') AS damage_labels, coalesce(damage_score, 0) > 0 AS damaged
+ FROM (SELECT item_id, count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE NOT accepted) AS rejected, coalesce(max(score) FILTER (WHERE NOT accepted), 0) AS rejected_score FROM checked GROUP BY 1) LEFT JOIN role USING (item_id) LEFT JOIN cue USING (item_id)),
+br AS (SELECT *, CASE WHEN empty_score >= 0.5 AND empty_score >= installed_score + 0.05::double THEN 0 WHEN cover_score >= 0.5 AND cover_score >= installed_score + 0.05::double THEN 1
+ WHEN installed_score >= 0.46 AND empty_score >= 0.46 AND abs(installed_score - empty_score) < 0.1::double THEN 2 WHEN cooler_score >= 0.58 AND cooler_images >= 1 THEN 3
+ WHEN installed_score >= 0.58 AND installed_score >= empty_score + 0.1::double THEN 4 WHEN empty_score >= 0.58 AND empty_score >= installed_score + 0.1::double THEN 5
+ WHEN cooler_score >= 0.52 AND cooler_images >= 2 THEN 6 WHEN installed_score >= 0.46 AND installed_images >= 2 AND installed_score >= empty_score + 0.1::double THEN 7
+ WHEN empty_score >= 0.46 AND empty_images >= 2 AND empty_score >= installed_score + 0.1::double THEN 8 ELSE 9 END AS b FROM wide),
 state AS (SELECT *, ['empty_socket_likely','socket_cover_likely','unclear','cooler_attached_cpu_highly_likely','visible_cpu_likely','empty_socket_likely','cooler_attached_cpu_highly_likely','visible_cpu_likely','empty_socket_likely','unclear'][b + 1] AS cpu_state,
  CASE WHEN b IN (0, 5, 8) THEN empty_score WHEN b = 1 THEN cover_score WHEN b = 2 THEN greatest(installed_score, empty_score) WHEN b IN (3, 6) THEN cooler_score WHEN b IN (4, 7) THEN installed_score ELSE greatest(cooler_score, installed_score, empty_score, cover_score) END AS cpu_confidence,
- [0, -60][1] * 0 + CASE WHEN b IN (0, 5, 8) THEN -100 WHEN b = 1 THEN -60 WHEN b IN (3, 6) THEN 100 WHEN b IN (4, 7) THEN 80 ELSE 0 END - CASE WHEN damaged THEN 100 ELSE 0 END AS value_score,
- concat_ws(',', CASE WHEN b = 0 AND cooler_score >= 0.46 THEN 'cooler_evidence_rejected_by_empty_socket' END, CASE WHEN b = 1 AND cooler_score >= 0.46 THEN 'cooler_evidence_rejected_by_socket_cover' END,
- CASE WHEN b = 2 THEN 'conflicting_socket_evidence' END, CASE WHEN b = 9 THEN 'socket_state_unclear' END, CASE WHEN damaged THEN 'possible_physical_damage' END) AS reasons FROM br)""".replace("[0, -60][1] * 0 + ", "")
+ CASE WHEN b IN (0, 5, 8) THEN -100 WHEN b = 1 THEN -60 WHEN b IN (3, 6) THEN 100 WHEN b IN (4, 7) THEN 80 ELSE 0 END + CASE WHEN ram >= 0.46 THEN 35 ELSE 0 END + CASE WHEN nvme >= 0.46 THEN 25 ELSE 0 END - CASE WHEN damaged THEN 100 ELSE 0 END AS value_score,
+ concat_ws(',', CASE WHEN rejected > 0 AND accepted = 0 THEN 'uncorroborated_cooler_detections_rejected' END, CASE WHEN b = 0 AND cooler_score >= 0.46 THEN 'cooler_evidence_rejected_by_empty_socket' END, CASE WHEN b = 1 AND cooler_score >= 0.46 THEN 'cooler_evidence_rejected_by_socket_cover' END,
+ CASE WHEN b = 2 THEN 'conflicting_socket_evidence' END, CASE WHEN b = 9 THEN 'socket_state_unclear' END, CASE WHEN damaged THEN 'possible_physical_damage' END) AS reasons FROM br)"""
 CLIP = "CASE WHEN cooler_score >= 0.62 AND cooler_score > greatest(empty_score, cover_score) + 0.08 THEN 'cooler_attached_cpu_highly_likely' WHEN installed_score >= 0.68 AND installed_score > empty_score + 0.08 THEN 'visible_cpu_likely' WHEN empty_score >= 0.66 AND empty_score > installed_score + 0.08 THEN 'empty_socket_likely' WHEN cover_score >= 0.66 THEN 'socket_cover_likely' ELSE 'unclear' END"
-VALUE = STATE + f""", mx AS (SELECT item_id, max(m) AS top, coalesce(max(CASE WHEN label = 'ram_dimm' THEN m END), 0) AS ram, coalesce(max(CASE WHEN label = 'nvme' THEN m END), 0) AS nvme FROM img GROUP BY item_id),
-lst AS (SELECT cast(o_orderkey AS varchar) AS item_id, o_orderkey AS pos, concat('ASUS ', ['Z390','B450','H110'][o_orderkey % 3 + 1], ' board') AS title, round(o_totalprice / 1000, 2) AS current_bid, [18.0, 12.0, 7.5][o_orderkey % 3 + 1] AS shipping FROM orders),
+VALUE = STATE + f""", lst AS (SELECT cast(o_orderkey AS varchar) AS item_id, o_orderkey AS pos, concat('ASUS ', ['Z390','B450','H110'][o_orderkey % 3 + 1], ' board') AS title, round(o_totalprice / 1000, 2) AS current_bid, [18.0, 12.0, 7.5][o_orderkey % 3 + 1] AS shipping FROM orders),
 val0 AS (SELECT l.*, cpu_state, CASE WHEN pos % 11 > 0 THEN cpu_confidence END AS own, top, concat_ws(',', nullif(reasons, ''), CASE WHEN {CLIP} <> cpu_state THEN 'detector_disagreement' END) AS why,
- cpu_state IN ('cooler_attached_cpu_highly_likely', 'visible_cpu_likely') AS has_cpu, cpu_state = 'cooler_attached_cpu_highly_likely' AS has_cooler, ram >= 0.38 AS has_ram, nvme >= 0.38 AS has_nvme, pos % 3 = 0 AS premium, damaged OR damage_score >= 0.38 AS hurt FROM lst l JOIN state USING (item_id) JOIN mx USING (item_id)),
+ cpu_state IN ('cooler_attached_cpu_highly_likely', 'visible_cpu_likely') AS has_cpu, cpu_state = 'cooler_attached_cpu_highly_likely' AS has_cooler, ram >= 0.38 AS has_ram, nvme >= 0.38 AS has_nvme, pos % 3 = 0 AS premium, damaged OR damage_score >= 0.38 AS hurt FROM lst l JOIN state USING (item_id)),
 val1 AS (SELECT *, 35.0::double + CASE WHEN has_cpu THEN 70 ELSE 0 END + CASE WHEN has_cooler THEN 25 ELSE 0 END + CASE WHEN has_ram THEN 30 ELSE 0 END + CASE WHEN has_nvme THEN 25 ELSE 0 END + CASE WHEN premium THEN 35 ELSE 0 END AS gross,
  concat_ws(',', 'motherboard', CASE WHEN has_cpu THEN 'cpu' END, CASE WHEN has_cooler THEN 'cooler_cpu_bonus' END, CASE WHEN has_ram THEN 'ram' END, CASE WHEN has_nvme THEN 'nvme' END, CASE WHEN premium THEN 'premium_chipset' END) AS parts,
  CASE WHEN cpu_state = 'unclear' THEN 20 ELSE 0 END + CASE WHEN contains(why, 'detector_disagreement') THEN 25 ELSE 0 END + CASE WHEN hurt THEN 80 ELSE 0 END + CASE WHEN cpu_state = 'socket_cover_likely' THEN 5 ELSE 0 END AS risk,
@@ -82,7 +117,7 @@ rec AS (SELECT *, CASE WHEN confidence < 0.75 THEN 'review' WHEN current_bid <=
 
 
 def states(t) -> DataFrame:
-    return E.fused_state(E.labelled(E.evidence(detections(t)), ROLES))
+    return U.fused_decision(seen(t))
 
 
 def disagreeing(rows: DataFrame) -> DataFrame:
@@ -124,9 +159,9 @@ def best_crop_argmax(t):
     return E.best_detection(detections(t)).select("item_id", "image_index", "label", "pos")
 
 
-@query(f"WITH {DET} SELECT pos FROM det WHERE (x2 - x1) * (y2 - y1) / 40000.0 BETWEEN CASE label WHEN 'cooler' THEN 0.05 WHEN 'empty_socket' THEN 0.02 ELSE 0.0008 END AND 0.1 AND (label <> 'cooler' OR (x2 - x1 <= 70 AND y2 - y1 <= 60))")
+@query(f"WITH {DET} SELECT pos FROM det WHERE (x2 - x1) * (y2 - y1) / 40000.0 BETWEEN CASE label WHEN 'cooler' THEN 0.05 WHEN 'empty_socket' THEN 0.02 ELSE 0.0008 END AND 0.1 AND (label <> 'cooler' OR (x2 - x1 <= 70 AND y2 - y1 <= 60 AND (x2 - x1) * (y2 - y1) / 40000.0 <= 0.08))")
 def geometry_filter(t):
-    return E.geometry_filter(detections(t), 200.0, 200.0, 0.0008, 0.1, {"cooler": 0.05, "empty_socket": 0.02}, (("cooler",), 0.35, 0.3)).select("pos")
+    return E.geometry_filter(detections(t), 200.0, 200.0, 0.0008, 0.1, {"cooler": 0.05, "empty_socket": 0.02}, (("cooler",), 0.35, 0.3, 0.08)).select("pos")
 
 
 @query(f"WITH {DET}, th(label, threshold) AS (VALUES ('cooler', 0.3), ('visible_cpu', 0.4), ('bent_pins', 0.5)) SELECT pos, label FROM det JOIN th USING (label) WHERE score >= threshold")
@@ -145,12 +180,20 @@ def box_iou_pairs(t):
     return pairs.select(F.col("a.pos").alias("pos_a"), F.col("c.pos").alias("pos_b"), G.intersection(F.col("a.b"), F.col("c.b")).alias("shared"), (G.iou(F.col("a.b"), F.col("c.b")) >= 0.45).alias("overlaps")).where("shared > 0")
 
 
-@query(f"WITH {STATE} SELECT item_id, cpu_state, round(cpu_confidence, 6) AS cpu_confidence, value_score, reasons, damaged FROM state")
+@query(f"WITH {STATE} SELECT item_id, cpu_state, round(cpu_confidence, 4) AS cpu_confidence, value_score, reasons, damaged, damage_labels, round(damage_score, 4) AS damage_score, accepted, rejected, round(rejected_score, 6) AS rejected_score, round(top, 4) AS top FROM state")
 def fused_state(t):
-    return states(t).select("item_id", "cpu_state", *r6("cpu_confidence"), "value_score", F.concat_ws(",", "review_reasons").alias("reasons"), "damaged")
+    """Every item's state from its detections, with what became of its coolers and its best score of all."""
+    top = F.coalesce(F.array_max(F.map_values("maxima")), F.lit(0.0))
+    return states(t).select("item_id", "cpu_state", "cpu_confidence", "value_score", F.concat_ws(",", "review_reasons").alias("reasons"), "damaged", F.concat_ws(",", "damage_labels").alias("damage_labels"), "damage_score", "accepted", "rejected", *r6("rejected_score"), F.round(top, 4).alias("top"))
+
+
+@query(f"WITH {STATE}, m AS (SELECT item_id, label, score FROM sev UNION ALL SELECT item_id, 'empty_lga_visual_cues', cue_score FROM cue LEFT JOIN role USING (item_id) WHERE cue_raw > empty_score) SELECT item_id, label, score FROM m")
+def fused_maxima(t):
+    """Each label's fused score, that of the cues that stand for an empty socket among them, rejected coolers not."""
+    return states(t).select("item_id", F.explode("maxima").alias("label", "score"))
 
 
-@query(f"WITH {STATE}, c AS (SELECT *, {CLIP} AS clip_state, socket AS ram, drive AS nvme FROM (SELECT *, cover_score AS socket, damage_score AS drive FROM wide)) SELECT item_id, clip_state, CASE clip_state WHEN 'cooler_attached_cpu_highly_likely' THEN 100 WHEN 'visible_cpu_likely' THEN 80 WHEN 'empty_socket_likely' THEN -100 WHEN 'socket_cover_likely' THEN -60 ELSE 0 END + CASE WHEN ram >= 0.6 THEN 35 ELSE 0 END + CASE WHEN nvme >= 0.6 THEN 25 ELSE 0 END AS score FROM c")
+@query(f"WITH {EV}, wide AS (SELECT item_id, {_ROLE} FROM ev GROUP BY item_id), c AS (SELECT *, {CLIP} AS clip_state, socket AS ram, drive AS nvme FROM (SELECT *, cover_score AS socket, damage_score AS drive FROM wide)) SELECT item_id, clip_state, CASE clip_state WHEN 'cooler_attached_cpu_highly_likely' THEN 100 WHEN 'visible_cpu_likely' THEN 80 WHEN 'empty_socket_likely' THEN -100 WHEN 'socket_cover_likely' THEN -60 ELSE 0 END + CASE WHEN ram >= 0.6 THEN 35 ELSE 0 END + CASE WHEN nvme >= 0.6 THEN 25 ELSE 0 END AS score FROM c")
 def clip_state(t):
     w = E.labelled(E.evidence(detections(t)), ROLES)
     found = E.clip_state(*(F.col(f"{k}_score") for k in ("cooler", "installed", "empty", "cover", "cover", "damage")))
@@ -182,9 +225,10 @@ def context_adjust(t):
     return E.context_adjusted(rows, weak_empty=0.3).select("item_id", "cpu_state", *r6("cpu_confidence"), "value_score", F.concat_ws(",", "review_reasons").alias("reasons"), "needs_review")
 
 
-@query(f"WITH {DET} SELECT DISTINCT a.pos FROM det a JOIN det b ON a.item_id = b.item_id AND a.image_index = b.image_index AND a.label = 'cooler' AND b.label IN ('visible_cpu', 'bent_pins') WHERE greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) >= 0.35 * least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1))")
+@query(f"WITH {SEEN} SELECT pos, accepted FROM checked WHERE accepted IS NOT NULL")
 def cooler_structure_semi(t):
-    return E.supported_by_structure(detections(t), ("cooler",), ("visible_cpu", "bent_pins")).select("pos")
+    """Coolers, and whether overlapping parts of the same image make one of the combinations that stand for a cooler."""
+    return U.corroborated(seen(t), cell=40.0).where("accepted is not null").select("pos", "accepted")
 
 
 @query(f"WITH {DET}, g AS (SELECT item_id, x1 - lag(x1) OVER (PARTITION BY item_id ORDER BY x1, pos) AS gap FROM det) SELECT item_id, count(*) AS n, round(avg(gap), 6) AS gap_mean, round(CASE WHEN avg(gap) > 0 THEN stddev_pop(gap) / avg(gap) END, 6) AS gap_cv FROM g GROUP BY item_id")

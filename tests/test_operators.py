@@ -33,25 +33,6 @@ def box(pos, label, score, image, x1=10.0, y1=10.0, x2=210.0, y2=210.0):
     return ("a", pos, label, score, image, x1, y1, x2, y2)
 
 
-def state(spark, *found):
-    roles = {"cooler": "cooler", "installed": "visible_cpu", "empty": "empty_socket", "cover": "socket_cover", "damage": "bent_pins"}
-    return E.fused_state(E.labelled(E.evidence(spark.createDataFrame([*found], DET)), roles)).first()
-
-
-def test_two_images_support_each_other(spark):
-    assert state(spark, box(0, "visible_cpu", 0.49, 1), box(1, "visible_cpu", 0.48, 2))["cpu_state"] == "visible_cpu_likely"
-
-
-def test_conflict_is_unclear(spark):
-    r = state(spark, box(0, "visible_cpu", 0.62, 1), box(1, "empty_socket", 0.60, 2))
-    assert r["cpu_state"] == "unclear" and r["review_reasons"] == ["conflicting_socket_evidence"]
-
-
-def test_damage_needs_two_images(spark):
-    assert not state(spark, box(0, "bent_pins", 0.9, 1))["damaged"]
-    assert state(spark, box(0, "bent_pins", 0.7, 1), box(1, "bent_pins", 0.7, 2))["damaged"]
-
-
 def test_suppression_keeps_other_labels(spark):
     d = spark.createDataFrame([box(0, "ram", 0.9, 1, 0.0, 0.0, 100.0, 100.0), box(1, "ram", 0.8, 1, 5.0, 5.0, 95.0, 95.0), box(2, "nvme", 0.7, 1, 5.0, 5.0, 95.0, 95.0)], DET)
     assert sorted(r["pos"] for r in E.suppressed(d).collect()) == [0, 2]
