@@ -10,8 +10,9 @@ On Spark:
 2. Bands are grouped as (band hash, class) rows: partial aggregation gives each group's size, its first and its last class. Each member is paired with these two, which is linear in
    the group, however large. Pairs that their sizes and sketches don't rule out are confirmed on the full sets, and joined into components. ROUNDS more times, the members of a group that
    aren't in its largest component are paired with one of those that are, another one for each band: most of what links is one component then.
-3. Groups whose members are still in several components meet once more. Members of the group's largest component needn't meet each other; shares of SHARE of them, and of
-   the others, meet in tasks, where numpy compares the sketches of members of different components. Only pairs that can link come out, to be confirmed on the full sets.
+3. Groups may still have members in several components. The largest of these is the group's core; a *family* is a core's component and all members outside it of all groups with that core. Core
+   classes needn't meet each other; shares of them, and of the others, meet in tasks. First with sketches, which tells the members that have any likely partner; then those with
+   their full sets, which are compared in the task. What comes out are members, and then links: never the likely pairs, whose number grows with the square of a family.
 
 A band of ROWS values misses a pair at the threshold with probability 1 - s**ROWS; all bands together with under 1e-9. A sketch is let through down to a number of
 equal values that such a pair falls short of with under 1e-9. Everything else is exact.
@@ -35,11 +36,11 @@ PERMUTATIONS = 128
 #: Permutations in a band, at most: each with both ends.
 ROWS = 2
 #: How often members outside a group's largest component are paired with one inside.
-ROUNDS = 2
+ROUNDS = 1
 #: The chance that a pair at the threshold is missed by all bands, or by the sketch, is under this.
 MISSED = 1e-9
-#: Members of a group that meet in one task, about.
-SHARE = 2048
+#: Members of a family in a share, about, and bytes of their full sets; two shares meet in one task.
+SHARE, SHARE_BYTES = 2048, 4 << 20
 #: log2 of the bits in the table of classes whose sets are wanted: 8 MB, whatever the input's size.
 BITS = 26
 #: Bytes of pairs with both sets in a batch.
@@ -162,69 +163,113 @@ def _unsettled(members: DataFrame, seed: int) -> DataFrame:
     return groups.where("comps > 1").select("band", F.col("main.comp").alias("main"), F.col("main.rep").alias("rep"), "most", "size")
 
 
-def _cells(members: DataFrame, share: int) -> DataFrame:
-    """(band, low, high, class, n, comp, share) for each member (band, class, n, comp) of a group of several components, in each cell where it meets others.
+def _families(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(family, class, n, comp) of the groups of members (band, class, n, comp) in several components; classes is (class, n, comp) of all classes. A core's comp is its family."""
+    outside = members.join(_unsettled(members, 0).select("band", F.col("main").alias("family")), "band").where("comp <> family").select("family", "class", "n", "comp").distinct()
+    core = classes.join(outside.select(F.col("family").alias("comp")).distinct(), "comp").select(F.col("comp").alias("family"), "class", "n", "comp")
+    return outside.union(core)
 
-    The largest component's shares are numbered from -1 downward and meet those of the others, which are numbered from 0 and meet each other too.
+
+def _cells(family: DataFrame, share: int) -> DataFrame:
+    """(family, low, high, class, n, comp, share) for each member (family, class, n, comp) in each cell where it meets others.
+
+    The core's shares are numbered from -1 downward and meet those of the others, which are numbered from 0 and meet each other too.
     """
-    groups = _unsettled(members, 0).select("band", "main", F.expr(f"1 + most div {share}").alias("mains"), F.expr(f"1 + (size - most) div {share}").alias("others"))
-    met = members.join(groups, "band").withColumn("is_main", F.col("comp") == F.col("main"))
+    core = F.col("comp") == F.col("family")
+    shares = lambda test: F.expr(f"1 + greatest(sum(if({test}, 1, 0)) div {share}, sum(if({test}, n, 0)) * 8 div {SHARE_BYTES})")
+    sizes = family.groupBy("family").agg(shares("comp = family").alias("cores"), shares("comp <> family").alias("others"))
+    met = family.join(sizes, "family")
     dealt = F.xxhash64("class")
-    met = met.withColumn("share", F.when(F.col("is_main"), -1 - F.pmod(dealt, F.col("mains"))).otherwise(F.pmod(dealt, F.col("others"))))
+    met = met.withColumn("share", F.when(core, -1 - F.pmod(dealt, F.col("cores"))).otherwise(F.pmod(dealt, F.col("others"))))
     rest = F.sequence(F.lit(0).cast("long"), F.col("others") - 1)
-    main = F.sequence(-F.col("mains"), F.lit(-1).cast("long"))
-    met = met.withColumn("with", F.explode(F.when(F.col("is_main"), rest).otherwise(F.concat(main, rest))))
-    return met.select("band", F.least("share", "with").alias("low"), F.greatest("share", "with").alias("high"), "class", "n", "comp", "share")
+    main = F.sequence(-F.col("cores"), F.lit(-1).cast("long"))
+    met = met.withColumn("with", F.explode(F.when(core, rest).otherwise(F.concat(main, rest))))
+    return met.select("family", F.least("share", "with").alias("low"), F.greatest("share", "with").alias("high"), "class", "n", "comp", "share")
+
+
+_CELL = ["family", "low", "high", "class", "n", "comp", "share"]
 
 
-def _pairs_of(rows: dict[str, np.ndarray], sketch: np.ndarray, percent: int, least: int) -> np.ndarray:
-    """Pairs of a cell's members that are in different components and can link: (2, pairs)."""
+def _likely(rows: dict[str, np.ndarray], percent: int, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each member of a cell the members of other components that can link with it; each pair once."""
     one = rows["share"] == rows["low"]
     within = rows["low"][0] == rows["high"][0]
     left, right = (np.flatnonzero(one),) * 2 if within else sorted((np.flatnonzero(one), np.flatnonzero(~one)), key=len)
-    found = [np.zeros((2, 0), np.int64)]
+    sketch = rows["sketch"]
     for i in left:
         other = right[right > i] if within else right
         n, m = int(rows["n"][i]), rows["n"][other].astype(np.int64)
         other = other[(rows["comp"][other] != rows["comp"][i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))]
         other = other[(sketch[other] == sketch[i]).sum(axis=1) >= least]
-        found.append(np.stack([np.full(len(other), rows["class"][i]), rows["class"][other]]))
-    pair = np.concatenate(found, axis=1)
-    return np.stack([pair.min(axis=0), pair.max(axis=0)])
+        if len(other):
+            yield i, other
 
 
-def _meet(percent: int, least: int):
-    """(a, b) of all cells; a cell's rows come one after the other."""
-    names = ["band", "low", "high", "class", "n", "comp", "share"]
+def _each_cell(batches: Iterator[pa.RecordBatch], more: list[str]) -> Iterator[dict]:
+    """The rows of each cell of over one member: arrays, sketches as a matrix, full sets (if asked for) as a list. A cell's rows come one after the other."""
+
+    def taken(rows: list[pa.RecordBatch]) -> dict | None:
+        batch = pa.concat_batches(rows)
+        if len(batch) < 2:
+            return None
+        out = {c: np.asarray(batch.column(c)) for c in _CELL} | {"sketch": np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column("sketch")])}
+        return out | {c: [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in more}
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = np.stack([np.asarray(batch.column(c)) for c in _CELL[:3]])
+        if held and (np.array([held[-1].column(c)[0].as_py() for c in _CELL[:3]]) != key[:, 0]).any():
+            yield taken(held)
+            held = []
+        cut = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+        for i, j in zip(cut, [*cut[1:], len(batch)], strict=True):
+            if i:
+                yield taken(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield taken(held)
+
+
+def _hopeful(percent: int, least: int):
+    """(family, class): members with any likely partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, done, n = None, [], 0
+        for rows in _each_cell(batches, []):
+            if rows is None:
+                continue
+            hope = np.zeros(len(rows["n"]), bool)
+            for i, other in _likely(rows, percent, least):
+                hope[i] = True
+                hope[other] = True
+            if hope.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rows["family"][hope]), pa.array(rows["class"][hope])], ["family", "class"])
 
-        def out() -> pa.RecordBatch:
-            pair = np.unique(np.concatenate(done, axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+    return run
 
-        for batch in batches:
-            if not len(batch):
+
+def _met(percent: int, least: int):
+    """(a, b): members of different components that link on their full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _each_cell(batches, ["grams"]):
+            if rows is None:
                 continue
-            now = {c: np.asarray(batch.column(c)) for c in names} | {"sketch": np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column("sketch")])}
-            if left is not None:
-                now = {c: np.concatenate([left[c], now[c]]) for c in now}
-            new = np.ones(len(now["n"]), bool)
-            new[1:] = (now["band"][1:] != now["band"][:-1]) | (now["low"][1:] != now["low"][:-1]) | (now["high"][1:] != now["high"][:-1])
-            cut = np.flatnonzero(new)
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                if j - i > 1:
-                    done.append(_pairs_of({c: v[i:j] for c, v in now.items()}, now["sketch"][i:j], percent, least))
-                    n += done[-1].shape[1]
-            left = {c: v[cut[-1] :] for c, v in now.items()}
-            if n > 1 << 18:
-                yield out()
-                done, n = [], 0
-        if left is not None:
-            done.append(_pairs_of(left, left["sketch"], percent, least))
-        if done:
-            yield out()
+            a, b = [], []
+            for i, other in _likely(rows, percent, least):
+                own, sets = rows["grams"][i], [rows["grams"][k] for k in other]
+                all_ = np.concatenate(sets)
+                size = np.array([len(x) for x in sets])
+                hit = own[np.minimum(np.searchsorted(own, all_), len(own) - 1)] == all_
+                common = np.bincount(np.repeat(np.arange(len(sets)), size), hit, len(sets)).astype(np.int64)
+                linked = other[100 * common >= percent * (len(own) + size - common)]
+                a.append(np.full(len(linked), rows["class"][i]))
+                b.append(rows["class"][linked])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
@@ -275,6 +320,7 @@ def minmax_dedup(docs: DataFrame, width: int = 3, percent: int = 85, share: int
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50, up to 100")
+    spark = docs.sparkSession
     (permutations, bands), least = bands_for(percent), least_equal(percent)
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -306,12 +352,17 @@ def minmax_dedup(docs: DataFrame, width: int = 3, percent: int = 85, share: int
     for seed in range(1, ROUNDS + 1):
         own = placed()
         comps = settled(sets.links(likely(own.join(_unsettled(own, seed), "band").where("comp <> main").select("class", F.col("rep").alias("end")))))
-    own = placed()
-    met = _cells(own, share).join(classes.select("class", "sketch"), "class")
+    labels = comps.withColumnsRenamed({"v": "class", "label": "comp"})
+    family = C.as_table(_families(placed(), classes.select("class", "n").join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))), "minmax-families")
     parts = min(C.deals_for(docs), C.MOST_PARTS)
-    met = met.repartition(parts, "band", "low", "high").sortWithinPartitions("band", "low", "high")
-    rest = C.as_table(met.mapInArrow(_meet(percent, least), "a long, b long").distinct(), "minmax-pairs")
-    comps = settled(sets.links(rest))
+    cell = ["family", "low", "high"]
+    sketches = classes.select("class", "sketch")
+    dealt = lambda rows: rows.repartition(parts, *cell).sortWithinPartitions(*cell)
+    hopeful = dealt(_cells(family, share).join(sketches, "class")).mapInArrow(_hopeful(percent, least), "family long, class long").distinct()
+    hopeful = C.as_table(hopeful.join(family, ["family", "class"]).select("family", "class", "n", "comp"), "minmax-hopeful")
+    full = dealt(_cells(hopeful, share).join(sketches, "class").join(sets.of(hopeful.select("class").distinct()), "class"))
+    with C.batch_bytes(spark, PROBED):
+        comps = settled(C.as_table(full.mapInArrow(_met(percent, least), "a long, b long").distinct(), "minmax-links"))
 
     by_class = documents.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     # classes of one row that link with nothing name themselves
@@ -326,13 +377,13 @@ def minmax_dedup(docs: DataFrame, width: int = 3, percent: int = 85, share: int
 
 
 class _Sets:
-    """Full sets of the classes that pairs ask for: made from the texts again, in a pass for those that no earlier pass has made."""
+    """Full sets of the classes that are asked for: made from the texts again, in a pass for those that no earlier pass has made."""
 
     def __init__(self, docs: DataFrame, width: int, percent: int) -> None:
         self.docs, self.width, self.percent, self.made = docs, width, percent, []
 
-    def _of(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """(class, grams) of the classes in wanted (class), and of some others."""
         for table in self.made:
             wanted = wanted.join(table.select("class"), "class", "left_anti")
         spark = self.docs.sparkSession
@@ -351,7 +402,7 @@ class _Sets:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that link on their full sets."""
-        sets = self._of(pairs)
+        sets = self.of(pairs.select(F.explode(F.array("a", "b")).alias("class")))
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         with C.batch_bytes(pairs.sparkSession, PROBED):
             return C.as_table(both.mapInArrow(_confirm(self.percent), "a long, b long"), "minmax-links")
