@@ -91,20 +91,28 @@ def market_interval(rows: DataFrame, overhead: float = 60.0) -> DataFrame:
     return out
 
 
-def best_references(images: DataFrame, references: DataFrame, most: int = 8) -> DataFrame:
-    """(item_id, reference, score, status): of each item the reference of its model that one of its images (item_id, model, v) is most like.
+def best_references(images: DataFrame, references: DataFrame, match, most: int = 12) -> DataFrame:
+    """(item_id, reference, score, good, inlier_ratio, status, evaluated): of each item the approved reference of its model that one of its images (item_id, model, v) matches best.
 
     references (reference, model, v, approved) come in the order of `reference`; of a model the first `most` are looked at, and of those only approved ones
-    count. So a model brings one row of bounded size to the join, and an image meets its references within its row. Ties: the smallest reference.
+    count. So a model brings one row of bounded size to the join, and an image meets its references within its row. match(v, w) is a struct (score, good,
+    inlier_ratio). Ties: the smallest reference. evaluated is how many matches were tried.
     """
     place = F.row_number().over(Window.partitionBy("model").orderBy("reference"))
-    few = references.withColumn("_n", place).where(F.col("_n") <= most).where("approved")
-    by_model = few.groupBy("model").agg(F.collect_list(F.struct("reference", F.col("v").alias("w"))).alias("refs"))
+    few = references.withColumn("_n", place).where(F.col("_n") <= most)
+    by_model = few.groupBy("model").agg(F.collect_list(F.when(F.col("approved"), F.struct("reference", F.col("v").alias("w")))).alias("refs"))
     matched = images.join(by_model, "model", "left")
-    near = F.transform(F.coalesce("refs", F.array()), lambda r: F.struct((1 / (1 + euclid(F.col("v"), r["w"]))).alias("score"), (-r["reference"]).alias("back")))
-    best = matched.select("item_id", F.array_max(near).alias("best")).groupBy("item_id").agg(F.max("best").alias("best"))
+
+    def tried(r: Column) -> Column:
+        m = match(F.col("v"), r["w"])
+        return F.struct(m["score"].alias("score"), (-r["reference"]).alias("back"), m["good"].alias("good"), m["inlier_ratio"].alias("inlier_ratio"))
+
+    near = F.transform(F.coalesce("refs", F.array()), tried)
+    own = matched.select("item_id", F.col("refs").isNotNull().alias("known"), F.array_max(near).alias("best"), F.size(near).alias("n"))
+    best = own.groupBy("item_id").agg(F.max("best").alias("best"), F.bool_or("known").alias("known"), F.sum("n").alias("evaluated"))
     score = F.coalesce(F.col("best.score"), F.lit(0.0))
-    return best.select("item_id", (-F.col("best.back")).alias("reference"), score.alias("score"), verification(score, F.when(F.col("best").isNull(), 0).otherwise(1)).alias("status"))
+    status = verification(F.col("known"), score, F.col("best.good"), F.col("best.inlier_ratio"))
+    return best.select("item_id", (-F.col("best.back")).alias("reference"), score.alias("score"), "best.good", "best.inlier_ratio", status.alias("status"), "evaluated")
 
 
 def candidate_manifest(queue: DataFrame, approved: DataFrame, source_type: str = "verified_listing") -> DataFrame:

@@ -17,63 +17,21 @@ def euclid(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v))
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """How many bits two descriptors differ in; a descriptor is an array of 64-bit words."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+# What becomes of a candidate reference, and what its references say of a model.
+APPROVE, BY_HAND, REVIEW, TOO_LITTLE = "approve", "manual_approval", "manual_review", "insufficient_evidence"
+NO_REFERENCE, CONFIRMED, CONFLICT, UNCERTAIN = "no_reference", "reference_confirmed", "reference_conflict", "reference_uncertain"
 
 
-def ratio_matches(queries: DataFrame, references: DataFrame, ratio: float = 0.8, distance=euclid) -> DataFrame:
-    """(q, r, d1, d2): of each query (q, model, v) the nearest reference (r, model, v) of its model, if clearly nearer than the second.
-
-    A stated set of queries meets the references of its model; a query's candidates are the references of one model.
-    """
-    pairs = queries.select("q", "model", F.col("v").alias("a")).join(references.select("r", "model", F.col("v").alias("b")), "model").select("q", "r", distance(F.col("a"), F.col("b")).alias("d"))
-    pairs = pairs.where(F.col("q") != F.col("r"))
-    first = F.row_number().over(Window.partitionBy("q").orderBy("d", "r"))
-    near = pairs.withColumn("_n", first).where("_n <= 2").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("d", "r"))).alias("near"))
-    return near.select("q", F.get("near", F.lit(0))["r"].alias("r"), F.get("near", F.lit(0))["d"].alias("d1"), F.get("near", F.lit(1))["d"].alias("d2")).where(F.col("d1") < ratio * F.col("d2"))
-
-
-#: Rows of one model that a block has, about; two blocks meet in one task.
-BLOCK = 512
-
-
-def pair_agreement(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(id, agreeing, conflicting): of each row (id, model, v) how many others of its model lie within a distance.
-
-    A model's rows are cut into blocks by a hash of the id; each two blocks are one group, compared as matrices and counted for both sides, so no
-    pair becomes a row and a group is bounded however many rows a model has. The work is still every pair of a model, by definition.
-    """
-    sizes = rows.groupBy("model").agg(F.count("*").alias("_n"))
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    dealt = rows.join(sizes.select("model", blocks.alias("_blocks")), "model").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    met = dealt.withColumn("_w", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    met = met.select("model", F.least("_b", "_w").alias("_low"), F.greatest("_b", "_w").alias("_high"), "_b", "id", "v")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        _, low, high = key
-        v = np.stack(pdf["v"].to_numpy()).astype(float)
-        side, near = pdf["_b"].to_numpy(), np.zeros(len(v), np.int64)
-        other = np.zeros(len(v), np.int64)
-        for i in range(0, len(v), 256):
-            d = np.sqrt(((v[i : i + 256, None] - v[None]) ** 2).sum(axis=2)) <= threshold
-            counts = side[i : i + 256, None] != side[None] if low != high else ~np.eye(len(v), dtype=bool)[i : i + 256]
-            near[i : i + 256], other[i : i + 256] = (d & counts).sum(axis=1), (~d & counts).sum(axis=1)
-        return pd.DataFrame({"id": pdf["id"], "agreeing": near, "conflicting": other})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    part = met.groupBy("model", "_low", "_high").applyInPandas(run, f"id {kind}, agreeing long, conflicting long")
-    return part.groupBy("id").agg(F.sum("agreeing").alias("agreeing"), F.sum("conflicting").alias("conflicting")).where("agreeing + conflicting > 0")
+def recommendation(agreeing: Column, conflicting: Column, by_hand: Column, least: int = 2) -> Column:
+    """What to do with a candidate that so many others of its model agree and conflict with: `least` that agree, itself included, and none against it settle it, unless its source needs a person."""
+    settled = (agreeing > 0) & (agreeing >= least - 1) & (conflicting == 0)
+    return F.when(settled & ~by_hand, APPROVE).when(settled, BY_HAND).when(agreeing > 0, REVIEW).otherwise(TOO_LITTLE)
 
 
-def recommendation(agreeing: Column, conflicting: Column, least: int = 2) -> Column:
-    return F.when((agreeing >= least) & (conflicting == 0), "approve").when((agreeing > 0) & (conflicting == 0), "manual_approval").when(conflicting > 0, "manual_review").otherwise("insufficient_evidence")
-
-
-def verification(score: Column, references: Column, confirm: float = 0.7, conflict: float = 0.42) -> Column:
-    return F.when(references == 0, "no_reference").when(score >= confirm, "reference_confirmed").when(score < conflict, "reference_conflict").otherwise("reference_uncertain")
+def verification(references: Column, score: Column, good: Column, inlier_ratio: Column, least_score: float = 0.58, least_good: int = 18, least_inliers: float = 0.32, conflict: float = 0.42) -> Column:
+    """What the best match says: confirmed if its matches, their inliers and its score all suffice. A model without references has none; one whose references matched nothing is in conflict."""
+    sure = (F.coalesce(good, F.lit(0)) >= least_good) & (F.coalesce(inlier_ratio, F.lit(0.0)) >= least_inliers) & (score >= least_score)
+    return F.when(~references, NO_REFERENCE).when(sure, CONFIRMED).when(F.coalesce(score, F.lit(0.0)) < conflict, CONFLICT).otherwise(UNCERTAIN)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -177,18 +135,28 @@ def source_type(host: Column, domains: dict[str, tuple[str, ...]], marketplaces:
     return out
 
 
-def discovery(rows: DataFrame, allowed: tuple[str, ...], least: float = 0.6) -> DataFrame:
-    """Rows (id, model, title, page_url, image_url) with ratio and rejection: the first reason that holds, null if accepted.
+# Why a found image isn't taken.
+REJECTIONS = ("missing_required_fields", "unapproved_domain", "insufficient_model_evidence", "unsupported_image_url", "duplicate_image_url")
+
+
+def discovery(rows: DataFrame, domains: dict[str, tuple[str, ...]], marketplaces: tuple[str, ...] = (), free: tuple[str, ...] = (), least: float = 0.6) -> DataFrame:
+    """Rows (id, model, title, page_url, image_url) with ratio, source_type, by_hand and rejection: the first reason that holds, null if accepted.
 
-    A model's tokens may stand in the title or in either address. Only rows without another fault count as the first of an image.
+    domains are those of each type of source; hosts of `marketplaces` are one more type. An empty text is a missing one. A model's tokens may stand in the title or in either address.
+    Only rows without another fault count as the first of an image, in order of id. Sources of the `free` types need no person.
     """
-    ratio = X.token_overlap(F.col("model"), F.concat_ws(" ", "title", "page_url", "image_url"))
-    host = X.url_host(F.col("page_url"))
-    fault = F.when(F.col("page_url").isNull() | F.col("image_url").isNull() | F.col("model").isNull(), "missing_required_fields").when(~X.domain_matches(host, allowed), "unapproved_domain").when(ratio < least, "insufficient_model_evidence").when(~F.col("image_url").rlike("^https?://"), "unsupported_image_url")
-    out = rows.withColumn("ratio", ratio).withColumn("_f", fault)
+    missing, unapproved, little, unsupported, again = REJECTIONS
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    ratio = F.when(text("model") == "", 0.0).otherwise(X.token_overlap(text("model"), F.concat_ws(" ", text("title"), text("page_url"), text("image_url"))))
+    kind = source_type(X.url_host(text("page_url")), domains, marketplaces)
+    lacks = (text("model") == "") | (text("page_url") == "") | (text("image_url") == "")
+    out = rows.withColumns({"ratio": F.round(ratio, 4), "source_type": kind})
+    fault = F.when(lacks, missing).when(F.col("source_type").isNull(), unapproved).when(ratio < least, little).when(~F.lower(text("image_url")).rlike("^https?://"), unsupported)
+    out = out.withColumn("_f", fault)
     w = Window.partitionBy(X.model_key(F.col("model")), "image_url", F.col("_f").isNull()).orderBy("id")
     out = out.withColumn("_n", F.row_number().over(w))
-    return out.withColumn("rejection", F.coalesce("_f", F.when(F.col("_n") > 1, "duplicate_image_url"))).drop("_f", "_n")
+    by_hand = ~F.coalesce(F.col("source_type").isin(*free), F.lit(False)) if free else F.lit(True)
+    return out.withColumns({"rejection": F.coalesce("_f", F.when(F.col("_n") > 1, again)), "by_hand": by_hand}).drop("_f", "_n")
 
 
 # What still needs references, what is searched for, and where.

@@ -96,7 +96,12 @@ def positional_distances(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFra
     return a.alias("a").join(b.alias("b"), keys).select(*keys, F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")).alias("distance"))
 
 
-def training_blockers(enabled: Column, total: Column, new: Column, days: Column, failures: Column, least: int = 100, least_new: int = 20, cooldown: int = 7, most_failures: int = 3) -> Column:
-    """What speaks against training now, in a fixed order; empty if nothing does."""
-    tests = ((~enabled, "training_disabled"), (total < least, "not_enough_samples"), (new < least_new, "not_enough_new_samples"), (days < cooldown, "cooldown_active"), (failures >= most_failures, "failure_limit_reached"))
-    return F.array_compact(F.array(*(F.when(test, why) for test, why in tests)))
+# What speaks against training now, in order.
+BLOCKERS = ("disabled", "insufficient_total_labels", "insufficient_new_labels", "training_cooldown", "failure_limit")
+
+
+def training_blockers(enabled: Column, total: Column, trained_with: Column, last_training: Column, now: Column, failures: Column, least: int = 200, least_new: int = 50, days: int = 7, most_failures: int = 3) -> Column:
+    """What speaks against training at `now` with so many labels, of which some were there at the last training; empty if nothing does. A model that was never trained has no cooldown."""
+    cooling = F.coalesce(now < last_training + F.expr(f"interval {int(days)} days"), F.lit(False))
+    tests = (~enabled, total < least, total - F.coalesce(trained_with, F.lit(0)) < least_new, cooling, F.coalesce(failures, F.lit(0)) >= most_failures)
+    return F.array_compact(F.array(*(F.when(test, why) for test, why in zip(tests, BLOCKERS, strict=True))))

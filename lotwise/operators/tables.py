@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .ranking import placed
 
 
 def last_wins(rows: DataFrame, key: str, pos: str) -> DataFrame:
@@ -138,8 +139,31 @@ def canary_bucket(key: Column) -> Column:
     return F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("bigint") / F.lit(4294967295.0)
 
 
-def backend(bucket: Column, fraction: float, has_model: bool = True) -> Column:
-    return F.when(F.lit(not has_model), "fallback").when(bucket < fraction, "trained").otherwise("fallback")
+# What decides, by mode, and why a run isn't healthy.
+TRAINED, FALLBACK = "trained", "fallback"
+HEALTH_REASONS = ("search_errors", "gallery_error_rate", "image_error_rate", "review_rate", "model_drift")
+
+
+def backend(bucket: Column, fraction: float, mode: Column | str = "auto", has_model: Column | bool = True) -> Column:
+    """Which detector an item goes to: the fallback without a model or in its mode, the model in its own, and in any other mode the model for a share of the items."""
+    mode = F.lit(mode) if isinstance(mode, str) else mode
+    model = F.lit(has_model) if isinstance(has_model, bool) else has_model
+    return F.when((mode == FALLBACK) | ~F.coalesce(model, F.lit(False)), FALLBACK).when(mode == TRAINED, TRAINED).when(bucket < fraction, TRAINED).otherwise(FALLBACK)
+
+
+def health(runs: DataFrame, results: DataFrame, key: str = "run", most_search: int = 3, most_gallery: float = 0.20, most_images: float = 0.15, most_review: float = 0.60) -> DataFrame:
+    """(key, healthy, reasons, search_errors, gallery_error_rate, image_error_rate, review_rate): how each run went.
+
+    runs has a row for each run (key, listings_found, processed, search_errors, gallery_errors, image_download_errors: numbers, rollback_recommended); results has its items (key, needs_review), and
+    is counted before it is joined. A run without results has a review rate of 0; nulls count as 0 and false.
+    """
+    n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
+    review = results.groupBy(key).agg(F.avg(F.coalesce(F.col("needs_review"), F.lit(False)).cast("double")).alias("review_rate"))
+    rates = {"gallery_error_rate": n("gallery_errors") / F.greatest(n("listings_found"), F.lit(1)), "image_error_rate": n("image_download_errors") / F.greatest(n("processed"), F.lit(1)), "review_rate": F.coalesce("review_rate", F.lit(0.0)), "search_errors": n("search_errors")}
+    out = runs.drop("review_rate").join(review, key, "left").withColumns(rates)
+    tests = (F.col("search_errors") > most_search, F.col("gallery_error_rate") > most_gallery, F.col("image_error_rate") > most_images, F.col("review_rate") > most_review, F.coalesce("rollback_recommended", F.lit(False)))
+    why = F.array_compact(F.array(*(F.when(test, reason) for test, reason in zip(tests, HEALTH_REASONS, strict=True))))
+    return out.select(key, (F.size(why) == 0).alias("healthy"), why.alias("reasons"), "search_errors", *(F.round(c, 4).alias(c) for c in ("gallery_error_rate", "image_error_rate", "review_rate")))
 
 
 def shard_sizes(rows: DataFrame, key: str, n: int) -> DataFrame:
@@ -151,18 +175,15 @@ def shard_sizes(rows: DataFrame, key: str, n: int) -> DataFrame:
 def seeded_split(rows: DataFrame, key: str, seed: int, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """rows with `split`: of all n rows in the order of a seeded hash the first floor(n * train) train, the next floor(n * validation) validate, the rest test.
 
-    Sizes are exact. Places come from counts of 4,096 ranges of the hash and a rank within each, so no task ranks all rows. The order is a hash's, not another generator's.
+    Sizes are exact. Places come from ranges of the hash (see ranking.placed), so no task ranks all rows. The order is a hash's, not another generator's.
     """
-    h = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
-    own = rows.withColumns({"_h": h, "_range": F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 52)})
-    sizes = own.groupBy("_range").agg(F.count("*").alias("_n"))
-    up_to = Window.partitionBy().orderBy("_range")
-    before = sizes.select("_range", F.coalesce(F.sum("_n").over(up_to.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    # at most 4,096 rows
-    placed = own.join(F.broadcast(before), "_range").withColumn("_place", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy("_h", key)))
-    first, second = F.floor(F.col("_all") * train), F.floor(F.col("_all") * validation)
+    order = [F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.col(key)]
+    there = placed(rows, order, "_place")
+    # as many as the ranges hold: the greatest place
+    n = there.agg(F.max("_place")).first()[0] or 0
+    first, second = int(n * train), int(n * validation)
     split = F.when(F.col("_place") <= first, "train").when(F.col("_place") <= first + second, "val").otherwise("test")
-    return placed.withColumn("split", split).drop("_h", "_range", "_before", "_all", "_place")
+    return there.withColumn("split", split).drop("_place")
 
 
 def checked_union(parts: list[DataFrame], key: str) -> DataFrame:

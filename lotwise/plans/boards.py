@@ -57,12 +57,24 @@ def market_interval(t):
     return B.market_interval(rows).select("p_partkey", *r6(*(f"{what}_{n}" for n, _ in _POINTS for what in ("value", "profit", "max_bid"))))
 
 
-@query(f"WITH {_EMB}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY id) AS n FROM e) WHERE n <= 8 AND id % 2 = 0), i AS (SELECT id // 3 AS item_id, model, v FROM e), p AS (SELECT i.item_id, f.id AS reference, coalesce(1 / (1 + list_distance(i.v, f.v)), 0) AS score FROM i LEFT JOIN f USING (model)), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, reference) AS n FROM p) WHERE n = 1) SELECT item_id, reference, round(score, 4) AS score, CASE WHEN reference IS NULL THEN 'no_reference' WHEN score >= 0.7 THEN 'reference_confirmed' WHEN score < 0.42 THEN 'reference_conflict' ELSE 'reference_uncertain' END AS status FROM b")
+@query(f"""WITH {_EMB}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY id) AS n FROM e WHERE model % 3 > 0) WHERE n <= 8), i AS (SELECT id // 3 AS item_id, model, v FROM e),
+p AS (SELECT item_id, f.id AS reference, f.id IS NOT NULL AS known, f.id % 2 = 0 AND (f.model % 7 <> 1) AS approved, 1 / (1 + list_distance(i.v, f.v)) + 0.1 AS score, len(list_filter(range(1, len(i.v) + 1), lambda k: abs(i.v[k] - f.v[k]) < 0.1)) AS good, len(list_filter(range(1, len(i.v) + 1), lambda k: (i.v[k] > 0) = (f.v[k] > 0))) / len(i.v) AS inlier_ratio FROM i LEFT JOIN f USING (model)),
+b AS (SELECT item_id, bool_or(known) AS known, count(*) FILTER (WHERE approved) AS evaluated, max(struct_pack(score := score, back := -reference, good := good, inlier_ratio := inlier_ratio)) FILTER (WHERE approved) AS m FROM p GROUP BY 1)
+SELECT item_id, -m.back AS reference, round(coalesce(m.score, 0), 4) AS score, m.good AS good, round(m.inlier_ratio, 4) AS inlier_ratio, CASE WHEN NOT known THEN 'no_reference' WHEN m.good >= 18 AND m.inlier_ratio >= 0.32 AND m.score >= 0.58 THEN 'reference_confirmed' WHEN coalesce(m.score, 0) < 0.42 THEN 'reference_conflict' ELSE 'reference_uncertain' END AS status, evaluated FROM b""")
 def best_reference(t):
+    """Each item's best approved reference and what it says: components that are near count as good matches, those of one sign as inliers."""
     e = features(t)
-    refs = e.select(F.col("id").alias("reference"), "model", "v", (F.col("id") % 2 == 0).alias("approved"))
+    refs = e.where("model % 3 > 0").select(F.col("id").alias("reference"), "model", "v", ((F.col("id") % 2 == 0) & (F.col("model") % 7 != 1)).alias("approved"))
     images = e.select(F.expr("id div 3").alias("item_id"), "model", "v")
-    return B.best_references(images, refs, most=8).select("item_id", "reference", F.round("score", 4).alias("score"), "status")
+
+    def match(v, w):
+        count = lambda test: F.size(F.filter(F.zip_with(v, w, lambda x, y: test(x.cast("double"), y.cast("double"))), lambda hit: hit))
+        good = count(lambda x, y: F.abs(x - y) < 0.1)
+        inliers = count(lambda x, y: (x > 0) == (y > 0)) / F.size(v)
+        return F.struct((1 / (1 + R.euclid(v, w)) + 0.1).alias("score"), good.alias("good"), inliers.alias("inlier_ratio"))
+
+    found = B.best_references(images, refs, match, most=8)
+    return found.select("item_id", "reference", F.round("score", 4).alias("score"), F.col("good").cast("long").alias("good"), F.round("inlier_ratio", 4).alias("inlier_ratio"), "status", "evaluated")
 
 
 @query("SELECT p_brand AS model, 'verified_listing' AS source_type, concat(p_partkey, '_', n, '.jpg') AS source, p_partkey AS source_item_id FROM part, range(1, 4) r(n) WHERE n <= p_partkey % 4 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")

@@ -115,8 +115,11 @@ def positional_compare(t):
     return S.positional_distances(at.where("label = 'visible_cpu'"), at.where("label = 'empty_socket'"), ["item_id", "k"]).withColumn("distance", F.round("distance", 6))
 
 
-@query("SELECT user_id, concat_ws(',', CASE WHEN n < 10 THEN 'not_enough_samples' END, CASE WHEN fresh < 3 THEN 'not_enough_new_samples' END, CASE WHEN errors >= 3 THEN 'failure_limit_reached' END) AS reasons FROM (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_id % 4 = 0) AS fresh, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY user_id)")
+@query("""WITH u AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-15') AS before, max(ts) FILTER (WHERE event_type = 'signup') AS trained, count(*) FILTER (WHERE event_type = 'error' AND value > 60) AS errors FROM events GROUP BY user_id)
+SELECT user_id, concat_ws(',', CASE WHEN user_id % 17 = 0 THEN 'disabled' END, CASE WHEN n < 100 THEN 'insufficient_total_labels' END, CASE WHEN n - before < 50 THEN 'insufficient_new_labels' END, CASE WHEN TIMESTAMP '2024-02-01' < trained + INTERVAL 7 DAY THEN 'training_cooldown' END, CASE WHEN errors >= 3 THEN 'failure_limit' END) AS reasons FROM u""")
 def train_eligibility(t):
-    own = t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_id") % 4 == 0).alias("fresh"), F.count_if(F.col("event_type") == "error").alias("errors"))
-    why = S.training_blockers(F.lit(True), F.col("n"), F.col("fresh"), F.lit(30), F.col("errors"), 10, 3)
+    """Whether a model of each user may be trained: events are labels, the last signup is the last training, great errors are failed ones."""
+    v, at = F.col("value"), F.col("ts")
+    own = t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(at < F.expr("timestamp_ntz'2024-01-15'")).alias("before"), F.max(F.when(F.col("event_type") == "signup", at)).alias("trained"), F.count_if((F.col("event_type") == "error") & (v > 60)).alias("errors"))
+    why = S.training_blockers(F.col("user_id") % 17 != 0, F.col("n"), F.col("before"), F.col("trained"), F.expr("timestamp_ntz'2024-02-01'"), F.col("errors"), 100, 50)
     return own.select("user_id", F.concat_ws(",", why).alias("reasons"))

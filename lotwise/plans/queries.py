@@ -16,11 +16,13 @@ from ..functions import text as X
 from ..operators import boards as M
 from ..operators import evidence as E
 from ..operators import fusion as U
+from ..operators import neighbours as K
 from ..operators import references as R
 from ..operators import registry as N
 from ..operators import report as P
 from ..operators import tables as B
 from ..operators import value as V
+from ..operators.ranking import placed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -251,9 +253,10 @@ def top_k_by_recommendation(t):
     return V.top_by_recommendation(values(t), 20).select("item_id", "recommendation", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {VALUE} SELECT item_id FROM rec ORDER BY CASE WHEN recommendation = 'bid' THEN 0 ELSE 1 END, profit DESC, confidence DESC, pos LIMIT 50")
+@query(f"WITH {VALUE} SELECT item_id, row_number() OVER (ORDER BY CASE WHEN recommendation = 'bid' THEN 0 ELSE 1 END, profit DESC, confidence DESC, pos) AS place FROM rec")
 def ranked_values(t):
-    return values(t).orderBy(*V.ranking()).limit(50).select("item_id")
+    """Every item's place: bids first, then by profit and confidence."""
+    return placed(values(t), V.ranking()).select("item_id", "place")
 
 
 @query(f"WITH {VALUE} SELECT recommendation, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, round(avg(CASE WHEN needs_review THEN 1.0 ELSE 0 END), 6) AS review_rate FROM rec GROUP BY recommendation")
@@ -403,13 +406,12 @@ def ledger_upsert(t):
     return B.ledger_merged(old, rows, results, "v2", "2001-08-02 00:00:00")
 
 
-@query(f"WITH {_MERGED} SELECT item_id, detector_version, listing_hash, row_number() OVER (ORDER BY last_seen_at DESC, item_id DESC, detector_version, listing_hash) AS place FROM m ORDER BY place LIMIT 200")
+@query(f"WITH {_MERGED} SELECT item_id, detector_version, listing_hash, row_number() OVER (ORDER BY last_seen_at DESC, item_id DESC, detector_version, listing_hash) AS place FROM m")
 def ledger_sorted(t):
-    """The head of the ledger, which is a listing of a given length."""
+    """The whole ledger in order, newest first."""
     rows, results, old = ledger_run(t)
     merged = B.ledger_merged(old, rows, results, "v2", "2001-08-02 00:00:00")
-    head = merged.orderBy(*B.ledger_order(), "detector_version", "listing_hash").limit(200)
-    return head.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*B.ledger_order(), "detector_version", "listing_hash")).cast("long")).select("item_id", "detector_version", "listing_hash", "place")
+    return placed(merged, [*B.ledger_order(), F.col("detector_version"), F.col("listing_hash")]).select("item_id", "detector_version", "listing_hash", "place")
 
 
 @query("SELECT event_type AS file, substr(sha256(x), 1, 16) AS detector_version FROM (SELECT DISTINCT event_type FROM events), (SELECT string_agg(event_type || ' ' || sha256(n::varchar), chr(10) ORDER BY event_type) AS x FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1))")
@@ -435,9 +437,11 @@ def stable_shards(t):
     return B.shard_sizes(t("orders"), "o_orderkey", 8)
 
 
-@query("SELECT o_orderkey, CASE WHEN concat('0x', substr(sha256(o_orderkey::varchar), 1, 8))::bigint / 4294967295.0 < 0.1 THEN 'trained' ELSE 'fallback' END AS backend FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' OR o_orderstatus = 'P' THEN 'fallback' WHEN o_orderpriority = '2-HIGH' THEN 'trained' WHEN concat('0x', substr(sha256(o_orderkey::varchar), 1, 8))::bigint / 4294967295.0 < 0.1 THEN 'trained' ELSE 'fallback' END AS backend FROM orders")
 def canary_bucket(t):
-    return t("orders").select("o_orderkey", B.backend(B.canary_bucket(F.col("o_orderkey").cast("string")), 0.1).alias("backend"))
+    """Urgent orders are routed in the fallback's mode, high ones in the model's, the others by their bucket; those with a pending status have no model."""
+    mode = F.when(F.col("o_orderpriority") == "1-URGENT", "fallback").when(F.col("o_orderpriority") == "2-HIGH", "trained").otherwise("auto")
+    return t("orders").select("o_orderkey", B.backend(B.canary_bucket(F.col("o_orderkey").cast("string")), 0.1, mode, F.col("o_orderstatus") != "P").alias("backend"))
 
 
 @query("SELECT o_orderkey AS id FROM orders")
@@ -515,10 +519,18 @@ def class_shift(t):
     return shift.select("event_type", *r6("now_share", "before_share"), "shifted")
 
 
-@query("SELECT cast(ts AS date) AS day, concat_ws(',', CASE WHEN count(*) FILTER (WHERE event_type = 'error') > 3 THEN 'search_errors' END, CASE WHEN count(*) FILTER (WHERE event_type = 'view') / count(*) > 0.2 THEN 'gallery_error_rate' END, CASE WHEN avg(CASE WHEN value > 60 THEN 1.0 ELSE 0 END) > 0.3 THEN 'review_rate' END) AS reasons FROM events GROUP BY 1")
+@query("""WITH r AS (SELECT cast(ts AS date) AS run, count(*) AS listings_found, count(DISTINCT user_id) AS processed, count(*) FILTER (WHERE event_type = 'error' AND value > 100) AS s, count(*) FILTER (WHERE event_type = 'error' AND value <= 100) AS g, count(*) FILTER (WHERE event_type = 'signup' AND value > 120) AS i, avg(value) > 51 AS rb FROM events GROUP BY 1),
+v AS (SELECT cast(ts AS date) AS run, avg(CASE WHEN value > 60 THEN 1.0 ELSE 0 END) AS review FROM events WHERE event_type = 'view' GROUP BY 1),
+m AS (SELECT run, s AS search_errors, g / greatest(1, listings_found) AS gallery, i / greatest(1, processed) AS image, coalesce(review, 0) AS review, rb FROM r LEFT JOIN v USING (run)),
+w AS (SELECT *, concat_ws(',', CASE WHEN search_errors > 3 THEN 'search_errors' END, CASE WHEN gallery > 0.2 THEN 'gallery_error_rate' END, CASE WHEN image > 0.15 THEN 'image_error_rate' END, CASE WHEN review > 0.3 THEN 'review_rate' END, CASE WHEN rb THEN 'model_drift' END) AS reasons FROM m)
+SELECT run, reasons = '' AS healthy, reasons, search_errors, round(gallery, 4) AS gallery_error_rate, round(image, 4) AS image_error_rate, round(review, 4) AS review_rate FROM w""")
 def health_report(t):
-    day = t("events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count_if(F.col("event_type") == "error").alias("e"), (F.count_if(F.col("event_type") == "view") / F.count("*")).alias("g"), F.avg((F.col("value") > 60).cast("double")).alias("r"))
-    return day.select("day", B.reasons(search_errors=F.col("e") > 3, gallery_error_rate=F.col("g") > 0.2, review_rate=F.col("r") > 0.3).alias("reasons"))
+    """How each day's run went: events are its listings, errors of two kinds its failures, views its results."""
+    e, v, kind = t("events").withColumn("run", F.col("ts").cast("date")), F.col("value"), F.col("event_type")
+    error = kind == "error"
+    runs = e.groupBy("run").agg(F.count("*").alias("listings_found"), F.countDistinct("user_id").alias("processed"), F.count_if(error & (v > 100)).alias("search_errors"), F.count_if(error & (v <= 100)).alias("gallery_errors"), F.count_if((kind == "signup") & (v > 120)).alias("image_download_errors"), (F.avg("value") > 51).alias("rollback_recommended"))
+    found = B.health(runs, e.where("event_type = 'view'").select("run", (v > 60).alias("needs_review")), most_review=0.3)
+    return found.withColumn("reasons", F.concat_ws(",", "reasons"))
 
 
 @query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host, CASE WHEN regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') SIMILAR TO '(.*\\.)?example\\.com' THEN 'official' WHEN regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') SIMILAR TO '(.*\\.)?example\\.org' THEN 'review' END AS source_type FROM pages")
@@ -527,10 +539,17 @@ def source_type(t):
     return t("pages").select("page_id", host.alias("host"), F.when(X.domain_matches(host, ("example.com",)), "official").when(X.domain_matches(host, ("example.org",)), "review").alias("source_type"))
 
 
-@query("WITH r AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS title, split_part(regexp_extract(html, '<h1>([^<]*)', 1), ' ', 1) AS model, concat('https://img/', page_id % 40) AS image_url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages), k AS (SELECT *, [x FOR x IN regexp_extract_all(upper(model), '[A-Z0-9]+') IF length(x) >= 2] AS tok, regexp_extract_all(upper(concat_ws(' ', title, url, image_url)), '[A-Z0-9]+') AS hay FROM r), q AS (SELECT *, len([x FOR x IN tok IF list_contains(hay, x)]) / greatest(1, len(tok)) AS ratio FROM k), f AS (SELECT *, CASE WHEN NOT host SIMILAR TO '(.*\\.)?example\\.(com|org)' THEN 'unapproved_domain' WHEN ratio < 0.6 THEN 'insufficient_model_evidence' END AS fault FROM q) SELECT page_id AS id, round(ratio, 6) AS ratio, coalesce(fault, CASE WHEN row_number() OVER (PARTITION BY trim(regexp_replace(upper(model), '[^A-Z0-9]+', '-', 'g'), '-'), image_url, fault IS NULL ORDER BY page_id) > 1 THEN 'duplicate_image_url' END) AS rejection FROM f")
+@query(r"""WITH r AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS title, CASE WHEN page_id % 13 = 0 THEN '' ELSE split_part(regexp_extract(html, '<h1>([^<]*)', 1), ' ', 1) END AS model, concat(['https', 'HTTP', 'ftp', 'https', 'https'][page_id % 5 + 1], '://img/', page_id % 40) AS image_url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\.', '') AS host FROM pages),
+k AS (SELECT *, [x FOR x IN regexp_extract_all(upper(model), '[A-Z0-9]+') IF length(x) >= 2] AS tok, regexp_extract_all(upper(concat_ws(' ', title, url, image_url)), '[A-Z0-9]+') AS hay, CASE WHEN host SIMILAR TO '(.*\.)?example\.com' THEN 'official' WHEN host SIMILAR TO '(.*\.)?example\.org' THEN 'review' WHEN host SIMILAR TO '(.*\.)?example\.net' THEN 'ebay' END AS source_type FROM r),
+q AS (SELECT *, CASE WHEN model = '' THEN 0 ELSE len([x FOR x IN tok IF list_contains(hay, x)]) / greatest(1, len(tok)) END AS ratio FROM k),
+f AS (SELECT *, CASE WHEN model = '' OR url = '' OR image_url = '' THEN 'missing_required_fields' WHEN source_type IS NULL THEN 'unapproved_domain' WHEN ratio < 0.6 THEN 'insufficient_model_evidence' WHEN image_url LIKE 'ftp%' THEN 'unsupported_image_url' END AS fault FROM q)
+SELECT page_id AS id, round(ratio, 4) AS ratio, source_type, coalesce(source_type <> 'official', true) AS by_hand, coalesce(fault, CASE WHEN row_number() OVER (PARTITION BY trim(regexp_replace(upper(model), '[^A-Z0-9]+', '-', 'g'), '-'), image_url, fault IS NULL ORDER BY page_id) > 1 THEN 'duplicate_image_url' END) AS rejection FROM f""")
 def discovery_ingest(t):
-    rows = t("pages").select(F.col("page_id").alias("id"), F.split_part(F.regexp_extract("html", "<h1>([^<]*)", 1), F.lit(" "), F.lit(1)).alias("model"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.col("url").alias("page_url"), F.concat(F.lit("https://img/"), F.col("page_id") % 40).alias("image_url"))
-    return R.discovery(rows, ("example.com", "example.org")).select("id", *r6("ratio"), "rejection")
+    """Found images and why they aren't taken; every thirteenth has no model, every fifth an address that isn't fetched."""
+    model = F.when(F.col("page_id") % 13 == 0, "").otherwise(F.split_part(F.regexp_extract("html", "<h1>([^<]*)", 1), F.lit(" "), F.lit(1)))
+    scheme = F.get(F.array(*map(F.lit, ("https", "HTTP", "ftp", "https", "https"))), (F.col("page_id") % 5).cast("int"))
+    rows = t("pages").select(F.col("page_id").alias("id"), model.alias("model"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.col("url").alias("page_url"), F.concat(scheme, F.lit("://img/"), F.col("page_id") % 40).alias("image_url"))
+    return R.discovery(rows, {"official": ("example.com",), "review": ("example.org",)}, ("example.net",), ("official",)).select("id", "ratio", "source_type", "by_hand", "rejection")
 
 
 _GAP = """v AS (SELECT cast(p_partkey AS varchar) AS item_id, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS own, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS board, ['no_reference', 'reference_uncertain', 'reference_conflict', 'reference_confirmed'][p_size % 4 + 1] AS status FROM part),
@@ -551,11 +570,10 @@ def discovery_requests(t):
     return R.discovery_requests(gaps(t)).select("item_id", "model", "query", "maximum_results", F.concat_ws(",", "required_fields").alias("required"))
 
 
-@query(f"WITH {_GAP} SELECT item_id, model, row_number() OVER (ORDER BY NOT human_review, model, item_id) AS place FROM g ORDER BY place LIMIT 100")
+@query(f"WITH {_GAP} SELECT item_id, model, row_number() OVER (ORDER BY NOT human_review, model, item_id) AS place FROM g")
 def gap_sorted(t):
-    """The head of the queue, which is a listing of a given length."""
-    head = gaps(t).orderBy(*R.gap_order()).limit(100)
-    return head.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*R.gap_order())).cast("long")).select("item_id", "model", "place")
+    """The whole queue in order: what a person must look at first."""
+    return placed(gaps(t), R.gap_order()).select("item_id", "model", "place")
 
 
 @query(f"WITH {_GAP}, r AS (SELECT cast(l_partkey AS varchar) AS item_id, l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'Own model' ELSE '' END AS model FROM lineitem) SELECT l_orderkey, l_linenumber, item_id, coalesce(nullif(r.model, ''), g.model) AS model FROM r LEFT JOIN g USING (item_id)")
@@ -659,7 +677,8 @@ _EMB = "e AS (SELECT vec_id AS id, label AS model, embedding::double[] AS v FROM
 @query(f"WITH {_EMB}, p AS (SELECT a.id AS q, b.id AS r, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.model = b.model AND a.id <> b.id WHERE a.id % 20 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, r) AS n FROM p) SELECT x.q, x.r, round(x.d, 4) AS d1, round(y.d, 4) AS d2 FROM k x JOIN k y ON x.q = y.q AND x.n = 1 AND y.n = 2 WHERE x.d < 0.98 * y.d")
 def knn_ratio_test(t):
     e = features(t)
-    return R.ratio_matches(e.where("id % 20 = 0").withColumnRenamed("id", "q"), e.withColumnRenamed("id", "r"), 0.98).select("q", "r", F.round("d1", 4).alias("d1"), F.round("d2", 4).alias("d2"))
+    near = K.nearest(e.where("id % 20 = 0").withColumnRenamed("id", "q"), e)
+    return K.ratio_matches(near, 0.98).select("q", "r", F.round("d1", 4).alias("d1"), F.round("d2", 4).alias("d2"))
 
 
 _WORDS = ", ".join(f"list_sum(list_transform(range(1, 33), lambda i: CASE WHEN v[i + {32 * k}] > 0 THEN power(2, i - 1) ELSE 0 END))::bigint" for k in range(2))
@@ -670,12 +689,20 @@ def knn_hamming(t):
     """The ratio test on binary descriptors: the signs of 64 components as two words."""
     word = lambda k: F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.lit(0).cast("bigint"), lambda s, i: s + F.when(F.get("v", i + 32 * k) > 0, F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     e = features(t).select("id", "model", F.array(word(0), word(1)).alias("v"))
-    return R.ratio_matches(e.where("id % 20 = 0").withColumnRenamed("id", "q"), e.withColumnRenamed("id", "r"), 0.98, R.hamming).select("q", "r", "d1", "d2")
+    near = K.hamming_nearest(e.where("id % 20 = 0").withColumnRenamed("id", "q"), e, words=2, bits=8, rounds=3)
+    return K.ratio_matches(near, 0.98).select("q", "r", "d1", "d2")
 
 
-@query(f"WITH {_EMB}, p AS (SELECT a.id, list_distance(a.v, b.v) <= 1.0 AS near FROM e a JOIN e b ON a.model = b.model AND a.id <> b.id), c AS (SELECT id, count(*) FILTER (WHERE near) AS agreeing, count(*) FILTER (WHERE NOT near) AS conflicting FROM p GROUP BY id) SELECT *, CASE WHEN agreeing >= 2 AND conflicting = 0 THEN 'approve' WHEN agreeing > 0 AND conflicting = 0 THEN 'manual_approval' WHEN conflicting > 0 THEN 'manual_review' ELSE 'insufficient_evidence' END AS recommendation FROM c")
+@query(f"WITH {_EMB}, p AS (SELECT a.id, list_distance(a.v, b.v) <= 1.3 AS near FROM e a JOIN e b ON a.model = b.model AND a.id <> b.id), c AS (SELECT id, count(*) FILTER (WHERE near) AS agreeing, count(*) FILTER (WHERE NOT near) AS conflicting FROM p GROUP BY id) SELECT *, CASE WHEN agreeing >= 1 AND conflicting = 0 THEN CASE WHEN id % 4 = 0 THEN 'manual_approval' ELSE 'approve' END WHEN agreeing > 0 THEN 'manual_review' ELSE 'insufficient_evidence' END AS recommendation FROM c")
 def pair_agreement(t):
-    return R.pair_agreement(features(t), 1.0).withColumn("recommendation", R.recommendation(F.col("agreeing"), F.col("conflicting")))
+    """Candidates by how many of their model agree and conflict with them; every fourth is from a source that needs a person."""
+    return K.agreement(features(t), 1.3).withColumn("recommendation", R.recommendation(F.col("agreeing"), F.col("conflicting"), F.col("id") % 4 == 0))
+
+
+@query(f"WITH {_EMB} SELECT a.id, b.id AS partner, round(list_distance(a.v, b.v), 4) AS d FROM e a JOIN e b ON a.model = b.model AND a.id <> b.id WHERE list_distance(a.v, b.v) <= 1.25")
+def agreeing_partners(t):
+    """Which candidates agree with which."""
+    return K.within(features(t), 1.25).select("id", "partner", F.round("d", 4).alias("d"))
 
 
 _TILE = "s AS (SELECT p_partkey, 500 + p_size * 37 AS w, 400 + p_size * 19 AS h FROM part), xy AS (SELECT p_partkey, w, h, unnest(list_distinct(list_concat(range(0, greatest(w - 768, 0) + 1, 614), [greatest(w - 768, 0)]))) AS x FROM s WHERE greatest(w, h) > 768), b AS (SELECT *, unnest(list_distinct(list_concat(range(0, greatest(h - 768, 0) + 1, 614), [greatest(h - 768, 0)]))) AS y FROM xy)"

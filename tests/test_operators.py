@@ -160,18 +160,6 @@ def test_identification_from_text(spark):
     assert got[1]["text"] == "MSI B450 TOMAHAWK MAX" and got[2]["conflict"] and got[3]["text"] == "GIGABYTE GA-H61M-S2" and got[4]["source"] is None
 
 
-def test_pair_agreement_over_blocks(spark):
-    r = random.Random(2)
-    rows = [(k, "m" if k % 4 else "n", [r.random(), r.random()]) for k in range(60)]
-    df = spark.createDataFrame(rows, "id long, model string, v array<double>")
-    want = {}
-    for i, m, v in rows:
-        near = [math.dist(v, w) <= 0.3 for j, n, w in rows if n == m and i != j]
-        want[i] = (sum(near), len(near) - sum(near))
-    for block in (7, 512):
-        assert {x["id"]: (x["agreeing"], x["conflicting"]) for x in R.pair_agreement(df, 0.3, block).collect()} == want
-
-
 def overlap(a, b):
     w, h = (max(0.0, min(a[k + 2], b[k + 2]) - max(a[k], b[k])) for k in (0, 1))
     area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
