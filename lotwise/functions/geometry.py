@@ -28,20 +28,6 @@ def overlap_smaller(a: Column, b: Column) -> Column:
     return F.when(least > 0, intersection(a, b) / least).otherwise(F.lit(0.0))
 
 
-def greedy_keep(detections: Column, threshold: float, same_label: bool = True) -> Column:
-    """Greedy suppression within an array of structs (score, pos, label, x1, y1, x2, y2): best first, ties by position.
-
-    A box goes if one already kept (of its label) overlaps it by at least the threshold.
-    """
-    ordered = F.array_sort(detections, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
-
-    def add(kept: Column, d: Column) -> Column:
-        clash = F.exists(kept, lambda k: (iou(k, d) >= threshold) & ((k["label"] == d["label"]) if same_label else F.lit(True)))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(d)))
-
-    return F.aggregate(ordered, F.filter(ordered, lambda _: F.lit(False)), add)
-
-
 def _box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.struct(x1.cast("int").alias("x1"), y1.cast("int").alias("y1"), x2.cast("int").alias("x2"), y2.cast("int").alias("y2"))
 

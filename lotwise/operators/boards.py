@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .references import euclid, verification
+from .oriented import Clash, suppressed
+from .references import euclid, four_point, verification
 
 
 def _first_true(cases: list[tuple[Column, Column]]) -> Column:
@@ -123,9 +124,8 @@ def candidate_manifest(queue: DataFrame, approved: DataFrame, source_type: str =
 
 def distinct_boxes(d: DataFrame, threshold: float = 0.45, most: int = 20) -> DataFrame:
     """Greedy suppression whatever the label, within each item and image; the best `most` boxes stay. That bound is the feature."""
-    own = d.groupBy("item_id", "image_index").agg(F.collect_list(F.struct("score", "pos", "label", "x1", "y1", "x2", "y2")).alias("ds"))
-    kept = F.slice(G.greedy_keep(F.col("ds"), threshold, same_label=False), 1, most)
-    return own.select("item_id", "image_index", F.explode(kept).alias("d")).select("item_id", "image_index", "d.*")
+    clash = Clash(("x1", "y1", "x2", "y2"), overlap=threshold, at_least=True)
+    return suppressed(d, ["item_id", "image_index"], [F.desc("score"), F.col("pos")], clash, most)
 
 
 def cpu_region(x1: Column, y1: Column, x2: Column, y2: Column, dimm_x: Column, pcie_y: Column, ports: float = 0.065) -> Column:
@@ -224,7 +224,7 @@ def slot_banks(members: DataFrame, width: float, height: float) -> DataFrame:
 def ransac_homographies(pairs: DataFrame, reach: float = 5.0, rounds: int = 200, seed: int = 5) -> DataFrame:
     """(id, h, n, inliers): the homography that most point pairs (id, sx, sy, tx, ty) of an image pair agree with, and how many do; h is null with fewer than four.
 
-    Four pairs at a time give a candidate by the direct linear transform; the best one is fitted again to all that it maps within `reach`. A group is
+    Four pairs at a time give a candidate, a block of candidates as stacked systems; the best one is fitted again to all that it maps within `reach`. A group is
     the matches of two images, bounded by their numbers of features. Seeded, so that a task that is run again gives the same.
     """
 
@@ -245,12 +245,17 @@ def ransac_homographies(pairs: DataFrame, reach: float = 5.0, rounds: int = 200,
         s, t = pdf[["sx", "sy"]].to_numpy(float), pdf[["tx", "ty"]].to_numpy(float)
         best, inside = None, np.zeros(len(s), bool)
         rng = np.random.default_rng(seed)
-        for _ in range(rounds if len(s) >= 4 else 0):
-            pick = rng.choice(len(s), 4, replace=False)
-            h = solve(s[pick], t[pick])
-            near = errors(h, s, t) <= reach
-            if near.sum() > inside.sum():
-                best, inside = h, near
+        for i in range(0, rounds if len(s) >= 4 else 0, 64):
+            # four places each, all different; a block of candidates is solved and tried at once
+            pick = np.argpartition(rng.random((min(64, rounds - i), len(s))), 3, axis=1)[:, :4]
+            h, sure = four_point(s[pick], t[pick])
+            q = np.hstack([s, np.ones((len(s), 1))]) @ h.reshape(-1, 3, 3).transpose(0, 2, 1)
+            with np.errstate(all="ignore"):
+                e = np.hypot(*np.moveaxis(q[..., :2] / q[..., 2:] - t, -1, 0))
+            near = np.isfinite(e) & (e <= reach) & sure[:, None]
+            k = int(near.sum(axis=1).argmax())
+            if near[k].sum() > inside.sum():
+                best, inside = h[k], near[k]
         if best is not None and inside.sum() >= 4:
             again = solve(s[inside], t[inside])
             near = errors(again, s, t) <= reach

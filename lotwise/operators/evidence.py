@@ -130,12 +130,6 @@ def context_adjusted(rows: DataFrame, title: str = "title", weak_empty: float =
     }).drop("_b")
 
 
-def suppressed(d: DataFrame, threshold: float = 0.45) -> DataFrame:
-    """Greedy non-maximum suppression within each item and image."""
-    own = d.groupBy("item_id", "image_index").agg(F.collect_list(F.struct("score", "pos", "label", "x1", "y1", "x2", "y2")).alias("ds"))
-    return own.select("item_id", "image_index", F.explode(G.greedy_keep(F.col("ds"), threshold)).alias("d")).select("item_id", "image_index", "d.*")
-
-
 def label_gaps(d: DataFrame) -> DataFrame:
     """(item_id, n, gap_mean, gap_cv) of the spaces between boxes in order of x1."""
     w = Window.partitionBy("item_id").orderBy("x1", "pos")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,44 +195,34 @@ def with_models(results: DataFrame, queue: DataFrame) -> DataFrame:
     return results.join(known, "item_id", "left").withColumn("model", F.coalesce(X.nonempty(F.col("model")), "_m")).drop("_m")
 
 
-def greedy_clusters(rows: DataFrame, key: str, reach: float) -> DataFrame:
-    """(key, pos, cluster): rows (key, pos, value) in order of pos join the first cluster whose running mean lies within reach. Sequential within a key, by definition."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        means: list[tuple[float, int]] = []
-        out = []
-        for v in pdf["value"]:
-            for k, (m, n) in enumerate(means):
-                if abs(v - m) <= reach:
-                    means[k] = ((m * n + v) / (n + 1), n + 1)
-                    out.append(k)
-                    break
-            else:
-                means.append((v, 1))
-                out.append(len(means) - 1)
-        return pdf[[key, "pos"]].assign(cluster=out)
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "pos", "value").groupBy(key).applyInPandas(run, f"{key} {kind}, pos long, cluster int")
-
-
 def homographies(rows: DataFrame) -> DataFrame:
-    """(id, h): the homography that maps the four points `source` to the four points `target`, null where they don't define one."""
-    import numpy as np
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for s, t in zip(pdf["source"], pdf["target"], strict=True):
-                a, b = [], []
-                for (x, y), (u, v) in zip(s, t, strict=True):
-                    a += [[x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y]]
-                    b += [u, v]
-                try:
-                    out.append([*np.linalg.solve(np.array(a, float), np.array(b, float)), 1.0])
-                except np.linalg.LinAlgError:
-                    out.append(None)
-            yield pd.DataFrame({"id": pdf["id"], "h": out})
-
-    return rows.select("id", "source", "target").mapInPandas(run, "id long, h array<double>")
+    """(id, h): the homography that maps the four points `source` to the four points `target`, null where they don't define one. A batch's systems are solved as one stack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = [(k, s, t) for k, (s, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)) if s and t and len(s) == len(t) == 4]
+            out: list[list[float] | None] = [None] * len(batch)
+            if given:
+                h, sure = four_point(*(np.array([g[c] for g in given], float) for c in (1, 2)))
+                for (k, _, _), row, ok in zip(given, h, sure, strict=True):
+                    out[k] = row.tolist() if ok else None
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["id", "h"])
+
+    return rows.select("id", "source", "target").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h array<double>")
+
+
+def four_point(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """((n, 9) homographies, whether each is one) of points (n, 4, 2): stacked systems of eight equations. A singular system, as of three points on a line, has none."""
+    x, y, u, v = source[..., 0], source[..., 1], target[..., 0], target[..., 1]
+    one, none = np.ones_like(x), np.zeros_like(x)
+    first = np.stack([x, y, one, none, none, none, -u * x, -u * y], axis=-1)
+    second = np.stack([none, none, none, x, y, one, -v * x, -v * y], axis=-1)
+    a, b = np.concatenate([first, second], axis=1), np.concatenate([u, v], axis=1)
+    scale = np.abs(a).max(axis=(1, 2), keepdims=True)
+    scaled = np.divide(a, scale, out=np.zeros_like(a), where=scale > 0)
+    sure = np.isfinite(scaled).all(axis=(1, 2)) & np.isfinite(b).all(axis=1)
+    scaled[~sure] = np.eye(8)
+    sure &= np.linalg.matrix_rank(scaled) == 8
+    a = np.where(sure[:, None, None], a, np.eye(8))
+    h = np.linalg.solve(a, np.where(sure[:, None], b, 0.0)[..., None])[..., 0]
+    return np.concatenate([h, np.ones((len(h), 1))], axis=1), sure

@@ -17,6 +17,7 @@ from ..operators import boards as M
 from ..operators import evidence as E
 from ..operators import fusion as U
 from ..operators import neighbours as K
+from ..operators import oriented as O
 from ..operators import references as R
 from ..operators import registry as N
 from ..operators import report as P
@@ -240,7 +241,8 @@ def label_gap_stats(t):
 
 @query()
 def nms_keep(t):
-    return E.suppressed(detections(t), 0.3).select("item_id", "image_index", "pos")
+    best = [F.desc("score"), F.col("pos")]
+    return O.suppressed(detections(t), ["item_id", "image_index", "label"], best, O.Clash(("x1", "y1", "x2", "y2"), overlap=0.3, at_least=True)).select("item_id", "image_index", "pos")
 
 
 @query(f"WITH {VALUE} SELECT item_id, round(gross, 6) AS gross, cast(risk AS double) AS risk, round(net, 6) AS net, round(cost, 6) AS cost, round(profit, 6) AS profit, round(profit / cost, 6) AS roi, round(max_bid, 6) AS max_bid, round(confidence + 1e-9, 6) AS confidence, recommendation, parts, reasons FROM rec")
@@ -813,7 +815,50 @@ def key_union(t):
 
 @query()
 def greedy_clusters(t):
-    return R.greedy_clusters(detections(t).select("item_id", "pos", F.col("x1").alias("value")), "item_id", 18.0)
+    """Parallel lines: rows of an item in order of their place join the first cluster whose mean is near."""
+    d = detections(t).select("item_id", "pos", F.col("x1").alias("value"))
+    return O.clustered(d, ["item_id"], [F.col("value"), F.col("pos")], O.Cluster(("value",), reach=18.0)).select("item_id", "pos", "cluster")
+
+
+def slanted(t) -> DataFrame:
+    """Detections as slanted quadrilaterals: half a box's height to one side, with an angle and a length of their own, eight events an image."""
+    d = detections(t).withColumn("image", F.expr("pos div 40"))
+    shift = (F.col("y2") - F.col("y1")) / 2
+    return d.select("image", "pos", "label", "score", (F.col("x1") + shift).alias("ax"), F.col("y1").alias("ay"), (F.col("x2") + shift).alias("bx"), F.col("y1").alias("by"), F.col("x2").alias("cx"), F.col("y2").alias("cy"), F.col("x1").alias("dx"), F.col("y2").alias("dy"), (F.col("pos") * 13 % 180).cast("double").alias("angle"), (F.col("x2") - F.col("x1")).alias("length"), ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), F.lit(0.18 * 160).alias("across"))
+
+
+_CORNERS = ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy")
+
+
+@query()
+def distinct_polygons(t):
+    """Quadrilaterals of which no better one has over three tenths in common."""
+    return O.suppressed(slanted(t), ["image"], [F.desc("score"), F.col("pos")], O.Clash(_CORNERS, "polygon", 0.3)).select("image", "pos")
+
+
+@query()
+def distinct_lines(t):
+    """Candidates whose bounds and direction no better one has; the first 120 of an image, which is the feature."""
+    clash = O.Clash((*_CORNERS, "angle"), "bounds", 0.45, angle=6.0)
+    return O.suppressed(slanted(t), ["image"], [F.desc("score"), F.col("pos")], clash, most=120).select("image", "pos")
+
+
+@query()
+def distinct_centres(t):
+    return O.suppressed(slanted(t), ["image", "label"], [F.desc("score"), F.col("pos")], O.Clash(("x", "y"), "centre", near=18.0)).select("image", "label", "pos")
+
+
+@query()
+def line_clusters(t):
+    """Lines of one direction that lie across from each other."""
+    return O.clustered(slanted(t), ["image"], [F.desc("score"), F.col("pos")], O.Cluster(("angle", "x", "y", "length", "across"))).select("image", "pos", "cluster")
+
+
+@query()
+def bank_clusters(t):
+    """Lines of one direction that are also near each other along it."""
+    rule = O.Cluster(("angle", "x", "y", "length", "across"), angle=6.0, along=0.85)
+    return O.clustered(slanted(t), ["image"], [F.desc("score"), F.col("pos")], rule).select("image", "pos", "cluster")
 
 
 @query()

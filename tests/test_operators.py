@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import text as X
 from lotwise.operators import boards, evidence as E
+from lotwise.operators import oriented as O
 from lotwise.operators import references as R
 from lotwise.operators import registry as N
 from lotwise.operators import report as P
@@ -33,9 +34,16 @@ def box(pos, label, score, image, x1=10.0, y1=10.0, x2=210.0, y2=210.0):
     return ("a", pos, label, score, image, x1, y1, x2, y2)
 
 
+def suppress(d, same):
+    """Suppression among boxes of one label, or among all with a bound of ten."""
+    if not same:
+        return boards.distinct_boxes(d, most=10)
+    return O.suppressed(d, ["item_id", "image_index", "label"], [F.desc("score"), F.col("pos")], O.Clash(("x1", "y1", "x2", "y2"), overlap=0.45, at_least=True))
+
+
 def test_suppression_keeps_other_labels(spark):
     d = spark.createDataFrame([box(0, "ram", 0.9, 1, 0.0, 0.0, 100.0, 100.0), box(1, "ram", 0.8, 1, 5.0, 5.0, 95.0, 95.0), box(2, "nvme", 0.7, 1, 5.0, 5.0, 95.0, 95.0)], DET)
-    assert sorted(r["pos"] for r in E.suppressed(d).collect()) == [0, 2]
+    assert sorted(r["pos"] for r in suppress(d, True).collect()) == [0, 2]
 
 
 def test_money(spark):
@@ -178,7 +186,7 @@ def test_suppression_by_brute_force(spark, same):
         if not any(overlap(k[5:], d[5:]) >= 0.45 and (k[2] == d[2] or not same) for k in kept[d[4]]):
             kept[d[4]].append(d)
     df = spark.createDataFrame(rows, DET)
-    got = {x["pos"] for x in (E.suppressed(df) if same else boards.distinct_boxes(df, most=10)).collect()}
+    got = {x["pos"] for x in suppress(df, same).collect()}
     assert got == {d[1] for k in kept.values() for d in (k if same else k[:10])}
 
 
@@ -261,16 +269,6 @@ def test_files(spark, tmp_path):
     assert tuple(D.migrated_ledger(spark.createDataFrame([(1,)], "item_id int")).first()) == (1, "legacy", None)
 
 
-def test_clusters_and_homography(spark):
-    df = spark.createDataFrame([("a", 0, 0.0), ("a", 1, 5.0), ("a", 2, 100.0), ("a", 3, 3.0)], "k string, pos long, value double")
-    assert [r["cluster"] for r in R.greedy_clusters(df, "k", 10.0).orderBy("pos").collect()] == [0, 0, 1, 0]
-    square = [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]]
-    flat = [[0.0, 0.0]] * 4
-    rows = spark.createDataFrame([(1, square, [[2 * x, 2 * y] for x, y in square]), (2, flat, square)], "id long, source array<array<double>>, target array<array<double>>")
-    got = {r["id"]: r["h"] for r in R.homographies(rows).collect()}
-    assert got[1] == pytest.approx([2, 0, 0, 0, 2, 0, 0, 0, 1]) and got[2] is None
-
-
 def test_json_lists(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"schema_version": 1, "items": [{"id": "1"}, {"id": "2"}]}))
     assert D.read_list(spark, str(tmp_path / "a.json"), "id string", "items", 1).count() == 2
