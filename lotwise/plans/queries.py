@@ -24,6 +24,7 @@ from ..operators import report as P
 from ..operators import tables as B
 from ..operators import value as V
 from ..operators.ranking import placed
+from ..streaming import leases as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -475,6 +476,15 @@ def lease_transitions(t):
     return B.lease_events(rows, events).select("shard", "status", "attempts", "error")
 
 
+@query()
+def lease_replay(t):
+    """Every change of a shard's lease: a user's events plan, claim, end and fail shards."""
+    event = F.create_map(*(F.lit(x) for pair in {"signup": "plan", "click": "claim", "purchase": "claim", "view": "complete", "error": "fail"}.items() for x in pair))
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    e = t("events").select(F.col("user_id").cast("string").alias("run"), F.col("event_id").alias("seq"), event[F.col("event_type")].alias("event"), (k % 4).alias("shard"), (k % 7).cast("string").alias("worker"), F.lit("error").alias("detail"), F.col("ts").alias("at"))
+    return L.lease_replay(e, stale_minutes=2880).select("run", "shard", "status", "attempts", "worker_id", "error", F.unix_micros("at").alias("at"), "run_status")
+
+
 @query(f"WITH {_LEASE} SELECT run, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_and(status = 'completed') THEN 'completed' WHEN bool_and(status = 'pending') THEN 'pending' ELSE 'running' END AS status FROM n GROUP BY run")
 def run_states(t):
     return B.run_states(B.recovered(leases(t), "2000-01-01 00:00:00"))
