@@ -183,25 +183,18 @@ def is_blocked(title: Column, body: Column) -> Column:
     return F.concat_ws("\n", F.coalesce(title, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, 5000)).rlike(BLOCKED)
 
 
+def block_code(status: Column, title: Column, body: Column) -> Column:
+    """Why a page wasn't served: rate_limited for status 429, blocked for 403, for 500 and more, and for a page that says so; null if it was. A page without a status is judged by what it says."""
+    refused = F.coalesce((status == 403) | (status >= 500), F.lit(False)) | is_blocked(title, body)
+    return F.when(status == 429, "rate_limited").when(refused, "blocked")
+
+
 def visible_text(html: Column) -> Column:
     """A page's text without scripts, styles, comments and tags, with single spaces."""
     plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " "), r"<[^>]*>", " ")
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
-def cards(html: Column) -> Column:
-    """Listings of a search page as structs (id, title, url, card): the list items that link to an item and state a price and how it is sold; the first of an id counts.
-
-    An item's card is what stands from the start of its list item to the next one's.
-    """
-    parts = F.filter(F.split(html, r"(?i)(?=<li\b)"), lambda x: x.rlike(r"(?i)^<li\b"))
-    link = r"(?is)<a\b[^>]*href=[\"']([^\"']*/item/([0-9]+)[^\"']*)[\"'][^>]*>(.*?)</a>"
-    rows = F.transform(parts, lambda x: F.struct(F.regexp_extract(x, link, 2).alias("id"), visible_text(F.regexp_extract(x, link, 3)).alias("title"), F.regexp_extract(x, link, 1).alias("url"), visible_text(x).alias("card")))
-    rows = F.filter(rows, lambda r: (r["id"] != "") & (r["title"] != "") & r["card"].rlike(r"\$[0-9]") & r["card"].rlike("Time remaining:|Buy It Now"))
-    ids = F.transform(rows, lambda r: r["id"])
-    return F.filter(rows, lambda r, k: F.array_position(ids, r["id"]) == k + 1)
-
-
 def gallery(html: Column, host: str, most: int = 4000) -> Column:
     """struct(title, urls, description, details) of an item's page: its heading, image addresses of one host, the text of its description (cut to `most` characters, which is the rule's bound), and its table rows."""
     title = visible_text(F.regexp_extract(html, r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))

@@ -99,6 +99,22 @@ def clip_state(cooler: Column, cpu: Column, empty: Column, cover: Column, ram: C
     return F.struct(state.alias("state"), score.alias("score"))
 
 
+# What the first classifier says of a gallery, and what text in an image stands for a processor.
+VERDICTS = {"installed": "CPU visible/likely installed", "empty": "Empty socket visible", "cover": "Socket cover visible", "cooler": "Cooler present; CPU not directly visible", "": "Unclear"}
+CPU_TEXT = r"(?i)\b(INTEL|RYZEN|CORE\s*I[3579]|AMD)\b"
+
+
+def gallery_verdict(images: DataFrame, sure: float = 0.58, cooler: float = 0.60) -> DataFrame:
+    """(item_id, verdict, installed, empty, cover, cooler, cpu_text) of images (item_id, installed, empty, cover, cooler, text): the best score of each kind, and the first verdict that holds.
+
+    A processor's name in any image's text counts like a processor that is seen. Null scores count as 0, null texts say nothing.
+    """
+    kinds = ("installed", "empty", "cover", "cooler")
+    best = images.groupBy("item_id").agg(*(F.coalesce(F.max(k), F.lit(0.0)).alias(k) for k in kinds), F.coalesce(F.bool_or(F.col("text").rlike(CPU_TEXT)), F.lit(False)).alias("cpu_text"))
+    verdict = F.when(F.col("cpu_text") | (F.col("installed") >= sure), VERDICTS["installed"]).when(F.col("empty") >= sure, VERDICTS["empty"]).when(F.col("cover") >= sure, VERDICTS["cover"]).when(F.col("cooler") >= cooler, VERDICTS["cooler"]).otherwise(VERDICTS[""])
+    return best.select("item_id", verdict.alias("verdict"), *(F.round(k, 3).alias(k) for k in kinds), "cpu_text")
+
+
 def damage_gate(ev: DataFrame, labels: tuple[str, ...], strong: float = 0.58, images: int = 2) -> DataFrame:
     """(item_id, damage_score, damage_labels): the best score and all labels, sorted, of damage that is sure enough in enough images."""
     sure = ev.where(F.col("label").isin(*labels) & (F.col("score") >= strong) & (F.col("distinct_images") >= images))

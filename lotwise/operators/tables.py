@@ -244,6 +244,23 @@ def first_claimable(shards: DataFrame, run: str) -> DataFrame:
     return shards.where(F.col("status").isin("pending", "retry")).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def evaluated(expected: DataFrame, results: DataFrame, key: str = "item_id") -> DataFrame:
+    """(key, expected_cpu_state, actual_cpu_state, correct, socket_localized) for each row of expected (key, expected_cpu_state), against results (key, cpu_state, socket_localized_images).
+
+    An item without a result isn't correct and not localized.
+    """
+    found = results.select(key, F.col("cpu_state").alias("actual_cpu_state"), F.col("socket_localized_images").alias("_n"))
+    out = expected.select(key, "expected_cpu_state").join(found, key, "left")
+    right = F.coalesce(F.col("actual_cpu_state") == F.col("expected_cpu_state"), F.lit(False))
+    return out.select(key, "expected_cpu_state", "actual_cpu_state", right.alias("correct"), (F.coalesce("_n", F.lit(0)) > 0).alias("socket_localized"))
+
+
+def evaluation(rows: DataFrame) -> DataFrame:
+    """One row: items, correct, accuracy and socket_localized of evaluated rows; no items have an accuracy of 0."""
+    correct = F.count_if("correct")
+    return rows.agg(F.count("*").alias("items"), correct.alias("correct"), F.round(correct / F.greatest(F.count("*"), F.lit(1)), 4).alias("accuracy"), F.count_if("socket_localized").alias("socket_localized"))
+
+
 def summary(rows: DataFrame, by: list[str]) -> DataFrame:
     """Count, mean confidence and review rate of each group of rows (confidence, needs_review)."""
     return rows.groupBy(*by).agg(F.count("*").alias("samples"), F.avg("confidence").alias("mean_confidence"), F.avg(F.col("needs_review").cast("double")).alias("review_rate"))

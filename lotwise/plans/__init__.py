@@ -1,3 +1,3 @@
 
 
-from . import boards, keyed, more, queries  # noqa: F401  all register their queries
+from . import boards, files, keyed, more, queries  # noqa: F401  all register their queries

@@ -24,6 +24,7 @@ from ..operators import report as P
 from ..operators import tables as B
 from ..operators import value as V
 from ..operators.ranking import placed
+from ..sources import html as H
 from ..streaming import leases as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -642,20 +643,36 @@ def page_extract(t):
     return t("pages").select("page_id", g.alias("g")).select("page_id", "g.title", F.md5("g.description").alias("description"), F.concat_ws(",", "g.urls").alias("urls"), F.concat_ws(",", "g.details").alias("details"))
 
 
-@query("SELECT page_id, cast(page_id AS varchar) AS id, concat('Board ', page_id % 7) AS title, concat('https://shop.example/item/', page_id) AS url, concat('Board ', page_id % 7, ' $', page_id, '.50 Time remaining: 2d') AS card FROM pages")
+_HEAD = _PLAIN.format("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")
+
+
+@query(f"WITH h AS (SELECT page_id, replace(replace(replace({_HEAD}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS head FROM pages) SELECT page_id, concat(page_id, x.n) AS id, concat(head, x.n) AS title, concat('https://shop.example/item/', page_id, x.n) AS url, concat(head, x.n, ' $', page_id % 90, '.50 Time remaining: 2d') AS card FROM h, (VALUES ('0'), ('1')) x(n) WHERE head <> ''")
 def listing_cards(t):
-    """Listings of search pages; the pages get a list of three items: a listing, the same again, and one without a price."""
+    """Items on search pages that are made of the pages: two links with a page's own heading, in nested elements or in table rows, and one without a price."""
     k = F.col("page_id").cast("string")
-    item = lambda n, name, rest: F.concat(F.lit('<li class="r"><div><a href="https://shop.example/item/'), n, F.lit('">'), name, F.lit("</a></div>"), rest, F.lit("</li>"))
-    more = F.concat(F.lit("<ul>"), item(k, F.concat(F.lit("Board <i>"), (F.col("page_id") % 7).cast("string"), F.lit("</i>")), F.concat(F.lit("<p>$"), k, F.lit(".50</p> Time remaining: 2d"))), item(k, F.lit("again"), F.lit("$1 Buy It Now")), item(F.concat(k, F.lit("0")), F.lit("no price"), F.lit("")), F.lit("</ul>"))
-    return t("pages").select("page_id", F.explode(X.cards(F.concat("html", more))).alias("c")).select("page_id", "c.*")
+    head = X.visible_text(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
+    price = F.concat(F.lit("$"), (F.col("page_id") % 90).cast("string"), F.lit("<i>.50</i>"))
+    link = lambda n: F.concat(F.lit('<a class="x" href="https://shop.example/item/'), k, F.lit(f'{n}">'), head, F.lit(f"<b>{n}</b></a>"))
+    boxed = F.concat(F.lit("<section><div><h3>"), link(0), F.lit("</h3></div><p>"), price, F.lit("<p>Time remaining: 2d</section>"))
+    row = F.concat(F.lit("<table><tr><td>"), link(1), F.lit("<td>"), price, F.lit("<td>Time remaining: 2d</table>"))
+    bare = F.concat(F.lit("<article>"), link(2), F.lit("</article>"))
+    found = H.cards(t("pages").select("page_id", F.concat(F.lit("<main>"), boxed, F.lit("</main><main>"), row, F.lit("</main>"), bare).alias("html")), "page_id")
+    return found.where("length(title) > 1")
 
 
-@query(f"SELECT page_id, page_id % 9 = 0 AS blocked FROM pages")
+@query()
+def page_elements(t):
+    """Elements of whole pages by name and depth, and how many pieces of text they show."""
+    e = H.elements(t("pages"), "page_id")
+    return e.groupBy("tag", "depth").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"), F.sum(F.col("end") - F.col("begin")).alias("pieces"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 11 = 3 THEN 'rate_limited' WHEN page_id % 11 IN (4, 5) OR page_id % 9 = 0 THEN 'blocked' END AS code FROM pages")
 def blocked_pages(t):
-    """Pages that a site shows in place of its content; every ninth page gets such a sentence."""
+    """Pages that a site shows in place of its content; every ninth page gets such a sentence, and some have a status that says so."""
     body = F.concat(F.when(F.col("page_id") % 9 == 0, "Please VERIFY you are human. ").otherwise(""), X.visible_text(F.col("html")))
-    return t("pages").select("page_id", X.is_blocked(F.regexp_extract("html", "<title>([^<]*)", 1), body).alias("blocked"))
+    status = F.element_at(F.create_map(*(F.lit(x) for pair in {3: 429, 4: 403, 5: 503}.items() for x in pair)), (F.col("page_id") % 11).cast("int"))
+    return t("pages").select("page_id", X.block_code(status, F.regexp_extract("html", "<title>([^<]*)", 1), body).alias("code"))
 
 
 CATALOG = ("ASUS PRIME Z390-A", "ASUS ROG MAXIMUS X CODE", "MSI B450 TOMAHAWK", "MSI B450 TOMAHAWK MAX", "MSI MPG B550 GAMING EDGE WIFI", "GIGABYTE Z370 AORUS GAMING 5", "GIGABYTE Z370 AORUS GAMING 7", "GIGABYTE Z690 AORUS ELITE AX", "ASROCK X570 STEEL LEGEND")
@@ -771,10 +788,35 @@ def match_scores(t):
     return detections(t).select("pos", F.round(G.match_score(F.col("x1"), F.col("score"), F.lit(0.9)), 6).alias("match"), F.round(corner["x"], 6).alias("px"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE (n_chars > 500)::int = quality) AS correct, round(avg(CASE WHEN (n_chars > 500)::int = quality THEN 1.0 ELSE 0 END), 6) AS accuracy FROM labels JOIN documents USING (doc_id)")
+_BENCH = "e AS (SELECT cast(o_orderkey AS varchar) AS item_id, CASE o_orderstatus WHEN 'F' THEN 'empty_socket_likely' WHEN 'O' THEN 'visible_cpu_likely' ELSE 'unclear' END AS expected_cpu_state FROM orders WHERE o_orderkey % 7 = 0), r AS (SELECT e.*, cpu_state AS actual_cpu_state, coalesce(cpu_state = expected_cpu_state, false) AS correct, coalesce(installed_images + empty_images, 0) > 0 AS socket_localized FROM e LEFT JOIN state USING (item_id))"
+
+
+def benchmark_rows(t) -> DataFrame:
+    s = F.col("o_orderstatus")
+    expected = t("orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("item_id"), F.when(s == "F", "empty_socket_likely").when(s == "O", "visible_cpu_likely").otherwise("unclear").alias("expected_cpu_state"))
+    return B.evaluated(expected, states(t).select("item_id", "cpu_state", (F.col("installed_images") + F.col("empty_images")).alias("socket_localized_images")))
+
+
+@query(f"WITH {STATE}, {_BENCH} SELECT item_id, expected_cpu_state, actual_cpu_state, correct, socket_localized FROM r")
+def benchmark_items(t):
+    """Labelled items (every seventh listing is one) against their fused states."""
+    return benchmark_rows(t)
+
+
+@query(f"WITH {STATE}, {_BENCH} SELECT count(*) AS items, count(*) FILTER (WHERE correct) AS correct, round(count(*) FILTER (WHERE correct) / greatest(1, count(*)), 4) AS accuracy, count(*) FILTER (WHERE socket_localized) AS socket_localized FROM r")
 def benchmark_accuracy(t):
-    j = t("labels").join(t("documents").select("doc_id", "n_chars"), "doc_id").select(((F.col("n_chars") > 500).cast("int") == F.col("quality")).alias("ok"))
-    return j.agg(F.count("*").alias("n"), F.count_if("ok").alias("correct"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("accuracy"))
+    return B.evaluation(benchmark_rows(t))
+
+
+@query(f"""WITH {DET}, i AS (SELECT item_id, image_index, max(CASE WHEN label = 'visible_cpu' THEN score END) AS installed, max(CASE WHEN label = 'empty_socket' THEN score END) AS empty, max(CASE WHEN label = 'socket_cover' THEN score END) AS cover, max(CASE WHEN label = 'cooler' THEN score END) AS cooler, bool_or(pos % 17 = 0) AS named FROM det GROUP BY 1, 2),
+b AS (SELECT item_id, coalesce(max(installed), 0) AS installed, coalesce(max(empty), 0) AS empty, coalesce(max(cover), 0) AS cover, coalesce(max(cooler), 0) AS cooler, bool_or(named) AS cpu_text FROM i GROUP BY 1)
+SELECT item_id, CASE WHEN cpu_text OR installed >= 0.58 THEN 'CPU visible/likely installed' WHEN empty >= 0.58 THEN 'Empty socket visible' WHEN cover >= 0.58 THEN 'Socket cover visible' WHEN cooler >= 0.60 THEN 'Cooler present; CPU not directly visible' ELSE 'Unclear' END AS verdict, round(installed, 3) AS installed, round(empty, 3) AS empty, round(cover, 3) AS cover, round(cooler, 3) AS cooler, cpu_text FROM b""")
+def gallery_verdicts(t):
+    """What the first classifier says of each item; every seventeenth detection's image has a processor's name in it."""
+    d = detections(t)
+    of = lambda label: F.max(F.when(F.col("label") == label, F.col("score")))
+    images = d.groupBy("item_id", "image_index").agg(of("visible_cpu").alias("installed"), of("empty_socket").alias("empty"), of("socket_cover").alias("cover"), of("cooler").alias("cooler"), F.bool_or(F.col("pos") % 17 == 0).alias("_b"))
+    return E.gallery_verdict(images.withColumn("text", F.when(F.col("_b"), "Core  i7 inside").otherwise("scored")))
 
 
 @query("SELECT doc_id, round(0.55 * (1 - least(1.0, n_chars / 5000)) + 0.30 * (toxic = 1)::int + 0.15 * (lang <> 'en')::int, 6) AS priority FROM labels JOIN documents USING (doc_id) ORDER BY 0.55 * (1 - least(1.0, n_chars / 5000)) + 0.30 * (toxic = 1)::int + 0.15 * (lang <> 'en')::int DESC, doc_id LIMIT 50")

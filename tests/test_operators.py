@@ -219,15 +219,20 @@ def test_registry_guards(spark):
         N.with_references(refs, new, spark.createDataFrame([("ebay", 0.5, True)], "source_type string, trust double, manual boolean")).collect()
 
 
-def test_report_page(spark):
+def test_report_page(spark, tmp_path):
     rows = [("1", 0, "<Z390> & board", 20.0, 15.0, "cooler_attached_cpu_highly_likely", 0.9, False, [], 0.0, {}), ("2", 1, "board", 1234.5, 15.0, "unclear", 0.4, True, ["socket_state_unclear"], None, None)]
     values = V.estimate(spark.createDataFrame(rows, "item_id string, pos int, " + VALUE))
     run = spark.createDataFrame([(True, ["confidence_drop"], 1, 2, 0, "completed", 2, 2)], "rollback_recommended boolean, rollback_reasons array<string>, search_errors int, gallery_errors int, image_download_errors int, status string, listings_found int, processed int")
     found = P.alerts(values, run)
     assert [(r["type"], r["detail"]) for r in found.orderBy("type").collect()] == [("bid_candidate", None), ("crawler_errors", "3"), ("model_drift", "confidence_drop")]
     assert P.alerts(values, run, drift=False, crawler=False).count() == 1
-    page = P.page(values, found, P.overview(values, run, spark.createDataFrame([(False,)], "healthy boolean")), "2024-01-01T00:00:00Z")
-    assert "&lt;Z390&gt; &amp; board" in page and "$20.00" in page and "Needs attention" in page and "socket_state_unclear" in page and "crawler_errors" in page
+    lines = P.page_lines(values, found, P.overview(values, run, spark.createDataFrame([(False,)], "healthy boolean")), "2024-01-01")
+    P.write_page(lines, str(tmp_path / "page"))
+    page = "\n".join(f.read_text() for f in sorted((tmp_path / "page").glob("part-*")))
+    assert [r["line"] for r in lines.orderBy("section", "place").collect()] == page.split("\n")[:-1] or page.replace("\n\n", "\n").strip().split("\n") == [r["line"] for r in lines.orderBy("section", "place").collect()]
+    assert "&lt;Z390&gt; &amp; board" in page and "$20.00" in page and "socket_state_unclear" in page and "crawler_errors" in page and page.index("Alerts") < page.index("Worth a bid")
+    many = found.where("type = 'bid_candidate'").withColumn("_n", F.explode(F.sequence(F.lit(1), F.lit(70)))).withColumn("item_id", F.col("_n").cast("string")).drop("_n")
+    assert P.page_lines(values, many, P.overview(values, run, spark.createDataFrame([(False,)], "healthy boolean")), "x").where("section = 1 and place > 0").count() == 70
 
 
 def test_seeded_split(spark):
