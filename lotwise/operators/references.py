@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .names import best_names, ratios
 
 
 def euclid(a: Column, b: Column) -> Column:
@@ -39,7 +39,7 @@ def verification(references: Column, score: Column, good: Column, inlier_ratio:
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two texts."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    return pd.Series(ratios([x or "" for x in a], [y or "" for y in b]))
 
 
 def name_similarity(a: Column, b: Column) -> Column:
@@ -48,67 +48,6 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.95).otherwise(sequence_ratio(x, y))
 
 
-#: A catalog of more names than this isn't sent to all tasks.
-CATALOG = 100_000
-
-
-def best_names(candidates: DataFrame, catalog: DataFrame, least: float = 0.6) -> DataFrame:
-    """(name, model, similarity): of each distinct name the most similar of all catalog models, the first by name of equals; names without one of `least` aren't returned.
-
-    Similarity is that of the normalised texts as sequences, 0.92 at least if one contains the other. The catalog is a configured list, its size is checked; each
-    batch bounds all similarities by counts of characters first and compares only models whose bound can still win.
-    """
-    models = [r["model"] for r in catalog.where("model is not null").select("model").distinct().orderBy("model").limit(CATALOG + 1).collect()]
-    if len(models) > CATALOG:
-        raise ValueError(f"a catalog has at most {CATALOG} models")
-    if not models:
-        return candidates.select("name", F.lit(None).cast("string").alias("model"), F.lit(0.0).alias("similarity")).where(F.lit(False))
-    keys = [_plain(m) for m in models]
-    shared = candidates.sparkSession.sparkContext.broadcast((models, keys, _letters(keys)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        models, keys, letters = shared.value
-        length = np.array([len(k) for k in keys])
-        for pdf in batches:
-            out = []
-            for name in pdf["name"]:
-                text = _plain(name)
-                own = _letters([text])[0]
-                bound = 2 * np.minimum(letters, own).sum(axis=1) / np.maximum(length + len(text), 1)
-                bound = np.maximum(bound, [0.92 * (k in text or text in k) for k in keys])
-                best = (0.0, -1)
-                for k in np.argsort(-bound, kind="stable"):
-                    if bound[k] < max(best[0], least):
-                        break
-                    ratio = SequenceMatcher(None, text, keys[k]).ratio()
-                    if keys[k] in text or text in keys[k]:
-                        ratio = max(ratio, 0.92)
-                    if ratio > best[0] or (ratio == best[0] and k < best[1]):
-                        best = (ratio, int(k))
-                if best[0] >= least and best[1] >= 0:
-                    out.append((name, models[best[1]], best[0]))
-            yield pd.DataFrame(out, columns=["name", "model", "similarity"])
-
-    return candidates.where("name is not null").select("name").distinct().mapInPandas(run, "name string, model string, similarity double")
-
-
-def _plain(text: str) -> str:
-    """As functions.text.normalized, in Python."""
-    return " ".join("".join(c if c.isascii() and (c.isalnum() or c in "+- ") else " " for c in text.upper()).split())
-
-
-def _letters(texts: list[str]):
-    """How often each character stands in each text."""
-    import numpy as np
-
-    out = np.zeros((len(texts), 128), np.int16)
-    for row, text in zip(out, texts, strict=True):
-        np.add.at(row, np.frombuffer(text.encode(), np.uint8), 1)
-    return out
-
-
 def identified(items: DataFrame, catalog: DataFrame) -> DataFrame:
     """text, confidence, source, stated_text, confirmation of each item from candidate names in its listing and in its images: the whole chain.
 
