@@ -1,7 +1,7 @@
 """Order-dependent operators on boxes, quadrilaterals and lines of an image: greedy suppression and greedy clustering.
 
 Both take an image's rows in order, best first, and ask each row about those before it that were kept. Spark deals rows out by image and sorts them; a task streams through its images in Arrow batches
-and holds of an image only what is kept, or the clusters so far. A block of rows is compared with what is kept as matrices; only the rows of one block that clash among themselves are gone through one by one.
+and holds of an image only what is kept, or the clusters so far. A block of rows is compared with what is kept as matrices, and small images go together.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that are compared at once.
-ROWS = 128
+#: Rows of an image that are compared at once, and rows of an image that goes with others.
+ROWS, SMALL = 128, 32
 
 
 def angle_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -24,16 +24,21 @@ def angle_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(d, 180.0 - d)
 
 
-def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(n, m): shared part of all pairs of boxes (x1, y1, x2, y2); 0 where neither has an area."""
-    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+def box_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shared part of boxes (..., 4) and boxes (..., 4) by the union, pair by pair; 0 where neither has an area."""
+    w = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    h = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
     shared = np.maximum(w, 0) * np.maximum(h, 0)
-    area = lambda x: np.maximum(x[:, 2] - x[:, 0], 0) * np.maximum(x[:, 3] - x[:, 1], 0)
-    union = area(a)[:, None] + area(b)[None] - shared
+    area = lambda x: np.maximum(x[..., 2] - x[..., 0], 0) * np.maximum(x[..., 3] - x[..., 1], 0)
+    union = area(a) + area(b) - shared
     return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
 
 
+def box_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(n, m): box_share of all pairs of boxes (x1, y1, x2, y2)."""
+    return box_share(a[:, None], b[None])
+
+
 def shoelace(ring: np.ndarray) -> np.ndarray:
     """Signed area of rings (..., points, 2)."""
     x, y = ring[..., 0], ring[..., 1]
@@ -55,19 +60,24 @@ def _clipped(ring: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(stays.any(axis=1)[:, None, None], out, 0.0)
 
 
-def polygon_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(n, m): shared part of all pairs of convex polygons (n, points, 2) and (m, points, 2), in either direction."""
+def polygon_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shared part of convex polygons (n, points, 2) and as many others by the union, pair by pair, in either direction."""
     turned = lambda p: np.where((shoelace(p) < 0)[:, None, None], p[:, ::-1], p)
     a, b = turned(a), turned(b)
-    n, m = len(a), len(b)
-    ring, other = np.repeat(a, m, axis=0), np.tile(b, (n, 1, 1))
-    for k in range(other.shape[1]):
-        ring = _clipped(ring, other[:, k], other[:, (k + 1) % other.shape[1]])
-    shared = np.abs(shoelace(ring)).reshape(n, m) if n and m else np.zeros((n, m))
-    union = shoelace(a)[:, None] + shoelace(b)[None] - shared
+    ring = a
+    for k in range(b.shape[1]):
+        ring = _clipped(ring, b[:, k], b[:, (k + 1) % b.shape[1]])
+    shared = np.abs(shoelace(ring)) if len(a) else np.zeros(0)
+    union = shoelace(a) + shoelace(b) - shared
     return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
 
 
+def polygon_iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(n, m): polygon_share of all pairs of polygons."""
+    n, m = len(a), len(b)
+    return polygon_share(np.repeat(a, m, axis=0), np.tile(b, (n, 1, 1))).reshape(n, m)
+
+
 def bounds(p: np.ndarray) -> np.ndarray:
     """Boxes around polygons (n, points, 2)."""
     return np.concatenate([p.min(axis=1), p.max(axis=1)], axis=1)
@@ -89,16 +99,53 @@ class Clash:
     angle: float | None = None
 
     def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """(n, m): whether rows of a and of b clash."""
+        n, m = len(a), len(b)
+        return self.each(np.repeat(a, m, axis=0), np.tile(b, (n, 1))).reshape(n, m)
+
+    def each(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each row of a clashes with that of b."""
         angled = self.angle is not None
         x, y = (v[:, :-1] if angled else v for v in (a, b))
         if self.shape == "centre":
-            hit = np.hypot(x[:, None, 0] - y[None, :, 0], x[:, None, 1] - y[None, :, 1]) < self.near
+            hit = np.hypot(x[:, 0] - y[:, 0], x[:, 1] - y[:, 1]) < self.near
         else:
             if self.shape != "box":
-                x, y = x.reshape(len(x), -1, 2), y.reshape(len(y), -1, 2)
-            iou = polygon_iou(x, y) if self.shape == "polygon" else box_iou(bounds(x), bounds(y)) if self.shape == "bounds" else box_iou(x, y)
-            hit = iou >= self.overlap if self.at_least else iou > self.overlap
-        return hit & (angle_distance(a[:, None, -1], b[None, :, -1]) < self.angle) if angled else hit
+                x, y = x.reshape(len(x), len(x[0]) // 2 if len(x) else 4, 2), y.reshape(len(y), len(y[0]) // 2 if len(y) else 4, 2)
+            share = polygon_share(x, y) if self.shape == "polygon" else box_share(bounds(x), bounds(y)) if self.shape == "bounds" else box_share(x, y)
+            hit = share >= self.overlap if self.at_least else share > self.overlap
+        return hit & (angle_distance(a[:, -1], b[:, -1]) < self.angle) if angled else hit
+
+
+def _kept(block: np.ndarray, start: np.ndarray, clash: Clash, most: int | None) -> np.ndarray:
+    """Which rows of whole images stay: images begin at `start`, their rows stand in order. All images are gone through at once, their first rows, then their second ones and so on."""
+    size = np.diff(np.append(start, len(block)))
+    image = np.repeat(np.arange(len(start)), size)
+    place = np.arange(len(block)) - start[image]
+    keep, count = np.zeros(len(block), bool), np.zeros(len(start), np.int64)
+    for at in range(int(size.max(initial=0))):
+        row = np.flatnonzero(place == at)
+        if at:
+            # each row with those before it in its image that were kept
+            late, early = np.repeat(row, at), (start[image[row]][:, None] + np.arange(at)).ravel()
+            late, early = late[keep[early]], early[keep[early]]
+            hit = late[clash.each(block[late], block[early])]
+            row = row[~np.isin(row, hit)]
+        if most is not None:
+            row = row[count[image[row]] < most]
+        keep[row] = True
+        count[image[row]] += 1
+    return keep
+
+
+def _cuts(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    """Where a key's rows begin, and the end."""
+    new = np.zeros(len(batch), bool)
+    new[:1] = True
+    for c in range(keys):
+        values = batch.column(c).to_pylist()
+        new[1:] |= np.fromiter((a != b for a, b in zip(values[1:], values[:-1], strict=True)), bool, len(values) - 1)
+    return np.append(np.flatnonzero(new), len(batch))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -106,12 +153,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
     for batch in batches:
         if not len(batch):
             continue
-        new = np.zeros(len(batch), bool)
-        new[0] = True
-        for c in range(keys):
-            values = batch.column(c).to_pylist()
-            new[1:] |= np.fromiter((a != b for a, b in zip(values[1:], values[:-1], strict=True)), bool, len(values) - 1)
-        cut = [*np.flatnonzero(new).tolist(), len(batch)]
+        cut = _cuts(batch, keys).tolist()
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             yield tuple(batch.column(c)[i].as_py() for c in range(keys)), batch.slice(i, j - i)
 
@@ -132,26 +174,31 @@ def suppressed(d: DataFrame, keys: list[str], order: list[Column], clash: Clash,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, kept = None, np.zeros((0, width))
-        for key, rows in _runs(batches, n):
-            if key != now:
-                now, kept = key, np.zeros((0, width))
-            stay = []
-            for i in range(0, len(rows), ROWS):
-                if most is not None and len(kept) >= most:
-                    break
-                block = _numbers(rows.slice(i, ROWS), n, n + width)
-                free = np.flatnonzero(~clash.between(block, kept).any(axis=1)) if len(kept) else np.arange(len(block))
-                among = clash.between(block[free], block[free])
-                mine: list[int] = []
-                for k in range(len(free)):
-                    if not among[k, mine].any():
-                        mine.append(k)
-                if most is not None:
-                    mine = mine[: most - len(kept)]
-                kept = np.concatenate([kept, block[free[mine]]])
-                stay.append(free[mine] + i)
-            if stay:
-                yield pa.RecordBatch.from_arrays(rows.take(pa.array(np.concatenate(stay))).columns[n + width :], names)
+        for batch in batches:
+            if not len(batch):
+                continue
+            cut = _cuts(batch, n)
+            size = np.diff(cut)
+            # images that are whole in the batch and small go together; the first and the last may have rows in other batches
+            small = size <= SMALL
+            small[[0, -1]] = False
+            block = _numbers(batch, n, n + width)
+            stay = np.zeros(len(batch), bool)
+            mine = np.repeat(small, size)
+            stay[mine] = _kept(block[mine], np.cumsum(size[small]) - size[small], clash, most)
+            for g in np.flatnonzero(~small).tolist():
+                key = tuple(batch.column(c)[int(cut[g])].as_py() for c in range(n))
+                if key != now:
+                    now, kept = key, np.zeros((0, width))
+                for i in range(int(cut[g]), int(cut[g + 1]), ROWS):
+                    if most is not None and len(kept) >= most:
+                        break
+                    rows = block[i : min(i + ROWS, int(cut[g + 1]))]
+                    free = np.flatnonzero(~clash.between(rows, kept).any(axis=1)) if len(kept) else np.arange(len(rows))
+                    free = free[_kept(rows[free], np.zeros(1, np.int64), clash, None if most is None else most - len(kept))]
+                    kept = np.concatenate([kept, rows[free]])
+                    stay[free + i] = True
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(stay)).columns[n + width :], names)
 
     return ordered.mapInArrow(run, d.schema)
 
