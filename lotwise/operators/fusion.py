@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.shared import as_table
 from . import evidence as E
 
 # Labels of detections by what they tell, the combinations of parts that make a cooler sure, states, reasons, points.
@@ -48,8 +49,10 @@ def corroborated(d: DataFrame, wholes: tuple[str, ...] = COOLERS, parts: tuple[s
     sets = met.groupBy("item_id", "pos").agg(F.collect_set("_part").alias("_parts"))
     complete = [F.size(F.array_except(F.array(*map(F.lit, c)), F.col("_parts"))) == 0 for c in combinations]
     sure = sets.where(complete[0] if len(complete) == 1 else F.array_contains(F.array(*complete), True)).select(F.col("item_id").alias("_item"), F.col("pos").alias("_pos"), F.lit(True).alias("_sure"))
-    out = d.join(sure, (F.col("item_id") == F.col("_item")) & (F.col("pos") == F.col("_pos")), "left")
-    return out.withColumn("accepted", F.when(F.col("label").isin(*wholes), F.coalesce("_sure", F.lit(False)))).drop("_item", "_pos", "_sure")
+    # only wholes meet what was found; nothing else is dealt out
+    whole = F.coalesce(F.col("label").isin(*wholes), F.lit(False))
+    asked = d.where(whole).join(sure, (F.col("item_id") == F.col("_item")) & (F.col("pos") == F.col("_pos")), "left")
+    return asked.withColumn("accepted", F.coalesce("_sure", F.lit(False))).drop("_item", "_pos", "_sure").union(d.where(~whole).withColumn("accepted", F.lit(None).cast("boolean")))
 
 
 def four(c: Column) -> Column:
@@ -68,6 +71,8 @@ def wide_evidence(checked: DataFrame, f: E.Fusion = E.Fusion()) -> DataFrame:
     Of each role the score of its best label and how many images that one is in (of equal scores, the more images), 0 if it has none. Cues of an empty socket are fused, and
     take the empty role's place where they score more. `maxima` has each label's score, `damage_labels` (sorted) and `damage_score` what damage is sure enough in enough images.
     """
+    # the best of each label in each image, settled once for all that is asked of it
+    checked = as_table(checked.groupBy("item_id", "image_index", "label", "accepted").agg(F.max("score").alias("score"), F.count("*").alias("n")), "best")
     kept = checked.where(F.coalesce("accepted", F.lit(True)) & F.col("label").isNotNull() & F.col("score").isNotNull())
     ev = label_evidence(kept, f)
     is_ = lambda labels: F.col("label").isin(*labels)
@@ -83,7 +88,8 @@ def wide_evidence(checked: DataFrame, f: E.Fusion = E.Fusion()) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("label", "score"))).alias("maxima"),
     )
     images = kept.where(is_(EMPTY_CUES)).select("item_id", "image_index").distinct().groupBy("item_id").agg(F.count("*").alias("_images"))
-    items = checked.groupBy("item_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"), F.coalesce(F.max(F.when(~F.col("accepted"), F.col("score"))), F.lit(0.0)).alias("rejected_score"))
+    counted = lambda test: F.sum(F.when(test, F.col("n")).otherwise(F.lit(0)))
+    items = checked.groupBy("item_id").agg(counted(F.col("accepted")).alias("accepted"), counted(~F.col("accepted")).alias("rejected"), F.coalesce(F.max(F.when(~F.col("accepted"), F.col("score"))), F.lit(0.0)).alias("rejected_score"))
     out = items.join(found, "item_id", "left").join(images, "item_id", "left")
     out = out.withColumns({f"{role}_{name}": F.coalesce(F.col(f"_{role}.{c}"), F.lit(zero)) for role in ROLES for name, c, zero in (("score", "score", 0.0), ("images", "distinct_images", 0))})
     more = lambda n: F.least(F.lit(2), n - 1)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..sources.shared import as_table
 from .names import best_names, ratios
 
 
@@ -54,10 +55,12 @@ def identified(items: DataFrame, catalog: DataFrame) -> DataFrame:
     items are (item_id, listing, visual), the latter two arrays of names in order. Of an item's names on one side the one counts that is most like a catalog model; of
     equals the more specific, then the earlier one. Names of generic tokens alone don't count. catalog is (model).
     """
+    # names are taken from texts once, whoever asks
+    items = as_table(items.select("item_id", "listing", "visual"), "items")
     sides = {"listing": items.select("item_id", F.posexplode("listing").alias("pos", "name")), "visual": items.select("item_id", F.posexplode("visual").alias("pos", "name"))}
     names = sides["listing"].select("name").union(sides["visual"].select("name"))
     # below 0.60 a match isn't used, but the name that was nearest is still what a listing says
-    known = best_names(names, catalog, 1e-9)
+    known = as_table(best_names(names, catalog, 1e-9), "known")
     out = items.select("item_id")
     for side, rows in sides.items():
         s = X.specificity(F.col("name"))
