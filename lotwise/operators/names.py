@@ -27,7 +27,7 @@ ALPHABET = " +-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CONTAINED = 0.92
 
 #: Keys of a cell, cells (beyond them cells grow), and names that meet a cell's keys in one task, about.
-CELL, MOST_CELLS, BLOCK = 1024, 65_536, 2048
+CELL, MOST_CELLS, BLOCK = 1024, 65_536, 512
 #: Numbers that pairs of characters are counted under.
 PAIRS = 256
 #: From this length on a text's frequent characters don't count in a sequence's similarity.

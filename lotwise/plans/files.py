@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import report as P
+from ..operators.names import best_names
 from ..sources import documents as D
 from ..sources import npz
 from ..sources.shared import as_table, shared_dir
+from ..sources.versions import Versioned
 from .queries import _RUN, VALUE, features, query, run_report, values
 
 
@@ -84,3 +87,47 @@ def report_page(t):
     written = lines.sparkSession.read.text(path).select(F.col("value").alias("line"))
     # alerts are told apart by their lines
     return lines.where("section = 1 and place > 0").join(written.distinct(), "line", "left_semi").select("place", "line")
+
+
+def _shipped(t) -> Versioned:
+    """Orders by key, then what their lines say of them, merged twice as after a lost answer."""
+    orders = t("orders").select(F.col("o_orderkey").cast("long").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderstatus").alias("status"))
+    lines = t("lineitem").where("l_linestatus = 'F'").groupBy(F.col("l_orderkey").cast("long").alias("id")).agg(F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("day")).withColumn("status", F.lit("shipped"))
+    table = Versioned(orders.sparkSession, _folder(orders, "ledger"), orders.schema, "id", "day", 8)
+    table.merge(orders, "orders", 0)
+    for _ in range(2):
+        table.merge(lines, "lines", 0)
+    return table
+
+
+_SHIPPED = """o AS (SELECT cast(o_orderkey AS bigint) AS id, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus AS status, 1 AS nr FROM orders),
+l AS (SELECT cast(l_orderkey AS bigint) AS id, strftime(max(l_shipdate), '%Y-%m-%d') AS day, 'shipped' AS status, 2 AS nr FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1),
+current AS (SELECT id, day, status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY day DESC, nr DESC) AS n FROM (SELECT * FROM o UNION ALL SELECT * FROM l)) WHERE n = 1)"""
+
+
+@query(f"WITH {_SHIPPED} SELECT id, day, status FROM current")
+def versioned_ledger(t):
+    """A table of versions after two merges, one sent again, and compaction: the latest row of each key."""
+    table = _shipped(t)
+    table.compact()
+    return table.at()
+
+
+@query(f"""WITH {_SHIPPED} SELECT 1 AS version, status, count(*) AS n, max(day) AS latest FROM o GROUP BY status UNION ALL SELECT v, status, count(*), max(day) FROM current, (VALUES (2), (3)) x(v) GROUP BY v, status
+UNION ALL SELECT 4, status, count(*), max(day) FROM current WHERE day >= '2000-01-01' GROUP BY status""")
+def versioned_history(t):
+    """Every version of the same table, each read as it was then: before the second merge, after it, compacted, and without old rows."""
+    table = _shipped(t)
+    table.compact()
+    table.compact(keep="day >= '2000-01-01'")
+    each = [table.at(v).groupBy("status").agg(F.count("*").alias("n"), F.max("day").alias("latest")).select(F.lit(v).alias("version"), "status", "n", "latest") for v in table.versions()]
+    return reduce(DataFrame.union, each)
+
+
+@query()
+def similar_parts(t):
+    """Part names as someone might misspell them, each with the most similar of all parts' names."""
+    parts = t("part").where("p_name is not null and p_partkey is not null")
+    k = 2 + F.pmod(F.col("p_partkey"), F.lit(5)).cast("int")
+    wrong = F.concat(F.substring("p_name", 1, 3), F.col("p_name").substr(k + 3, F.length("p_name")), F.lit(" "), F.element_at(F.split("p_name", " "), 1))
+    return best_names(parts.select(wrong.alias("name")), parts.select(F.col("p_name").alias("model")), 0.6).select("name", "model", F.round("similarity", 6).alias("similarity"))
