@@ -36,6 +36,11 @@ PREMIUM_CHIPSETS = ("Z370", "Z390", "Z490", "Z590", "Z690", "Z790", "X370", "X47
 STATE_REASONS = {"cooler_attached_cpu_highly_likely": "cooler_attached", "visible_cpu_likely": "cpu_visible", "empty_socket_likely": "empty_socket", "socket_cover_likely": "socket_cover"}
 
 
+def cents(amount: Column) -> Column:
+    """An amount to two places as doubles are rounded: 1.005 is a little less than it looks, so it makes 1.0."""
+    return F.round(amount * 100) / 100
+
+
 def chipset_bonus(title: Column, m: ValueModel = ValueModel()) -> Column:
     names = F.array(*map(F.lit, PREMIUM_CHIPSETS))
     return F.when(F.exists(names, lambda t: F.contains(F.upper(title), t)), m.premium_chipset)
