@@ -107,3 +107,24 @@ def test_recommendation(spark, agreeing, conflicting, by_hand, want):
 @pytest.mark.parametrize("known,score,good,ratio,want", [(False, 0.0, None, None, "no_reference"), (True, 0.0, None, None, "reference_conflict"), (True, 0.7, 18, 0.32, "reference_confirmed"), (True, 0.7, 17, 0.5, "reference_uncertain"), (True, 0.7, 30, 0.31, "reference_uncertain"), (True, 0.57, 60, 0.9, "reference_uncertain"), (True, 0.41, 60, 0.9, "reference_conflict")])
 def test_verification(spark, known, score, good, ratio, want):
     assert spark.range(1).select(R.verification(F.lit(known), F.lit(score), F.lit(good).cast("int"), F.lit(ratio).cast("double"))).first()[0] == want
+
+
+def test_no_bundle_is_asked_cell_by_cell(spark):
+    """Random directions: every cell may hold something near, so a query goes to all bundles of its model, which are as many as its rows fill."""
+    r = random.Random(6)
+    rows = [(k, "m", [r.gauss(0, 1) for _ in range(24)]) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, model string, v array<double>")
+    index = K.Cells(df, 28, block=150)
+    asked = df.where("id < 90").select(F.col("id").alias("q"), "model", "v").withColumn("within", F.lit(6.0))
+    assert index.reached(asked, "within", 1).count() > 90 * 20
+    assert index.reached(asked, "within", 1, "bundle").count() <= 90 * 6
+
+
+def test_crowded_chunks_are_not_looked_up(spark, monkeypatch):
+    """Descriptors that share nearly all chunks' values would meet pair by pair: they are compared in blocks, to the same end."""
+    r = random.Random(7)
+    rows = [(k, "m", [sum(r.choice((0, 1)) << b for b in range(0, 64, 8)) for _ in range(2)]) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, model string, v array<bigint>")
+    monkeypatch.setattr(K, "hamming_within", lambda *_: pytest.fail("looked up"))
+    got = {(x["q"], x["id"], x["d"], x["n"]) for x in K.hamming_nearest(df.where("id % 20 = 0").withColumnRenamed("id", "q"), df, 2, 2, 8, 3).collect()}
+    assert got == nearest(rows, [x for x in rows if x[0] % 20 == 0], 2, bits)
