@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of an image that are compared at once, and rows of an image that goes with others.
-ROWS, SMALL = 128, 32
+ROWS, SMALL = 128, 256
 
 
 def angle_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -46,18 +46,27 @@ def shoelace(ring: np.ndarray) -> np.ndarray:
 
 
 def _clipped(ring: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Convex rings (n, points, 2) cut to the left of the lines from a to b (n, 2). A point that is cut off is the same as the one before it, which adds no area; rings that are cut off whole are one point."""
+    """Convex rings (n, points, 2) cut to the left of the lines from a to b (n, 2). Rings of fewer points than others repeat their last one, which adds no area; rings that are cut off whole are one point."""
     side = (b[:, None, 0] - a[:, None, 0]) * (ring[..., 1] - a[:, None, 1]) - (b[:, None, 1] - a[:, None, 1]) * (ring[..., 0] - a[:, None, 0])
     after, following = np.roll(side, -1, 1), np.roll(ring, -1, 1)
     crosses = (side >= 0) != (after >= 0)
     step = np.divide(side, side - after, out=np.zeros_like(side), where=crosses)
-    out = np.stack([ring, ring + step[..., None] * (following - ring)], axis=2).reshape(len(ring), -1, 2)
-    stays = np.stack([side >= 0, crosses], axis=2).reshape(len(ring), -1)
-    at = np.where(stays, np.arange(stays.shape[1]), -1)
-    last = np.maximum.accumulate(at, axis=1)
-    last = np.where(last < 0, at.max(axis=1, keepdims=True), last)
-    out = np.take_along_axis(out, np.maximum(last, 0)[..., None], axis=1)
-    return np.where(stays.any(axis=1)[:, None, None], out, 0.0)
+    out = np.stack([ring, ring + step[..., None] * (following - ring)], axis=2).reshape(len(ring), 2 * ring.shape[1], 2)
+    stays = np.stack([side >= 0, crosses], axis=2).reshape(len(ring), 2 * ring.shape[1])
+    # those that stay come first, as many as any ring has; the last one stands for the others
+    count = stays.sum(axis=1)
+    at = np.argsort(~stays, axis=1, kind="stable")[:, : max(1, int(count.max(initial=0)))]
+    at = np.take_along_axis(at, np.minimum(np.arange(at.shape[1]), np.maximum(count - 1, 0)[:, None]), axis=1)
+    out = np.take_along_axis(out, at[..., None], axis=1)
+    return np.where((count > 0)[:, None, None], out, 0.0)
+
+
+def may_share(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether convex polygons may have that share in common, by the boxes around them."""
+    x, y = bounds(a), bounds(b)
+    w, h = (np.maximum(np.minimum(x[:, 2 + k], y[:, 2 + k]) - np.maximum(x[:, k], y[:, k]), 0) for k in (0, 1))
+    areas = np.abs(shoelace(a)) + np.abs(shoelace(b))
+    return w * h >= least * (1 - 1e-9) * (areas - w * h)
 
 
 def polygon_share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,7 +121,11 @@ class Clash:
         else:
             if self.shape != "box":
                 x, y = x.reshape(len(x), len(x[0]) // 2 if len(x) else 4, 2), y.reshape(len(y), len(y[0]) // 2 if len(y) else 4, 2)
-            share = polygon_share(x, y) if self.shape == "polygon" else box_share(bounds(x), bounds(y)) if self.shape == "bounds" else box_share(x, y)
+            if self.shape == "polygon":
+                share, near = np.zeros(len(x)), may_share(x, y, self.overlap)
+                share[near] = polygon_share(x[near], y[near])
+            else:
+                share = box_share(bounds(x), bounds(y)) if self.shape == "bounds" else box_share(x, y)
             hit = share >= self.overlap if self.at_least else share > self.overlap
         return hit & (angle_distance(a[:, -1], b[:, -1]) < self.angle) if angled else hit
 
