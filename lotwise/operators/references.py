@@ -153,6 +153,22 @@ def homographies(rows: DataFrame) -> DataFrame:
     return rows.select("id", "source", "target").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, h array<double>")
 
 
+def _full_rank(a: np.ndarray) -> np.ndarray:
+    """Whether square matrices (n, k, k) have full rank as matrix_rank tells it; it is asked only about those that their inverse leaves open."""
+    out = np.zeros(len(a), bool)
+    with np.errstate(all="ignore"):
+        # an exactly singular one fails the whole stack's inverse
+        fair = np.linalg.det(a) != 0
+        inverse = np.linalg.inv(np.where(fair[:, None, None], a, np.eye(a.shape[-1])))
+        norm = lambda m: np.sqrt((m * m).sum(axis=(1, 2)))
+        # the least singular value is 1 / |inverse| at least, the greatest |a| at most
+        out[fair & (norm(a) * norm(inverse) < 1e10)] = True
+    rest = np.flatnonzero(~out)
+    if len(rest):
+        out[rest] = np.linalg.matrix_rank(a[rest]) == a.shape[-1]
+    return out
+
+
 def four_point(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """((n, 9) homographies, whether each is one) of points (n, 4, 2): stacked systems of eight equations. A singular system, as of three points on a line, has none."""
     x, y, u, v = source[..., 0], source[..., 1], target[..., 0], target[..., 1]
@@ -164,7 +180,7 @@ def four_point(source: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.n
     scaled = np.divide(a, scale, out=np.zeros_like(a), where=scale > 0)
     sure = np.isfinite(scaled).all(axis=(1, 2)) & np.isfinite(b).all(axis=1)
     scaled[~sure] = np.eye(8)
-    sure &= np.linalg.matrix_rank(scaled) == 8
+    sure &= _full_rank(scaled)
     a = np.where(sure[:, None, None], a, np.eye(8))
     h = np.linalg.solve(a, np.where(sure[:, None], b, 0.0)[..., None])[..., 0]
     return np.concatenate([h, np.ones((len(h), 1))], axis=1), sure
