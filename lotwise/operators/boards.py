@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -240,9 +240,10 @@ def ransac_homographies(pairs: DataFrame, reach: float = 5.0, rounds: int = 200,
             e = np.hypot(*(q[:, :2] / q[:, 2:] - t).T)
         return np.where(np.isfinite(e), e, np.inf)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sx", "sy", "tx", "ty"])
-        s, t = pdf[["sx", "sy"]].to_numpy(float), pdf[["tx", "ty"]].to_numpy(float)
+    def run(rows: pa.Table) -> pa.Table:
+        both = np.column_stack([rows.column(c).cast(pa.float64()).to_numpy() for c in ("sx", "sy", "tx", "ty")])
+        both = both[np.lexsort(both.T[::-1])]
+        s, t = both[:, :2], both[:, 2:]
         best, inside = None, np.zeros(len(s), bool)
         rng = np.random.default_rng(seed)
         for i in range(0, rounds if len(s) >= 4 else 0, 64):
@@ -262,7 +263,8 @@ def ransac_homographies(pairs: DataFrame, reach: float = 5.0, rounds: int = 200,
             if near.sum() >= inside.sum():
                 best, inside = again, near
         out = None if best is None or abs(best[-1]) < 1e-12 else (best / best[-1]).tolist()
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "h": [out], "n": [len(s)], "inliers": [int(inside.sum())]})
+        found = [rows.column("id").combine_chunks()[:1], pa.array([out], pa.list_(pa.float64())), pa.array([len(s)], pa.int64()), pa.array([int(inside.sum())], pa.int64())]
+        return pa.table(found, ["id", "h", "n", "inliers"])
 
     kind = pairs.schema["id"].dataType.simpleString()
-    return pairs.select("id", "sx", "sy", "tx", "ty").groupBy("id").applyInPandas(run, f"id {kind}, h array<double>, n long, inliers long")
+    return pairs.select("id", "sx", "sy", "tx", "ty").groupBy("id").applyInArrow(run, f"id {kind}, h array<double>, n long, inliers long")
