@@ -197,6 +197,51 @@ def shared_words(texts, least=50):
     return {i: {x for k in range(len(w) - least + 1) if len(windows[tuple(w[k : k + least])]) > 1 for x in range(k, k + least)} for i, w in split.items()}
 
 
+def shared_links(texts, least=50):
+    """Brute force: pairs of different texts, by the least id of their copies, that have an equal run of `least` words."""
+    windows, ids = {}, {}
+    for i, t in texts:
+        ids.setdefault(tuple(t.split()), i)
+    for w, i in ids.items():
+        for k in range(len(w) - least + 1):
+            windows.setdefault(w[k : k + least], set()).add(i)
+    return {(a, b) for s in windows.values() for a in s for b in s if a < b}
+
+
+def members_meet(groups):
+    """Pairs of the members of each group."""
+    members = {}
+    for r in groups:
+        members.setdefault(r["group_id"], set()).add(r["doc_id"])
+    return {(a, b) for s in members.values() for a in s for b in s if a < b}
+
+
+def test_members_of_a_passage_are_linked_with_each_other(spark, monkeypatch):
+    """Texts with runs of common passages, of lengths about the threshold, crowds among them: each pair that shares an equal run, and no other, is a link."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", 16)
+    monkeypatch.setattr(substring_dedup, "PAIRED", 8)
+    r = random.Random(77)
+    runs = [prose(7000 + k, 90).split() for k in range(6)]
+    texts = []
+    for i in range(90):
+        words = prose(7100 + i, 20).split()
+        for k in r.sample(range(6), r.choice([1, 1, 2, 3])):
+            # the first passage stands in most texts
+            run, x = runs[0 if r.random() < 0.6 else k], r.randint(0, 45)
+            words += run[x : x + r.choice([30, 45, 49, 50, 51, 56, 60, 90])] + prose(9000 + 10 * i + k, 12).split()
+        texts.append((i, " ".join(words)))
+    texts += [(1000, texts[3][1]), (1001, texts[3][1])]
+    want = shared_links(texts)
+    got = {x["doc_id"]: x for x in substring_dedup.repeated_passages(table(spark, texts)).collect()}
+    assert {tuple(x) for x in substring_dedup.passage_links(table(spark, texts)).collect()} == want and len(want) > 400
+    assert members_meet(substring_dedup.passage_groups(table(spark, texts)).collect()) == want
+    for i, t in texts:
+        links = sum((3 if i >= 1000 else i) in x for x in want)
+        assert got[i]["n_links"] == links if links else i not in got or not got[i]["n_links"]
+    surely = shared_words(texts)
+    assert all(surely[i] <= {w for s, e in got[i]["passages"] for w in range(s, e)} for i, _ in texts if surely[i])
+
+
 def test_passage_whose_parts_are_common(spark):
     """Parts of shared passages stand in many other texts too: every pair is found, and the other texts aren't."""
     texts, k = [], 1000
