@@ -242,6 +242,21 @@ def test_members_of_a_passage_are_linked_with_each_other(spark, monkeypatch):
     assert all(surely[i] <= {w for s, e in got[i]["passages"] for w in range(s, e)} for i, _ in texts if surely[i])
 
 
+def test_near_copies_are_linked_with_each_other(spark):
+    """Texts with other words changed each, so that no two share an equal run of 50 words: all pairs are links, not only those with one of them."""
+    base, texts = prose(8000, 140).split(), []
+    for i in range(9):
+        words = [*base]
+        # each changes a place of its own, and all change every 35th word
+        for k in [*range(20, 140, 35), 5 + 14 * i]:
+            words[k] = f"w{i}x{k}"
+        texts.append((i, " ".join(words)))
+    assert not shared_links(texts)
+    got = {tuple(x) for x in substring_dedup.passage_links(table(spark, texts)).collect()}
+    assert got == {(a, b) for a in range(9) for b in range(a + 1, 9)}
+    assert all(x["n_links"] == 8 for x in substring_dedup.repeated_passages(table(spark, texts)).collect())
+
+
 def test_passage_whose_parts_are_common(spark):
     """Parts of shared passages stand in many other texts too: every pair is found, and the other texts aren't."""
     texts, k = [], 1000
